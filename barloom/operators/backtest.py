@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import change
 from barloom.operators import features as feat
-from barloom.operators.timeline import scan, time_block
+from barloom.operators.timeline import index_bars, pick, scan, time_block
+from barloom.session import cut
 
 
 def hold_position(conds: DataFrame) -> DataFrame:
@@ -24,8 +25,8 @@ def state_position(conds: DataFrame, short_state: int = 0) -> DataFrame:
     both-bars since then.
     """
     lo, sh = F.col("long"), F.col("short")
-    had = "_tb" in conds.columns
-    df = (conds if had else conds.withColumn("_tb", time_block())).withColumns({
+    df = cut(conds.select("symbol", "ts", "close", "long", "short")).withColumns({
+        "_tb": time_block(),
         "_one": lo != sh, "_both": lo & sh})
     state = F.when(F.col("_one"), F.when(lo, 1).otherwise(short_state))
     df = scan(df, {"_base": ("last", state), "_nb": ("sum", F.col("_both").cast("int"))})
@@ -34,8 +35,7 @@ def state_position(conds: DataFrame, short_state: int = 0) -> DataFrame:
     flips = F.col("_nb") - F.coalesce(F.col("_at"), F.lit(0))
     odd = flips % 2 == 1
     pos = F.when(flips == 0, base).when(odd == (base <= 0), 1).otherwise(short_state)
-    out = df.withColumn("position", pos.cast("int")).drop("_one", "_both", "_base", "_nb", "_at")
-    return out if had else out.drop("_tb")
+    return df.withColumn("position", pos.cast("int")).drop("_tb", "_one", "_both", "_base", "_nb", "_at")
 
 
 def strategy_returns(positions: DataFrame, cost: float = 0.0005, capital: float = 100000.0,
@@ -44,7 +44,7 @@ def strategy_returns(positions: DataFrame, cost: float = 0.0005, capital: float
 
     Adds ``asset_ret``, ``turnover``, ``ret`` and ``equity``.
     """
-    df = positions.withColumn("_tb", time_block())
+    df = cut(positions).withColumn("_tb", time_block())
     df = scan(df, {"_pc": ("prev", F.col("close")), "_pp": ("prev", F.col("position"))}, keys)
     df = df.withColumns({
         "asset_ret": F.coalesce(change(F.col("close"), F.col("_pc")), F.lit(0.0)),
@@ -62,8 +62,8 @@ def equity_curve(rets: DataFrame, keys=("series_id",), ret: str = "ret", capital
 
 def closed_trades(positions: DataFrame, strategy: str = "TEMACD") -> DataFrame:
     """Closed round trips of a position column (1 long, -1 short, 0 flat)."""
-    df = scan(positions, {"_pp": ("prev", F.col("position")), "_bar": ("count", F.lit(1))})
-    turns = df.where(F.col("position") != F.coalesce(F.col("_pp"), F.lit(0)))
+    df = scan(cut(positions), {"_pp": ("prev", F.col("position")), "_bar": ("count", F.lit(1))})
+    turns = cut(df.where(F.col("position") != F.coalesce(F.col("_pp"), F.lit(0))))
     turns = scan(turns, {"exit_ts": ("next", F.col("ts")), "exit_px": ("next", F.col("close")),
                          "_xb": ("next", F.col("_bar"))})
     side = F.when(F.col("position") == 1, "long").otherwise("short")
@@ -89,8 +89,8 @@ def trade_metrics(trades: DataFrame, by=("symbol",)) -> DataFrame:
 
 def donchian_hold(bars: DataFrame, entry: int = 20, exit: int = 10, high: str = "high", low: str = "low") -> DataFrame:
     """Long from a close over the previous channel top until a close under its bottom."""
-    need = list(dict.fromkeys(["symbol", "ts", high, low, "close"]))
-    df = feat.compute(bars.select(*need), {"don": feat.donchian(entry, exit, high, low)})
+    need = dict.fromkeys([high, low, "close"])
+    df = cut(feat.compute(pick(bars, *need), {"don": feat.donchian(entry, exit, high, low)}))
     conds = df.withColumns({
         "long": F.coalesce(F.col("close") > F.col("don_upper"), F.lit(False)),
         "short": F.coalesce(F.col("close") < F.col("don_lower"), F.lit(False))})
@@ -100,10 +100,13 @@ def donchian_hold(bars: DataFrame, entry: int = 20, exit: int = 10, high: str =
 def continuous_allocation(bars: DataFrame, fast: int = 32, slow: int = 128, max_leverage: float = 5.0,
                           capital: float = 100000.0) -> DataFrame:
     """Forecast-sized, breakout and blended allocations with their equity curves."""
-    base = donchian_hold(bars.select("symbol", "ts", "close"), 20, 10, "close", "close")
-    base = base.drop("don_upper", "don_lower").withColumnRenamed("position", "donchian_allocation")
-    df = feat.ewmac(base, fast, slow)
-    df = feat.compute(df, {"_av": feat.rolling_volatility(25)})
+    bars = bars if "_pc" in bars.columns else index_bars(bars)
+    df = feat.compute(pick(bars, "close"), {"don": feat.donchian(20, 10, "close", "close"),
+                                            "_av": feat.rolling_volatility(25)}, keep_index=True)
+    df = cut(df.withColumns({"long": F.col("close") > F.col("don_upper"), "short": F.col("close") < F.col("don_lower")}))
+    df = hold_position(df).withColumnRenamed("position", "donchian_allocation").drop(
+        "don_upper", "don_lower", "long", "short")
+    df = cut(feat.ewmac(df, fast, slow))
     alloc = F.greatest(F.lit(-max_leverage), F.least(F.lit(max_leverage), F.col("forecast") / 10.0))
     df = df.withColumns({"asset_vol": F.coalesce(F.col("_av"), F.lit(0.5)), "carver_allocation": alloc})
     df = df.withColumn("blended_allocation", F.lit(0.5) * F.col("carver_allocation") + F.col("donchian_allocation"))

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from barloom.functions.scalars import TRADING_DAYS, change, crossed_down, crossed_up, ratio
-from barloom.operators.timeline import blocks, ema_blocks, emas, ewm_std, full, own, scan, window
+from barloom.functions.scalars import TRADING_DAYS, change, clip, crossed_down, crossed_up, ratio
+from barloom.operators.timeline import (
+    blocks, ema_blocks, ema_input, emas, ewm_std, ewm_std_specs, full, index_bars, linear_scan, own, pick, scan, window)
 from barloom.schema import require
+from barloom.session import cut
 
 ANNUAL = float(TRADING_DAYS) ** 0.5
 
@@ -37,12 +39,11 @@ def _positive(n: int, least: int = 1) -> int:
     return n
 
 
-def _ret(w: WindowSpec) -> Column:
-    return change(F.col("close"), F.lag("close").over(w))
-
-
 def _with_ret(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df if "_f_ret" in df.columns else df.withColumn("_f_ret", _ret(w))
+    if "_f_ret" in df.columns:
+        return df
+    before = F.col("_pc") if "_pc" in df.columns else F.lag("close").over(w)
+    return df.withColumn("_f_ret", change(F.col("close"), before))
 
 
 def momentum(n: int = 252) -> Feature:
@@ -272,7 +273,8 @@ def compute(bars: DataFrame, features: dict[str, Feature], keys=("symbol",), ord
 def returns(bars: DataFrame, keys=("symbol",), order: str = "ts", price: str = "close",
             name: str = "ret") -> DataFrame:
     """Simple returns; the first row of a series is NULL."""
-    out = scan(bars, {"_pc": ("prev", F.col(price))}, keys, order)
+    known = "_pc" in bars.columns and price == "close"
+    out = bars if known else scan(bars, {"_pc": ("prev", F.col(price))}, keys, order)
     return out.withColumn(name, change(F.col(price), F.col("_pc"))).drop("_pc")
 
 
@@ -288,18 +290,17 @@ def resample_last(bars: DataFrame, unit: str = "month") -> DataFrame:
         F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
 
 
-def ewmac(bars: DataFrame, fast: int = 32, slow: int = 128, vol_span: int = 25, cap: float = 20.0,
-          drop: bool = True) -> DataFrame:
+def ewmac(bars: DataFrame, fast: int = 32, slow: int = 128, vol_span: int = 25, cap: float = 20.0) -> DataFrame:
     """Trend forecast (fast EMA - slow EMA) / weighted std of price changes, clipped."""
-    df = scan(bars, {"_i": ("count", F.lit(1)), "_pc": ("prev", F.col("close"))})
-    df = df.withColumns({"_i": F.col("_i") - 1, "_d": F.col("close") - F.col("_pc")}).drop("_pc")
-    df = ema_blocks(df)
-    df = emas(df, {"_ef": (F.col("close"), fast), "_es": (F.col("close"), slow)})
-    df = ewm_std(df, "_vol", F.col("_d"), vol_span, start=1)
-    raw = ratio(F.col("_ef") - F.col("_es"), F.col("_vol"))
-    df = df.withColumn("forecast", F.coalesce(
-        F.greatest(F.lit(-cap), F.least(F.lit(cap), F.when(raw.isNotNull(), raw))), F.lit(0.0)))
-    return own(df.drop("_ef", "_es", "_vol", "_d")) if drop else df
+    if "_pc" not in bars.columns:
+        bars = index_bars(bars)
+    df = ema_blocks(bars)
+    close = F.col("close")
+    df = linear_scan(df, {"_ef": ema_input(close, fast), "_es": ema_input(close, slow),
+                          **ewm_std_specs(close - F.col("_pc"), vol_span, start=1)})
+    raw = ratio(F.col("_ef") - F.col("_es"), ewm_std(start=1))
+    df = df.withColumn("forecast", F.coalesce(clip(raw, -cap, cap), F.lit(0.0)))
+    return own(df.drop("_ef", "_es", "_w", "_v", "_x", "_q"))
 
 
 # --------------------------------------------------------- against a benchmark
@@ -311,11 +312,11 @@ def join_benchmark(bars: DataFrame, symbol: str, columns: dict[str, str]) -> Dat
     """
     bench = bars.where(F.col("symbol") == symbol).select(
         "ts", *[F.col(c).alias(n) for c, n in columns.items()])
-    return bars.join(bench, "ts")
+    return bars.drop("_i", "_pc").join(bench, "ts")
 
 
 def relative_strength(bars: DataFrame, benchmark: str = "SPY", name: str = "rs") -> DataFrame:
-    df = join_benchmark(bars.select("symbol", "ts", "close"), benchmark, {"close": "bench_close"})
+    df = join_benchmark(pick(bars, "close"), benchmark, {"close": "bench_close"})
     return df.select("symbol", "ts", ratio(F.col("close"), F.col("bench_close")).alias(name))
 
 
@@ -333,9 +334,9 @@ def beta_correlation(rets: DataFrame, n: int = 60, keys=("symbol",), x: str = "r
 
 def rolling_benchmark(bars: DataFrame, benchmark: str = "SPY", n: int = 60) -> DataFrame:
     """Rolling beta and correlation of each symbol to a benchmark symbol."""
-    rets = returns(bars.select("symbol", "ts", "close"))
+    rets = returns(pick(bars, "close"))
     joined = join_benchmark(rets, benchmark, {"ret": "bench_ret"})
-    return beta_correlation(joined, n).select("symbol", "ts", "rolling_beta", "rolling_corr")
+    return beta_correlation(cut(joined), n).select("symbol", "ts", "rolling_beta", "rolling_corr")
 
 
 # ----------------------------------------------------------------- cross section

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import TRADING_DAYS, change, norm_cdf, norm_ppf
-from barloom.operators.timeline import attach, scan
+from barloom.operators.timeline import scan, time_block
+from barloom.session import cut
 
 ANNUAL = math.sqrt(TRADING_DAYS)
 EULER_GAMMA = 0.5772156649  # fixed value
+SHARPE_VARIANCE = 0.15      # fixed value: variance of trial Sharpe ratios
 
 
 def drawdown(df: DataFrame, keys=("series_id",), value: str = "equity", order: str = "ts") -> DataFrame:
@@ -21,7 +23,200 @@ def drawdown(df: DataFrame, keys=("series_id",), value: str = "equity", order: s
 
 def drawdown_duration(df: DataFrame, keys=("series_id",), value: str = "equity", order: str = "ts") -> DataFrame:
     """Add ``duration``: bars since the last new high."""
+    df = cut(df).withColumn("_tb", time_block(order))
     out = scan(df, {"_peak": ("max", F.col(value)), "_rn": ("count", F.lit(1))}, keys, order)
     top = F.when(F.col(value) == F.col("_peak"), F.col("_rn"))
     out = scan(out, {"_top": ("last", top)}, keys, order)
-    return out.withColumn("duration", F.col("_rn") - F.coalesce(F.col("_top"), F.lit(0))).drop("_peak", "_rn", "_top")
+    return out.withColumn("duration", F.col("_rn") - F.coalesce(F.col("_top"), F.lit(0))).drop(
+        "_peak", "_rn", "_top", "_tb")
+
+
+# ----------------------------------------------------------- metric expressions
+
+def _zero_safe(num: Column, den: Column) -> Column:
+    return F.coalesce(F.try_divide(num, den), F.lit(0.0))
+
+
+def sharpe(x: Column | str = "ret") -> Column:
+    return _zero_safe(F.avg(x), F.stddev_samp(x)) * ANNUAL
+
+
+def sortino(x: str = "ret") -> Column:
+    down = F.when(F.col(x) < 0, F.col(x))
+    risk = F.when(F.count(down) > 1, F.stddev_samp(down)).otherwise(F.stddev_samp(x))
+    return _zero_safe(F.avg(x), risk) * ANNUAL
+
+
+def annual_vol(x: str = "ret") -> Column:
+    return F.stddev_samp(x) * ANNUAL
+
+
+def win_rate(x: str = "ret") -> Column:
+    return F.count_if(F.col(x) > 0) / F.count(x) * 100
+
+
+def profit_factor(x: str = "ret") -> Column:
+    c = F.col(x)
+    return F.try_divide(F.sum(F.when(c > 0, c)), F.abs(F.sum(F.when(c < 0, c))))
+
+
+def total_return(x: str = "ret") -> Column:
+    return F.product(F.lit(1.0) + F.coalesce(F.col(x), F.lit(0.0))) - 1
+
+
+def mean_return(x: str = "ret") -> Column:
+    return F.avg(x)
+
+
+# metric functions by name: an aggregate Column over a return column
+METRICS = {"sharpe": sharpe, "sortino": sortino, "annual_vol": annual_vol, "win_rate": win_rate,
+           "profit_factor": profit_factor, "total_return": total_return, "mean_return": mean_return}
+
+
+def psr(sr: Column, n: Column, skew: Column, kurt: Column, benchmark: float = 0.0, min_obs: int = 10) -> Column:
+    """Probabilistic Sharpe from moments; ``kurt`` is not excess.
+
+    NULL below ``min_obs`` observations; an undefined denominator counts as 1.
+    """
+    inner = F.lit(1.0) - skew * sr + (kurt - 1) / 4.0 * sr * sr
+    denom = F.when(inner > 0, F.sqrt(inner)).otherwise(1.0)
+    z = (sr - F.lit(benchmark)) * F.sqrt(n - 1.0) / denom
+    return F.when(n >= min_obs, norm_cdf(z))
+
+
+def deflated_threshold(trials: int = 10) -> float:
+    """Expected best Sharpe among ``trials`` unskilled strategies."""
+    m = max(2, trials)
+    return math.sqrt(SHARPE_VARIANCE) * (
+        (1 - EULER_GAMMA) * norm_ppf(1 - 1 / m) + EULER_GAMMA * norm_ppf(1 - 1 / (m * math.e)))
+
+
+def metrics(curve: DataFrame, keys=("series_id",), value: str = "equity", year_basis: str = "calendar",
+            trials: int = 10) -> DataFrame:
+    """Performance row per series of an equity (or price) curve.
+
+    One scan gives return and running peak, one map-side combined aggregate the
+    rest. ``year_basis`` is ``calendar`` (365.25 days) or ``bars`` (n / 252).
+    ``psr_annualised`` mixes the annual Sharpe with the daily count, as commonly
+    reported; ``psr`` is the published per-period form.
+    """
+    keys = list(keys)
+    df = scan(curve, {"_prev": ("prev", F.col(value)), "_peak": ("max", F.col(value))}, keys)
+    df = df.withColumns({"ret": change(F.col(value), F.col("_prev")), "_dd": change(F.col(value), F.col("_peak"))})
+    g = df.groupBy(*keys).agg(
+        F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.min_by(value, "ts").alias("_v0"),
+        F.max_by(value, "ts").alias("final_value"), F.count("ret").alias("n_returns"),
+        F.avg("ret").alias("_mean"), F.stddev_samp("ret").alias("_std"), F.min("_dd").alias("max_dd"),
+        F.skewness("ret").alias("skewness"), (F.kurtosis("ret") + 3).alias("kurtosis"),
+        sharpe("ret").alias("sharpe"), sortino("ret").alias("sortino"), win_rate("ret").alias("win_rate"),
+        profit_factor("ret").alias("profit_factor"), annual_vol("ret").alias("annual_vol"))
+    years = (F.datediff("_t1", "_t0") / 365.25) if year_basis == "calendar" else F.col("n_returns") / float(TRADING_DAYS)
+    growth = F.try_divide("final_value", "_v0")
+    g = g.withColumns({"total_return": growth - 1, "cagr": F.when(years > 0, F.pow(growth, 1 / years) - 1).otherwise(0.0)})
+    n, sk, ku = F.col("n_returns"), F.col("skewness"), F.col("kurtosis")
+    per_bar = _zero_safe(F.col("_mean"), F.col("_std"))
+    return g.withColumns({
+        "calmar": _zero_safe(F.col("cagr"), F.abs("max_dd")),
+        "psr_annualised": psr(F.col("sharpe"), n, sk, ku),
+        "dsr_annualised": psr(F.col("sharpe"), n, sk, ku, deflated_threshold(trials)),
+        "psr": psr(per_bar, n, sk, ku),
+    }).drop("_t0", "_t1", "_v0", "_mean", "_std")
+
+
+def summary_metrics(curve: DataFrame, keys=("series_id",), value: str = "equity") -> DataFrame:
+    """Short form: total return, CAGR, Sharpe, max drawdown, volatility, final equity."""
+    return metrics(curve, keys, value).select(
+        *keys, "total_return", "cagr", "sharpe", F.col("max_dd").alias("maxdd"),
+        F.col("annual_vol").alias("vol"), F.col("final_value").alias("final_equity"))
+
+
+def max_drawdown(rets: DataFrame, keys, ret: str = "ret", order: str = "ts", block: Column | None = None) -> DataFrame:
+    """max_dd and total return per series of simple returns, path by path."""
+    df = rets if block is None else rets.withColumn("_tb", block)
+    df = scan(df, {"_eq": ("product", F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0)))}, keys, order)
+    df = scan(df, {"_pk": ("max", F.col("_eq"))}, keys, order)
+    return df.groupBy(*keys).agg(F.min(change(F.col("_eq"), F.col("_pk"))).alias("max_dd"),
+                                 (F.max_by("_eq", order) - 1).alias("total_return"))
+
+
+# ----------------------------------------------------------------- percentiles
+
+def exact_percentiles(df: DataFrame, keys, value: str, points: dict[str, float], bins: int = 64) -> DataFrame:
+    """Exact interpolated percentiles per group without collecting a group.
+
+    Values are first reduced to (value, count), then ranked by a scan whose
+    blocks are split points of a mergeable quantile sketch, so a group holding a
+    third of the rows is sorted by many tasks. The sketch only balances the
+    work; the result is exact.
+    """
+    keys = list(keys)
+    live = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    distinct = cut(live.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    cuts = [F.lit(i / bins) for i in range(1, bins)]
+    split = distinct.groupBy(*keys).agg(
+        F.approx_percentile("_v", F.array(*cuts), F.lit(1000)).alias("_cuts"), F.sum("_n").alias("_total"))
+    ranked = distinct.join(split, keys)
+    below = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+    ranked = scan(ranked.withColumn("_bin", below).drop("_cuts"),
+                  {"_cum": ("sum", F.col("_n"))}, keys, "_v", F.col("_bin"))
+    out = []
+    for name, p in points.items():
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        at_lo = (F.col("_cum") - F.col("_n") <= lo) & (lo < F.col("_cum"))
+        at_hi = (F.col("_cum") - F.col("_n") <= hi) & (hi < F.col("_cum"))
+        a, b = F.max(F.when(at_lo, F.col("_v"))), F.max(F.when(at_hi, F.col("_v")))
+        out.append((a + (b - a) * F.max(pos - lo)).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
+
+
+def tail_metrics(rets: DataFrame, keys=("series_id",), ret: str = "ret") -> DataFrame:
+    """VaR and CVaR (95, 99), tail ratio, bias-corrected skew and excess kurtosis."""
+    keys = list(keys)
+    rets = cut(rets.select(*keys, ret))
+    q = exact_percentiles(rets, keys, ret, {"_q05": 0.05, "_q01": 0.01, "_q95": 0.95})
+    x = F.col(ret)
+    n, g1, g2 = F.col("_n"), F.col("_g1"), F.col("_g2")
+    g = rets.join(q, keys).groupBy(*keys).agg(
+        F.max("_q05").alias("_q05"), F.max("_q01").alias("_q01"), F.max("_q95").alias("_q95"),
+        F.avg(F.when(x <= F.col("_q05"), x)).alias("_c05"), F.avg(F.when(x <= F.col("_q01"), x)).alias("_c01"),
+        F.count(x).alias("_n"), F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"))
+    return g.select(
+        *keys, (-F.col("_q05")).alias("var_95"), (-F.col("_q01")).alias("var_99"),
+        (-F.col("_c05")).alias("cvar_95"), (-F.col("_c01")).alias("cvar_99"),
+        F.try_divide(F.col("_q95"), F.abs("_q05")).alias("tail_ratio"),
+        F.try_divide(g1 * F.sqrt(n * (n - 1.0)), n - 2.0).alias("skew"),
+        (F.try_divide(n - 1.0, (n - 2.0) * (n - 3.0)) * ((n + 1.0) * g2 + 6.0)).alias("kurtosis"))
+
+
+def ulcer_index(curve: DataFrame, keys=("series_id",), value: str = "equity") -> DataFrame:
+    pct = F.col("drawdown") * 100
+    return drawdown(curve, keys, value).groupBy(*keys).agg(F.sqrt(F.avg(pct * pct)).alias("ulcer_index"))
+
+
+# --------------------------------------------------------------- distributions
+
+def periodic_returns(rets: DataFrame, unit: str = "month", keys=("series_id",), ret: str = "ret") -> DataFrame:
+    """Compounded return per calendar unit."""
+    return rets.groupBy(*keys, F.date_trunc(unit, "ts").cast("date").alias("period")).agg(
+        total_return(ret).alias("ret"))
+
+
+def month_year_table(rets: DataFrame, years: list[int], keys=("series_id",), ret: str = "ret") -> DataFrame:
+    """Month rows, one column per year; the year list is a parameter, so no extra pass."""
+    monthly = periodic_returns(rets, "month", keys, ret)
+    cols = [F.max(F.when(F.year("period") == y, F.col("ret"))).alias(f"y{y}") for y in years]
+    return monthly.groupBy(*keys, F.month("period").alias("month")).agg(*cols)
+
+
+def histogram(rets: DataFrame, bins: int = 50, keys=("series_id",), ret: str = "ret") -> DataFrame:
+    """Equal-width histogram per series with edges and counts."""
+    keys = list(keys)
+    x = F.col(ret)
+    rng = rets.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    slot = F.least(F.lit(bins - 1), F.floor(F.try_divide(x - lo, hi - lo) * bins))
+    df = rets.where(x.isNotNull()).join(rng, keys).withColumn("bin", F.coalesce(slot, F.lit(0)).cast("int"))
+    return df.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(lo + F.col("bin") * (hi - lo) / bins).alias("left_edge"))

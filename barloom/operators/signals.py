@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import change, crossed_down, crossed_up, truth
 from barloom.operators import features as feat
-from barloom.operators.timeline import blocks, ema_blocks, emas, linear_scan, ema_input, own, window
+from barloom.operators.timeline import ema_blocks, ema_input, emas, index_bars, linear_scan, own, pick, window
 
 
 @dataclass(frozen=True)
@@ -69,12 +69,12 @@ def _crossings(df: DataFrame) -> DataFrame:
 
 def temacd(bars: DataFrame, p: TripleEma = DEFAULT, warmup: bool = True) -> DataFrame:
     """symbol, ts, close with ema1..3, macd, amacd, delta."""
-    return own(_temacd_blocks(bars.select("symbol", "ts", "close"), p, warmup))
+    return own(_temacd_blocks(pick(bars, "close"), p, warmup))
 
 
 def temacd_conditions(bars: DataFrame, p: TripleEma = DEFAULT, warmup: bool = True) -> DataFrame:
     """temacd() plus the eight crossings and the long/short conditions."""
-    return own(_crossings(_temacd_blocks(bars.select("symbol", "ts", "close"), p, warmup)))
+    return own(_crossings(_temacd_blocks(pick(bars, "close"), p, warmup)))
 
 
 def signal_table(conds: DataFrame, precedence: str = "short", name: str = "TQQQ_TEMACD") -> DataFrame:
@@ -114,7 +114,7 @@ def screener(bars: DataFrame, p: TripleEma = DEFAULT, min_bars: int = 250) -> Da
 
     Symbols with fewer than ``min_bars`` bars or an undefined slow EMA are absent.
     """
-    df = _crossings(_temacd_blocks(bars.select("symbol", "ts", "close"), p, True))
+    df = _crossings(_temacd_blocks(pick(bars, "close"), p, True))
     df = df.withColumn("prev_close", F.lag("close").over(window()))
     last = last_row(own(df, drop_index=False))
     last = last.where((F.col("_i") >= min_bars - 1) & F.col("ema3").isNotNull() & F.col("delta").isNotNull())
@@ -165,7 +165,7 @@ def _ema_pair(bars: DataFrame, fast: int, slow: int) -> DataFrame:
 
 def ma_cross(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """Long on an up cross above the slow EMA; out on a down cross or a close below it."""
-    df = _ema_pair(bars.select("symbol", "ts", "close"), fast, slow)
+    df = _ema_pair(pick(bars, "close"), fast, slow)
     return own(df).select("symbol", "ts", "close",
                           truth(F.col("up") & (F.col("close") > F.col("slow"))).alias("long"),
                           truth(F.col("down") | (F.col("close") < F.col("slow"))).alias("short"))
@@ -173,13 +173,13 @@ def ma_cross(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
 
 def ema_cross(bars: DataFrame, fast: int = 10, slow: int = 40) -> DataFrame:
     """Plain double EMA cross."""
-    df = own(_ema_pair(bars.select("symbol", "ts", "close"), fast, slow))
+    df = own(_ema_pair(pick(bars, "close"), fast, slow))
     return df.select("symbol", "ts", "close", F.col("up").alias("long"), F.col("down").alias("short"))
 
 
 def donchian_trend(bars: DataFrame, entry: int = 20, exit: int = 10, fast: int = 32, slow: int = 128) -> DataFrame:
     """Breakout above the channel with the trend; out below it or against the trend."""
-    chan = feat.compute(bars.select("symbol", "ts", "high", "low", "close"),
+    chan = feat.compute(pick(bars, "high", "low", "close"),
                         {"don": feat.donchian(entry, exit)}, keep_index=True)
     df = own(emas(ema_blocks(chan), {"fast": (F.col("close"), fast), "slow": (F.col("close"), slow)}, True))
     return df.select(
@@ -191,7 +191,7 @@ def donchian_trend(bars: DataFrame, entry: int = 20, exit: int = 10, fast: int =
 
 def momentum_rule(bars: DataFrame) -> DataFrame:
     """12-1 momentum above 10 % over the EMA200; out below zero or under the EMA200."""
-    df = feat.compute(bars.select("symbol", "ts", "close"), {
+    df = feat.compute(pick(bars, "close"), {
         "m12": feat.momentum(252), "m1": feat.momentum(21)}, keep_index=True)
     df = own(emas(ema_blocks(df), {"e200": (F.col("close"), 200)}))
     m = (F.col("m12") + 1) - (F.col("m1") + 1)
@@ -202,7 +202,7 @@ def momentum_rule(bars: DataFrame) -> DataFrame:
 
 def trend_rule(bars: DataFrame, min_volume: float = 500000.0) -> DataFrame:
     """Close over EMA50, RSI14 under 70 and volume; out under EMA50 or RSI over 80."""
-    df = feat.compute(bars.select("symbol", "ts", "close", "volume"), {"rsi": feat.rsi(14)}, keep_index=True)
+    df = feat.compute(pick(bars, "close", "volume"), {"rsi": feat.rsi(14)}, keep_index=True)
     df = own(emas(ema_blocks(df), {"e50": (F.col("close"), 50)}))
     c, e, r = F.col("close"), F.col("e50"), F.col("rsi")
     return df.select("symbol", "ts", "close",

@@ -20,6 +20,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barloom.session import cut
+
 BLOCK_DAYS = 512      # width of a time block in scan()
 BLOCK_ROWS = 2048     # rows owned by a block in blocks()
 EMA_ROWS = 256        # beta ** -256 stays inside double range for span >= 2
@@ -102,6 +104,23 @@ def number(df: DataFrame, keys=("symbol",), order: str = "ts", days: int = BLOCK
     return out.withColumn("_i", F.col("_i") - 1)
 
 
+def index_bars(bars: DataFrame, keys=("symbol",), order: str = "ts", price: str = "close") -> DataFrame:
+    """Store a series table once with its row number ``_i`` and previous price ``_pc``.
+
+    Every block operator needs row numbers and most need the previous close;
+    with both in the table they cost one pass for any number of operators.
+    """
+    base = cut(bars)
+    out = scan(base, {"_i": ("count", F.lit(1)), "_pc": ("prev", F.col(price))}, keys, order)
+    return cut(out.withColumn("_i", F.col("_i") - 1))
+
+
+def pick(df: DataFrame, *columns: str, keys=("symbol",), order: str = "ts") -> DataFrame:
+    """Narrow a series table to ``columns``, keeping its index columns."""
+    index = [c for c in ("_i", "_pc") if c in df.columns]
+    return df.select(*keys, order, *columns, *index)
+
+
 def blocks(df: DataFrame, lookback: int, lookahead: int = 0, size: int = BLOCK_ROWS,
            keys=("symbol",), order: str = "ts") -> DataFrame:
     """Split numbered series into row blocks with history attached.
@@ -128,7 +147,7 @@ def window(keys=("symbol",)) -> WindowSpec:
 
 def own(df: DataFrame, drop_index: bool = True) -> DataFrame:
     """Keep owned rows and drop the block columns."""
-    extra = ["_b", "_own", "_p"] + (["_i"] if drop_index else [])
+    extra = ["_b", "_own", "_p"] + (["_i", "_pc"] if drop_index else [])
     return df.where("_own").drop(*extra)
 
 
@@ -197,30 +216,32 @@ def emas(df: DataFrame, specs: dict[str, tuple[Column, int]], warmup: bool = Fal
          keys=("symbol",)) -> DataFrame:
     """EMA columns on a frame from ``ema_blocks``; ``warmup`` hides short history."""
     out = linear_scan(df, {n: ema_input(x, span) for n, (x, span) in specs.items()}, keys)
+    # the seed is the value itself, free of rounding
+    out = out.withColumns({n: F.when(F.col("_i") == 0, x).otherwise(F.col(n)) for n, (x, _) in specs.items()})
     if warmup:
         out = out.withColumns({
             n: F.when(F.col("_i") >= span - 1, F.col(n)) for n, (_, span) in specs.items()})
     return out
 
 
-def ewm_std(df: DataFrame, name: str, x: Column, span: int, start: int = 0, keys=("symbol",)) -> DataFrame:
-    """Weighted std with finite-sample weights and bias correction.
-
-    ``x`` must be non-null from row ``start`` on.
-    """
+def ewm_std_specs(x: Column, span: int, start: int = 0) -> dict[str, tuple[Column, float]]:
+    """The four weighted sums behind ``ewm_std``; ``x`` is non-null from row ``start``."""
     beta = 1.0 - 2.0 / (span + 1.0)
     live = F.col("_i") >= start
-    zero = F.lit(0.0)
-    out = linear_scan(df, {
-        "_w": (F.when(live, 1.0).otherwise(zero), beta),
-        "_v": (F.when(live, 1.0).otherwise(zero), beta * beta),
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return {
+        "_w": (F.when(live, one).otherwise(zero), beta),
+        "_v": (F.when(live, one).otherwise(zero), beta * beta),
         "_x": (F.when(live, x).otherwise(zero), beta),
         "_q": (F.when(live, x * x).otherwise(zero), beta),
-    }, keys)
+    }
+
+
+def ewm_std(start: int = 0) -> Column:
+    """Weighted std with finite-sample weights and bias correction."""
     num = F.col("_w") * F.col("_q") - F.col("_x") * F.col("_x")
     den = F.col("_w") * F.col("_w") - F.col("_v")
-    var = F.when(F.col("_i") > start, F.try_divide(num, den))
-    return out.withColumn(name, F.sqrt(F.greatest(var, F.lit(0.0)))).drop("_w", "_v", "_x", "_q")
+    return F.sqrt(F.greatest(F.when(F.col("_i") > start, F.try_divide(num, den)), F.lit(0.0)))
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:

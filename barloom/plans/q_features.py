@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import crossed_down, crossed_up, rounded
 from barloom.operators import backtest as bt, features as feat
-from barloom.operators.timeline import scan
+from barloom.operators.timeline import pick, scan
 from barloom.plans.catalog import query
 from barloom.plans.sqltext import BRAND, BY, FLAG, HOUR, MARKET, ema, r, roll, with_
-from barloom.sources.derived import bars_brand, bars_flag, bars_hour, bars_market
+from barloom.plans.inputs import brand, flag, hour, market
+from barloom.session import cut
+from barloom.sources.derived import bars_brand, bars_flag, bars_market
 
 RET = "ret AS (SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars)"
 
@@ -21,7 +23,7 @@ def _feature(name: str, f: feat.Feature, expr: str, *ctes: str, src: str = "bars
 
     @query(name, sql)
     def run(spark, sf_dir):
-        df = feat.compute(bars_brand(spark, sf_dir), {col: f})
+        df = feat.compute(brand(spark, sf_dir), {col: f})
         return rounded(df.select("symbol", "ts", col), digits)
     return run
 
@@ -84,8 +86,7 @@ df AS (SELECT *, overnight - intraday AS diff FROM onr)"""
 @query("e26_overnight_intraday", with_(BRAND, _OVN) +
        f"SELECT symbol, ts, {r('overnight')}, {r('intraday')}, {r(roll('avg(diff)', 'diff', 504), 'score')} FROM df")
 def e26(spark, sf_dir):
-    bars = bars_brand(spark, sf_dir)
-    df = feat.compute(scan(bars, {"_pc": ("prev", F.col("close"))}), {"score": feat.overnight_score(504)})
+    df = feat.compute(brand(spark, sf_dir), {"score": feat.overnight_score(504)}, keep_index=True)
     return rounded(df.select("symbol", "ts", (F.col("open") / F.col("_pc") - 1).alias("overnight"),
                              (F.col("close") / F.col("open") - 1).alias("intraday"), "score"))
 
@@ -94,14 +95,14 @@ def e26(spark, sf_dir):
        f"SELECT symbol, ts, {r(f'close / max(close) OVER ({BY}) - 1', 'drawdown')} FROM bars")
 def e1(spark, sf_dir):
     from barloom.operators.performance import drawdown
-    df = drawdown(bars_brand(spark, sf_dir).select("symbol", "ts", "close"), ("symbol",), "close")
+    df = drawdown(brand(spark, sf_dir), ("symbol",), "close")
     return rounded(df.select("symbol", "ts", "drawdown"))
 
 
 @query("e2_equity_curve", with_(BRAND, RET) +
        f"SELECT symbol, ts, {r(f'100000 * product(1 + coalesce(ret, 0)) OVER ({BY})', 'equity', 4)} FROM ret")
 def e2(spark, sf_dir):
-    rets = feat.returns(bars_brand(spark, sf_dir).select("symbol", "ts", "close"))
+    rets = feat.returns(brand(spark, sf_dir))
     return rounded(bt.equity_curve(rets, ("symbol",), capital=100000.0).select("symbol", "ts", "equity"), 4)
 
 
@@ -110,7 +111,7 @@ def e2(spark, sf_dir):
        f"SELECT symbol, ts, rn - coalesce(last_value(CASE WHEN dd = 0 THEN rn END IGNORE NULLS) OVER ({BY}), 0) AS duration FROM dd")
 def e3(spark, sf_dir):
     from barloom.operators.performance import drawdown_duration
-    df = drawdown_duration(bars_brand(spark, sf_dir).select("symbol", "ts", "close"), ("symbol",), "close")
+    df = drawdown_duration(brand(spark, sf_dir), ("symbol",), "close")
     return df.select("symbol", "ts", "duration")
 
 
@@ -122,14 +123,14 @@ _PAIR = "CASE WHEN ret IS NOT NULL AND bench_ret IS NOT NULL THEN 1 END"
 @query("e8_rolling_beta", with_(MARKET, RET, _BENCH) + f"""SELECT symbol, ts, {r(
     f"({roll('covar_samp(ret, bench_ret)', _PAIR, 60)}) / nullif({roll('var_samp(bench_ret)', 'bench_ret', 60)}, 0)", 'rolling_beta')} FROM j""")
 def e8(spark, sf_dir):
-    df = feat.rolling_benchmark(bars_market(spark, sf_dir), "SPY", 60)
+    df = feat.rolling_benchmark(market(spark, sf_dir), "SPY", 60)
     return rounded(df.select("symbol", "ts", "rolling_beta"))
 
 
 @query("e9_rolling_correlation", with_(MARKET, RET, _BENCH) +
        f"SELECT symbol, ts, {r(roll('corr(ret, bench_ret)', _PAIR, 60), 'rolling_corr')} FROM j")
 def e9(spark, sf_dir):
-    df = feat.rolling_benchmark(bars_market(spark, sf_dir), "SPY", 60)
+    df = feat.rolling_benchmark(market(spark, sf_dir), "SPY", 60)
     return rounded(df.select("symbol", "ts", "rolling_corr"))
 
 
@@ -144,7 +145,7 @@ def e15(spark, sf_dir):
 lg AS (SELECT *, lag(f) OVER ({BY}) AS fp, lag(s) OVER ({BY}) AS sp FROM ma)""") + """SELECT symbol, ts,
   coalesce(f > s AND fp <= sp, false) AS golden_cross, coalesce(f < s AND fp >= sp, false) AS death_cross FROM lg""")
 def e14(spark, sf_dir):
-    df = feat.compute(bars_brand(spark, sf_dir), {
+    df = feat.compute(brand(spark, sf_dir), {
         "golden_cross": feat.golden_cross(50, 200), "death_cross": feat.death_cross(50, 200)})
     return df.select("symbol", "ts", "golden_cross", "death_cross")
 
@@ -153,7 +154,7 @@ def e14(spark, sf_dir):
                         recursive=True) +
        f"SELECT symbol, ts, {r('ema_5', digits=4)}, {r('ema_50', digits=4)}, {r('ema_222', digits=4)} FROM e")
 def e13(spark, sf_dir):
-    return rounded(feat.ema(bars_brand(spark, sf_dir).select("symbol", "ts", "close"),
+    return rounded(feat.ema(pick(brand(spark, sf_dir), "close"),
                             {"ema_5": 5, "ema_50": 50, "ema_222": 222}).drop("close"), 4)
 
 
@@ -162,14 +163,14 @@ def e13(spark, sf_dir):
   (count(*) OVER (PARTITION BY ts, m) - 1) / 2.0) / count(*) OVER (PARTITION BY ts) * 100 AS cs_rank FROM mom WHERE m IS NOT NULL)""") +
        f"SELECT symbol, ts, {r('cs_rank')} FROM mom LEFT JOIN rk USING (symbol, ts)")
 def e21(spark, sf_dir):
-    df = feat.compute(bars_brand(spark, sf_dir).select("symbol", "ts", "close"), {"m": feat.momentum(20)})
+    df = feat.compute(brand(spark, sf_dir), {"m": feat.momentum(20)})
     return rounded(feat.cross_sectional_rank(df, "m").select("symbol", "ts", "cs_rank"))
 
 
 @query("e22_feature_set", with_(FLAG, RET) + f"""SELECT symbol, ts, {r(f'close / lag(close, 20) OVER ({BY}) - 1', 'momentum_20', 8)},
   {r(roll('avg(close)', 'close', 20), 'sma_20', 8)}, {r(f"({roll('stddev_samp(ret)', 'ret', 20)}) * sqrt(252.0)", 'vol_20', 8)} FROM ret""")
 def e22(spark, sf_dir):
-    bars = bars_flag(spark, sf_dir).select("symbol", "ts", "close")
+    bars = flag(spark, sf_dir)
     wanted = {"momentum_20": ("momentum", 20), "sma_20": ("sma", 20), "vol_20": ("rolling_volatility", 20)}
     df = feat.compute(bars, {n: feat.feature(f, k) for n, (f, k) in wanted.items()})
     return rounded(df.select("symbol", "ts", *wanted), 8)
@@ -181,7 +182,7 @@ def e22(spark, sf_dir):
   WINDOW u AS ({BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), l AS ({BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))""") +
        f"SELECT symbol, ts, {r('don_upper')}, {r('don_lower')} FROM c")
 def e23(spark, sf_dir):
-    df = feat.compute(bars_brand(spark, sf_dir), {"don": feat.donchian(20, 10)})
+    df = feat.compute(brand(spark, sf_dir), {"don": feat.donchian(20, 10)})
     return rounded(df.select("symbol", "ts", "don_upper", "don_lower"))
 
 
@@ -192,13 +193,14 @@ EWMAC_CTES = (
   SELECT n.symbol, n.ts, n.i, n.close, 2.0/33*n.close + 31.0/33*p.ef, 2.0/129*n.close + 127.0/129*p.es,
     1 + p.w*24.0/26, 1 + p.v*(24.0/26)*(24.0/26), n.d + p.x*24.0/26, n.d*n.d + p.q*24.0/26
   FROM rec p JOIN chg n ON n.symbol = p.symbol AND n.i = p.i + 1)""",
-    """fc AS (SELECT symbol, ts, close, i, coalesce(greatest(-20, least(20, (ef - es) /
-  nullif(CASE WHEN i > 1 THEN sqrt(greatest((w*q - x*x) / nullif(w*w - v, 0), 0)) END, 0))), 0) AS forecast FROM rec)""")
+    """raw AS (SELECT symbol, ts, close, i, (ef - es) /
+  nullif(CASE WHEN i > 1 THEN sqrt(greatest((w*q - x*x) / nullif(w*w - v, 0), 0)) END, 0) AS f FROM rec),
+fc AS (SELECT symbol, ts, close, i, coalesce(CASE WHEN f > 20 THEN 20 WHEN f < -20 THEN -20 ELSE f END, 0) AS forecast FROM raw)""")
 
 
 @query("e24_ewmac_forecast", with_(BRAND, *EWMAC_CTES, recursive=True) + f"SELECT symbol, ts, {r('forecast', digits=4)} FROM fc")
 def e24(spark, sf_dir):
-    df = feat.ewmac(bars_brand(spark, sf_dir).select("symbol", "ts", "close"))
+    df = feat.ewmac(brand(spark, sf_dir))
     return rounded(df.select("symbol", "ts", "forecast"), 4)
 
 
@@ -212,7 +214,7 @@ def e30(spark, sf_dir):
        """SELECT symbol, ts, coalesce(close > open AND cp <= op, false) AS up, coalesce(close < open AND cp >= op, false) AS down,
   coalesce(close > 105 AND cp <= 105, false) AS level_up FROM l""")
 def b1(spark, sf_dir):
-    df = scan(bars_flag(spark, sf_dir), {"cp": ("prev", F.col("close")), "op": ("prev", F.col("open"))})
+    df = scan(cut(bars_flag(spark, sf_dir)), {"cp": ("prev", F.col("close")), "op": ("prev", F.col("open"))})
     c, o, cp, op, level = F.col("close"), F.col("open"), F.col("cp"), F.col("op"), F.lit(105.0)
     return df.select("symbol", "ts", crossed_up(c, o, cp, op).alias("up"), crossed_down(c, o, cp, op).alias("down"),
                      crossed_up(c, level, cp, level).alias("level_up"))
@@ -221,5 +223,5 @@ def b1(spark, sf_dir):
 @query("e16_hourly_z_score", with_(HOUR) + f"""SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS hour, {r(
     f"(close - ({roll('avg(close)', 'close', 24)})) / nullif({roll('stddev_samp(close)', 'close', 24)}, 0)", 'z')} FROM bars""")
 def e16_hour(spark, sf_dir):
-    df = feat.compute(bars_hour(spark, sf_dir), {"z": feat.z_score(24)})
+    df = feat.compute(hour(spark, sf_dir), {"z": feat.z_score(24)})
     return rounded(df.select("symbol", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "z"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded
-from barloom.operators import backtest as bt, features as feat, performance as perf, signals as sig
-from barloom.operators.timeline import scan
+from barloom.operators import backtest as bt, features as feat, signals as sig
 from barloom.plans.catalog import query
 from barloom.plans.q_features import EWMAC_CTES
 from barloom.plans.sqltext import BRAND, BY, FLAG, MARKET, ema, r, roll, with_
+from barloom.plans.inputs import brand, flag
 from barloom.sources.derived import bars_brand, bars_market
 
 
@@ -64,25 +64,24 @@ def _text_triggers(df):
 @query("i2_screener", with_(BRAND, *SCREEN, recursive=True) +
        f"SELECT {_SCREEN_COLS.replace('triggers', '''array_to_string(triggers, '; ') AS triggers''')} FROM screen")
 def i2(spark, sf_dir):
-    return _text_triggers(rounded(sig.screener(bars_brand(spark, sf_dir)), 4))
+    return _text_triggers(rounded(sig.screener(brand(spark, sf_dir)), 4))
 
 
 @query("i2_screener_flag", with_(FLAG, *SCREEN, recursive=True) + "SELECT symbol, date, signal, trend FROM screen")
 def i2_flag(spark, sf_dir):
-    from barloom.sources.derived import bars_flag
-    return sig.screener(bars_flag(spark, sf_dir)).select("symbol", "date", "signal", "trend")
+    return sig.screener(flag(spark, sf_dir)).select("symbol", "date", "signal", "trend")
 
 
 @query("e25_temacd", with_(BRAND, *temacd_sql(), recursive=True) + f"""SELECT symbol, ts, {r('ema1', digits=4)}, {r('ema2', digits=4)},
   {r('ema3', digits=4)}, {r('macd', digits=4)}, {r('amacd', digits=4)}, {r('delta', digits=4)} FROM td""")
 def e25(spark, sf_dir):
-    return rounded(sig.temacd(bars_brand(spark, sf_dir)).drop("close"), 4)
+    return rounded(sig.temacd(brand(spark, sf_dir)).drop("close"), 4)
 
 
 @query("e25_temacd_no_warmup", with_(BRAND, *temacd_sql(warmup=False), recursive=True) +
        f"SELECT symbol, ts, {r('macd', digits=4)}, {r('amacd', digits=4)} FROM td")
 def e25b(spark, sf_dir):
-    return rounded(sig.temacd(bars_brand(spark, sf_dir), warmup=False).select("symbol", "ts", "macd", "amacd"), 4)
+    return rounded(sig.temacd(brand(spark, sf_dir), warmup=False).select("symbol", "ts", "macd", "amacd"), 4)
 
 
 def _signal_sql(first: str) -> str:
@@ -94,19 +93,19 @@ def _signal_sql(first: str) -> str:
 @query("i1_temacd_signal", with_(BRAND, *temacd_sql(warmup=False), _signal_sql("short"), recursive=True) +
        "SELECT symbol, ts, signal, CASE WHEN signal <> 0 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM sg")
 def i1(spark, sf_dir):
-    conds = sig.temacd_conditions(bars_brand(spark, sf_dir), warmup=False)
+    conds = sig.temacd_conditions(brand(spark, sf_dir), warmup=False)
     return sig.signal_table(conds).select("symbol", "ts", "signal", "confidence")
 
 
 @query("i1_long_precedence", with_(BRAND, *temacd_sql(), _signal_sql("long"), recursive=True) + "SELECT symbol, ts, signal FROM sg")
 def i1b(spark, sf_dir):
-    conds = sig.temacd_conditions(bars_brand(spark, sf_dir))
+    conds = sig.temacd_conditions(brand(spark, sf_dir))
     return sig.signal_table(conds, "long").select("symbol", "ts", "signal")
 
 
 @query("i3_btc_preset", with_(BRAND, *temacd_sql(sig.BITCOIN), recursive=True) + "SELECT symbol, ts, long, short FROM cond")
 def i3(spark, sf_dir):
-    return sig.temacd_conditions(bars_brand(spark, sf_dir), sig.BITCOIN).select("symbol", "ts", "long", "short")
+    return sig.temacd_conditions(brand(spark, sf_dir), sig.BITCOIN).select("symbol", "ts", "long", "short")
 
 
 def _pair_cte(f: int, s: int) -> tuple[str, ...]:
@@ -130,17 +129,17 @@ DON_TREND = (
 
 @query("i4_ma_cross", with_(BRAND, *MA_CROSS, recursive=True) + "SELECT symbol, ts, long, short FROM cond")
 def i4(spark, sf_dir):
-    return sig.ma_cross(bars_brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
+    return sig.ma_cross(brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
 
 
 @query("i5_donchian_trend", with_(BRAND, *DON_TREND, recursive=True) + "SELECT symbol, ts, long, short FROM cond")
 def i5(spark, sf_dir):
-    return sig.donchian_trend(bars_brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
+    return sig.donchian_trend(brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
 
 
 @query("i6_ema_cross", with_(BRAND, *EMA_CROSS, recursive=True) + "SELECT symbol, ts, long, short FROM cond")
 def i6(spark, sf_dir):
-    return sig.ema_cross(bars_brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
+    return sig.ema_cross(brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
 
 
 def _renamed(ctes: tuple[str, ...], tag: str, names: str) -> tuple[str, ...]:
@@ -165,14 +164,14 @@ _COMBINED = ["DONCHIAN_CARVER", "EMA_CROSS_10_40", "LT_MA_CROSS"]
 
 @query("i8_generate_all", with_(BRAND, *_ALL_SIGNALS, recursive=True) + "SELECT symbol, ts, strategy, signal FROM sigs")
 def i8(spark, sf_dir):
-    return sig.generate_all(bars_brand(spark, sf_dir), _COMBINED).drop("confidence")
+    return sig.generate_all(brand(spark, sf_dir), _COMBINED).drop("confidence")
 
 
 @query("i7_combined_signals", with_(BRAND, *_ALL_SIGNALS, """c AS (SELECT symbol, ts, sum((signal = 1)::INT) AS p, sum((signal = -1)::INT) AS n,
   count(*) AS k FROM sigs GROUP BY symbol, ts)""", recursive=True) + """SELECT symbol, ts, CASE WHEN p > 0 THEN 1 WHEN n > 0 THEN -1 ELSE 0 END AS any_of,
   CASE WHEN p = k THEN 1 WHEN n = k THEN -1 ELSE 0 END AS all_of, CASE WHEN p > n THEN 1 WHEN n > p THEN -1 ELSE 0 END AS majority FROM c""")
 def i7(spark, sf_dir):
-    all_ = sig.generate_all(bars_brand(spark, sf_dir), _COMBINED)
+    all_ = sig.generate_all(brand(spark, sf_dir), _COMBINED)
     pos, neg, n = F.count_if(F.col("signal") == 1), F.count_if(F.col("signal") == -1), F.count(F.lit(1))
     parts = all_.groupBy("symbol", "ts").agg(
         F.when(pos > 0, 1).when(neg > 0, -1).otherwise(0).alias("any_of"),
@@ -187,7 +186,7 @@ _POS9 = f"""pos AS (SELECT symbol, ts, close, coalesce(last_value(CASE WHEN long
 
 @query("i9_hold_position", with_(BRAND, *temacd_sql(), _POS9, recursive=True) + "SELECT symbol, ts, position FROM pos")
 def i9(spark, sf_dir):
-    conds = sig.temacd_conditions(bars_brand(spark, sf_dir)).select("symbol", "ts", "close", "long", "short")
+    conds = sig.temacd_conditions(brand(spark, sf_dir)).select("symbol", "ts", "close", "long", "short")
     return bt.hold_position(conds).select("symbol", "ts", "position")
 
 
@@ -206,12 +205,12 @@ def _cond(bars):
 
 @query("i10_state_position", with_(BRAND, *temacd_sql(), *_machine(0), recursive=True) + "SELECT symbol, ts, position FROM pos")
 def i10(spark, sf_dir):
-    return bt.state_position(_cond(bars_brand(spark, sf_dir)), 0).select("symbol", "ts", "position")
+    return bt.state_position(_cond(brand(spark, sf_dir)), 0).select("symbol", "ts", "position")
 
 
 @query("i10_long_short_position", with_(BRAND, *DON_TREND, *_machine(-1), recursive=True) + "SELECT symbol, ts, position FROM pos")
 def i10b(spark, sf_dir):
-    return bt.state_position(sig.donchian_trend(bars_brand(spark, sf_dir)), -1).select("symbol", "ts", "position")
+    return bt.state_position(sig.donchian_trend(brand(spark, sf_dir)), -1).select("symbol", "ts", "position")
 
 
 _DH = f"""ch AS (SELECT symbol, ts, close,
@@ -223,7 +222,7 @@ pos AS (SELECT symbol, ts, close, coalesce(last_value(CASE WHEN close > up THEN
 
 @query("i11_donchian_hold", with_(BRAND, _DH) + "SELECT symbol, ts, position FROM pos")
 def i11(spark, sf_dir):
-    return bt.donchian_hold(bars_brand(spark, sf_dir)).select("symbol", "ts", "position")
+    return bt.donchian_hold(brand(spark, sf_dir)).select("symbol", "ts", "position")
 
 
 SRET = (f"""sr AS (SELECT symbol, ts, close, position, close / lag(close) OVER ({BY}) - 1 AS ar, lag(position) OVER ({BY}) AS pp FROM pos)""",
@@ -235,7 +234,7 @@ SRET = (f"""sr AS (SELECT symbol, ts, close, position, close / lag(close) OVER (
 @query("i12_strategy_returns", with_(BRAND, *temacd_sql(), *_machine(0), *SRET, recursive=True) +
        f"SELECT symbol, ts, {r('ret')}, {r('equity', digits=3)} FROM eq")
 def i12(spark, sf_dir):
-    pos = bt.state_position(_cond(bars_brand(spark, sf_dir)), 0)
+    pos = bt.state_position(_cond(brand(spark, sf_dir)), 0)
     df = bt.strategy_returns(pos)
     return df.select("symbol", "ts", F.round("ret", 6).alias("ret"), F.round("equity", 3).alias("equity"))
 
@@ -250,7 +249,7 @@ TRADES = (f"b AS (SELECT *, row_number() OVER ({BY}) - 1 AS bar, lag(position, 1
 @query("i13_closed_trades", with_(BRAND, *DON_TREND, *_machine(-1), *TRADES, recursive=True) +
        f"SELECT symbol, side, entry_ts, exit_ts, entry_bar, exit_bar, {r('entry_px')}, {r('exit_px')}, {r('pnl_pct')} FROM trades")
 def i13(spark, sf_dir):
-    pos = bt.state_position(sig.donchian_trend(bars_brand(spark, sf_dir)), -1)
+    pos = bt.state_position(sig.donchian_trend(brand(spark, sf_dir)), -1)
     return rounded(bt.closed_trades(pos).drop("strategy"))
 
 
@@ -260,7 +259,7 @@ def i13(spark, sf_dir):
   {r('coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0)', 'avg_win')}, {r('coalesce(avg(pnl_pct) FILTER (pnl_pct <= 0), 0)', 'avg_loss')},
   count(*) AS num_trades, {r('sum(pnl_pct)', 'total_pnl')} FROM trades GROUP BY symbol""")
 def d11(spark, sf_dir):
-    pos = bt.state_position(sig.donchian_trend(bars_brand(spark, sf_dir)), -1)
+    pos = bt.state_position(sig.donchian_trend(brand(spark, sf_dir)), -1)
     return rounded(bt.trade_metrics(bt.closed_trades(pos)))
 
 
@@ -278,7 +277,7 @@ _I14 = (*EWMAC_CTES, _DH.replace("high", "close").replace("low)", "close)"),
   {r(f'100000 * product(1 + rc) OVER ({BY})', 'equity_carver', 1)}, {r(f'100000 * product(1 + rd) OVER ({BY})', 'equity_donchian', 1)},
   {r(f'100000 * product(1 + rb) OVER ({BY})', 'equity_blended', 1)} FROM st""")
 def i14(spark, sf_dir):
-    df = bt.continuous_allocation(bars_brand(spark, sf_dir))
+    df = bt.continuous_allocation(brand(spark, sf_dir))
     return df.select("symbol", "ts", F.round("carver_allocation", 4).alias("carver_allocation"), "donchian_allocation",
                      F.round("blended_allocation", 4).alias("blended_allocation"), F.round("asset_vol", 5).alias("asset_vol"),
                      *[F.round(f"equity_{k}", 1).alias(f"equity_{k}") for k in ("carver", "donchian", "blended")])
@@ -297,14 +296,14 @@ rs AS (SELECT symbol, ts, volume, coalesce(100 - 100 / (1 + ({roll('avg(up)', 'u
 @query("i18_trend_rule", with_(BRAND, ema("e", "bars", {"e50": ("close", 50)}, keep="close"), _RSI, recursive=True) + """SELECT symbol, ts,
   close > e50 AND rsi < 70 AND volume > 100 AS long, close < e50 OR rsi > 80 AS short FROM e JOIN rs USING (symbol, ts)""")
 def i18(spark, sf_dir):
-    return sig.trend_rule(bars_brand(spark, sf_dir), 100.0).select("symbol", "ts", "long", "short")
+    return sig.trend_rule(brand(spark, sf_dir), 100.0).select("symbol", "ts", "long", "short")
 
 
 @query("i18_momentum_rule", with_(BRAND, ema("e", "bars", {"e200": ("close", 200)}, keep="close"), f"""m AS (SELECT *, close / lag(close, 252) OVER ({BY})
   - close / lag(close, 21) OVER ({BY}) AS m FROM e)""", recursive=True) + """SELECT symbol, ts,
   coalesce(m > 0.1 AND close > e200, false) AS long, coalesce(m < 0, false) OR close < e200 AS short FROM m""")
 def i18b(spark, sf_dir):
-    return sig.momentum_rule(bars_brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
+    return sig.momentum_rule(brand(spark, sf_dir)).select("symbol", "ts", "long", "short")
 
 
 @query("i18_pair_ratio_rule", with_(MARKET, """pr AS (SELECT a.symbol, a.ts, a.close / b.close AS close FROM bars a JOIN bars b ON a.ts = b.ts
@@ -319,18 +318,18 @@ def i18c(spark, sf_dir):
   count(*) FILTER (signal = 'SHORT/EXIT') AS short_exits, count(*) FILTER (signal = 'HOLD') AS holds,
   count(*) FILTER (trend LIKE '%STRONG BULL%') AS strong_bulls FROM screen""")
 def d25(spark, sf_dir):
-    return sig.signal_counts(sig.screener(bars_brand(spark, sf_dir)))
+    return sig.signal_counts(sig.screener(brand(spark, sf_dir)))
 
 
 @query("b3_only_signals", with_(BRAND, *SCREEN, recursive=True) + "SELECT symbol, date, signal FROM screen WHERE signal <> 'HOLD'")
 def b3(spark, sf_dir):
-    return sig.screener(bars_brand(spark, sf_dir)).where(F.col("signal") != "HOLD").select("symbol", "date", "signal")
+    return sig.screener(brand(spark, sf_dir)).where(F.col("signal") != "HOLD").select("symbol", "date", "signal")
 
 
 @query("b4_direction_gate", with_(BRAND, *EMA_CROSS, recursive=True) + """SELECT symbol, ts,
   long AND ts BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AS long, false AS short FROM cond""")
 def b4(spark, sf_dir):
-    df = sig.direction_gate(sig.ema_cross(bars_brand(spark, sf_dir)), "1996-01-01", "1999-12-31", "long")
+    df = sig.direction_gate(sig.ema_cross(brand(spark, sf_dir)), "1996-01-01", "1999-12-31", "long")
     return df.select("symbol", "ts", "long", "short")
 
 
@@ -343,12 +342,12 @@ def f2(spark, sf_dir):
 @query("f3_ordered_signals", with_(BRAND, *SCREEN, recursive=True) + """SELECT symbol, signal FROM screen ORDER BY
   CASE signal WHEN 'LONG ENTRY' THEN 0 WHEN 'SHORT/EXIT' THEN 1 ELSE 2 END, symbol""")
 def f3(spark, sf_dir):
-    return sig.screener(bars_brand(spark, sf_dir)).select("symbol", "signal").orderBy(sig.signal_order(), "symbol")
+    return sig.screener(brand(spark, sf_dir)).select("symbol", "signal").orderBy(sig.signal_order(), "symbol")
 
 
 @query("h1_change_pct", with_(BRAND) + f"SELECT symbol, ts, {r(f'(close - lag(close) OVER ({BY})) / lag(close) OVER ({BY}) * 100', 'chg_pct')} FROM bars")
 def h1(spark, sf_dir):
-    df = scan(bars_brand(spark, sf_dir), {"_pc": ("prev", F.col("close"))})
+    df = brand(spark, sf_dir)
     return rounded(df.select("symbol", "ts", (F.try_divide(F.col("close") - F.col("_pc"), F.col("_pc")) * 100).alias("chg_pct")))
 
 
@@ -358,7 +357,7 @@ def h1(spark, sf_dir):
   CASE WHEN ema1 > ema2 AND ema2 > ema3 THEN 'STRONG BULL' WHEN ema1 > ema2 THEN 'BULLISH'
     WHEN ema1 < ema2 AND ema2 < ema3 THEN 'STRONG BEAR' ELSE 'BEARISH' END AS chart_trend FROM td""")
 def h2(spark, sf_dir):
-    df = sig.temacd(bars_brand(spark, sf_dir))
+    df = sig.temacd(brand(spark, sf_dir))
     e = (F.col("ema1"), F.col("ema2"), F.col("ema3"))
     return df.select("symbol", "ts", sig.trend_label(*e).alias("trend"), sig.trend_label(*e, neutral=False).alias("chart_trend"))
 
@@ -366,14 +365,14 @@ def h2(spark, sf_dir):
 @query("h3_triggers", with_(BRAND, *temacd_sql(), recursive=True) + f"""SELECT symbol, ts,
   CASE WHEN len({_TRIG}) > 0 THEN array_to_string({_TRIG}, '; ') ELSE '-' END AS triggers FROM cond""")
 def h3(spark, sf_dir):
-    df = sig.temacd_conditions(bars_brand(spark, sf_dir))
+    df = sig.temacd_conditions(brand(spark, sf_dir))
     return df.select("symbol", "ts", F.array_join(sig.trigger_array(), "; ").alias("triggers"))
 
 
 @query("h5_contracts", with_(BRAND, *temacd_sql(), *_machine(0), *SRET, recursive=True) +
        f"SELECT symbol, ts, {r('equity / close * 1.5', 'contracts', 3)} FROM eq")
 def h5(spark, sf_dir):
-    df = bt.strategy_returns(bt.state_position(_cond(bars_brand(spark, sf_dir)), 0))
+    df = bt.strategy_returns(bt.state_position(_cond(brand(spark, sf_dir)), 0))
     return df.select("symbol", "ts", F.round(bt.contracts(F.col("equity"), F.col("close"), 1.5), 3).alias("contracts"))
 
 
@@ -381,6 +380,6 @@ def h5(spark, sf_dir):
        f"v AS (SELECT symbol, ts, close, ({roll('stddev_samp(ret)', 'ret', 25)}) * sqrt(252.0) AS av FROM ret)") + f"""SELECT symbol, ts,
   {r('CASE WHEN av > 0 AND close > 0 THEN 100000 * 0.2 / (av * close * 5) ELSE 0.0 END', 'lots', 5)} FROM v""")
 def h4(spark, sf_dir):
-    df = feat.compute(bars_brand(spark, sf_dir).select("symbol", "ts", "close"), {"av": feat.rolling_volatility(25)})
+    df = feat.compute(brand(spark, sf_dir), {"av": feat.rolling_volatility(25)})
     size = bt.lots(F.lit(100000.0), 0.2, F.col("av"), F.col("close"), F.lit(5.0))
     return df.select("symbol", "ts", F.round(F.coalesce(size, F.lit(0.0)), 5).alias("lots"))

@@ -1,8 +1,9 @@
-"""Session helpers: sensible defaults and the shared checkpoint folder."""
+"""Session helpers: sensible defaults and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,38 @@ def build_session(app: str = "barloom", cpus: str = "*", shuffle_partitions: int
     )
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables of this application.
+
+    The shared folder the cluster names in ``spark.checkpoint.dir`` is used; a
+    session without one (tests, a laptop) gets a temporary folder. Removed
+    when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the reliable checkpoint folder.
+    """Write ``df`` once as a table in the work folder and read it back.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used; only a
-    session without one (tests, a laptop) gets a temporary folder.
+    Operators that read an input several times call this first, so a deep
+    chain does not recompute its start once per reader. Unlike a checkpoint the
+    table keeps column pruning, filter pushdown and size statistics, and it
+    survives the loss of executors. A frame that is such a table is returned
+    unchanged.
     """
+    if getattr(df, "_stored", False):
+        return df
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    folder = work_folder(spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(conf).deleteOnExit(root)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = True
+    return out
