@@ -54,16 +54,27 @@ def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """Deterministic draw in [0, 1) from a hash: independent of partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
-    return bits.cast("double") / F.lit(float(2 ** 53))
+# fixed values: prime modulus and multipliers of the integer mixing below
+PRIME, MIX_I, MIX_SIM, MIX_SEED = 2147483647, 1103515245, 40503, 69621
 
 
-def gaussian(seed: int, *cols: Column) -> Column:
-    """Box-Muller on two independent hash draws."""
-    u1 = F.lit(1.0) - uniform(seed, *cols)
-    u2 = uniform(seed + 7919, *cols)
+def uniform(seed: int, sim: Column, i: Column) -> Column:
+    """Deterministic draw in [0, 1) for (seed, sim, i), independent of partitioning.
+
+    Two rounds of x -> x^5 modulo a prime (a bijection), in plain integer
+    arithmetic, so any SQL engine can repeat it exactly.
+    """
+    x = F.pmod(i.cast("bigint") * MIX_I + sim.cast("bigint") * MIX_SIM + F.lit(seed * MIX_SEED + 1), F.lit(PRIME))
+    for step in (12345, 67891):
+        sq = F.pmod(x * x, F.lit(PRIME))
+        x = F.pmod(F.pmod(F.pmod(sq * sq, F.lit(PRIME)) * x, F.lit(PRIME)) + step, F.lit(PRIME))
+    return x.cast("double") / float(PRIME)
+
+
+def gaussian(seed: int, sim: Column, i: Column) -> Column:
+    """Box-Muller on two independent draws."""
+    u1 = F.lit(1.0) - uniform(seed, sim, i)
+    u2 = uniform(seed + 7919, sim, i)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 

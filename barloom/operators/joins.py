@@ -18,7 +18,7 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], on: str, right_fir
     return cut(both.withColumn("_o", F.struct(on, "_side")))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 512) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 16) -> DataFrame:
     """Each left row with the newest right row at or before it (NULLs if none).
 
     Union and running last value: linear in the rows, split along time, and no
@@ -31,7 +31,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "
     return _unpack(df.where(F.col("_l").isNotNull()), left, right, by, on)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 512) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 16) -> DataFrame:
     """Each left row with the first right row at or after it (NULLs if none)."""
     by = list(by)
     df = _merged(left, right, by, on, False)
