@@ -12,7 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ("q_features", "q_signals", "q_rotation", "q_regimes", "q_universe", "q_performance", "q_portfolio", "q_validation",)
+_MODULES = ("q_features", "q_signals", "q_rotation", "q_regimes", "q_universe", "q_performance",
+            "q_portfolio", "q_validation", "q_tables")
 
 
 

@@ -39,12 +39,12 @@ _INV = f"iv AS (SELECT ts, symbol, vol, (1 / vol) / sum(1 / vol) OVER (PARTITION
 _OUT = f"SELECT ts, symbol, {r('weight')} FROM w"
 
 
-@query("p1_weight_constraints", with_(MARKET, "vw AS (SELECT ts, symbol, volume / sum(volume) OVER (PARTITION BY ts) AS raw FROM bars)", _constrain("raw", "vw")) + f"SELECT ts, symbol, {r('weight', digits=10)} FROM w")
+@query("p1_weight_constraints", with_(MARKET, "vw AS (SELECT ts, symbol, sqrt(volume) / sum(sqrt(volume)) OVER (PARTITION BY ts) AS raw FROM bars)", _constrain("raw", "vw")) + f"SELECT ts, symbol, {r('weight', digits=7)} FROM w")
 def p1(spark, sf_dir):
-    bars = cut(bars_market(spark, sf_dir).select("ts", "symbol", "volume"))
+    bars = cut(bars_market(spark, sf_dir).select("ts", "symbol", F.sqrt("volume").alias("volume")))
     total = bars.groupBy("ts").agg(F.sum("volume").alias("_t"))
     w = bars.join(total, "ts").select("ts", "symbol", (F.col("volume") / F.col("_t")).alias("weight"))
-    return rounded(pf.constrain(w, LOW, HIGH, CASH), 10)
+    return rounded(pf.constrain(w, LOW, HIGH, CASH), 7)
 
 
 @query("p2_equal_weight", with_(MARKET) + f"SELECT ts, symbol, {r(f'{1 - CASH} / count(*) OVER (PARTITION BY ts)', 'weight')} FROM bars")
@@ -197,17 +197,17 @@ def e27(spark, sf_dir):
 
 
 _SCORE = "hs(symbol, factor, score) AS (" + dims.values(dims.factor_score_rows()) + ")"
-_HOLD = ("vw AS (SELECT ts, symbol, volume / sum(volume) OVER (PARTITION BY ts) AS weight FROM bars)",
+_HOLD = ("vw AS (SELECT ts, symbol, sqrt(volume) / sum(sqrt(volume)) OVER (PARTITION BY ts) AS weight FROM bars)",
          "sx AS (SELECT ts, factor, sum(weight * score) AS x FROM vw JOIN hs USING (symbol) GROUP BY ts, factor)",
          "fall2(factor) AS (" + dims.values([(f,) for f in dims.FACTORS]) + ")",
-         "he AS (SELECT t.ts, f.factor, round(coalesce(x, 0) / t.w, 9) + 0.0 AS exposure FROM (SELECT ts, sum(weight) AS w FROM vw GROUP BY ts) t CROSS JOIN fall2 f LEFT JOIN sx ON sx.ts = t.ts AND sx.factor = f.factor)")
+         "he AS (SELECT t.ts, f.factor, round(coalesce(x, 0) / t.w, 7) + 0.0 AS exposure FROM (SELECT ts, sum(weight) AS w FROM vw GROUP BY ts) t CROSS JOIN fall2 f LEFT JOIN sx ON sx.ts = t.ts AND sx.factor = f.factor)")
 
 
 def _holdings(spark, sf_dir):
-    bars = cut(bars_market(spark, sf_dir).select("ts", "symbol", "volume"))
+    bars = cut(bars_market(spark, sf_dir).select("ts", "symbol", F.sqrt("volume").alias("volume")))
     total = bars.groupBy("ts").agg(F.sum("volume").alias("_t"))
     w = bars.join(total, "ts").select("ts", "symbol", (F.col("volume") / F.col("_t")).alias("weight"))
-    return fac.holdings_exposure(w, fac.default_scores(spark), digits=9)
+    return fac.holdings_exposure(w, fac.default_scores(spark), digits=7)
 
 
 @query("e28_holdings_exposure", with_(MARKET, _SCORE, *_HOLD) + "SELECT ts, factor, exposure FROM he")
