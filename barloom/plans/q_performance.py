@@ -240,3 +240,12 @@ def h6(spark, sf_dir):
     df = m.select("symbol", F.col("sharpe").alias("is_sharpe"), F.col("sharpe").alias("oos_sharpe"), F.col("sharpe").alias("walk_forward"),
                   F.lit(0.9).alias("stress"), F.lit(0.75).alias("temporal"), F.when(F.col("symbol") >= "Brand#2", 1.0).alias("cross_asset"), F.lit(0.5).alias("sensitivity"))
     return rounded(val.validation_score(df).select("symbol", "score_raw", "score_available", "score_normalised", "coverage_pct"))
+
+
+@query("j1_named_metrics", with_(BRAND, RET) + f"""SELECT symbol, {r('avg(ret) / stddev_samp(ret) * sqrt(252.0)', 'sharpe')},
+  {r('avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252.0)', 'sortino')}, {r('stddev_samp(ret) * sqrt(252.0)', 'annual_vol')},
+  {r('count(*) FILTER (ret > 0) * 100.0 / count(ret)', 'win_rate')}, {r('sum(ret) FILTER (ret > 0) / abs(sum(ret) FILTER (ret < 0))', 'profit_factor')},
+  {r('product(1 + coalesce(ret, 0)) - 1', 'total_return')}, {r('avg(ret)', 'mean_return')} FROM rr GROUP BY symbol""")
+def j1(spark, sf_dir):
+    rets = feat.returns(brand(spark, sf_dir))
+    return rounded(rets.groupBy("symbol").agg(*[m("ret").alias(n) for n, m in perf.METRICS.items()]))
