@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.operators import features as feat
 from barloom.operators.joins import first_available
-from barloom.operators.timeline import index_bars, scan
+from barloom.operators.timeline import expand, index_bars, scan
 from barloom.plans import dims
 from barloom.session import cut
 
@@ -40,7 +40,7 @@ def factor_returns(bars: DataFrame) -> DataFrame:
     missing = every.join(prox, "factor", "left_anti")
     first = bars.agg(F.min("symbol").alias("symbol"))
     dates = bars.join(F.broadcast(first), "symbol", "left_semi").select("ts")
-    zero = dates.join(F.broadcast(missing), F.lit(True)).select("ts", "factor", F.lit(0.0).alias("ret"))
+    zero = expand(dates, missing).select("ts", "factor", F.lit(0.0).alias("ret"))
     return found.unionByName(zero)
 
 
@@ -58,14 +58,14 @@ def holdings_exposure(weights: DataFrame, scores: DataFrame, by=("ts",), digits:
     spark = weights.sparkSession
     w = cut(weights.select(*by, F.upper("symbol").alias("symbol"), "weight"))
     total = w.groupBy(*by).agg(F.sum("weight").alias("_sum")).where(F.col("_sum") != 0)
-    scored = w.join(F.broadcast(scores), "symbol").select(*by, "factor", (F.col("weight") * F.col("score")).alias("_x"))
-    unknown = w.join(F.broadcast(scores.select("symbol").distinct()), "symbol", "left_anti")
+    scored = w.join(scores, "symbol").select(*by, "factor", (F.col("weight") * F.col("score")).alias("_x"))
+    unknown = w.join(scores.select("symbol").distinct(), "symbol", "left_anti")
     lev = unknown.where(F.col("symbol").rlike("|".join(dims.LEVERAGED_MARKS)))
     fallback = dims.frame(spark, list(dims.LEVERAGED_SCORES.items()), "factor string, score double")
-    extra = lev.join(F.broadcast(fallback), F.lit(True)).select(*by, "factor", (F.col("weight") * F.col("score")).alias("_x"))
+    extra = expand(lev, fallback).select(*by, "factor", (F.col("weight") * F.col("score")).alias("_x"))
     sums = scored.unionByName(extra).groupBy(*by, "factor").agg(F.sum("_x").alias("_x"))
     every = dims.frame(spark, [(f,) for f in dims.FACTORS], "factor string")
-    grid = total.join(F.broadcast(every), F.lit(True))
+    grid = expand(total, every)
     df = grid.join(sums, [*by, "factor"], "left")
     return df.select(*by, "factor", F.round(F.coalesce(F.col("_x"), F.lit(0.0)) / F.col("_sum"), digits).alias("exposure"))
 

@@ -2,52 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barloom.operators.timeline import index_bars, scan, time_block
 from barloom.session import cut
 
 
-def _merged(left: DataFrame, right: DataFrame, by: list[str], on: str, right_first: bool) -> DataFrame:
-    """Both sides in one time-ordered frame; ``_side`` 0 = right rows, 1 = left rows."""
-    lcols = [c for c in left.columns if c not in by + [on]]
-    rcols = [c for c in right.columns if c not in by + [on]]
-    a = left.select(*by, on, F.struct(F.lit(True).alias("_q"), *lcols).alias("_l")).withColumn("_side", F.lit(1 if right_first else 0))
-    b = right.select(*by, on, F.struct(F.lit(True).alias("_q"), *rcols).alias("_r")).withColumn("_side", F.lit(0 if right_first else 1))
-    both = a.unionByName(b, allowMissingColumns=True)
-    return cut(both.withColumn("_o", F.struct(on, "_side")))
+def _asof(left: DataFrame, right: DataFrame, by, on: str, days: float, forward: bool) -> DataFrame:
+    """As-of match by union and running last value: linear, and no pair of rows is formed.
 
-
-def asof_backward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 16) -> DataFrame:
-    """Each left row with the newest right row at or before it (NULLs if none).
-
-    Union and running last value: linear in the rows, split along time, and no
-    pair of rows is ever formed.
+    Only the distinct (by, on) of the left side take part, so a key with many
+    left rows costs no more than its distinct times; the match is then joined
+    back, where one row per key meets any number of left rows.
     """
     by = list(by)
-    df = _merged(left, right, by, on, True)
-    seen = F.when(F.col("_r").isNotNull(), F.struct(F.col(on).alias("_m"), "_r"))
-    df = scan(df, {"_hit": ("last", seen)}, by, "_o", time_block(on, days))
-    return _unpack(df.where(F.col("_l").isNotNull()), left, right, by, on)
-
-
-def asof_forward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: int = 16) -> DataFrame:
+    rcols = [c for c in right.columns if c not in [*by, on]]
+    asked = left.select(*by, on).distinct().withColumn("_side", F.lit(1))
+    known = right.select(*by, on, F.struct(F.col(on).alias("_m"), *rcols).alias("_r")).withColumn("_side", F.lit(0))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    # forward is the same scan on a reversed time key; at equal times the right row comes first
+    at, block = F.col(on), time_block(on, days)
+    if forward:
+        at, block = -F.unix_micros(at.cast("timestamp")), -block
+    both = cut(both.withColumn("_o", F.struct(at.alias("t"), F.col("_side").alias("s"))))
+    hit = scan(both, {"_hit": ("last", F.col("_r"))}, by, "_o", block).where(F.col("_side") == 1)
+    hit = hit.select(*by, on, F.col("_hit._m").alias(f"matched_{on}"), *[F.col(f"_hit.{c}").alias(c) for c in rcols])
+    return left.join(hit, [*by, on], "left")
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: float = 16) -> DataFrame:
+    """Each left row with the newest right row at or before it (NULLs if none)."""
+    return _asof(left, right, by, on, days, False)
+
+
+def asof_forward(left: DataFrame, right: DataFrame, by=("symbol",), on: str = "ts", days: float = 16) -> DataFrame:
     """Each left row with the first right row at or after it (NULLs if none)."""
-    by = list(by)
-    df = _merged(left, right, by, on, False)
-    # the same scan on a reversed time key; at equal times bars come before orders
-    back = -F.unix_micros(F.col(on).cast("timestamp"))
-    df = df.withColumn("_o", F.struct(back.alias("t"), (-F.col("_side")).alias("s")))
-    seen = F.when(F.col("_r").isNotNull(), F.struct(F.col(on).alias("_m"), "_r"))
-    df = scan(df, {"_hit": ("last", seen)}, by, "_o", -time_block(on, days))
-    return _unpack(df.where(F.col("_l").isNotNull()), left, right, by, on)
-
-
-def _unpack(df: DataFrame, left: DataFrame, right: DataFrame, by: list[str], on: str) -> DataFrame:
-    lcols = [c for c in left.columns if c not in by + [on]]
-    rcols = [c for c in right.columns if c not in by + [on]]
-    return df.select(*by, on, *[F.col(f"_l.{c}").alias(c) for c in lcols], F.col("_hit._m").alias(f"matched_{on}"),
-                     *[F.col(f"_hit._r.{c}").alias(c) for c in rcols])
+    return _asof(left, right, by, on, days, True)
 
 
 def execution_prices(orders: DataFrame, bars: DataFrame, delay: int = 1, price: str = "open", slippage_bps: float = 2.0,
@@ -67,9 +57,17 @@ def execution_prices(orders: DataFrame, bars: DataFrame, delay: int = 1, price:
     return df.withColumn("commission", cost).drop("_i", "_fill", "matched_ts")
 
 
-def join_windows(df: DataFrame, windows: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Rows inside each window of a small dimension (inclusive)."""
-    return df.join(F.broadcast(windows), (F.col("ts") >= start) & (F.col("ts") <= end))
+def join_windows(df: DataFrame, windows: DataFrame, start: str = "start", end: str = "end", on: str = "ts") -> DataFrame:
+    """Rows inside each window [start, end] (inclusive dates).
+
+    Windows are listed under the months they cover and joined on the month, an
+    equi-join that Spark broadcasts or shuffles by the real size.
+    """
+    months = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    listed = windows.withColumn("_month", F.explode(months))
+    rows = df.withColumn("_month", F.trunc(on, "month"))
+    day = F.col(on).cast("date")
+    return rows.join(listed, "_month").where((day >= F.col(start)) & (day <= F.col(end))).drop("_month")
 
 
 def first_available(candidates: DataFrame, available: DataFrame, key: str, need: list[str], priority: str = "prio") -> DataFrame:
@@ -77,7 +75,7 @@ def first_available(candidates: DataFrame, available: DataFrame, key: str, need:
     df = candidates
     for c in need:
         have = available.select(F.col("symbol").alias(c)).withColumn(f"_ok_{c}", F.lit(True))
-        df = df.join(F.broadcast(have), c, "left").where((F.col(c) == "") | F.col(f"_ok_{c}")).drop(f"_ok_{c}")
+        df = df.join(have, c, "left").where((F.col(c) == "") | F.col(f"_ok_{c}")).drop(f"_ok_{c}")
     others = [c for c in candidates.columns if c != key]
     top = df.groupBy(key).agg(F.min_by(F.struct(*others), priority).alias("_c"))
     return top.select(key, *[F.col(f"_c.{c}").alias(c) for c in others])

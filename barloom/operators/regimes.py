@@ -8,7 +8,7 @@ from barloom.functions.scalars import clip
 from barloom.operators import features as feat
 from barloom.operators.panel import panel
 from barloom.operators.rotation import VIX_NAMES
-from barloom.operators.timeline import ema_blocks, emas, index_bars, own
+from barloom.operators.timeline import ema_blocks, emas, expand, index_bars, own
 from barloom.plans import dims
 from barloom.session import cut
 
@@ -228,7 +228,7 @@ def _lit(x) -> Column:
 
 def holds(actual_text: Column, actual_number: Column, op: Column, expected: Column) -> Column:
     """Evaluate ``actual <op> expected`` with op as data; lists are '|' separated."""
-    num = F.expr("try_cast(value AS DOUBLE)") if expected is None else expected.try_cast("double")
+    num = expected.try_cast("double")
     member = F.array_contains(F.split(expected, "\\|"), actual_text)
     return F.coalesce(
         F.when(op == "==", actual_text == expected).when(op == "!=", actual_text != expected)
@@ -243,8 +243,7 @@ def condition_table(canary: DataFrame, conditions: DataFrame) -> DataFrame:
     ``conditions(rule, canary, field, op, expected)``; a canary without a row
     makes its condition false.
     """
-    dates = canary.select("ts").distinct()
-    grid = dates.withColumn("_rows", F.lit(True)).join(F.broadcast(conditions), F.col("_rows"))
+    grid = expand(canary.select("ts").distinct(), conditions)
     facts = canary.select("ts", F.col("name").alias("canary"), "signal", "value", "confidence", "probability")
     df = grid.join(facts, ["ts", "canary"], "left")
     field = F.col("field")
@@ -262,7 +261,7 @@ def default_rules(spark) -> tuple[DataFrame, DataFrame]:
 
 def fired_rules(canary: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
     t = condition_table(canary, conditions).groupBy("ts", "rule").agg(F.bool_and("met").alias("_all"), F.bool_or("met").alias("_any"))
-    df = t.join(F.broadcast(rules), "rule")
+    df = t.join(rules, "rule")
     return df.where(F.when(F.col("logic") == "AND", F.col("_all")).otherwise(F.col("_any"))).drop("_all", "_any")
 
 

@@ -318,7 +318,7 @@ def ensemble(weights: DataFrame, meta: DataFrame, gross: bool = False) -> DataFr
 
     ``meta(strategy, meta_weight)``; a strategy without a row is disabled.
     """
-    w = weights.join(F.broadcast(meta), "strategy")
+    w = weights.join(meta, "strategy")
     both = w.groupBy("symbol", "d", "ts").agg(
         F.sum(F.col("weight") * F.col("meta_weight")).alias("weight"),
         F.sum(F.col("signal") * F.col("meta_weight")).alias("signal"))

@@ -29,7 +29,10 @@ EMA_ROWS = 256        # beta ** -256 stays inside double range for span >= 2
 _COMBINE = {"sum", "count", "max", "min", "product", "last", "prev", "next"}
 
 
-def time_block(order: str = "ts", days: int = BLOCK_DAYS) -> Column:
+def time_block(order: str = "ts", days: float = BLOCK_DAYS) -> Column:
+    """Block number of a DATE or TIMESTAMP column; fractions of a day are allowed."""
+    if days < 1:
+        return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(int(86400 * days)))
     return F.floor(F.unix_date(F.col(order).cast("date")) / F.lit(days)).cast("int")
 
 
@@ -245,5 +248,11 @@ def ewm_std(start: int = 0) -> Column:
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a single-row aggregate to every row of ``df``."""
+    """Add the columns of an aggregate without groups (always one row) to every row of ``df``."""
     return df.join(F.broadcast(one_row), F.lit(True))
+
+
+def expand(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Every row of ``df`` once per row of a small dimension (rules, scenarios, factors)."""
+    packed = dim.agg(F.collect_list(F.struct(*dim.columns)).alias("_dim"))
+    return attach(df, packed).select(*df.columns, F.inline("_dim"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.scalars import clip, gaussian, ratio, uniform
 from barloom.operators import performance as perf
-from barloom.operators.timeline import attach, ema_blocks, emas, own, pick, window
+from barloom.operators.joins import join_windows
+from barloom.operators.timeline import ema_blocks, emas, expand, own, pick, window
 from barloom.session import cut
 
 
@@ -32,7 +33,7 @@ def walk_forward(rets: DataFrame, windows: DataFrame, metric: Callable[[str], Co
     ``rets(keys, param, ts, ret)``: returns of every parameter set in one frame.
     """
     keys = list(keys)
-    df = rets.join(F.broadcast(windows), (F.col("ts") >= F.col("train_start")) & (F.col("ts") <= F.col("test_end")))
+    df = join_windows(rets, windows, "train_start", "test_end")
     train = F.when(F.col("ts") <= F.col("train_end"), F.col("ret"))
     test = F.when(F.col("ts") >= F.col("test_start"), F.col("ret"))
     df = df.withColumns({"_train": train, "_test": test})
@@ -318,10 +319,10 @@ def overfitting_score(parts: DataFrame, threshold: float = 6.0) -> DataFrame:
 def historical_stress(curve: DataFrame, scenarios: DataFrame, keys=("series_id",), value: str = "equity") -> DataFrame:
     """Return and max drawdown inside each scenario(name, start, end); empty ones are kept."""
     keys = list(keys)
-    inside = cut(curve.join(F.broadcast(scenarios), (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end"))))
+    inside = cut(join_windows(curve, scenarios))
     dd = perf.drawdown(inside, [*keys, "name"], value).groupBy(*keys, "name").agg(
         (F.max_by(value, "ts") / F.min_by(value, "ts") - 1).alias("total_return"), F.min("drawdown").alias("max_dd"))
-    every = curve.select(*keys).distinct().join(F.broadcast(scenarios.select("name")), F.lit(True))
+    every = expand(curve.select(*keys).distinct(), scenarios.select("name"))
     return every.join(dd, [*keys, "name"], "left")
 
 

@@ -146,8 +146,9 @@ def d28(spark, sf_dir):
 @query("c8_window_join", with_(BRAND, _SC) + "SELECT name, symbol, count(*) AS bars FROM bars JOIN sc ON ts BETWEEN CAST(s AS DATE) AND CAST(e AS DATE) GROUP BY name, symbol")
 def c8(spark, sf_dir):
     from barloom.operators.joins import join_windows
-    sc = dims.frame(spark, dims.SCENARIOS + [("1998", "1998-01-01", "1998-12-31")], "name string, s string, e string")
-    df = join_windows(bars_brand(spark, sf_dir).select("symbol", "ts"), sc, F.col("s").cast("date"), F.col("e").cast("date"))
+    sc = dims.frame(spark, dims.SCENARIOS + [("1998", "1998-01-01", "1998-12-31")], "name string, s string, e string").select(
+        "name", F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
+    df = join_windows(bars_brand(spark, sf_dir).select("symbol", "ts"), sc)
     return df.groupBy("name", "symbol").agg(F.count(F.lit(1)).alias("bars"))
 
 

@@ -120,7 +120,9 @@ def a8(spark, sf_dir):
 
 _HASH = """pr AS (SELECT o_orderpriority AS p, c_mktsegment AS symbol, min_by(o_totalprice, o_orderkey) AS a, max_by(o_totalprice, o_orderkey) AS b, count(*) AS n
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
-hs AS (SELECT p, left(sha256(string_agg(symbol || ':' || printf('%.6f', a) || ':' || printf('%.6f', b) || ':' || n, '|' ORDER BY symbol || ':' || printf('%.6f', a) || ':' || printf('%.6f', b) || ':' || n)), 16) AS data_hash FROM pr GROUP BY p)"""
+tx AS (SELECT p, left(sha256(symbol), 2) AS g, symbol || ':' || printf('%.6f', a) || ':' || printf('%.6f', b) || ':' || n AS t FROM pr),
+dg AS (SELECT p, g || sha256(string_agg(t, '|' ORDER BY t)) AS d FROM tx GROUP BY p, g),
+hs AS (SELECT p, left(sha256(string_agg(d, '|' ORDER BY d)), 16) AS data_hash FROM dg GROUP BY p)"""
 
 
 def _priced(spark, sf_dir):

@@ -63,9 +63,10 @@ def _windows(spark):
 
 @query("v1_walk_forward_windows", with_(FLAG, _WIN) + "SELECT CAST(window_id AS INT) AS window_id, train_start, train_end, test_start, test_end, count(*) FILTER (ts BETWEEN train_start AND train_end) AS train_rows, count(*) FILTER (ts BETWEEN test_start AND test_end) AS test_rows FROM wn JOIN bars ON ts BETWEEN train_start AND test_end GROUP BY ALL")
 def v1(spark, sf_dir):
+    from barloom.operators.joins import join_windows
     from barloom.sources.derived import bars_flag
     w = _windows(spark)
-    df = bars_flag(spark, sf_dir).select("ts").join(F.broadcast(w), F.col("ts").between(F.col("train_start"), F.col("test_end")))
+    df = join_windows(bars_flag(spark, sf_dir).select("ts"), w, "train_start", "test_end")
     return df.groupBy(*w.columns).agg(F.count_if(F.col("ts") <= F.col("train_end")).alias("train_rows"),
                                       F.count_if(F.col("ts") >= F.col("test_start")).alias("test_rows"))
 

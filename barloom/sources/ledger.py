@@ -10,13 +10,16 @@ from barloom.session import cut
 def data_hash(bars: DataFrame, by=()) -> DataFrame:
     """16 hex digits over first close, last close and count of every symbol.
 
-    Per-symbol facts are combined map-side; only one short string per symbol is
-    gathered.
+    Symbols are hashed in 256 groups and the group digests once more, so no row
+    ever gathers all symbols.
     """
     per = bars.groupBy(*by, "symbol").agg(F.min_by("close", "ts").alias("a"), F.max_by("close", "ts").alias("b"), F.count(F.lit(1)).alias("n"))
     text = F.concat_ws(":", "symbol", F.format_string("%.6f", "a"), F.format_string("%.6f", "b"), F.col("n").cast("string"))
-    joined = F.array_join(F.array_sort(F.collect_list(text)), "|")
-    return per.groupBy(*by).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("data_hash"))
+    def digest(c) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "|"), 256)
+    group = F.substring(F.sha2("symbol", 256), 1, 2).alias("_g")
+    part = per.groupBy(*by, group).agg(F.concat("_g", digest(text)).alias("_d"))
+    return part.groupBy(*by).agg(F.substring(digest("_d"), 1, 16).alias("data_hash"))
 
 
 def experiment_id(config: Column, data: Column, parameters: Column, model: Column) -> Column:
