@@ -109,9 +109,9 @@ def d31(spark, sf_dir):
   len(list_filter(generate_series(min(ts), max(ts), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) AS expected_days,
   {r("count(*) * 100.0::DOUBLE / len(list_filter(generate_series(min(ts), max(ts), INTERVAL 1 DAY), lambda x: isodow(x) < 6))", 'coverage_pct', 2)},
   {r("100 - count(*) * 100.0::DOUBLE / len(list_filter(generate_series(min(ts), max(ts), INTERVAL 1 DAY), lambda x: isodow(x) < 6))", 'missing_pct', 2)},
-  {r('avg(volume)', 'avg_volume', 4)}, {r('(max(ts) - min(ts)) / 365.25', 'history_years', 2)} FROM bars GROUP BY symbol""")
+  {r('avg(volume)', 'avg_volume', 7)}, {r('(max(ts) - min(ts)) / 365.25', 'history_years', 2)} FROM bars GROUP BY symbol""")
 def d1(spark, sf_dir):
-    return rounded(uni.coverage(bars_brand(spark, sf_dir)), 4)
+    return rounded(uni.coverage(bars_brand(spark, sf_dir)), 7)
 
 
 _GAPPY = """gp AS (SELECT c.c_nationkey AS symbol, o_totalprice AS price, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey END AS key
@@ -139,10 +139,10 @@ def d3b(spark, sf_dir):
     return uni.diagnostics(bars_brand(spark, sf_dir))["trading_days"]
 
 
-@query("d4_volume_report", with_(BRAND) + f"""SELECT symbol, {r('avg(volume)', 'avg_daily_volume', 4)}, {r('max(volume)', 'max_volume', 4)},
-  {r('min(volume)', 'min_volume', 4)} FROM bars GROUP BY symbol""")
+@query("d4_volume_report", with_(BRAND) + f"""SELECT symbol, {r('avg(volume)', 'avg_daily_volume', 7)}, {r('max(volume)', 'max_volume', 7)},
+  {r('min(volume)', 'min_volume', 7)} FROM bars GROUP BY symbol""")
 def d4(spark, sf_dir):
-    return rounded(uni.diagnostics(bars_brand(spark, sf_dir))["volume"], 4)
+    return rounded(uni.diagnostics(bars_brand(spark, sf_dir))["volume"], 7)
 
 
 @query("d5_metadata_stats", with_(MARKET.replace("FROM named)", "FROM named WHERE ts <= DATE '2001-06-30')"), *_LIQ,
@@ -204,15 +204,15 @@ def c4(spark, sf_dir):
        """od AS (SELECT o_orderkey AS order_id, 'Brand#' || (o_custkey % 25 + 1) AS symbol, CAST(o_orderdate AS DATE) AS ts,
   CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side, round(o_totalprice / 1000) AS quantity FROM orders)""",
        "ft AS (SELECT od.*, b.i FROM od ASOF JOIN nb b ON od.symbol = b.symbol AND od.ts <= b.ts)") + f"""SELECT order_id, ft.symbol, ft.ts, b.ts AS fill_ts,
-  {r("b.open * (1 + CASE side WHEN 'BUY' THEN 1 ELSE -1 END * 2.0 / 10000)", 'exec_price', 7)},
-  {r("abs(quantity * b.open * (1 + CASE side WHEN 'BUY' THEN 1 ELSE -1 END * 2.0 / 10000)) * 0.0005", 'commission', 7)} FROM ft JOIN nb b ON b.symbol = ft.symbol AND b.i = ft.i + 1""")
+  {r("b.open * (1 + CASE side WHEN 'BUY' THEN 1 ELSE -1 END * 2.0 / 10000)", 'exec_price', 3)},
+  {r("abs(quantity * b.open * (1 + CASE side WHEN 'BUY' THEN 1 ELSE -1 END * 2.0 / 10000)) * 0.0005", 'commission', 4)} FROM ft JOIN nb b ON b.symbol = ft.symbol AND b.i = ft.i + 1""")
 def c6(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     orders = o.select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("symbol"),
                       F.col("o_orderdate").cast("date").alias("ts"), F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("side"),
                       F.round(F.col("o_totalprice") / 1000).alias("quantity"))
     df = joins.execution_prices(orders, brand(spark, sf_dir))
-    return rounded(df.select("order_id", "symbol", "ts", "fill_ts", "exec_price", "commission"), 7)
+    return df.select("order_id", "symbol", "ts", "fill_ts", F.round("exec_price", 3).alias("exec_price"), F.round("commission", 4).alias("commission"))
 
 
 @query("c7_asof_last_close", with_(BRAND, """od AS (SELECT o_orderkey AS order_id, 'Brand#' || (o_custkey % 25 + 1) AS symbol, CAST(o_orderdate AS DATE) AS ts FROM orders)""") +
