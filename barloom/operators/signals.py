@@ -215,7 +215,7 @@ def pair_ratio_rule(bars: DataFrame, first: str, second: str, span: int = 20) ->
     b = bars.where(F.col("symbol") == second).select("ts", F.col("close").alias("_c2"))
     a = bars.where(F.col("symbol") == first).select("symbol", "ts", F.col("close").alias("_c1"))
     pair = a.join(b, "ts").select("symbol", "ts", F.try_divide("_c1", "_c2").alias("close"))
-    df = emas(ema_blocks(pair), {"ma": (F.col("close"), span)})
+    df = emas(ema_blocks(index_bars(pair)), {"ma": (F.col("close"), span)})
     w = window()
     x, m, xp, mp = F.col("close"), F.col("ma"), F.lag("close").over(w), F.lag("ma").over(w)
     df = df.withColumns({"long": crossed_up(x, m, xp, mp), "short": crossed_down(x, m, xp, mp)})

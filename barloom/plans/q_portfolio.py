@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded
-from barloom.operators import factors as fac, features as feat, performance as perf, portfolio as pf, regimes as reg
+from barloom.operators import factors as fac, features as feat, performance as perf, portfolio as pf
 from barloom.operators.panel import panel, panel_returns
 from barloom.operators.timeline import attach
 from barloom.plans import dims

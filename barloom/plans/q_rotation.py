@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded
-from barloom.operators import backtest as bt, performance as perf, rotation as rot
+from barloom.operators import performance as perf, rotation as rot
 from barloom.operators.panel import panel, panel_returns
 from barloom.plans import dims
 from barloom.plans.catalog import query

@@ -8,9 +8,9 @@ from barloom.functions.scalars import MIX_I, MIX_SEED, MIX_SIM, PRIME, rounded
 from barloom.operators import features as feat, performance as perf, validation as val
 from barloom.operators.timeline import number
 from barloom.plans.catalog import query
-from barloom.plans.inputs import brand, flag
+from barloom.plans.inputs import flag
 from barloom.plans.q_performance import RET, _PERF, _psr
-from barloom.plans.sqltext import BRAND, BY, FLAG, ema, r, with_
+from barloom.plans.sqltext import BY, FLAG, ema, r, with_
 from barloom.session import cut
 
 VALUES = {"fast": [5, 10, 20], "slow": [40, 80, 160]}
