@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import simhash
+from barloom.llm import decontaminate, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,4 +20,10 @@ def _on_documents(name: str, op: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: op(documents(spark, sf_dir))
 
 
+_on_documents("op1_mixing", mixing.op1_mixing)
+ORACLE["op1_mixing"] = mixing.ORACLE
+QUERIES["op5_decontamination"] = lambda spark, sf_dir: decontaminate.op5_decontamination(
+    documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+ORACLE["op5_decontamination"] = decontaminate.ORACLE
 _on_documents("op8_simhash_dedup", simhash.op8_simhash)
+_on_documents("op10_sharding", sharding.op10_sharding)
