@@ -19,13 +19,13 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 
 def strings(col: pa.Array) -> pa.Array:
     """The column without NULLs (empty instead)."""
-    return pc.fill_null(col, "") if col.null_count else col
+    return pc.fill_null(col, pa.scalar("").cast(col.type)) if col.null_count else col
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of the column and the offsets of each, without a copy."""
     col = strings(col)
-    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     _, offsets, data = col.buffers()
     if len(col) == 0 or data is None:
         return np.empty(0, np.uint8), np.zeros(len(col) + 1, np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, mixing, sharding, simhash
+from barloom.llm import decontaminate, exact_dedup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,8 @@ def _on_documents(name: str, op: Callable[[DataFrame], DataFrame]) -> None:
 
 _on_documents("op1_mixing", mixing.op1_mixing)
 ORACLE["op1_mixing"] = mixing.ORACLE
+_on_documents("op4_exact_dedup", exact_dedup.op4_exact_dedup)
+ORACLE["op4_exact_dedup"] = exact_dedup.ORACLE
 QUERIES["op5_decontamination"] = lambda spark, sf_dir: decontaminate.op5_decontamination(
     documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 ORACLE["op5_decontamination"] = decontaminate.ORACLE
