@@ -72,26 +72,36 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", share: in
                          .join(groups.filter(~heavy), key)))
 
 
-def ranked(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Running sums over the whole table in a global order, without one task seeing it all.
-
-    Rows are range-partitioned by ``order`` (which must be free of large ties)
-    and stored with their partition number; every partition sums its own rows
-    and is shifted by the sum of the partitions before it (one row each).
-    ``sums`` maps a new column to the SQL expression summed; the new column
-    holds the sum *before* the row.
+def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, stored, with ``_at``: a number that grows in that order.
+
+    ``order`` must be free of large ties. ``_at`` holds the partition above bit 33 and the row in it below.
     """
-    part = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _with_shift(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Add ``_s0``, ``_s1``, ...: each sum over all partitions before the row's own (one row a partition)."""
+    part = rows.withColumn("_p", F.shiftright("_at", 33))
     totals = part.groupBy("_p").agg(*[F.sum(F.expr(x)).alias(f"_t{i}") for i, x in enumerate(sums.values())])
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     shift = totals.select("_p", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}")
                                   for i in range(len(sums))])
-    own = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = part.select("*", *[F.coalesce(F.sum(F.expr(x)).over(own), F.lit(0)).alias(f"_o{i}")
-                               for i, x in enumerate(sums.values())])
-    out = local.join(shift, "_p")
-    return out.select(*[c for c in df.columns],
-                      *[(F.col(f"_o{i}") + F.col(f"_s{i}")).alias(name) for i, name in enumerate(sums)])
+    return part.join(F.broadcast(shift), "_p")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Global row numbers from 0 of an ``ordered`` table, without another shuffle of its rows."""
+    return (_with_shift(rows, {name: "1"}).withColumn(name, F.col("_s0") + F.col("_at").bitwiseAND((1 << 33) - 1))
+            .drop("_p", "_s0"))
+
+
+def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Add to (slim) rows of an ``ordered`` table the sum of each SQL expression over all rows before."""
+    own = W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    local = _with_shift(rows, sums)
+    return local.select(*rows.columns, *[(F.col(f"_s{i}") + F.coalesce(F.sum(F.expr(x)).over(own), F.lit(0))).alias(name)
+                                         for i, (name, x) in enumerate(sums.items())])
 
 
 def components(links: DataFrame) -> DataFrame:

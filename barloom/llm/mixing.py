@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from barloom.llm.common import WORD, ranked
+from barloom.llm.common import WORD, numbered, ordered
 from barloom.session import cut
 
 MOST = 3  # epochs at most
@@ -40,8 +40,9 @@ KEYS = 1 << 48
 def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """Sources by code point, NULL last, with the weights repeating."""
     order = [F.col("_src").isNull(), F.col("_src")]
-    return ranked(sources, order, {"_i": "1"}).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))).drop("_i")
+    place = (F.col("_i") % len(weights)).cast("int")
+    return numbered(ordered(sources, order), "_i").withColumn(
+        "weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), place)).drop("_i", "_at")
 
 
 def targets(sources: DataFrame) -> DataFrame:

@@ -17,18 +17,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import attach, ranked, text_bytes
+from barloom.llm.common import numbered, ordered, running, text_bytes
 from barloom.session import cut
 
 
-def cells(rows: DataFrame, column: str, bits: int, total: int) -> DataFrame:
-    """``rows`` with ``_c_<column>``: the equal-count cell, 0 to 2^bits - 1, of each value."""
+def cell(rows: DataFrame, column: str, bits: int, total: int) -> Column:
+    """The equal-count cell, 0 to 2^bits - 1, of ``column``; NULL is in cell 0.
+
+    Distinct values are ranked by a distributed running count; only the least
+    value of each cell, at most 2^bits of them, comes to the driver.
+    """
     distinct = rows.groupBy(column).agg(F.count("*").alias("n"))
-    before = ranked(distinct, [F.col(column).asc_nulls_first()], {"_before": "n"})
-    cell = before.select(column, "n", F.floor(F.col("_before") * (1 << bits) / total).cast("int").alias(f"_c_{column}"))
-    # a NULL value takes part in the join as a key of its own
-    keyed = rows.withColumn("_k", F.xxhash64(F.col(column).isNull(), column))
-    return attach(cut(keyed), cut(cell.withColumn("_k", F.xxhash64(F.col(column).isNull(), column)).drop(column)), "_k").drop("_k", "n")
+    before = running(ordered(distinct, [F.col(column).asc_nulls_first()]), {"_before": "n"})
+    number = F.floor(F.col("_before") * (1 << bits) / total).cast("int")
+    found = before.groupBy(number.alias("c")).agg(F.min(column).alias("low")).filter("low IS NOT NULL").orderBy("c").collect()
+    if not found:
+        return F.lit(0)
+    kind = distinct.schema[column].dataType
+    lows = F.array(*[F.lit(r.low).cast(kind) for r in found])
+    return F.coalesce(F.get(F.array(*[F.lit(r.c) for r in found]), F.size(F.filter(lows, lambda low: low <= F.col(column))) - 1), F.lit(0))
 
 
 def hilbert(axes: list[Column], bits: int) -> Column:
@@ -66,43 +73,47 @@ def hilbert(axes: list[Column], bits: int) -> Column:
     return let(let(turned, gray), index)
 
 
+MADE = ("size", "text_crc32", "law", "shard", "slot", "curve")
+
+
 def shard(docs: DataFrame, shards: int, dims: tuple[str, ...] = ("lang", "source", "doc_id"), law: str = "rows",
-          bits: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``curve``.
+          bits: int = 8, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Every row with ``size`` (UTF-8 bytes plus 8), ``text_crc32``, ``law``, ``shard``, ``slot`` and ``curve``.
 
-    ``size`` is the UTF-8 bytes of the text plus 8 and may be one of ``dims``.
+    ``size`` may be one of ``dims``. Rows are shuffled once, in curve order.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(law)
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), (text_bytes(F.col(text)) + 8).alias("size"),
-                           F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), F.xxhash64(text).alias("_hash"),
-                           *[F.col(d) for d in dims if d not in ("size", "doc_id")]))
+    docs = docs.drop(*MADE)
+    rows = docs.withColumns({"size": text_bytes(F.col(text)) + 8, "text_crc32": F.coalesce(F.crc32(text), F.lit(0)),
+                             "_hash": F.xxhash64(text)})
+    rows = rows if keep_text else cut(rows.drop(text))
+    names = [c for c in rows.columns if c != "_hash"]
     total, weight = rows.agg(F.count("*"), F.sum("size")).first()
-    if not total:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.lit(0).alias("shard"),
-                           F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("curve"))
-    placed = rows
-    for d in dims:
-        placed = cells(placed, d, bits, total)
-    placed = placed.withColumn("curve", hilbert([F.col(f"_c_{d}") for d in dims], bits))
-    order = [F.col("curve"), F.col("_hash"), F.col("doc_id"), F.col("text_crc32")]
-    run = ranked(placed, order, {"_row": "1", "_bytes": "size"})
-    # integer arithmetic, so that counts are at most one apart at any size
-    at = F.expr(f"_row * {shards} div {total}") if law == "rows" else F.expr(f"cast(_bytes + size div 2 as decimal(38,0)) * {shards} div {weight}")
-    run = cut(run.withColumn("shard", at.cast("int")))
-    first = run.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row per shard
-    return (run.join(F.broadcast(first), "shard")
-            .select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard",
-                    (F.col("_row") - F.col("_first")).alias("slot"), "curve"))
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write documents as one folder per shard, in slot order."""
-    out = docs.join(placed.select(doc_id, "shard", "slot"), doc_id)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    axes = [cell(rows, d, bits, max(total, 1)) for d in dims]
+    order = [F.col(c) for c in ("curve", "_hash", doc_id, "text_crc32")]
+    run = ordered(rows.withColumn("curve", hilbert(axes, bits)), order)
+    run = numbered(run, "_row")
+    if law == "rows":  # integer arithmetic: counts at most one apart at any size
+        run = run.withColumn("shard", F.expr(f"cast(_row * {shards} div {max(total, 1)} as int)"))
+    else:
+        place = F.expr(f"cast(cast(_before + size div 2 as decimal(38,0)) * {shards} div {max(weight or 1, 1)} as int)")
+        cuts = running(run.select("_at", "size"), {"_before": "size"}).groupBy(place.alias("s")).agg(F.min("_at").alias("a"))
+        first = F.array(*[F.struct(F.lit(r.a).alias("a"), F.lit(r.s).alias("s")) for r in cuts.orderBy("s").collect()]
+                        or [F.struct(F.lit(0).alias("a"), F.lit(0).alias("s"))])  # one entry a shard
+        run = run.withColumn("shard", F.array_max(F.filter(first, lambda x: x.a <= F.col("_at")))["s"])
+    least = run.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row a shard
+    return (run.join(F.broadcast(least), "shard")
+            .select(*names, F.lit(law).alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), "curve"))
+
+
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Write placed documents as one folder per shard, in slot order."""
+    (placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .write.partitionBy("shard").parquet(path))
 
 
 def op10_sharding(docs: DataFrame) -> DataFrame:
     """Contract columns of every document, 24 shards of equal row counts."""
-    return shard(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot",
-                                  F.lit(None).cast("int").alias("grown_shard"), "curve")
+    out = shard(docs.select("doc_id", "text", "lang", "source"), 24, keep_text=False)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
