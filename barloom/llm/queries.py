@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, langid, lm_score, mixing, secrets, sharding, simhash
+from barloom.llm import decontaminate, exact_dedup, langid, licenses, lm_score, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,7 @@ def _on_documents(name: str, op: Callable[[DataFrame], DataFrame]) -> None:
 _on_documents("op1_mixing", mixing.op1_mixing)
 ORACLE["op1_mixing"] = mixing.ORACLE
 _on_documents("op2_language_id", langid.op2_language_id)
+_on_documents("op3_license_scan", licenses.op3_license_scan)
 _on_documents("op4_exact_dedup", exact_dedup.op4_exact_dedup)
 ORACLE["op4_exact_dedup"] = exact_dedup.ORACLE
 QUERIES["op5_decontamination"] = lambda spark, sf_dir: decontaminate.op5_decontamination(
