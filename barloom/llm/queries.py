@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, langid, licenses, lm_score, mixing, secrets, sharding, simhash
+from barloom.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, lm_score, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,7 @@ QUERIES["op5_decontamination"] = lambda spark, sf_dir: decontaminate.op5_deconta
     documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 ORACLE["op5_decontamination"] = decontaminate.ORACLE
 _on_documents("op6_secret_scan", secrets.op6_secret_scan)
+_on_documents("op7_line_dedup", line_dedup.op7_line_dedup)
 _on_documents("op8_simhash_dedup", simhash.op8_simhash)
 _on_documents("op9_lm_score", lm_score.op9_lm_score)
 _on_documents("op10_sharding", sharding.op10_sharding)
