@@ -179,8 +179,8 @@ def linear_scan(df: DataFrame, specs: dict[str, tuple[Column, float]], keys=("sy
     """Solve s_t = beta * s_(t-1) + u_t from zero for every ``name: (u, beta)``.
 
     Inside a block a running sum gives the local part; the state entering a
-    block is folded from the preceding block totals. Totals older than K blocks
-    weigh less than 1e-18 and cannot change a double, so K rows suffice.
+    block is folded from the totals of all preceding blocks whose weight is a
+    positive double, whatever their size. With ``beta`` 0 the state is the input.
     """
     keys = list(keys)
     run = window(keys).rowsBetween(Window.unboundedPreceding, 0)
@@ -188,14 +188,19 @@ def linear_scan(df: DataFrame, specs: dict[str, tuple[Column, float]], keys=("sy
     totals, carries, local, final = [], {}, {}, {}
     chain = Window.partitionBy(*keys).orderBy("_b")
     for name, (u, beta) in specs.items():
+        if beta == 0.0:
+            final[name] = u
+            continue
         step = beta ** EMA_ROWS
-        depth = 1 + (math.ceil(41.5 / -math.log(step)) if step > 0 else 0)
+        depth = 1 + (math.ceil(745.0 / -math.log(step)) if step > 0 else 0)  # exp(-745) is the least positive double
         totals.append(F.sum(u * F.pow(F.lit(beta), F.lit(float(EMA_ROWS - 1)) - p)).alias(f"_t_{name}"))
         carries[f"_c_{name}"] = F.aggregate(
             F.collect_list(f"_t_{name}").over(chain.rowsBetween(-(depth - 1), 0)),
             F.lit(0.0), _fold(step))
         local[f"_l_{name}"] = F.pow(F.lit(beta), p) * F.sum(u * F.pow(F.lit(beta), -p)).over(run)
         final[name] = F.col(f"_l_{name}") + F.pow(F.lit(beta), p + 1) * F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
+    if not totals:
+        return df.select(*[c for c in df.columns if c not in final], *[x.alias(n) for n, x in final.items()])
     ends = (
         df.where(F.col("_p") <= EMA_ROWS - 1)
         .groupBy(*keys, "_b").agg(F.max("_p").alias("_mp"), *totals)
@@ -209,6 +214,8 @@ def linear_scan(df: DataFrame, specs: dict[str, tuple[Column, float]], keys=("sy
 
 def ema_input(x: Column, span: float, start: int = 0) -> tuple[Column, float]:
     """(u, beta) of the recursive EMA seeded with the value at row ``start``."""
+    if span < 1:
+        raise ValueError("span must be 1 or more")
     alpha = 2.0 / (span + 1.0)
     i = F.col("_i")
     u = F.when(i == start, x).when(i > start, F.lit(alpha) * x).otherwise(F.lit(0.0))
@@ -244,7 +251,8 @@ def ewm_std(start: int = 0) -> Column:
     """Weighted std with finite-sample weights and bias correction."""
     num = F.col("_w") * F.col("_q") - F.col("_x") * F.col("_x")
     den = F.col("_w") * F.col("_w") - F.col("_v")
-    return F.sqrt(F.greatest(F.when(F.col("_i") > start, F.try_divide(num, den)), F.lit(0.0)))
+    var = F.when(F.col("_i") > start, F.try_divide(num, den))
+    return F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from barloom.operators import backtest as bt, features as feat, performance as p
 from barloom.plans import dims
 from barloom.plans.catalog import query
 from barloom.plans.inputs import brand
-from barloom.plans.q_signals import DON_TREND, EMA_CROSS, MA_CROSS, _machine, _renamed
+from barloom.plans.q_signals import EMA_CROSS, SIGNAL_CTES, _machine, _renamed
 from barloom.plans.sqltext import BRAND, BY, r, with_
 from barloom.session import cut
 from barloom.sources.derived import bars_brand, table
@@ -204,9 +204,9 @@ def v9(spark, sf_dir):
     return rounded(val.cost_robustness(val.cost_curve(_gross(spark, sf_dir), [0, 1, 2, 5, 10])))
 
 
-_F5 = tuple(c for tag, ctes in (("k", EMA_CROSS), ("l", MA_CROSS), ("d", DON_TREND)) for c in (
-    *_renamed(ctes, tag, "e_n e ma lg ud ch cond"), *_renamed(_machine(0), tag, "seq pos cond")))
-_F5N = {"k": "EMA_CROSS_10_40", "l": "LT_MA_CROSS", "d": "DONCHIAN_CARVER"}
+_F5 = tuple(c for _, tag, ctes, names in SIGNAL_CTES for c in (
+    *_renamed(ctes, tag, names), *_renamed(_machine(0), tag, "seq pos cond")))
+_F5N = {tag: name for name, tag, _, _ in SIGNAL_CTES}
 
 
 @query("f5_best_strategy", with_(BRAND, *_F5, "al AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, symbol, ts, close, position FROM pos_{t}" for t, n in _F5N.items()) + ")",

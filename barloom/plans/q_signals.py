@@ -9,6 +9,7 @@ from barloom.operators import backtest as bt, features as feat, signals as sig
 from barloom.plans.catalog import query
 from barloom.plans.q_features import EWMAC_CTES
 from barloom.plans.sqltext import BRAND, BY, FLAG, MARKET, ema, r, roll, with_
+from barloom.session import cut
 from barloom.plans.inputs import brand, flag
 from barloom.sources.derived import bars_brand, bars_market
 
@@ -28,7 +29,7 @@ def temacd_sql(p: sig.TripleEma = sig.DEFAULT, warmup: bool = True, src: str = "
         f"""t AS (SELECT m.symbol, m.ts, m.i, m.close, {mask('ema1', p.fast).replace('i >=', 'm.i >=')},
   {mask('ema2', p.mid).replace('i >=', 'm.i >=')}, {mask('ema3', p.slow).replace('i >=', 'm.i >=')},
   CASE WHEN m.i >= {start} THEN macd END AS macd, CASE WHEN m.i >= {shown} THEN amacd END AS amacd
-  FROM m LEFT JOIN a USING (symbol, ts))""",
+  FROM m AS m LEFT JOIN a AS a USING (symbol, ts))""",
         "td AS (SELECT *, macd - amacd AS delta FROM t)",
         f"""lg AS (SELECT *, lag(delta) OVER w AS dp, lag(ema1) OVER w AS p1, lag(ema2) OVER w AS p2, lag(ema3) OVER w AS p3,
   lag(close) OVER w AS prev_close FROM td WINDOW w AS ({BY}))""",
@@ -153,31 +154,30 @@ def _renamed(ctes: tuple[str, ...], tag: str, names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-_ALL_SIGNALS = (
-    *_renamed(EMA_CROSS, "k", "e_n e ma lg ud cond"), *_renamed(MA_CROSS, "l", "e_n e ma lg ud cond"),
-    *_renamed(DON_TREND, "d", "e_n e ch cond"),
-    """sigs AS (SELECT symbol, ts, 'DONCHIAN_CARVER' AS strategy, CASE WHEN short THEN -1 WHEN long THEN 1 ELSE 0 END AS signal FROM cond_d
-  UNION ALL SELECT symbol, ts, 'EMA_CROSS_10_40', CASE WHEN short THEN -1 WHEN long THEN 1 ELSE 0 END FROM cond_k
-  UNION ALL SELECT symbol, ts, 'LT_MA_CROSS', CASE WHEN short THEN -1 WHEN long THEN 1 ELSE 0 END FROM cond_l)""")
-_COMBINED = ["DONCHIAN_CARVER", "EMA_CROSS_10_40", "LT_MA_CROSS"]
+_TEMACD_NAMES = "e_n e m a_n a t td lg x cond"
+# every registered signal: name, tag of its CTEs, CTEs, their names
+SIGNAL_CTES = [
+    ("BTC_TEMACD", "b", temacd_sql(sig.BITCOIN), _TEMACD_NAMES), ("DONCHIAN_CARVER", "d", DON_TREND, "e_n e ch cond"),
+    ("EMA_CROSS_10_40", "k", EMA_CROSS, "e_n e ma lg ud cond"), ("LT_MA_CROSS", "l", MA_CROSS, "e_n e ma lg ud cond"),
+    ("TQQQ_TEMACD", "q", temacd_sql(), _TEMACD_NAMES)]
+_ALL_SIGNALS = (*[c for _, tag, ctes, names in SIGNAL_CTES for c in _renamed(ctes, tag, names)], "sigs AS (" + " UNION ALL ".join(
+    f"SELECT symbol, ts, '{name}' AS strategy, CASE WHEN short THEN -1 WHEN long THEN 1 ELSE 0 END AS signal FROM cond_{tag}"
+    for name, tag, _, _ in SIGNAL_CTES) + ")")
 
 
 @query("i8_generate_all", with_(BRAND, *_ALL_SIGNALS, recursive=True) + "SELECT symbol, ts, strategy, signal FROM sigs")
 def i8(spark, sf_dir):
-    return sig.generate_all(brand(spark, sf_dir), _COMBINED).drop("confidence")
+    return sig.generate_all(brand(spark, sf_dir)).drop("confidence")
 
 
 @query("i7_combined_signals", with_(BRAND, *_ALL_SIGNALS, """c AS (SELECT symbol, ts, sum((signal = 1)::INT) AS p, sum((signal = -1)::INT) AS n,
   count(*) AS k FROM sigs GROUP BY symbol, ts)""", recursive=True) + """SELECT symbol, ts, CASE WHEN p > 0 THEN 1 WHEN n > 0 THEN -1 ELSE 0 END AS any_of,
   CASE WHEN p = k THEN 1 WHEN n = k THEN -1 ELSE 0 END AS all_of, CASE WHEN p > n THEN 1 WHEN n > p THEN -1 ELSE 0 END AS majority FROM c""")
 def i7(spark, sf_dir):
-    all_ = sig.generate_all(brand(spark, sf_dir), _COMBINED)
-    pos, neg, n = F.count_if(F.col("signal") == 1), F.count_if(F.col("signal") == -1), F.count(F.lit(1))
-    parts = all_.groupBy("symbol", "ts").agg(
-        F.when(pos > 0, 1).when(neg > 0, -1).otherwise(0).alias("any_of"),
-        F.when(pos == n, 1).when(neg == n, -1).otherwise(0).alias("all_of"),
-        F.when(pos > neg, 1).when(neg > pos, -1).otherwise(0).alias("majority"))
-    return parts
+    every = cut(sig.generate_all(brand(spark, sf_dir)))
+    ways = {"or": "any_of", "and": "all_of", "majority": "majority"}
+    parts = [sig.combine(every, how).select("symbol", "ts", F.col("signal").alias(name)) for how, name in ways.items()]
+    return parts[0].join(parts[1], ["symbol", "ts"]).join(parts[2], ["symbol", "ts"])
 
 
 _POS9 = f"""pos AS (SELECT symbol, ts, close, coalesce(last_value(CASE WHEN long THEN 1 WHEN short THEN 0 END IGNORE NULLS)

@@ -16,7 +16,7 @@ from barloom.session import cut
 VALUES = {"fast": [5, 10, 20], "slow": [40, 80, 160]}
 GRID = val.grid(**VALUES)
 BASE = {"fast": 10, "slow": 80}
-SIMS = 12
+SIMS = 100
 
 
 def _u(seed: int, src: str, name: str, keep: str) -> str:
@@ -243,14 +243,39 @@ def v16(spark, sf_dir):
     return rounded(a.join(b, "symbol"))
 
 
-@query("v18_overfitting_score", with_(FLAG, *_SWEEP, *_PBO, *_MCS, RET, _PERF, f"ds AS (SELECT symbol, {_psr('sharpe', perf.deflated_threshold(10))} AS dsr FROM p2)",
-       "tt AS (SELECT symbol, 0.5 * 2 + 0.5 * 2 + 0.5 * 2 + pbo * 2 + (1 - dsr) * 2 + 0.5 + share AS total, pbo, dsr, share FROM pq JOIN mc USING (symbol) JOIN ds USING (symbol))", recursive=True) +
-       f"""SELECT symbol, {r('greatest(0, least(10, total))', 'overall', 5)}, total >= 6 AS is_overfitted, (pbo > 0.5)::INT + (dsr < 0.8)::INT + (share > 0.7)::INT + (total >= 6)::INT AS warnings FROM tt""")
+_V18 = ("nr AS (SELECT * FROM sc WHERE slow = 80 UNION ALL SELECT * FROM sc WHERE fast = 10)",
+        "se1 AS (SELECT symbol, least(1, stddev_pop(score) / (abs(avg(score)) + 1e-8)) AS sensitivity FROM nr GROUP BY symbol)",
+        """nb AS (SELECT symbol, max(score) FILTER (fast = 10 AND slow = 80) AS b,
+  avg(score) FILTER ((fast IN (5, 20) AND slow = 80) OR (fast = 10 AND slow IN (40, 160))) AS m,
+  stddev_pop(score) FILTER ((fast IN (5, 20) AND slow = 80) OR (fast = 10 AND slow IN (40, 160))) AS s FROM sc GROUP BY symbol)""",
+        "ns AS (SELECT symbol, greatest(0, 1 - least(1, (s / (abs(b) + 1e-8) + abs(b - m) / (abs(b) + 1e-8)) / 2)) AS neighbour FROM nb)",
+        "st AS (SELECT symbol, coalesce(corr(a, b), 0) AS c, avg(a) AS i, avg(b) AS o FROM wf GROUP BY symbol)",
+        "wfs AS (SELECT symbol, greatest(0, least(1, (c + 1) / 2 * greatest(0, least(1, o / (i + 1e-8))))) AS walk_forward FROM st)",
+        f"ds AS (SELECT symbol, {_psr('sharpe', perf.deflated_threshold(10))} AS dsr FROM p2)",
+        """tt AS (SELECT symbol, round(sensitivity, 9) AS sensitivity, round(neighbour, 9) AS neighbour, round(walk_forward, 9) AS walk_forward, pbo, round(dsr, 9) AS dsr,
+  coalesce(centred, 1.0) AS p_value, share FROM pq JOIN mc USING (symbol) JOIN ds USING (symbol) JOIN se1 USING (symbol) JOIN ns USING (symbol)
+  JOIN wfs USING (symbol) LEFT JOIN pv USING (symbol))""",
+        """tu AS (SELECT *, greatest(0, least(10, sensitivity * 2 + (1 - neighbour) * 2 + (1 - walk_forward) * 2 + pbo * 2 + (1 - dsr) * 2 + p_value + share)) AS overall FROM tt)""")
+
+
+@query("v18_overfitting_score", with_(FLAG, *_SWEEP, *_PBO, *_MCS, RET, _PERF, *_WF, *_RR, *_RC, *_V18, recursive=True) +
+       f"""SELECT symbol, {r('sensitivity')}, {r('neighbour')}, {r('walk_forward')}, {r('pbo')}, {r('dsr')}, {r('p_value')}, {r('share', 'confidence_share')},
+  {r('overall', 'overall', 5)}, overall >= 6 AS is_overfitted, array_to_string(list_filter([CASE WHEN sensitivity > 0.5 THEN 'parameter sensitivity' END,
+  CASE WHEN neighbour < 0.5 THEN 'neighbour stability' END, CASE WHEN walk_forward < 0.5 THEN 'walk-forward stability' END,
+  CASE WHEN pbo > 0.5 THEN 'backtest overfitting probability' END, CASE WHEN dsr < 0.8 THEN 'deflated Sharpe' END,
+  CASE WHEN p_value > 0.5 THEN 'reality check' END, CASE WHEN share > 0.7 THEN 'model confidence' END,
+  CASE WHEN overall >= 6 THEN 'overfitting detected' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM tu""")
 def v18(spark, sf_dir):
-    rets = _indexed(spark, sf_dir)
-    bars = flag(spark, sf_dir)
-    dsr = perf.metrics(bars.select("symbol", "ts", "close"), ("symbol",), "close").select("symbol", F.col("dsr_annualised").alias("dsr"))
-    parts = val.overfitting_probability(rets).join(val.model_confidence(val.sweep_scores(rets)), "symbol").join(dsr, "symbol")
-    parts = parts.withColumns({"sensitivity": F.lit(0.5), "neighbour": F.lit(0.5), "walk_forward": F.lit(0.5), "p_value": F.lit(0.5)})
-    df = val.overfitting_score(parts)
-    return df.select("symbol", F.round("overall", 5).alias("overall"), "is_overfitted", F.size("warnings").alias("warnings"))
+    """All seven inputs; the benchmark itself has no excess to test, so its p-value is 1."""
+    sweep = _indexed(spark, sf_dir)
+    scores = cut(val.sweep_scores(sweep))
+    dsr = perf.metrics(flag(spark, sf_dir).select("symbol", "ts", "close"), ("symbol",), "close").select("symbol", F.round("dsr_annualised", 9).alias("dsr"))
+    walk = val.walk_forward_stability(val.walk_forward(sweep.drop("_i"), _windows(spark))).select("symbol", F.round("stability", 9).alias("walk_forward"))
+    parts = val.overfitting_probability(sweep).join(val.model_confidence(scores), "symbol").join(dsr, "symbol")
+    parts = parts.join(val.parameter_sensitivity(scores, BASE).select("symbol", F.round("sensitivity", 9).alias("sensitivity")), "symbol")
+    parts = parts.join(val.neighbour_stability(scores, BASE, VALUES).select("symbol", F.round("stability", 9).alias("neighbour")), "symbol")
+    parts = parts.join(walk, "symbol").join(val.reality_check(_paired(spark, sf_dir), SIMS), "symbol", "left")
+    df = val.overfitting_score(parts.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))))
+    cols = ("sensitivity", "neighbour", "walk_forward", "pbo", "dsr", "p_value", "confidence_share")
+    return df.select("symbol", *[F.round(c, 6).alias(c) for c in cols], F.round("overall", 5).alias("overall"), "is_overfitted",
+                     F.array_join("warnings", "; ").alias("warnings"))

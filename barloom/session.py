@@ -26,12 +26,15 @@ def build_session(app: str = "barloom", cpus: str = "*", shuffle_partitions: int
 def work_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application.
 
-    The shared folder the cluster names in ``spark.checkpoint.dir`` is used; a
-    session without one (tests, a laptop) gets a temporary folder. Removed
+    The shared folder the cluster names in ``spark.checkpoint.dir`` is used. A
+    local session without one (tests, a laptop) gets a temporary folder; on a
+    cluster the executors could not share it, so there it is an error. Removed
     when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"

@@ -27,13 +27,18 @@ EXPECTED = {
 }
 
 
-def _rsi(g, n=14):
-    d = g.close.diff()
-    rs = d.where(d > 0, 0).rolling(n).mean() / (-d.where(d < 0, 0).rolling(n).mean()).replace(0, np.nan)
-    return (100 - 100 / (1 + rs)).fillna(50)
-
-
-EXPECTED["rsi"] = (feat.rsi(14), _rsi)
+def strength(g, n=14):
+    """RSI of each window from its sums of gains and losses, one window at a time."""
+    close, out = g.close.to_numpy(), np.full(len(g), 50.0)
+    for t in range(n, len(close)):
+        moves = close[t - n + 1:t + 1] - close[t - n:t]
+        gain, loss = sum(m for m in moves if m > 0), -sum(m for m in moves if m < 0)
+        if loss:
+            out[t] = 100 * gain / (gain + loss)
+    return pd.Series(out, index=g.index)
+
+
+EXPECTED["rsi"] = (feat.rsi(14), strength)
 
 
 @pytest.mark.parametrize("size", [32, 2048])

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,19 @@ def test_ewm_std_matches_pandas(bars, bars_pd):
 def test_unknown_scan_kind_is_rejected(bars):
     with pytest.raises(ValueError):
         tl.scan(bars, {"x": ("median", F.col("close"))})
+
+
+def test_ema_of_span_one_is_its_input(bars, bars_pd):
+    df = tl.own(tl.emas(tl.ema_blocks(tl.index_bars(bars)), {"e": (F.col("close"), 1)}))
+    got = collect(df, "symbol", "ts")
+    np.testing.assert_array_equal(got["e"], got["close"])
+    with pytest.raises(ValueError):
+        tl.ema_input(F.col("close"), 0)
+
+
+def test_ema_forgets_huge_values_exactly(spark):
+    values = np.r_[np.full(50, 1e12), np.ones(6000)]
+    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2000-01-01", periods=len(values)).date, "close": values})
+    df = tl.own(tl.emas(tl.ema_blocks(tl.index_bars(spark.createDataFrame(pdf))), {"e": (F.col("close"), 222)}))
+    got = collect(df, "symbol", "ts")["e"]
+    np.testing.assert_allclose(got, pdf.close.ewm(span=222, adjust=False).mean(), rtol=1e-9)
