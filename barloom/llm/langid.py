@@ -243,7 +243,7 @@ def train(texts: list[bytes], labels: list[str], steps: int = 25, rate: float =
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_label: int = 200,
-        chars_per_label: int = 400_000, longest: int = 100_000, most_labels: int = 64) -> Model | None:
+        chars_per_label: int = 300_000, longest: int = 100_000, most_labels: int = 64) -> Model | None:
     """Train on a sample of labelled documents, drawn by a hash of the id; None without any."""
     usable = docs.filter(F.col(lang).isNotNull() & (F.length(text).between(1, longest)))
     counts = docs.filter(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_labels).collect()
@@ -269,7 +269,7 @@ RESULT = T.StructType().add("lang_pred", "string").add("score", "double")
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True,
-             block: int = 2 << 20) -> DataFrame:
+             block: int = 1 << 19) -> DataFrame:
     """Every row with ``lang_pred`` and ``score``."""
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     unknown = ~F.col("_letters") | F.col("lang_pred").isNull()
@@ -305,7 +305,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return fold(doc_id, 4, 2)
 
 
-def accepted_documents(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+def accepted_documents(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """Documents mostly in one learned language, with their own columns."""
     model = fit(docs.filter(~held_out()))
     return identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)

@@ -183,8 +183,12 @@ class Formats:
         return best >= 0 and max(a.score(symbols) for a, _ in self.automata) - self.background.score(symbols) >= self.gap
 
 
-def learn(credentials: dict[str, list[str]], words: list[str], gap: float = 0.5, quantile: float = 0.02) -> Formats:
-    """Automata of all formats with at least 20 labelled strings, and of ordinary words."""
+def learn(credentials: dict[str, list[str]], words: list[str], gap: float = 0.5, quantile: float = 0.02,
+          slack: float = 0.05) -> Formats:
+    """Automata of all formats with at least 20 labelled strings, and of ordinary words.
+
+    A format's least score is the ``quantile`` of its own strings' scores, less ``slack``.
+    """
     automata = []
     for kind in sorted(credentials):
         strings = sorted({classes(s) for s in credentials[kind]})
@@ -192,7 +196,7 @@ def learn(credentials: dict[str, list[str]], words: list[str], gap: float = 0.5,
             continue
         a = Tree([classes(s) for s in credentials[kind]]).merged()
         scores = sorted(a.score(s) for s in strings)
-        automata.append((a, scores[int(len(scores) * quantile)]))
+        automata.append((a, scores[int(len(scores) * quantile)] - slack))
     background = Tree([classes(w) for w in words]).merged() if words else None
     return Formats(automata, background, gap)
 
