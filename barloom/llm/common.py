@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
+from barloom.llm.kernels import slices, utf8
 from barloom.session import cut
 
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -38,21 +39,24 @@ KEY = ["_nil", "_id", "_hash"]
 
 
 def annotate(docs: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[list[pa.Array], pa.Array | None]],
-             fields: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
+             fields: T.StructType, drop: tuple[str, ...] = (), by: str = "text", limit: int = 4 << 20) -> DataFrame:
     """Add columns computed by ``kernel(batch) -> (arrays, keep mask or None)`` in Arrow batches.
 
-    Input columns that carry the name of a new one are replaced; ``drop`` names
-    input columns that need not travel back.
+    The kernel sees rows with at most ``limit`` bytes in column ``by`` at a time
+    (a longer text stands alone). Input columns that carry the name of a new
+    one are replaced; ``drop`` names input columns that need not travel back.
     """
     docs = docs.drop(*[f.name for f in fields])
     kept = [f for f in docs.schema if f.name not in drop]
     names, new = [f.name for f in kept], [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            arrays, mask = kernel(b)
-            out = pa.RecordBatch.from_arrays([b.column(n) for n in names] + arrays, names=names + new)
-            yield out if mask is None else out.filter(mask)
+        for batch in batches:
+            for i, j in slices(utf8(batch.column(by))[1], limit):
+                b = batch.slice(i, j - i)
+                arrays, mask = kernel(b)
+                out = pa.RecordBatch.from_arrays([b.column(n) for n in names] + arrays, names=names + new)
+                yield out if mask is None else out.filter(mask)
 
     return docs.mapInArrow(run, T.StructType(kept + list(fields.fields)))
 

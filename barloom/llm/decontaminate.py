@@ -143,7 +143,7 @@ def _scan(docs: DataFrame, windows: DataFrame, text: str, drop: tuple[str, ...]
         pairs = pa.list_(pa.list_(pa.int64()))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pairs, pairs]
         return [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], None
-    return annotate(docs, kernel, FIELDS, drop)
+    return annotate(docs, kernel, FIELDS, drop, text)
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -175,7 +175,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         pairs = pa.list_(pa.list_(pa.int64()))
         return [pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.list_(pa.string()), pairs, pairs], strict=True)], None
     rows = docs.select("*", *row_key(F.col(doc_id), F.col(text))).join(merged, KEY, "left").drop(*KEY)
-    return annotate(rows, kernel, FIELDS, drop).drop("_items", "_runs")
+    return annotate(rows, kernel, FIELDS, drop, text).drop("_items", "_runs")
 
 
 def contaminated() -> Column:

@@ -133,12 +133,12 @@ def fingerprints(docs: DataFrame, text: str = "text", split: int = SPLIT, digest
     one = [pa.int64()] * 3
     fields = T.StructType(PRINT.fields + (DIGEST.fields if digest else []))
     values = (lambda t: _print(t) + _digest(t)) if digest else _print
-    whole = annotate(docs.filter(size <= split), _kernel(text, values, one + [pa.string()] * digest), fields, (text,))
+    whole = annotate(docs.filter(size <= split), _kernel(text, values, one + [pa.string()] * digest), fields, (text,), text)
     huge = docs.filter(size > split)
     if huge.isEmpty():
         return whole
     parts = pieces(huge, text, split, KEY, clean=False).repartition(*KEY, "no")
-    parts = annotate(parts, _kernel("piece", _print, one), PRINT, ("piece",))
+    parts = annotate(parts, _kernel("piece", _print, one), PRINT, ("piece",), "piece")
     each = parts.groupBy(*KEY).agg(F.collect_set(F.struct("no", "len", "f1", "f2")).alias("ps"))  # at most 2 GB / split
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def fingerprints(docs: DataFrame, text: str = "text", split: int = SPLIT, digest
                                              names=[*KEY, *PRINT.names])
 
     combined = each.mapInArrow(combine, T.StructType(_KEY_TYPE.fields + PRINT.fields))
-    rest = annotate(huge, _kernel(text, _digest, [pa.string()]), DIGEST, (text,)) if digest else huge.drop(text)
+    rest = annotate(huge, _kernel(text, _digest, [pa.string()]), DIGEST, (text,), text) if digest else huge.drop(text)
     return whole.unionByName(rest.join(combined, KEY))
 
 

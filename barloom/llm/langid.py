@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text
             flush()
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())], None
 
-    out = annotate(docs.withColumn("_letters", letters), kernel, RESULT, () if keep_text else (text,))
+    out = annotate(docs.withColumn("_letters", letters), kernel, RESULT, () if keep_text else (text,), text)
     return (out.withColumn("score", F.when(unknown, 0.0).otherwise(F.least(F.col("score"), F.lit(1.0))))
             .withColumn("lang_pred", F.when(unknown, UNKNOWN).otherwise(F.col("lang_pred"))).drop("_letters"))
 

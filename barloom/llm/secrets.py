@@ -272,7 +272,7 @@ def scan(docs: DataFrame, formats: Formats, text: str = "text", keep_text: bool
     def kernel(b: pa.RecordBatch):
         out = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(raw, shared.value)] for raw in each_text(b.column(text))]
         return [pa.array(out, _ARROW)], None
-    return annotate(docs, kernel, T.StructType().add("secrets", _SPANS), () if keep_text else (text,))
+    return annotate(docs, kernel, T.StructType().add("secrets", _SPANS), () if keep_text else (text,), text)
 
 
 def op6_secret_scan(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 4, keep
     def kernel(b: pa.RecordBatch):
         fps = [fingerprint(t, shingle) for t in each_text(b.column(text))]
         return [pa.array(fps, pa.int64())], None
-    return annotate(docs, kernel, T.StructType([T.StructField("fp", T.LongType())]), () if keep_text else (text,))
+    return annotate(docs, kernel, T.StructType([T.StructField("fp", T.LongType())]), () if keep_text else (text,), text)
 
 
 def segments(k: int) -> list[tuple[int, int]]:
