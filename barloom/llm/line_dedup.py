@@ -35,6 +35,7 @@ from barloom.llm.kernels import each_text
 from barloom.session import cut
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 12, 6, 0.8
+MOST_BROADCAST = 1_000_000
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -168,9 +169,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """(a, b) of the candidate pairs with exact Jaccard similarity ``least`` or more."""
     pairs = cut(pairs.distinct())
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    wanted = ends.groupBy("node").agg(F.count("*").alias("n"))
-    texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(wanted, "node")
-                .groupBy("node").agg(F.first("line").alias("line"), F.first("n").alias("n")))
+    wanted = cut(ends.groupBy("node").agg(F.count("*").alias("n")))
+    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # two numbers a row
+    texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(few, "node").dropDuplicates(["node"]))
     a = attach(pairs, texts.withColumnsRenamed({"node": "a", "line": "line_a"}), "a").drop("n")
     both = a.join(texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
     return cut(both.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: _jaccard(it, least), "a bigint, b bigint"))
@@ -200,14 +201,20 @@ def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
 def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per visible line: KEY, ``line_no``, ``line_class`` (a node of its component) and ``kept``."""
     keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text))
+    place = F.struct(*KEY, "line_no")
+
+    def grouped(lines: DataFrame) -> DataFrame:
+        return cut(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first"),
+                                             F.min("other").alias("lo"), F.max("other").alias("hi")))
     lines = cut(read_lines(keyed, text))
-    clash = cut(lines.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").select("node"))
+    each = grouped(lines)
+    clash = each.filter("lo <> hi").select("node")
     if not clash.isEmpty():  # two lines of one 64-bit hash: the second hash tells them apart
         lines = cut(lines.join(clash.withColumn("_x", F.lit(True)), "node", "left")
                     .withColumn("node", F.when(F.col("_x"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("_x"))
-    place = F.struct(*KEY, "line_no")
+        each = grouped(lines)
+    each = each.drop("lo", "hi")
     rows = lines.select(*KEY, "line_no", "node")
-    each = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     roots = cut(similar_lines(lines, least))
     linked = cut(each.join(roots, "node"))
     whole = linked.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("m"))
