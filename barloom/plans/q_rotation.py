@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded
@@ -125,8 +127,8 @@ def c3(spark, sf_dir):
     return rounded(panel(bars_market(spark, sf_dir), ("close", "volume")).select("symbol", "ts", "close", "volume"))
 
 
-# the ensemble query combines strategies whose SQL can share one statement
-ENSEMBLE = ["Momentum_Rotation", "Volatility_Rotation", "VIX_Rotation", "MeanReversion_Intraday"]
+ENSEMBLE = sorted(STRATEGY_SQL)
+recursive = partial(with_, recursive=True)
 
 
 def _prefixed(name: str, tag: str) -> tuple[str, ...]:
@@ -155,18 +157,18 @@ def _ensemble(spark, sf_dir):
     return p, weights, rot.ensemble(weights, rot.meta_weights(spark, ENSEMBLE))
 
 
-@query("m16_ensemble", with_(MARKET, PANEL, *_ENS) + f"SELECT symbol, c.ts, {r('weight')} FROM ens JOIN cal c USING (d)")
+@query("m16_ensemble", recursive(MARKET, PANEL, *_ENS) + f"SELECT symbol, c.ts, {r('weight')} FROM ens JOIN cal c USING (d)")
 def m16(spark, sf_dir):
     return rounded(_ensemble(spark, sf_dir)[2].select("symbol", "ts", "weight"))
 
 
-@query("c9_portfolio_returns", with_(MARKET, PANEL, *_ENS) + f"SELECT ts, {r('ret')} FROM port")
+@query("c9_portfolio_returns", recursive(MARKET, PANEL, *_ENS) + f"SELECT ts, {r('ret')} FROM port")
 def c9(spark, sf_dir):
     p, _, ens = _ensemble(spark, sf_dir)
     return rounded(rot.portfolio_returns(ens, panel_returns(p), p.select("d", "ts").distinct()).select("ts", "ret"))
 
 
-@query("i15_ensemble_portfolio", with_(MARKET, PANEL, *_ENS, "pe AS (SELECT ts, d, ret, product(1 + ret) OVER (ORDER BY d) AS eq FROM port)",
+@query("i15_ensemble_portfolio", recursive(MARKET, PANEL, *_ENS, "pe AS (SELECT ts, d, ret, product(1 + ret) OVER (ORDER BY d) AS eq FROM port)",
        "pk AS (SELECT *, eq / max(eq) OVER (ORDER BY d) - 1 AS dd FROM pe)") + f"""SELECT {r('product(1 + ret) - 1', 'total_return', 5)},
   {r("pow(product(1 + ret), 365.25 / (max(ts) - min(ts))) - 1", 'cagr', 5)}, {r('avg(ret) / stddev_samp(ret) * sqrt(252.0)', 'sharpe', 5)},
   {r('avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252.0)', 'sortino', 5)}, {r('min(dd)', 'max_dd', 5)} FROM pk""")
@@ -180,7 +182,7 @@ def i15(spark, sf_dir):
     return rounded(df.select("total_return", cagr.alias("cagr"), "sharpe", "sortino", "max_dd"), 5)
 
 
-@query("d26_diversification", with_(MARKET, PANEL, *_ENS,
+@query("d26_diversification", recursive(MARKET, PANEL, *_ENS,
        "sr AS (SELECT strategy, a.d, sum(weight * coalesce(ret, 0)) AS ret FROM aw a JOIN er USING (symbol, d) GROUP BY strategy, a.d)",
        "sg AS (SELECT s.strategy, c.d, coalesce(sr.ret, 0) AS ret FROM (SELECT DISTINCT strategy FROM sr) s JOIN cal c ON true LEFT JOIN sr ON sr.strategy = s.strategy AND sr.d = c.d)",
        "cc AS (SELECT corr(a.ret, b.ret) AS c FROM sg a JOIN sg b ON a.d = b.d AND a.strategy <> b.strategy GROUP BY a.strategy, b.strategy)") +
@@ -195,7 +197,7 @@ def d26(spark, sf_dir):
 _EXP = "ex(strategy, base, er, ev, hr, tv) AS (" + dims.values(dims.STRATEGIES) + ")"
 
 
-@query("d27_strategy_contribution", with_(MARKET, PANEL, *_ENS, _EXP,
+@query("d27_strategy_contribution", recursive(MARKET, PANEL, *_ENS, _EXP,
        f"rc AS (SELECT strategy, sum(weight * coalesce(ret, 0)) / {len(ENSEMBLE)} AS realised FROM aw JOIN er USING (symbol, d) GROUP BY strategy)") +
        f"SELECT strategy, {r('er / sum(er) OVER ()', 'contribution')}, {r('realised')} FROM rc JOIN ex USING (strategy)")
 def d27(spark, sf_dir):
@@ -209,9 +211,9 @@ def d27(spark, sf_dir):
                                                      (F.col("_r") * F.col("meta_weight")).alias("realised")))
 
 
-@query("d35_exposure_turnover", with_(MARKET, PANEL, *_ENS,
+@query("d35_exposure_turnover", recursive(MARKET, PANEL, *_ENS,
        "tw AS (SELECT symbol, d, weight FROM ens)",
-       "dl AS (SELECT d, abs(weight) AS a, 0.0 AS t FROM tw UNION ALL SELECT coalesce(x.d, y.d + 1), 0.0, abs(coalesce(x.weight, 0) - coalesce(y.weight, 0)) FROM tw x FULL JOIN tw y ON x.symbol = y.symbol AND x.d = y.d + 1)") +
+       "dl AS (SELECT d, abs(weight) AS a, 0.0::DOUBLE AS t FROM tw UNION ALL SELECT coalesce(x.d, y.d + 1), 0.0, abs(coalesce(x.weight, 0) - coalesce(y.weight, 0)) FROM tw x FULL JOIN tw y ON x.symbol = y.symbol AND x.d = y.d + 1)") +
        f"SELECT c.ts, {r('sum(a)', 'exposure')}, {r('sum(t)', 'turnover')} FROM dl JOIN cal c USING (d) GROUP BY c.ts")
 def d35(spark, sf_dir):
     p, _, ens = _ensemble(spark, sf_dir)
