@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalars import clip
 from barloom.operators import features as feat
@@ -265,6 +265,13 @@ def fired_rules(canary: DataFrame, rules: DataFrame, conditions: DataFrame) -> D
     return df.where(F.when(F.col("logic") == "AND", F.col("_all")).otherwise(F.col("_any"))).drop("_all", "_any")
 
 
+def vote_counts(canary: DataFrame) -> DataFrame:
+    """Votes of every signal per date, with the winner marked as in ``majority_signal``."""
+    n = canary.groupBy("ts", "signal").agg(F.count(F.lit(1)).alias("votes"), F.min("name").alias("_first"))
+    best = Window.partitionBy("ts").orderBy(F.desc("votes"), "_first")  # a date has a handful of signals
+    return n.withColumn("winner", F.row_number().over(best) == 1).drop("_first")
+
+
 def majority_signal(canary: DataFrame) -> DataFrame:
     """Most frequent signal per date; a tie goes to the signal of the first canary by name."""
     n = canary.groupBy("ts", "signal").agg(F.count(F.lit(1)).alias("votes"), F.min("name").alias("_first"))

@@ -79,21 +79,22 @@ def _yearly_moments(spark, sf_dir):
     return cut(pf.covariance(cut(rets), keys=("y",)))
 
 
-# the multiplicative step overshoots on noisy matrices: rounding differences grow with the step count,
-# so the comparison uses few steps (the operator's default is 100)
-STEPS = 6
+STEPS, DAMPING = 100, 0.5
 _PARITY = ("cy AS (SELECT a.y, a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) * 252 AS c FROM yr a JOIN yr b ON a.ts = b.ts GROUP BY a.y, a.symbol, b.symbol)",
            "cr AS (SELECT y, a, list(c ORDER BY b) AS row FROM cy GROUP BY y, a)",
            "cm AS MATERIALIZED (SELECT y, list(row ORDER BY a) AS m, list(a ORDER BY a) AS names, count(*) AS n FROM cr GROUP BY y)",
            f"""it AS (SELECT y, 0 AS k, list_transform(names, lambda x: 1.0::DOUBLE / n) AS w FROM cm UNION ALL
-  SELECT y, k + 1, list_transform(q, lambda x: x / list_sum(q)) FROM (SELECT it.y, k, list_transform(m, lambda r: 1 / list_dot_product(r, w)) AS q FROM it JOIN cm USING (y) WHERE k < {STEPS}))""",
+  SELECT y, k + 1, list_transform(q, lambda x: x / list_sum(q)) FROM (SELECT y, k,
+    list_transform(list_zip(w, g), lambda p: p[1] * pow(v / n / greatest(p[1] * p[2] / v, 1e-8), {DAMPING}::DOUBLE)) AS q FROM (
+    SELECT *, sqrt(list_dot_product(w, g)) AS v FROM (
+      SELECT it.y, k, n, w, list_transform(m, lambda r: list_dot_product(r, w)) AS g FROM it JOIN cm USING (y) WHERE k < {STEPS}))))""",
            f"fw AS (SELECT y, unnest(names) AS symbol, unnest(w) * {1 - CASH} AS raw FROM it JOIN cm USING (y) WHERE k = {STEPS})",
            "fc AS (SELECT y, symbol, greatest(0, least(1, raw)) AS c FROM fw)")
 
 
 @query("p4_risk_parity", with_(MARKET, RET, _YEARS, *_PARITY, recursive=True) + f"SELECT y, symbol, {r(f'c * {1 - CASH} / sum(c) OVER (PARTITION BY y)', 'weight', 5)} FROM fc")
 def p4(spark, sf_dir):
-    return rounded(pf.risk_parity(_yearly_moments(spark, sf_dir), CASH, STEPS, 0.0, 1.0, by=("y",)), 5)
+    return rounded(pf.risk_parity(_yearly_moments(spark, sf_dir), CASH, STEPS, 0.0, 1.0, by=("y",), damping=DAMPING), 5)
 
 
 @query("p7_kelly")

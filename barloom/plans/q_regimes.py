@@ -166,9 +166,9 @@ def b15(spark, sf_dir):
     return reg.condition_table(cn, reg.default_rules(spark)[1]).drop("field")
 
 
-@query("d32_vote_counts", with_(*BASE, _ALL, *_RULES, recursive=True) + "SELECT ts, signal, votes FROM mw WHERE k = 1")
+@query("d32_vote_counts", with_(*BASE, _ALL, *_RULES, recursive=True) + "SELECT ts, signal, votes, k = 1 AS winner FROM mw")
 def d32(spark, sf_dir):
-    return reg.majority_signal(reg.canaries(_wide(spark, sf_dir)))
+    return reg.vote_counts(reg.canaries(_wide(spark, sf_dir)))
 
 
 def _term(a: str, b: str, w: float) -> str:

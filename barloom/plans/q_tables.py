@@ -13,7 +13,7 @@ from barloom.plans import dims
 from barloom.plans.catalog import query
 from barloom.plans.inputs import brand, flag, market
 from barloom.plans.q_regimes import BASE, _ALL, _MACRO, _META, _SIX, _VOTE, _wide
-from barloom.plans.q_rotation import STRATEGY_SQL
+from barloom.plans.q_rotation import ENSEMBLE, _ENS, recursive
 from barloom.plans.q_signals import SCREEN
 from barloom.plans.sqltext import BRAND, BY, FLAG, HOUR, MARKET, PANEL, ema, r, with_
 from barloom.session import cut, work_folder
@@ -277,14 +277,10 @@ def f1(spark, sf_dir):
     return top.unionByName(low)
 
 
-_TWO = ("Volatility_Rotation", "Hedging_System")
-
-
-@query("c10_align_weights", with_(MARKET, PANEL, ", ".join(c for c in STRATEGY_SQL["Hedging_System"]).replace("w AS (SELECT b.symbol", "wh AS (SELECT b.symbol"), *STRATEGY_SQL["Volatility_Rotation"]) +
-       f"""SELECT symbol, c.ts, {r('sum(weight) / 2', 'weight')} FROM (SELECT symbol, d, weight FROM w UNION ALL SELECT symbol, d, weight FROM wh) x JOIN cal c ON c.d = x.d + 1 GROUP BY symbol, c.ts""")
+@query("c10_align_weights", recursive(MARKET, PANEL, *_ENS) + f"SELECT symbol, c.ts, {r('m.w', 'weight')} FROM mix m JOIN cal c USING (d)")
 def c10(spark, sf_dir):
-    w = rot.all_weights(panel(bars_market(spark, sf_dir)), list(_TWO))
-    df = w.join(F.broadcast(rot.meta_weights(spark, list(_TWO))), "strategy")
+    w = rot.all_weights(panel(bars_market(spark, sf_dir)))
+    df = w.join(F.broadcast(rot.meta_weights(spark, ENSEMBLE)), "strategy")
     return rounded(df.groupBy("symbol", "ts").agg(F.sum(F.col("weight") * F.col("meta_weight")).alias("weight")))
 
 

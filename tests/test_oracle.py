@@ -31,7 +31,7 @@ def test_query(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"p7_kelly"}
+    assert {q for q in set(QUERIES) - set(SQL) if q != "pipeline" and not q.startswith("op")} == {"p7_kelly"}
 
 
 def test_entry(spark):
