@@ -28,10 +28,10 @@ EXPECTED = {
 
 
 def strength(g, n=14):
-    """RSI of each window from its sums of gains and losses, one window at a time."""
+    """RSI of each window of n rows from its sums of gains and losses; the first row of a series has no move."""
     close, out = g.close.to_numpy(), np.full(len(g), 50.0)
-    for t in range(n, len(close)):
-        moves = close[t - n + 1:t + 1] - close[t - n:t]
+    for t in range(n - 1, len(close)):
+        moves = np.diff(close[max(0, t - n):t + 1])
         gain, loss = sum(m for m in moves if m > 0), -sum(m for m in moves if m < 0)
         if loss:
             out[t] = 100 * gain / (gain + loss)
