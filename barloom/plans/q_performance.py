@@ -133,14 +133,18 @@ def d34(spark, sf_dir):
 _SC = "sc(name, s, e) AS (" + dims.values(dims.SCENARIOS + [("1998", "1998-01-01", "1998-12-31")]) + ")"
 
 
+def scenarios(spark):
+    return dims.frame(spark, dims.SCENARIOS + [("1998", "1998-01-01", "1998-12-31")], "name string, s string, e string").select(
+        "name", F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
+
+
 @query("d28_historical_stress", with_(BRAND, _SC, "ins AS (SELECT symbol, ts, close, name FROM bars JOIN sc ON ts BETWEEN CAST(s AS DATE) AND CAST(e AS DATE))",
        "dd AS (SELECT *, close / max(close) OVER (PARTITION BY symbol, name ORDER BY ts) - 1 AS dd FROM ins)",
        "ag AS (SELECT symbol, name, max_by(close, ts) / min_by(close, ts) - 1 AS tr, min(dd) AS md FROM dd GROUP BY symbol, name)") +
        f"SELECT b.symbol, sc.name, {r('tr', 'total_return')}, {r('md', 'max_dd')} FROM (SELECT DISTINCT symbol FROM bars) b CROSS JOIN sc LEFT JOIN ag ON ag.symbol = b.symbol AND ag.name = sc.name")
 def d28(spark, sf_dir):
-    sc = dims.frame(spark, dims.SCENARIOS + [("1998", "1998-01-01", "1998-12-31")], "name string, s string, e string").select(
-        "name", F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
-    return rounded(val.historical_stress(cut(bars_brand(spark, sf_dir).select("symbol", "ts", "close")), sc, ("symbol",), "close"))
+    curve = cut(bars_brand(spark, sf_dir).select("symbol", "ts", "close"))
+    return rounded(val.historical_stress(curve, scenarios(spark), ("symbol",), "close"))
 
 
 @query("c8_window_join", with_(BRAND, _SC) + "SELECT name, symbol, count(*) AS bars FROM bars JOIN sc ON ts BETWEEN CAST(s AS DATE) AND CAST(e AS DATE) GROUP BY name, symbol")
@@ -231,18 +235,6 @@ def h10(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(norm_cdf(F.col("o_totalprice") / 100000 - 2), 6).alias("cdf"))
 
 
-@query("h6_validation_score", with_(BRAND, RET, _PERF, "hm AS (SELECT symbol, sharpe, CASE WHEN symbol < 'Brand#2' THEN NULL ELSE 1.0 END AS cross_asset FROM p2)",
-       """pt AS (SELECT symbol, cross_asset, 2 * CASE WHEN sharpe >= 1.2 THEN 2.0 WHEN sharpe >= 0.8 THEN 1.5 WHEN sharpe >= 0.5 THEN 1.0 WHEN sharpe >= 0.2 THEN 0.5 ELSE 0.2 END
-  + CASE WHEN sharpe > 1 THEN 2.0 WHEN sharpe > 0.5 THEN 1.5 ELSE 0.7 END + 1.5 + 0.75 + coalesce(cross_asset, 0) + 0.5 AS raw FROM hm)""") +
-       f"""SELECT symbol, {r('CAST(raw AS DOUBLE)', 'score_raw')}, CAST(CASE WHEN cross_asset IS NULL THEN 8.5 ELSE 10 END AS DOUBLE) AS score_available,
-  {r('CAST(raw AS DOUBLE) / CASE WHEN cross_asset IS NULL THEN 8.5 ELSE 10 END * 10', 'score_normalised', 2)}, CAST(CASE WHEN cross_asset IS NULL THEN 85 ELSE 100 END AS DOUBLE) AS coverage_pct FROM pt""")
-def h6(spark, sf_dir):
-    m = perf.metrics(_curve(spark, sf_dir), ("symbol",), "close")
-    df = m.select("symbol", F.col("sharpe").alias("is_sharpe"), F.col("sharpe").alias("oos_sharpe"), F.col("sharpe").alias("walk_forward"),
-                  F.lit(0.9).alias("stress"), F.lit(0.75).alias("temporal"), F.when(F.col("symbol") >= "Brand#2", 1.0).alias("cross_asset"), F.lit(0.5).alias("sensitivity"))
-    return rounded(val.validation_score(df).select("symbol", "score_raw", "score_available", "score_normalised", "coverage_pct"))
-
-
 @query("j1_named_metrics", with_(BRAND, RET) + f"""SELECT symbol, {r('avg(ret) / stddev_samp(ret) * sqrt(252.0)', 'sharpe')},
   {r('avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252.0)', 'sortino')}, {r('stddev_samp(ret) * sqrt(252.0)', 'annual_vol')},
   {r('count(*) FILTER (ret > 0) * 100.0 / count(ret)', 'win_rate')}, {r('sum(ret) FILTER (ret > 0) / abs(sum(ret) FILTER (ret < 0))', 'profit_factor')},

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import MIX_I, MIX_SEED, MIX_SIM, PRIME, rounded
 from barloom.operators import features as feat, performance as perf, validation as val
-from barloom.operators.timeline import number
+from barloom.operators.timeline import attach, number
 from barloom.plans.catalog import query
 from barloom.plans.inputs import flag
-from barloom.plans.q_performance import RET, _PERF, _psr
+from barloom.plans.q_performance import RET, _PERF, _SC, _psr, scenarios
 from barloom.plans.sqltext import BY, FLAG, ema, r, with_
 from barloom.session import cut
 
@@ -279,3 +279,40 @@ def v18(spark, sf_dir):
     cols = ("sensitivity", "neighbour", "walk_forward", "pbo", "dsr", "p_value", "confidence_share")
     return df.select("symbol", *[F.round(c, 6).alias(c) for c in cols], F.round("overall", 5).alias("overall"), "is_overfitted",
                      F.array_join("warnings", "; ").alias("warnings"))
+
+
+def _points(x: str) -> str:
+    return f"CASE WHEN {x} >= 1.2 THEN 2.0 WHEN {x} >= 0.8 THEN 1.5 WHEN {x} >= 0.5 THEN 1.0 WHEN {x} >= 0.2 THEN 0.5 ELSE 0.2 END"
+
+
+_H6 = ("wa AS (SELECT symbol, round(avg(a), 9) AS is_sharpe, round(avg(b), 9) AS oos_sharpe, coalesce(corr(a, b), 0) AS c, avg(a) AS i, avg(b) AS o FROM wf GROUP BY symbol)",
+       "nr AS (SELECT * FROM sc WHERE slow = 80 UNION ALL SELECT * FROM sc WHERE fast = 10)",
+       "sv AS (SELECT symbol, 1 - least(1, stddev_pop(score) / (abs(avg(score)) + 1e-8)) AS sensitivity FROM nr GROUP BY symbol)",
+       _SC.replace("sc(name, s, e)", "scen(name, s, e)"),
+       """ds AS (SELECT symbol, name, close / max(close) OVER (PARTITION BY symbol, name ORDER BY ts) - 1 AS dd FROM bars
+  JOIN scen ON ts BETWEEN CAST(s AS DATE) AND CAST(e AS DATE))""",
+       "sd AS (SELECT symbol, round(1 + min(dd), 9) AS stress FROM ds GROUP BY symbol)",
+       """vs AS (SELECT symbol, is_sharpe, oos_sharpe, stress, sensitivity, greatest(0, least(1, (c + 1) / 2 * greatest(0, least(1, o / (i + 1e-8))))) AS temporal,
+  (SELECT count(*) FILTER (oos_sharpe > 0) / count(*)::DOUBLE FROM wa) AS cross_asset FROM wa JOIN sv USING (symbol) LEFT JOIN sd USING (symbol))""",
+       f"""pt AS (SELECT *, CASE WHEN cross_asset = 0 THEN 8.5 ELSE 10.0 END::DOUBLE AS available, ({_points('is_sharpe')} + {_points('oos_sharpe')}
+  + CASE WHEN oos_sharpe > 1 THEN 2.0 WHEN oos_sharpe > 0.5 THEN 1.5 ELSE 0.7 END + CASE WHEN stress > 0.8 THEN 1.5 ELSE 1.0 END)::DOUBLE
+  + temporal + cross_asset + sensitivity AS raw FROM vs)""")
+
+
+@query("h6_validation_score", with_(FLAG, *_SWEEP, *_WF, *_H6, recursive=True) + f"""SELECT symbol, {r('is_sharpe')}, {r('oos_sharpe')}, {r('stress')}, {r('temporal')},
+  {r('cross_asset')}, {r('sensitivity')}, {r('raw', 'score_raw')}, available AS score_available, {r('raw / available * 10', 'score_normalised', 2)},
+  CASE WHEN available = 8.5 THEN 85.0 ELSE 100.0 END::DOUBLE AS coverage_pct FROM pt""")
+def h6(spark, sf_dir):
+    """Sharpe in and out of sample and its stability from the walk-forward, worst scenario drawdown, sweep sensitivity,
+    and the share of symbols with a positive out-of-sample Sharpe as the cross-asset part."""
+    sweep = _sweep(spark, sf_dir)
+    walk = cut(val.walk_forward(sweep, _windows(spark)))
+    m = walk.groupBy("symbol").agg(F.round(F.avg("train_metric"), 9).alias("is_sharpe"), F.round(F.avg("test_metric"), 9).alias("oos_sharpe"))
+    share = m.agg((F.count_if(F.col("oos_sharpe") > 0) / F.count(F.lit(1))).alias("cross_asset"))
+    curve = cut(flag(spark, sf_dir).select("symbol", "ts", "close"))
+    stress = val.historical_stress(curve, scenarios(spark), ("symbol",), "close").groupBy("symbol").agg(F.round(1 + F.min("max_dd"), 9).alias("stress"))
+    steady = val.parameter_sensitivity(val.sweep_scores(sweep), BASE).select("symbol", (1 - F.col("sensitivity")).alias("sensitivity"))
+    parts = attach(m, share).join(val.walk_forward_stability(walk).withColumnRenamed("stability", "temporal"), "symbol")
+    parts = parts.join(steady, "symbol").join(stress, "symbol", "left").withColumn("walk_forward", F.col("oos_sharpe"))
+    return rounded(val.validation_score(parts).select("symbol", "is_sharpe", "oos_sharpe", "stress", "temporal", "cross_asset", "sensitivity",
+                                                      "score_raw", "score_available", "score_normalised", "coverage_pct"))
