@@ -165,7 +165,9 @@ def b17(spark, sf_dir):
 
 
 @query("a10_decision_log", with_(*BASE, _ALL, _VOTE, *_META, "cw AS (SELECT ts, count(*) FILTER (signal = 'RiskOn') AS a, count(*) FILTER (signal = 'RiskOff') AS b, list(name || ' ' || signal ORDER BY name) AS l FROM cn GROUP BY ts)",
-       recursive=True) + """SELECT vt.ts, vt.regime AS final_regime, a AS risk_on_votes, b AS risk_off_votes, (SELECT max(regime) FROM ly WHERE ly.ts = vt.ts AND layer = 'CreditRegime') AS credit_layer,
+       recursive=True) + """SELECT vt.ts, vt.regime AS final_regime, a AS risk_on_votes, b AS risk_off_votes, (SELECT string_agg(layer || '=' || regime, ';' ORDER BY layer) FROM ly WHERE ly.ts = vt.ts) AS layers,
+  array_to_string(l, ';') AS canaries, (SELECT count(DISTINCT symbol) FROM bars WHERE bars.ts = vt.ts) AS held,
+  (SELECT round(sum(v), 4) FROM (SELECT max(volume) AS v FROM bars WHERE bars.ts = vt.ts GROUP BY symbol)) AS total_weight,
   printf('On %s: regime %s, confidence %.4f. Votes %d on, %d off. Canaries: %s.', strftime(vt.ts, '%Y-%m-%d'), vt.regime, round(vt.confidence, 9), a, b, array_to_string(l[1:4], '; ')) AS human_readable FROM vt JOIN cw USING (ts)""")
 def a10(spark, sf_dir):
     wide = _wide(spark, sf_dir)
@@ -175,8 +177,14 @@ def a10(spark, sf_dir):
     log = ledger.decision_log(cn, vote, reg.layers(wide), w)
     path = _place(spark)
     ledger.export_log(log, path)
-    back = spark.read.schema("ts date, final_regime string, risk_on_votes long, risk_off_votes long, regime_layers map<string,string>, human_readable string").json(path)
-    return back.select("ts", "final_regime", "risk_on_votes", "risk_off_votes", F.element_at("regime_layers", "CreditRegime").alias("credit_layer"), "human_readable")
+    back = spark.read.schema("ts date, final_regime string, risk_on_votes long, risk_off_votes long, regime_layers map<string,string>, "
+                             "canaries array<struct<name: string, signal: string>>, portfolio_weights map<string,double>, human_readable string").json(path)
+    layer = F.transform(F.array_sort(F.map_entries("regime_layers")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    canary = F.transform("canaries", lambda x: F.concat(x["name"], F.lit(" "), x["signal"]))
+    total = F.aggregate(F.map_values("portfolio_weights"), F.lit(0.0), lambda a, x: a + x)
+    return back.select("ts", "final_regime", "risk_on_votes", "risk_off_votes", F.array_join(layer, ";").alias("layers"),
+                       F.array_join(canary, ";").alias("canaries"), F.size("portfolio_weights").cast("bigint").alias("held"),
+                       F.round(total, 4).alias("total_weight"), "human_readable")
 
 
 # ------------------------------------------------------------------ text records

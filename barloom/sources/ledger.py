@@ -78,7 +78,9 @@ def unseen(items: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def append_seen(items: DataFrame, path: str, key: str = "id") -> None:
-    items.select(key).distinct().orderBy(key).write.mode("append").parquet(path)
+    """Add the keys that the ledger does not have yet."""
+    keys = items.select(key).distinct()
+    cut(unseen(keys, load(keys.sparkSession, path, keys), key)).write.mode("append").parquet(path)
 
 
 def decision_log(canaries: DataFrame, regime: DataFrame, layers: DataFrame, weights: DataFrame) -> DataFrame:
