@@ -50,6 +50,10 @@ def shingles(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i:i + size] for i in range(max(1, len(line) - size + 1))}
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys; normalised lines, none empty."""
     lens = np.array([len(x) for x in lines])
@@ -76,9 +80,11 @@ def signatures(lines: list[str]) -> np.ndarray:
     while i < len(lines):
         j = max(i + 1, int(np.searchsorted(first, first[i] + _BLOCK)))
         part = h[first[i]:first[j] if j < len(first) else None]
-        at = first[i:j] - first[i]
+        at, room = first[i:j] - first[i], np.empty(len(part), np.uint32)
         for k in range(BANDS * ROWS):
-            out[i:j, k] = np.minimum.reduceat(part * _MULTIPLY[k] + _ADD[k], at)
+            np.multiply(part, _MULTIPLY[k], out=room)
+            np.add(room, _ADD[k], out=room)
+            out[i:j, k] = np.minimum.reduceat(room, at)
         i = j
     keys = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
@@ -117,8 +123,7 @@ def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) ->
                     if not line:
                         continue
                     code = line.encode()
-                    ids = (np.int64(np.uint64(xxh64_intdigest(code, 1)).view(np.int64)).item(),
-                           np.int64(np.uint64(xxh64_intdigest(code, 2)).view(np.int64)).item())
+                    ids = _signed(xxh64_intdigest(code, 1)), _signed(xxh64_intdigest(code, 2))
                     place = None
                     if ids not in seen:
                         seen.add(ids)
