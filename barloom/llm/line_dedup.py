@@ -24,6 +24,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,13 +158,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, line_a, line_b) that are similar enough."""
+    """Pairs (a, b, line_a, line_b) that are similar enough; lines met again soon keep their shingle sets."""
+    kept = lru_cache(512)(shingles)
+
+    def sets(line: str) -> set[str]:
+        return kept(line) if len(line) <= 4096 else shingles(line)
     for batch in batches:
-        last, own, ok = None, set(), []
+        ok = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x != last:
-                last, own = x, shingles(x)
-            there = shingles(y)
+            own, there = sets(x), sets(y)
             n, m = len(own), len(there)
             both = len(own & there) if min(n, m) >= least * max(n, m) else -1  # sizes alone rule the others out
             ok.append(both >= least * (n + m - both))
