@@ -14,6 +14,7 @@ from barloom.session import cut
 
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+SMALL = 50_000
 
 
 def fold(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -66,9 +67,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", share: in
 
     Keys with more than 1/``share`` of all rows are fewer than ``share``, so
     that side is broadcast with this bound; all other keys are small and join
-    by a shuffle. ``rows`` is read twice and should be a stored table.
+    by a shuffle. ``rows`` is read twice and should be a stored table. Up to
+    SMALL groups are broadcast whole.
     """
-    total = groups.agg(F.sum(n)).first()[0] or 0
+    total, count = groups.agg(F.sum(n), F.count("*")).first()
+    total = total or 0
+    if count <= SMALL:
+        return rows.join(F.broadcast(groups), key)
     heavy = F.col(n) * share > total
     hot = F.broadcast(groups.filter(heavy))
     return (rows.join(hot, key)
