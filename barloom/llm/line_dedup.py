@@ -23,7 +23,7 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -173,7 +173,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, least: float, compare: Callable) -> DataFrame:
     """(a, b) of the candidate pairs with exact Jaccard similarity ``least`` or more."""
     pairs = cut(pairs.distinct())
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -182,16 +182,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(few, "node").dropDuplicates(["node"]))
     a = attach(pairs, texts.withColumnsRenamed({"node": "a", "line": "line_a"}), "a").drop("n")
     both = a.join(texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-    return cut(both.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: _jaccard(it, least), "a bigint, b bigint"))
+    return cut(both.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: compare(it, least), "a bigint, b bigint"))
 
 
-def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, root) of all lines that have a similar other line."""
+def similar_lines(lines: DataFrame, least: float = LEAST, compare: Callable = _jaccard) -> DataFrame:
+    """(node, root) of all lines that have a similar other line; ``compare`` filters batches of pairs with their lines."""
     signed = lines.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), "node")
     stars = cut(signed.repartition("key").sortWithinPartitions("key", "node")
                 .mapInArrow(_stars, "key bigint, leader bigint, node bigint"))
     first = stars.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = _verified(first, lines, least)
+    links = _verified(first, lines, least, compare)
     roots = cut(components(links))
     members = (stars.select("key", "leader", "node").join(roots, "node", "left")
                .select("key", "leader", "node", F.coalesce("root", "node").alias("root")))
@@ -203,7 +203,7 @@ def similar_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
     rest = cut(rest.distinct())
     if rest.isEmpty():
         return roots
-    return components(links.unionByName(_verified(rest, lines, least)))
+    return components(links.unionByName(_verified(rest, lines, least, compare)))
 
 
 def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

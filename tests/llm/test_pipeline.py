@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline as cp
@@ -49,3 +51,23 @@ def test_stages_on_empty_input(spark, no_docs, odd_benchmark, tmp_path, name):
     docs = no_docs.drop("size", "fp", "shard")
     out = dict(cp.STAGES)[name](spark, docs, str(tmp_path))
     assert out.collect() == [] and out.columns[:len(docs.columns)] == docs.columns
+
+
+def test_near_dedup_stage_drops_edited_copies(spark):
+    """Against brute force: linked is what has a Jaccard similarity of 0.8 over five words, not what is nearly identical."""
+    rng = random.Random(4)
+    rows, words = [], [f"word{i}" for i in range(3000)]
+    for k in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        rows.append((10 * k, " ".join(base)))
+        for j, share in enumerate((0.005, 0.01, 0.02, 0.03, 0.06), 1):
+            rows.append((10 * k + j, " ".join(w if rng.random() > share else rng.choice(words) for w in base)))
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in similar:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in cp.near_dedup(spark, docs, "").collect()}
+    assert kept == set(root.values()) and 30 < len(kept) < 120
