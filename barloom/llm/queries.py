@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL where SQL can express them."""
+"""The registered queries of the operators and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, lm_score, mixing, secrets, sharding, simhash
+from barloom.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, lm_score, merkle, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,5 @@ _on_documents("op7_line_dedup", line_dedup.op7_line_dedup)
 _on_documents("op8_simhash_dedup", simhash.op8_simhash)
 _on_documents("op9_lm_score", lm_score.op9_lm_score)
 _on_documents("op10_sharding", sharding.op10_sharding)
+_on_documents("op12_merkle", merkle.op12_merkle)
+ORACLE["op12_merkle"] = merkle.ORACLE
