@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, knn_join, langid, licenses, line_dedup, lm_score, merkle, mixing, secrets, sharding, simhash
+from barloom.llm import decontaminate, exact_dedup, knn_join, langid, licenses, line_dedup, lm_score, merkle, mixing, secrets, sharding, simhash, token_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,7 @@ _on_documents("op7_line_dedup", line_dedup.op7_line_dedup)
 _on_documents("op8_simhash_dedup", simhash.op8_simhash)
 _on_documents("op9_lm_score", lm_score.op9_lm_score)
 _on_documents("op10_sharding", sharding.op10_sharding)
+_on_documents("op11_token_alignment", token_links.op11_token_alignment)
 _on_documents("op12_merkle", merkle.op12_merkle)
 ORACLE["op12_merkle"] = merkle.ORACLE
 QUERIES["op13_top_k"] = lambda spark, sf_dir: knn_join.op13_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
