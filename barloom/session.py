@@ -23,6 +23,9 @@ def build_session(app: str = "barloom", cpus: str = "*", shuffle_partitions: int
     )
 
 
+_LOCAL: dict[str, str] = {}  # temporary folder of a local session, by application
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application.
 
@@ -31,13 +34,13 @@ def work_folder(spark: SparkSession) -> str:
     cluster the executors could not share it, so there it is an error. Removed
     when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app)
     if base is None:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
+        base = _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/barloom-{app}"
 
 
 def cut(df: DataFrame) -> DataFrame:
