@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import change, crossed_down, crossed_up, truth
 from barloom.operators import features as feat
-from barloom.operators.timeline import ema_blocks, ema_input, emas, index_bars, linear_scan, own, pick, window
+from barloom.operators.timeline import ema_blocks, ema_input, emas, index_bars, linear_scan, own, pick, scan, window
+from barloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,46 @@ def _temacd_blocks(bars: DataFrame, p: TripleEma, warmup: bool) -> DataFrame:
     return df.withColumn("delta", F.col("macd") - F.col("amacd"))
 
 
+# recurrences behind the columns above, as they are carried from bar to bar
+CARRIED = ("ema1", "ema2", "ema3", "macd_fast", "macd_slow", "amacd")
+
+
+def temacd_step(bars: DataFrame, state: DataFrame, p: TripleEma = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Conditions of new bars given the state of each symbol's last bar, and the state after them.
+
+    ``bars(symbol, ts, close)`` follow the bars behind ``state(symbol, ts, _i,
+    close, carried)``, whose struct ``carried`` holds the recurrences at that bar; the
+    history itself is not needed. A state row enters the block scan as the bar it
+    stands for, with its values as input, so any number of new bars, also a
+    first load of whole histories, is worked on in blocks. The result has ``_i``,
+    the columns of ``temacd_conditions`` and ``prev_close``; the second frame has the new
+    states of the symbols in ``bars``.
+    """
+    new = scan(bars.where(F.col("close").isNotNull()).select("symbol", "ts", "close"), {"_k": ("count", F.lit(1))})
+    known = state.join(bars.select("symbol").distinct(), "symbol", "left_semi")
+    at = known.select("symbol", (F.col("_i") + 1).alias("_from"))
+    new = new.join(at, "symbol", "left").withColumn("_i", F.coalesce("_from", F.lit(0)) + F.col("_k") - 1).drop("_from", "_k")
+    df = ema_blocks(new.unionByName(known, allowMissingColumns=True))
+    start = max(p.macd_fast, p.macd_slow) - 1
+    spans = {"ema1": p.fast, "ema2": p.mid, "ema3": p.slow, "macd_fast": p.macd_fast, "macd_slow": p.macd_slow}
+
+    def seeded(df: DataFrame, x: Column, spans: dict[str, int], start: int) -> DataFrame:
+        inputs = {n: ema_input(x, span, start) for n, span in spans.items()}
+        df = linear_scan(df, {f"_{n}": (F.coalesce(F.col(f"carried.{n}"), u), beta) for n, (u, beta) in inputs.items()})
+        exact = {n: F.when(F.col("_i") == start, x) for n in spans}  # seeds and states are free of rounding
+        return df.withColumns({f"_{n}": F.coalesce(F.col(f"carried.{n}"), e, F.col(f"_{n}")) for n, e in exact.items()})
+
+    df = seeded(df, F.col("close"), spans, 0)
+    df = df.withColumn("macd", F.col("_macd_fast") - F.col("_macd_slow"))
+    df = seeded(df, F.col("macd"), {"amacd": p.macd_signal}, start)
+    shown = {"ema1": p.fast - 1, "ema2": p.mid - 1, "ema3": p.slow - 1, "amacd": start + p.macd_signal - 1}
+    df = df.withColumns({n: F.when(F.col("_i") >= first, F.col(f"_{n}")) for n, first in shown.items()})
+    df = df.withColumn("delta", F.col("macd") - F.col("amacd"))
+    df = own(_crossings(df).withColumn("prev_close", F.lag("close").over(window())), drop_index=False)
+    df = cut(df.withColumn("_old", F.col("carried").isNotNull()).withColumn("carried", F.struct(*[F.col(f"_{n}").alias(n) for n in CARRIED])))
+    return df.where("NOT _old").drop("_old", "carried", *[f"_{n}" for n in CARRIED]), last_row(df.select("symbol", "ts", "_i", "close", "carried"), order="_i")
+
+
 def _crossings(df: DataFrame) -> DataFrame:
     w = window()
 
@@ -117,16 +158,24 @@ def screener(bars: DataFrame, p: TripleEma = DEFAULT, min_bars: int = 250) -> Da
     df = _crossings(_temacd_blocks(pick(bars, "close"), p, True))
     df = df.withColumn("prev_close", F.lag("close").over(window()))
     last = last_row(own(df, drop_index=False))
-    last = last.where((F.col("_i") >= min_bars - 1) & F.col("ema3").isNotNull() & F.col("delta").isNotNull())
-    signal = F.when(F.col("long"), "LONG ENTRY").when(F.col("short"), "SHORT/EXIT").otherwise("HOLD")
+    last = last.where(complete(min_bars))
     return last.select(
         "symbol", F.col("ts").cast("date").alias("date"), "close", "prev_close",
         F.coalesce(change(F.col("close"), F.col("prev_close")) * 100, F.lit(0.0)).alias("chg_pct"),
         "ema1", "ema2", "ema3", "delta", "macd", "amacd", "long", "short",
-        signal.alias("signal"), trend_label(F.col("ema1"), F.col("ema2"), F.col("ema3")).alias("trend"),
+        decision().alias("signal"), trend_label(F.col("ema1"), F.col("ema2"), F.col("ema3")).alias("trend"),
         trigger_array().alias("triggers"))
 
 
+def complete(min_bars: int) -> Column:
+    """A bar with enough history for a decision."""
+    return (F.col("_i") >= min_bars - 1) & F.col("ema3").isNotNull() & F.col("delta").isNotNull()
+
+
+def decision() -> Column:
+    return F.when(F.col("long"), "LONG ENTRY").when(F.col("short"), "SHORT/EXIT").otherwise("HOLD")
+
+
 def signal_order() -> Column:
     return F.when(F.col("signal") == "LONG ENTRY", 0).when(F.col("signal") == "SHORT/EXIT", 1).when(
         F.col("signal") == "HOLD", 2).otherwise(3)

@@ -42,15 +42,16 @@ def temacd_sql(p: sig.TripleEma = sig.DEFAULT, warmup: bool = True, src: str = "
     )
 
 
-_TRIG = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in sig.TRIGGERS) + "], lambda v: v IS NOT NULL)"
+TRIG = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in sig.TRIGGERS) + "], lambda v: v IS NOT NULL)"
+TREND = """CASE WHEN ema1 > ema2 AND ema2 > ema3 THEN 'STRONG BULL' WHEN ema1 > ema2 THEN 'BULLISH'
+    WHEN ema1 < ema2 AND ema2 < ema3 THEN 'STRONG BEAR' WHEN ema1 < ema2 THEN 'BEARISH' ELSE 'NEUTRAL/ROTATION' END"""
 SCREEN = temacd_sql() + (
     f"""lastbar AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM cond)""",
     f"""screen AS (SELECT symbol, ts AS date, close, prev_close, (close - prev_close) / prev_close * 100 AS chg_pct,
   ema1, ema2, ema3, delta, macd, amacd, long, short,
   CASE WHEN long THEN 'LONG ENTRY' WHEN short THEN 'SHORT/EXIT' ELSE 'HOLD' END AS signal,
-  CASE WHEN ema1 > ema2 AND ema2 > ema3 THEN 'STRONG BULL' WHEN ema1 > ema2 THEN 'BULLISH'
-    WHEN ema1 < ema2 AND ema2 < ema3 THEN 'STRONG BEAR' WHEN ema1 < ema2 THEN 'BEARISH' ELSE 'NEUTRAL/ROTATION' END AS trend,
-  CASE WHEN len({_TRIG}) > 0 THEN {_TRIG} ELSE ['-'] END AS triggers
+  {TREND} AS trend,
+  CASE WHEN len({TRIG}) > 0 THEN {TRIG} ELSE ['-'] END AS triggers
   FROM lastbar WHERE back = 1 AND i >= 249 AND ema3 IS NOT NULL AND delta IS NOT NULL)""")
 
 _SCREEN_COLS = f"""symbol, date, {r('close', digits=4)}, {r('prev_close', digits=4)}, {r('chg_pct', digits=4)}, {r('ema1', digits=4)},
@@ -352,8 +353,7 @@ def h1(spark, sf_dir):
 
 
 @query("h2_trend_label", with_(BRAND, *temacd_sql(), recursive=True) + """SELECT symbol, ts,
-  CASE WHEN ema1 > ema2 AND ema2 > ema3 THEN 'STRONG BULL' WHEN ema1 > ema2 THEN 'BULLISH'
-    WHEN ema1 < ema2 AND ema2 < ema3 THEN 'STRONG BEAR' WHEN ema1 < ema2 THEN 'BEARISH' ELSE 'NEUTRAL/ROTATION' END AS trend,
+  {TREND} AS trend,
   CASE WHEN ema1 > ema2 AND ema2 > ema3 THEN 'STRONG BULL' WHEN ema1 > ema2 THEN 'BULLISH'
     WHEN ema1 < ema2 AND ema2 < ema3 THEN 'STRONG BEAR' ELSE 'BEARISH' END AS chart_trend FROM td""")
 def h2(spark, sf_dir):
@@ -363,7 +363,7 @@ def h2(spark, sf_dir):
 
 
 @query("h3_triggers", with_(BRAND, *temacd_sql(), recursive=True) + f"""SELECT symbol, ts,
-  CASE WHEN len({_TRIG}) > 0 THEN array_to_string({_TRIG}, '; ') ELSE '-' END AS triggers FROM cond""")
+  CASE WHEN len({TRIG}) > 0 THEN array_to_string({TRIG}, '; ') ELSE '-' END AS triggers FROM cond""")
 def h3(spark, sf_dir):
     df = sig.temacd_conditions(brand(spark, sf_dir))
     return df.select("symbol", "ts", F.array_join(sig.trigger_array(), "; ").alias("triggers"))

@@ -14,7 +14,7 @@ from barloom.plans.catalog import query
 from barloom.plans.inputs import brand, flag, market
 from barloom.plans.q_regimes import BASE, _ALL, _MACRO, _META, _SIX, _VOTE, _wide
 from barloom.plans.q_rotation import ENSEMBLE, _ENS, recursive
-from barloom.plans.q_signals import SCREEN
+from barloom.plans.q_signals import SCREEN, TREND, TRIG, temacd_sql
 from barloom.plans.sqltext import BRAND, BY, FLAG, HOUR, MARKET, PANEL, ema, r, with_
 from barloom.session import cut, work_folder
 from barloom.sources import bars as store, ledger, sinks, tickers
@@ -294,9 +294,9 @@ def c10(spark, sf_dir):
 
 # ------------------------------------------------------------------------ stream
 
-def _ticks(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    ev = stream.read_ticks(spark, sf_dir, schema, "events.parquet")
+def _ticks(spark, folder, pattern="events.parquet", files_per_trigger=None):
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    ev = stream.read_ticks(spark, folder, schema, pattern, files_per_trigger)
     return ev.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 
@@ -313,13 +313,26 @@ def k1(spark, sf_dir):
 _KX = """kb AS (SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"""
 
 
-@query("k1_streaming_alerts", with_(HOUR, _KX, ema("e", "kb", {"f0": ("close", 10), "s0": ("close", 40)}, keep="close"),
-       "ma AS (SELECT symbol, ts, close, CASE WHEN i >= 9 THEN f0 END AS f, CASE WHEN i >= 39 THEN s0 END AS s FROM e)",
-       f"lg AS (SELECT *, lag(f) OVER ({BY}) AS fp, lag(s) OVER ({BY}) AS sp FROM ma)", recursive=True) + f"""SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS hour, {r('close')},
-  CASE WHEN f > s AND fp <= sp THEN 'LONG' ELSE 'SHORT' END AS alert FROM lg WHERE (f > s AND fp <= sp) OR (f < s AND fp >= sp)""")
+def _arrivals(spark, sf_dir, place: str, parts: int = 6) -> str:
+    """The events as files that arrive one after the other in time order, one micro-batch each."""
+    ev = table(spark, sf_dir, "events")
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / parts
+    for k in range(parts):
+        part = ev.where((F.col("ts") >= F.lit(first + k * step)) & ((F.col("ts") < F.lit(first + (k + 1) * step)) | F.lit(k == parts - 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{place}/ticks")
+    return f"{place}/ticks"
+
+
+@query("k1_streaming_alerts", with_(HOUR, _KX, *temacd_sql(src="kb"), recursive=True) + f"""SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS hour, {r('close')},
+  CASE WHEN long THEN 'LONG ENTRY' ELSE 'SHORT/EXIT' END AS alert, {TREND} AS trend, array_to_string({TRIG}, '; ') AS triggers
+  FROM cond WHERE (long OR short) AND i >= 249 AND ema3 IS NOT NULL AND delta IS NOT NULL""")
 def k1b(spark, sf_dir):
     place = _place(spark)
-    q = stream.alert_stream(stream.tick_bars(_ticks(spark, sf_dir)), f"{place}/bars", f"{place}/alerts", f"{place}/state")
+    ticks = _ticks(spark, _arrivals(spark, sf_dir, place), "*.parquet", 1)
+    q = stream.alert_stream(stream.tick_bars(ticks), f"{place}/known", f"{place}/alerts", f"{place}/state")
     q.awaitTermination()
-    df = spark.read.schema("symbol string, ts timestamp, close double, alert string").option("recursiveFileLookup", True).parquet(f"{place}/alerts")
-    return rounded(df.select("symbol", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "close", "alert"))
+    df = (spark.read.schema("symbol string, ts timestamp, close double, alert string, trend string, triggers array<string>")
+          .option("recursiveFileLookup", True).parquet(f"{place}/alerts"))
+    return rounded(df.select("symbol", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "close", "alert", "trend",
+                             F.array_join("triggers", "; ").alias("triggers")))

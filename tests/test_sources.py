@@ -1,9 +1,13 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from barloom.operators import text as tx
+from barloom.operators import signals as sig, text as tx
 from barloom.schema import as_bars
 from barloom.session import cut
 from barloom.sources import bars as store, ledger, tickers
@@ -81,3 +85,66 @@ def test_stream_drops_late_ticks_and_keeps_open_bars_back(spark, tmp_path):
     feed([("A", 10, 100.0, 5), ("A", 300, 4.0, 6)], "b")
     second = run()
     assert len(second) == 3 and second.high.max() == 9.0  # the tick of minute 10 came too late
+
+
+def screener_rows(bars, p, min_bars):
+    df = sig.temacd_conditions(bars, p).withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return {(r.symbol, r.ts) for r in df.where((F.col("long") | F.col("short")) & sig.complete(min_bars)).collect()}
+
+
+def test_alerts_carry_state_over_batches_and_ignore_repeats(spark, bars, tmp_path):
+    """Bars in uneven batches, a symbol that pauses, repeats of old bars: the alerts of the whole history, each once."""
+    p = sig.TripleEma(3, 8, 21, 6, 10, 4)
+    bars = bars.withColumn("ts", F.col("ts").cast("timestamp"))
+    want = screener_rows(bars, p, 30)
+    folder, schema = str(tmp_path / "in"), "symbol string, ts timestamp, close double, volume double"
+    cols = bars.select("symbol", "ts", "close", "volume")
+    borders = ["1999-01-01", "2000-01-05", "2000-01-06", "2000-04-01", "2000-04-15", "2001-01-01", "2005-01-01"]
+
+    def run():
+        stream_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        stream.alert_stream(stream_in, str(tmp_path / "state"), str(tmp_path / "alerts"), str(tmp_path / "cp"), p, 30).awaitTermination()
+
+    for a, b in zip(borders[:-1], borders[1:]):
+        part = cols.where((F.col("ts") >= a) & (F.col("ts") < b) & ~((F.col("symbol") == "B") & (F.col("ts") >= "2000-04-01") & (F.col("ts") < "2000-04-15")))
+        if b == "2001-01-01":
+            part = part.unionByName(cols.where((F.col("ts") >= "2000-03-20") & (F.col("ts") < "2000-04-01")).withColumn("close", F.lit(1.0)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if b in ("2000-04-15", "2005-01-01"):
+            run()  # a restart in the middle
+    paused = bars.where(~((F.col("symbol") == "B") & (F.col("ts") >= "2000-04-01") & (F.col("ts") < "2000-04-15")))
+    want = screener_rows(paused, p, 30)
+    got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "alerts")).collect()
+    assert len(got) == len(want) > 50 and {(r.symbol, r.ts) for r in got} == want
+    assert all(r.triggers != ["-"] for r in got)
+    assert len(list((tmp_path / "state").glob("batch=*"))) == 2
+
+
+def test_step_continues_where_the_state_ends(spark, bars):
+    p = sig.TripleEma(3, 8, 21, 6, 10, 4)
+    none = spark.createDataFrame([], stream.STATE)
+    cols = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close")
+    whole, end = sig.temacd_step(cols, none, p)
+    plain = collect(sig.temacd_conditions(cols, p), "symbol", "ts")
+    whole = collect(whole, "symbol", "ts")
+    for c in ("ema1", "ema2", "ema3", "macd", "amacd", "delta"):
+        known = plain[c].notna()
+        assert (whole[c].notna() == known).all() or c == "macd"
+        np.testing.assert_allclose(whole[c][known], plain[c][known], rtol=1e-9, atol=1e-9)
+    first, state = sig.temacd_step(cols.where(F.col("ts") < "2000-12-01"), none, p)
+    second, again = sig.temacd_step(cols.where(F.col("ts") >= "2000-12-01"), cut(state), p)
+    both = collect(first.unionByName(second), "symbol", "ts")
+    np.testing.assert_allclose(both.delta.dropna(), whole.delta.dropna(), rtol=1e-8, atol=1e-9)
+    assert (both.long == whole.long).all() and (both.short == whole.short).all() and (both._i == whole._i).all()
+    a, b = collect(end, "symbol"), collect(again, "symbol")
+    assert a._i.tolist() == b._i.tolist() and a.ts.tolist() == b.ts.tolist()
+
+
+def test_work_folder_needs_no_configuration(tmp_path):
+    """A plain local session without any Spark configuration stores its tables in a temporary folder."""
+    code = ("from barloom.session import build_session, cut\ns = build_session('t', '1', 1, '1g')\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\nprint(cut(s.range(5)).count(), cut(s.range(3)).count())")
+    env = {k: v for k, v in os.environ.items() if k != "SPARK_CONF_DIR"} | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.split() == ["5", "3"]
