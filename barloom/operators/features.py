@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from barloom.functions.scalars import TRADING_DAYS, change, clip, crossed_down, crossed_up, ratio
 from barloom.operators.timeline import (
@@ -23,10 +25,15 @@ ANNUAL = float(TRADING_DAYS) ** 0.5
 
 @dataclass(frozen=True)
 class Feature:
-    """``build`` adds the named column to a blocked frame; temporaries start with '_f_'."""
+    """``build`` adds the named column to a blocked frame; temporaries start with '_f_'.
+
+    A feature with ``kernel`` instead computes its column from the array of its
+    first needed column, one block of rows with history at a time.
+    """
     lookback: int
-    build: Callable[[DataFrame, WindowSpec, str], DataFrame]
+    build: Callable[[DataFrame, WindowSpec, str], DataFrame] | None
     needs: tuple[str, ...] = ("close",)
+    kernel: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 def _simple(lookback: int, expr: Callable[[WindowSpec], Column], *needs: str) -> Feature:
@@ -86,23 +93,37 @@ def rolling_volatility(n: int = 20) -> Feature:
     return Feature(n, build)
 
 
-def _drawdown_of(values: Column) -> Column:
-    """Worst value / running peak - 1 inside an array."""
-    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("dd"))
-
-    def step(acc, x):
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["dd"], change(x, peak)).alias("dd"))
-    return F.aggregate(values, start, step, lambda acc: acc["dd"])
-
-
 def rolling_max_drawdown(n: int = 252) -> Feature:
+    """Deepest fall below an earlier price of the window, for positive prices.
+
+    A sparse table: highest, lowest and deepest fall over the last 1, 2, 4, ... rows
+    follow from the rows half as far back, and the window is put together from
+    one such piece per binary digit of ``n``, so a row costs log n steps.
+    """
     _positive(n)
 
-    def expr(w):
-        values = F.collect_list("close").over(w.rowsBetween(-(n - 1), 0))
-        return F.when(F.size(values) == n, _drawdown_of(values))
-    return _simple(n, expr)
+    def build(df, w, name):
+        def back(k: int, steps: int) -> tuple[Column, ...]:
+            return tuple(F.lag(f"_f_{x}{k}_{name}", steps).over(w) if steps else F.col(f"_f_{x}{k}_{name}") for x in ("hi", "lo", "dd"))
+
+        def joined(old: tuple[Column, ...], new: tuple[Column, ...]) -> tuple[Column, ...]:
+            return F.greatest(old[0], new[0]), F.least(old[1], new[1]), F.least(old[2], new[2], change(new[1], old[0]))
+
+        def put(df, k: int, values: tuple[Column, ...]):
+            return df.withColumns({f"_f_{x}{k}_{name}": v for x, v in zip(("hi", "lo", "dd"), values, strict=True)})
+
+        close = F.col("close")
+        df = put(df, 0, (close, close, F.when(close.isNotNull(), 0.0)))
+        for k in range(n.bit_length() - 1):
+            df = put(df, k + 1, joined(back(k, 1 << k), back(k, 0)))
+        at, total = 0, None
+        for k in range(n.bit_length()):  # newest piece first
+            if n >> k & 1:
+                piece = back(k, at)
+                total = piece if total is None else joined(piece, total)
+                at += 1 << k
+        return df.withColumn(name, F.when(F.count("close").over(w.rowsBetween(-(n - 1), 0)) == n, total[2]))
+    return Feature(n, build)
 
 
 def rolling_calmar(n: int = 252) -> Feature:
@@ -206,15 +227,64 @@ def rolling_sortino(n: int = 60) -> Feature:
     return Feature(n, build)
 
 
+def rolling_apply(n: int, fn: Callable[[np.ndarray, int], np.ndarray], column: str = "close") -> Feature:
+    """Hook for a rolling function of the user's own, vectorised over a block of rows.
+
+    ``fn(values, n)`` gets a block of a series with its history, NULL as NaN, and
+    returns one value per row; the value of a row may depend on that row and the
+    n - 1 before it. Rows without ``n`` values in their window are NULL whatever ``fn``
+    returns for them.
+    """
+    _positive(n)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        known = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+        here = np.arange(1, len(x) + 1)
+        whole = known[here] - known[np.maximum(here - n, 0)] == n
+        return np.where(whole, fn(x, n), np.nan)
+    return Feature(n - 1, None, (column,), kernel)
+
+
+def _with_kernel(df: DataFrame, keys: tuple[str, ...], name: str, f: Feature) -> DataFrame:
+    schema = T.StructType([*df.drop(name).schema, T.StructField(name, T.DoubleType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        x = rows.column(f.needs[0]).cast(pa.float64()).to_numpy()
+        return rows.append_column(name, pa.array(f.kernel(x), pa.float64(), from_pandas=True))
+
+    return df.drop(name).groupBy(*keys, "_b").applyInArrow(run, schema)  # a block is bounded
+
+
+def window_ranks(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the last ``n`` values (fewer at the start) are below and equal to each value.
+
+    Ranks are cut into bits. From the highest bit on, values are dealt by their bit
+    with order kept, so a window stays a range; where a value has a one, the
+    window's zeros are below it. A row costs one step per bit, whatever ``n``.
+    """
+    rank = np.unique(x, return_inverse=True)[1]
+    hi = np.arange(1, len(x) + 1)
+    lo = np.maximum(hi - n, 0)
+    less = np.zeros(len(x), np.int64)
+    dealt = rank
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        zero = dealt >> bit & 1 == 0
+        zeros = np.concatenate([[0], np.cumsum(zero)])
+        a, b = zeros[lo], zeros[hi]
+        one = rank >> bit & 1 == 1
+        less += np.where(one, b - a, 0)
+        lo, hi = np.where(one, zeros[-1] + lo - a, a), np.where(one, zeros[-1] + hi - b, b)
+        dealt = np.concatenate([dealt[zero], dealt[~zero]])
+    return less, hi - lo
+
+
 def percentile_rank(n: int = 252, column: str = "close") -> Feature:
     """Average-rank percentile (0-100) of the newest value in its window."""
-    def expr(w):
-        values = F.collect_list(column).over(w.rowsBetween(-(n - 1), 0))
-        x = F.col(column)
-        less = F.size(F.filter(values, lambda v: v < x))
-        equal = F.size(F.filter(values, lambda v: v == x))
-        return F.when(F.size(values) == n, (less + (equal + 1) / F.lit(2.0)) / F.lit(float(n)) * F.lit(100.0))
-    return _simple(n, expr, column)
+    def kernel(x: np.ndarray, n: int) -> np.ndarray:
+        less, equal = window_ranks(x, n)
+        return (less + (equal + 1) / 2.0) / n * 100.0
+    return rolling_apply(n, kernel, column)
 
 
 def donchian(entry: int = 20, exit: int = 10, high: str = "high", low: str = "low") -> Feature:
@@ -263,7 +333,11 @@ def compute(bars: DataFrame, features: dict[str, Feature], keys=("symbol",), ord
     df = blocks(bars, lookback, size=size, keys=keys, order=order)
     w = window(keys)
     for name, f in features.items():
-        df = f.build(df, w, name)
+        if f.kernel:
+            df = _with_kernel(df, keys, name, f)
+    for name, f in features.items():
+        if f.build:
+            df = f.build(df, w, name)
     df = own(df, drop_index=not keep_index)
     return df.drop(*[c for c in df.columns if c.startswith("_f_")])
 

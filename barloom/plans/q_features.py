@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import crossed_down, crossed_up, rounded
@@ -79,6 +80,18 @@ cnt AS (SELECT e.symbol, e.ts, sum(CASE WHEN s.close < e.close THEN 1 ELSE 0 END
 pr AS (SELECT b.symbol, b.ts, (less + (eq + 1) / 2.0) / 252.0 * 100 AS pr FROM bars b LEFT JOIN cnt USING (symbol, ts))"""
 _feature("e20_percentile_rank", feat.percentile_rank(252), "pr", _RANKW, src="pr")
 
+
+
+def trend_slope(x: np.ndarray, n: int) -> np.ndarray:
+    """Least-squares slope per bar over the last ``n`` values, as an example of a function of the user's own."""
+    at = np.arange(n) - (n - 1) / 2
+    return np.convolve(x, (at / (at * at).sum())[::-1])[:len(x)]
+
+
+_W20 = f"OVER ({BY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+_feature("j4_rolling_user_function", feat.rolling_apply(20, trend_slope), f"CASE WHEN count(close) {_W20} = 20 THEN regr_slope(close, i) {_W20} END",
+         f"num AS (SELECT symbol, ts, close, row_number() OVER ({BY}) AS i FROM bars)", src="num", digits=9)
+
 _OVN = f"""onr AS (SELECT symbol, ts, open / lag(close) OVER ({BY}) - 1 AS overnight, close / open - 1 AS intraday FROM bars),
 df AS (SELECT *, overnight - intraday AS diff FROM onr)"""
 

@@ -23,6 +23,9 @@ EXPECTED = {
     "sharpe": (feat.rolling_sharpe(30), lambda g: g.close.pct_change().rolling(30).mean() / g.close.pct_change().rolling(30).std() * np.sqrt(252)),
     "z": (feat.z_score(20), lambda g: (g.close - g.close.rolling(20).mean()) / g.close.rolling(20).std()),
     "pct": (feat.percentile_rank(25), lambda g: rolled(g.close, 25, lambda x: pd.Series(x).rank(pct=True).iloc[-1] * 100)),
+    "mdd1": (feat.rolling_max_drawdown(1), lambda g: g.close * 0),
+    "mdd7": (feat.rolling_max_drawdown(7), lambda g: rolled(g.close, 7, worst)),
+    "own": (feat.rolling_apply(9, lambda x, n: np.convolve(x, np.arange(1, n + 1)[::-1])[:len(x)]), lambda g: rolled(g.close, 9, lambda x: (x * np.arange(1, 10)).sum())),
     "sma": (feat.sma(15), lambda g: g.close.rolling(15).mean()),
 }
 
@@ -41,6 +44,23 @@ def strength(g, n=14):
 EXPECTED["rsi"] = (feat.rsi(14), strength)
 
 
+def test_window_ranks_count_every_window():
+    x = np.random.default_rng(4).integers(0, 9, 200).astype(float)
+    for n in (1, 2, 13, 300):
+        less, equal = feat.window_ranks(x, n)
+        for t in range(len(x)):
+            seen = x[max(0, t - n + 1):t + 1]
+            assert (less[t], equal[t]) == ((seen < x[t]).sum(), (seen == x[t]).sum())
+
+
+def test_kernels_leave_windows_with_gaps_out(spark):
+    x = [1.0, 3.0, None, 2.0, 5.0, 4.0, 4.0]
+    df = spark.createDataFrame([("A", i, float(i), v) for i, v in enumerate(x)], "symbol string, _i bigint, ts double, close double")
+    got = collect(feat.compute(df, {"p": feat.percentile_rank(3), "d": feat.rolling_max_drawdown(3)}, size=2), "ts")
+    assert got.p.isna().tolist() == [True] * 5 + [False] * 2 and got.p[5:].tolist() == pytest.approx([200 / 3, 50.0])
+    assert got.d.isna().tolist() == [True] * 5 + [False] * 2 and got.d[5:].tolist() == pytest.approx([-0.2, -0.2])
+
+
 @pytest.mark.parametrize("size", [32, 2048])
 def test_features_match_pandas(bars, bars_pd, size):
     got = collect(feat.compute(bars, {n: f for n, (f, _) in EXPECTED.items()}, size=size), "symbol", "ts")
