@@ -1,14 +1,19 @@
-"""Walk-forward, resampling, sweeps and overfitting checks. Simulations are rows."""
+"""Walk-forward, resampling, sweeps and overfitting checks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.scalars import clip, gaussian, ratio, uniform
 from barloom.operators import performance as perf
 from barloom.operators.joins import join_windows
+from barloom.operators.packed import (SHARPE, SIZE, Additive, each_block, each_run, ema_carry, ema_run, gaussians, pack, sum_fields, sums,
+                                      total, uniforms)
 from barloom.operators.timeline import ema_blocks, emas, expand, own, pick, window
 from barloom.session import cut
 
@@ -26,22 +31,51 @@ def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int =
     return df.where(F.col("test_end") <= F.lit(end).cast("date"))
 
 
-def walk_forward(rets: DataFrame, windows: DataFrame, metric: Callable[[str], Column] = perf.sharpe,
-                 keys=("symbol",)) -> DataFrame:
-    """Best parameter per window by its train metric, with its test metric.
+def _slot(ts: Column, bounds: list) -> Column:
+    """How many of the sorted dates are at or before ``ts``, as a balanced tree of comparisons."""
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(ts < F.lit(bounds[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+    return between(0, len(bounds))
+
+
+def walk_forward(rets: DataFrame, windows: DataFrame, metric: Additive = SHARPE, keys=("symbol",)) -> DataFrame:
+    """Best parameter per window by its train metric, with its test metric and the mean test metric of all windows.
 
     ``rets(keys, param, ts, ret)``: returns of every parameter set in one frame.
+    The borders of all windows cut time into slots. Every return is read once,
+    into the metric's sums of its slot; the sums of a window are differences of
+    running sums over the slots, of which there are at most four per window.
     """
     keys = list(keys)
-    df = join_windows(rets, windows, "train_start", "test_end")
-    train = F.when(F.col("ts") <= F.col("train_end"), F.col("ret"))
-    test = F.when(F.col("ts") >= F.col("test_start"), F.col("ret"))
-    df = df.withColumns({"_train": train, "_test": test})
-    m = df.groupBy(*keys, "window_id", "param").agg(
-        metric("_train").alias("train_metric"), metric("_test").alias("test_metric"))
+    spans = [tuple(r) for r in windows.select("window_id", "train_start", "train_end", "test_start", "test_end").orderBy("window_id").collect()]
+    day = datetime.timedelta(days=1)
+    bounds = sorted({d for _, a, b, c, e in spans for d in (a, b + day, c, e + day)})
+    at = {d: k + 1 for k, d in enumerate(bounds)}  # slots before a border are 0 .. at - 1
+    names = ["n", *metric.names]
+
+    live = rets.where(F.col("ret").isNotNull()).withColumn("_slot", _slot(F.col("ts").cast("date"), bounds))
+    slots = live.groupBy(*keys, "param", "_slot").agg(F.count("ret").cast("double").alias("n"), *[
+        F.sum(x).alias(k) for k, x in metric.exprs(F.col("ret")).items()])
+    sums_of = F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*names))))
+    by = slots.groupBy(*keys, "param").agg(sums_of.alias("_m"))
+    run = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds))), F.array(F.struct(*[F.lit(0.0).alias(k) for k in names])), lambda acc, k: F.array_append(
+        acc, F.struct(*[(F.element_at(acc, -1)[x] + F.coalesce(F.col("_m")[k][x], F.lit(0.0))).alias(x) for x in names])))
+    each = F.array(*[F.struct(F.lit(w).alias("window_id"), *[F.lit(at[d]).alias(f"_{x}") for x, d in zip("abcd", (a, b + day, c, e + day), strict=True)])
+                     for w, a, b, c, e in spans])
+    df = by.select(*keys, "param", run.alias("_run")).select("*", F.inline(each))
+
+    def value(lo: str, hi: str) -> Column:
+        return metric.finish(lambda k: F.get("_run", F.col(hi))[k] - F.get("_run", F.col(lo))[k])
+
+    m = df.select(*keys, "window_id", "param", value("_a", "_b").alias("train_metric"), value("_c", "_d").alias("test_metric"),
+                  (F.get("_run", F.col("_d"))["n"] - F.get("_run", F.col("_a"))["n"]).alias("_n")).where("_n > 0")
     best = m.groupBy(*keys, "window_id").agg(
         F.max_by(F.struct("param", "train_metric", "test_metric"), F.struct(F.round("train_metric", 9), -F.col("param"))).alias("_b"))
-    return best.select(*keys, "window_id", "_b.param", "_b.train_metric", "_b.test_metric")
+    return best.select(*keys, "window_id", "_b.param", "_b.train_metric", "_b.test_metric",
+                       F.avg("_b.test_metric").over(Window.partitionBy(*keys)).alias("average_test"))
 
 
 # ------------------------------------------------------------------------ sweeps
@@ -118,6 +152,9 @@ def neighbour_stability(scores: DataFrame, base: dict, values: dict[str, list],
 
 # -------------------------------------------------------------------- resampling
 
+LEVELS = [0, 1, 2, 5, 10]  # basis points of the cost and slippage tests
+
+
 def _score(original: Column, mean: Column, std: Column, c: float) -> Column:
     raw = F.lit(10.0) * (F.lit(1.0) - F.abs(original - mean) / (F.abs(original) + 1)) / (F.lit(1.0) + std * c)
     return clip(raw, 0, 10)
@@ -141,71 +178,174 @@ def _simulated(rets: DataFrame, n: int) -> DataFrame:
     return rets.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def monte_carlo_drawdown(rets: DataFrame, n: int = 100, seed: int = 42, keys=("symbol",), buckets: int = 16) -> DataFrame:
+def _blocks(rets: DataFrame, columns: list[str], keys: list[str], size: int) -> DataFrame:
+    """Packed returns with ``n``, the length of the series; simulations are arrays inside a block, never copies of rows."""
+    blocks = cut(pack(rets, columns, keys, size))
+    return blocks.join(blocks.groupBy(*keys).agg(F.sum("m").alias("n")), keys)
+
+
+def _rows(row: dict) -> np.ndarray:
+    return int(row["first"]) + np.arange(int(row["m"]))
+
+
+def _summed(blocks: DataFrame, simulate: Callable[[dict], np.ndarray], metric: Additive, keys: list[str]) -> DataFrame:
+    """Metric per simulation when ``simulate(block)`` gives the block's returns in all simulations, one row each."""
+    def kernel(row: dict) -> Iterator[dict]:
+        yield {k: v.tolist() for k, v in sums(metric, simulate(row)).items()}
+    return total(each_block(blocks, kernel, sum_fields(metric), tuple(keys)), metric, keys)
+
+
+def monte_carlo_drawdown(rets: DataFrame, n: int = 100, seed: int = 42, keys=("symbol",), segment: int = 1 << 16,
+                         size: int = SIZE) -> DataFrame:
     """Max drawdown of each series under ``n`` random orders of its returns.
 
     ``rets(keys, _i, ret)``. A shuffle leaves mean and std unchanged, so the path
-    metric is the one that moves. The random order is cut into buckets of the
-    draw, so one simulated path is worked on by many tasks.
+    metric is the one that moves. Blocks deal their returns by random key into
+    segments of about ``segment`` returns of one simulated path; a segment is
+    sorted by itself and leaves four numbers (product, highest and lowest point,
+    deepest drawdown), from which the path's drawdown is folded.
     """
     keys = list(keys)
-    u = uniform(seed, F.col("sim"), F.col("_i"))
-    df = _simulated(rets, n).withColumn("_u", u)
-    df = cut(df.select(*keys, "sim", "ret", F.struct("_u", "_i").alias("_o"), F.floor(F.col("_u") * buckets).alias("_tb")))
-    out = perf.max_drawdown(df, [*keys, "sim"], "ret", "_o")
-    return out.select(*keys, "sim", F.col("max_dd").alias("metric"))
+    sims = np.arange(n)
+
+    def deal(row: dict) -> Iterator[dict]:
+        i, r = _rows(row), row["ret"]
+        u = uniforms(seed, sims, i)
+        parts = -(-int(row["n"]) // segment)
+        bucket = np.floor(u * parts).astype(np.int64)
+        for sim in range(n):
+            for k in range(parts):
+                at = np.flatnonzero(bucket[sim] == k)
+                if len(at):
+                    yield {"sim": sim, "part": k, "data": np.stack([u[sim, at], i[at].astype(float), r[at]]).astype("<f8").tobytes()}
+
+    def walk(key: dict, rows: pa.Table) -> Iterator[dict]:
+        u, i, r = np.concatenate([np.frombuffer(d, "<f8").reshape(3, -1) for d in rows.column("data").to_pylist()], axis=1)
+        path = np.cumprod(1.0 + r[np.lexsort((i, u))])
+        yield {"p": path[-1], "high": path.max(), "low": path.min(), "dd": (path / np.maximum.accumulate(path)).min()}
+
+    dealt = each_block(_blocks(rets, ["ret"], keys, size), deal, "sim int, part int, data binary", tuple(keys))
+    parts = each_run(dealt, [*keys, "sim", "part"], walk, "p double, high double, low double, dd double")
+    one = F.struct("part", "p", "high", "low", "dd")
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("dd"))
+    fold = F.aggregate(F.sort_array(F.collect_list(one)), start, lambda a, x: F.struct(
+        (a.p * x.p).alias("p"), F.greatest(a.high, a.p * x.high).alias("high"),
+        F.least(a.dd, x.dd, a.p * x.low / a.high).alias("dd")))
+    return parts.groupBy(*keys, "sim").agg(fold.alias("_f")).select(*keys, "sim", (F.col("_f.dd") - 1).alias("metric"))
+
+
+def bootstrap(rets: DataFrame, metric: Additive = SHARPE, n: int = 100, seed: int = 43, keys=("symbol",),
+              columns: tuple[str, ...] = ("ret",), size: int = SIZE) -> DataFrame:
+    """Metric of ``n`` resamples with replacement, of every column on the same draws: (keys, sim, one metric per column).
+
+    Every block draws for its own places and counts how often each row of each
+    other block is hit; the counts meet the returns block by block and weigh
+    them. A single column's metric is called ``metric``.
+    """
+    keys = list(keys)
+    blocks = cut(_blocks(rets, list(columns), keys, size))
+
+    def draw(row: dict) -> Iterator[dict]:
+        at = np.floor(uniforms(seed, np.arange(n), _rows(row)) * row["n"]).astype(np.int64)
+        hit, times = np.unique(at + (np.arange(n) * int(row["n"]))[:, None], return_counts=True)
+        sim, at = np.divmod(hit, int(row["n"]))
+        for b in np.unique(at // size):
+            own = at // size == b
+            yield {"b": int(b), "data": np.stack([sim[own], at[own] % size, times[own]]).astype("<i4").tobytes()}
+
+    def weigh(row: dict) -> Iterator[dict]:
+        sim, at, times = np.frombuffer(row["data"], "<i4").reshape(3, -1)
+        out = {"n": np.bincount(sim, times, n).tolist()}
+        for c in columns:
+            for k, v in metric.parts(row[c]).items():
+                out[f"{c}_{k}"] = np.bincount(sim, times * v[at], n).tolist()
+        yield out
+
+    drawn = each_block(blocks.select(*keys, "first", "m", "n"), draw, "b bigint, data binary", tuple(keys))
+    names = [f"{c}_{k}" for c in columns for k in metric.names]
+    parts = each_block(drawn.join(blocks.select(*keys, "b", *columns), [*keys, "b"]), weigh,
+                       ", ".join(f"{k} array<double>" for k in ("n", *names)), tuple(keys))
+    out = None
+    for c in columns:
+        mine = parts.select(*keys, "n", *[F.col(f"{c}_{k}").alias(k) for k in metric.names])
+        one = total(mine, metric, keys, "metric" if len(columns) == 1 else c)
+        out = one if out is None else out.join(one, [*keys, "sim"])
+    return out
 
 
-def bootstrap(rets: DataFrame, metric: Callable[[str], Column] = perf.sharpe, n: int = 100, seed: int = 43,
-              keys=("symbol",)) -> DataFrame:
-    """Metric of ``n`` resamples with replacement; draws join rows by their number."""
-    keys = list(keys)
-    rets = cut(rets.select(*keys, "_i", "ret"))
-    size = rets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draw = _simulated(rets.select(*keys, "_i").join(size, keys), n)
-    at = F.floor(uniform(seed, F.col("sim"), F.col("_i")) * F.col("_n"))
-    draw = draw.select(*keys, "sim", at.cast("bigint").alias("_i"))
-    # a row can be drawn several times: count the copies first, then fetch the value once
-    copies = draw.groupBy(*keys, "sim", "_i").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    got = copies.join(rets, [*keys, "_i"]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return got.groupBy(*keys, "sim").agg(metric("ret").alias("metric"))
-
-
-def noise_injection(rets: DataFrame, metric: Callable[[str], Column] = perf.sharpe, level: float = 0.1, n: int = 100,
-                    seed: int = 44, keys=("symbol",)) -> DataFrame:
+def noise_injection(rets: DataFrame, metric: Additive = SHARPE, level: float = 0.1, n: int = 100, seed: int = 44,
+                    keys=("symbol",), size: int = SIZE) -> DataFrame:
     """Metric after adding Gaussian noise of ``level`` times the series' own std."""
     keys = list(keys)
-    std = rets.groupBy(*keys).agg((F.stddev_samp("ret") * level).alias("_sd"))
-    df = _simulated(rets.join(std, keys), n)
-    df = df.withColumn("ret", F.col("ret") + gaussian(seed, F.col("sim"), F.col("_i")) * F.col("_sd"))
-    return df.groupBy(*keys, "sim").agg(metric("ret").alias("metric"))
+    std = rets.groupBy(*keys).agg((F.stddev_samp("ret") * level).alias("sd"))
+    return _summed(_blocks(rets, ["ret"], keys, size).join(std, keys),
+                   lambda row: row["ret"] + gaussians(seed, np.arange(n), _rows(row)) * (row["sd"] or 0.0), metric, keys)
 
 
-def missing_data(rets: DataFrame, metric: Callable[[str], Column] = perf.sharpe, share: float = 0.05, n: int = 100,
-                 seed: int = 45, keys=("symbol",)) -> DataFrame:
+def missing_data(rets: DataFrame, metric: Additive = SHARPE, share: float = 0.05, n: int = 100, seed: int = 45,
+                 keys=("symbol",), size: int = SIZE) -> DataFrame:
     """Metric after replacing a random share of returns by 0."""
-    df = _simulated(rets, n)
-    gone = uniform(seed, F.col("sim"), F.col("_i")) < share
-    df = df.withColumn("ret", F.when(gone, 0.0).otherwise(F.col("ret")))
-    return df.groupBy(*keys, "sim").agg(metric("ret").alias("metric"))
+    keys = list(keys)
+    return _summed(_blocks(rets, ["ret"], keys, size),
+                   lambda row: np.where(uniforms(seed, np.arange(n), _rows(row)) < share, 0.0, row["ret"]), metric, keys)
 
 
-def start_dates(rets: DataFrame, metric: Callable[[str], Column] = perf.sharpe, n: int = 100, low: float = 0.0,
-                high: float = 0.3, min_rows: int = 30, keys=("symbol",)) -> DataFrame:
-    """Metric from ``n`` evenly spaced start rows in the first part of the history."""
+def start_dates(rets: DataFrame, metric: Additive = SHARPE, n: int = 100, low: float = 0.0, high: float = 0.3,
+                min_rows: int = 30, keys=("symbol",), size: int = SIZE) -> DataFrame:
+    """Metric from ``n`` evenly spaced start rows in the first part of the history: running sums from the end of each block."""
     keys = list(keys)
-    size = rets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    df = _simulated(rets.join(size, keys), n)
-    a, b = F.floor(F.col("_n") * low), F.floor(F.col("_n") * high)
-    start = F.floor(a + (b - a) * (F.col("sim") / float(max(1, n - 1))))
-    df = df.where((F.col("_i") >= start) & (F.col("_n") - start >= min_rows))
-    return df.groupBy(*keys, "sim").agg(metric("ret").alias("metric"))
 
+    def kernel(row: dict) -> Iterator[dict]:
+        size, m = int(row["n"]), int(row["m"])
+        a, b = np.floor(size * low), np.floor(size * high)
+        start = np.floor(a + (b - a) * (np.arange(n) / float(max(1, n - 1))))
+        first = np.clip(start - int(row["first"]), 0, m).astype(np.int64)
+        live = size - start >= min_rows
+        out = {"n": np.where(live, m - first, 0).astype(float).tolist()}
+        for k, v in metric.parts(row["ret"]).items():
+            tail = np.append(np.cumsum(v[::-1])[::-1], 0.0)
+            out[k] = np.where(live, tail[first], 0.0).tolist()
+        yield out
+
+    return total(each_block(_blocks(rets, ["ret"], keys, size), kernel, sum_fields(metric), tuple(keys)), metric, keys)
 
-def cost_curve(gross: DataFrame, bps: list[float], keys=("symbol",)) -> DataFrame:
-    """CAGR (252-bar years), Sharpe and mean turnover per cost level of (keys, ts, ret, turnover)."""
+
+def parameter_perturbation(bars: DataFrame, fast: float, slow: float, metric: Additive = SHARPE, share: float = 0.1, n: int = 100,
+                           keys=("symbol",), size: int = SIZE) -> DataFrame:
+    """Metric of the EMA-order position for ``n`` evenly spaced slow spans within +-``share`` of ``slow``; sim ``n`` is ``slow`` itself.
+
+    ``bars(keys, _i, _pc, close)``. All spans are one vector recurrence over the
+    packed series; a block needs the state vector before it and one look back.
+    """
+    keys = list(keys)
+    spans = [fast, *(slow * (1 + x) for x in np.linspace(-share, share, n)), slow]
+    alpha = 2.0 / (np.array(spans) + 1.0)
+    packed = cut(pack(bars.select(*keys, "_i", "close", F.col("_pc").alias("before")), ["close", "before"], keys, size))
+    blocks = ema_carry(packed, "close", spans, keys, size)
+
+    def kernel(row: dict) -> Iterator[dict]:
+        x, before, first = row["close"], row["before"], row["b"] == 0
+        if first:  # the seed is the first value itself; the first bar has no return
+            x, before = x[1:], before[1:]
+            state = ema_run(x, alpha, np.full(len(alpha), row["close"][0]))[:-1]
+        else:
+            state = ema_run(x, alpha, row["carry"])[:-1]
+        held = np.round(state[:, :1] - state[:, 1:], 9) > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = x / before - 1.0
+        ok = np.isfinite(r)
+        yield {k: v.tolist() for k, v in sums(metric, (r[ok, None] * held[ok]).T).items()}
+
+    return total(each_block(blocks, kernel, sum_fields(metric), tuple(keys)), metric, keys)
+
+
+def cost_curve(gross: DataFrame, bps: list[float], keys=("symbol",), commission: float = 0.0) -> DataFrame:
+    """CAGR (252-bar years), Sharpe and mean turnover per cost level of (keys, ts, ret, turnover).
+
+    The levels are costs, or slippage on top of a fixed ``commission`` in basis points.
+    """
     df = gross.withColumn("bps", F.explode(F.array(*[F.lit(float(b)) for b in sorted(set(bps))])))
-    df = df.withColumn("ret", F.col("ret") - F.col("turnover") * F.col("bps") / 10000.0)
+    df = df.withColumn("ret", F.col("ret") - F.col("turnover") * (F.col("bps") + commission) / 10000.0)
     n = F.count("ret")
     return df.groupBy(*keys, "bps").agg(
         (F.pow(F.product(F.lit(1.0) + F.col("ret")), F.lit(252.0) / n) - 1).alias("cagr"),
@@ -220,23 +360,25 @@ def cost_sensitivity(curve: DataFrame, keys=("symbol",)) -> DataFrame:
     return curve.groupBy(*keys).agg(sens("cagr"), sens("sharpe"), sens("turnover"))
 
 
-def cost_robustness(curve: DataFrame, base_bps: float = 2.0, metric: str = "sharpe", keys=("symbol",)) -> DataFrame:
-    """Score by how far the worst cost level falls below the base level."""
+def cost_robustness(curve: DataFrame, test: str, base_bps: float = 2.0, metric: str = "sharpe", keys=("symbol",)) -> DataFrame:
+    """Score by how far the worst cost or slippage level falls below the base level."""
     g = curve.groupBy(*keys).agg(F.max(F.when(F.col("bps") == base_bps, F.col(metric))).alias("original"),
                                  F.avg(metric).alias("mean_stressed"), F.min(metric).alias("worst_case"))
     o = F.col("original")
-    return g.withColumn("robustness_score", clip(F.lit(10.0) * (F.lit(1.0) - F.abs(o - F.col("worst_case")) / (F.abs(o) + 1)), 0, 10))
+    return g.withColumn("test", F.lit(test)).withColumn("robustness_score", clip(F.lit(10.0) * (F.lit(1.0) - F.abs(o - F.col("worst_case")) / (F.abs(o) + 1)), 0, 10))
 
 
 def overall_robustness(results: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Mean, median, extremes, worst test and label over the tests of each series."""
+    """Mean, median, spread, extremes, worst test, label and breakdown over the tests of each series."""
     s = "robustness_score"
     mean = F.avg(s)
+    lines = F.sort_array(F.collect_list(F.concat("test", F.lit("="), F.format_string("%.2f", s))))  # one per test
     return results.groupBy(*keys).agg(
         F.round(mean, 2).alias("overall_score"), F.round(F.percentile(s, F.lit(0.5)), 2).alias("median_score"),
-        F.round(F.min(s), 2).alias("min_score"), F.round(F.max(s), 2).alias("max_score"),
+        F.round(F.min(s), 2).alias("min_score"), F.round(F.max(s), 2).alias("max_score"), F.round(F.stddev_pop(s), 2).alias("std_score"),
         F.min_by("test", s).alias("worst_test"), F.count(F.lit(1)).alias("num_tests"),
-        F.when(mean >= 7, "Robust").when(mean >= 4, "Moderate").otherwise("Fragile").alias("interpretation"))
+        F.when(mean >= 7, "Robust").when(mean >= 4, "Moderate").otherwise("Fragile").alias("interpretation"),
+        F.array_join(lines, "; ").alias("breakdown"))
 
 
 # ------------------------------------------------------------------- overfitting
@@ -278,15 +420,10 @@ def reality_check(rets: DataFrame, n: int = 100, seed: int = 46, centred: bool =
     otherwise the raw resampled excess is, which hovers around one half.
     """
     keys = list(keys)
-    rets = cut(rets.select(*keys, "_i", "ret", "bench_ret"))
     seen = rets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (perf.sharpe("ret") - perf.sharpe("bench_ret")).alias("_obs"))
-    draw = _simulated(rets.select(*keys, "_i").join(seen, keys), n)
-    at = F.floor(uniform(seed, F.col("sim"), F.col("_i")) * F.col("_n"))
-    draw = draw.select(*keys, "sim", at.cast("bigint").alias("_i"))
-    copies = draw.groupBy(*keys, "sim", "_i").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    got = copies.join(rets, [*keys, "_i"]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    sims = got.groupBy(*keys, "sim").agg((perf.sharpe("ret") - perf.sharpe("bench_ret")).alias("_x"))
-    x = F.col("_x") - F.col("_obs") if centred else F.col("_x")
+    sims = bootstrap(rets, SHARPE, n, seed, keys, ("ret", "bench_ret"))
+    x = F.col("ret") - F.col("bench_ret")
+    x = x - F.col("_obs") if centred else x
     df = sims.join(seen, keys).groupBy(*keys).agg(F.avg((x >= F.col("_obs")).cast("double")).alias("_p"), F.max("_n").alias("_n"))
     return df.select(*keys, F.when(F.col("_n") < min_rows, 1.0).otherwise(F.col("_p")).alias("p_value"))
 

@@ -201,11 +201,20 @@ def i16b(spark, sf_dir):
     return rounded(val.cost_sensitivity(val.cost_curve(_gross(spark, sf_dir), BPS)), 4)
 
 
-@query("v9_cost_robustness", with_(BRAND, *_costs([0, 1, 2, 5, 10]), recursive=True) + f"""SELECT symbol, {r('max(sharpe) FILTER (bps = 2)', 'original')}, {r('avg(sharpe)', 'mean_stressed')},
-  {r('min(sharpe)', 'worst_case')}, {r('greatest(0, least(10, 10 * (1 - abs(max(sharpe) FILTER (bps = 2) - min(sharpe)) / (abs(max(sharpe) FILTER (bps = 2)) + 1))))', 'robustness_score')}
-  FROM cv GROUP BY symbol""")
+def _levels(test: str, commission: float) -> str:
+    curve = _costs(val.LEVELS)[-1].replace("bps / 10000", f"(bps + {commission}) / 10000")
+    return (f"SELECT symbol, '{test}' AS test, max(sharpe) FILTER (bps = 2) AS o, avg(sharpe) AS m, min(sharpe) AS w "
+            f"FROM {curve.removeprefix('cv AS ')} GROUP BY symbol")
+
+
+@query("v9_cost_robustness", with_(BRAND, *_costs(val.LEVELS)[:-1], "lv AS (" + _levels("Transaction Cost Sensitivity", 0) + " UNION ALL " + _levels("Slippage Sensitivity", 2) + ")",
+       recursive=True) + f"""SELECT symbol, test, {r('o', 'original')}, {r('m', 'mean_stressed')}, {r('w', 'worst_case')},
+  {r('greatest(0, least(10, 10 * (1 - abs(o - w) / (abs(o) + 1))))', 'robustness_score')} FROM lv""")
 def v9(spark, sf_dir):
-    return rounded(val.cost_robustness(val.cost_curve(_gross(spark, sf_dir), [0, 1, 2, 5, 10])))
+    """Levels of commission, and levels of slippage on top of a commission of two basis points."""
+    gross = _gross(spark, sf_dir)
+    cost = val.cost_robustness(val.cost_curve(gross, val.LEVELS), "Transaction Cost Sensitivity")
+    return rounded(cost.unionByName(val.cost_robustness(val.cost_curve(gross, val.LEVELS, commission=2.0), "Slippage Sensitivity")))
 
 
 _F5 = tuple(c for _, tag, ctes, names in SIGNAL_CTES for c in (

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions.scalars import MIX_I, MIX_SEED, MIX_SIM, PRIME, rounded
-from barloom.operators import features as feat, performance as perf, validation as val
+from barloom.operators import backtest as bt, features as feat, performance as perf, signals as sig, validation as val
 from barloom.operators.timeline import attach, number
 from barloom.plans.catalog import query
 from barloom.plans.inputs import flag
-from barloom.plans.q_performance import RET, _PERF, _SC, _psr, scenarios
+from barloom.plans.q_performance import RET, _GROSS, _PERF, _SC, _psr, scenarios
 from barloom.plans.sqltext import BY, FLAG, ema, r, with_
 from barloom.session import cut
 
@@ -77,7 +79,8 @@ _WF = (_WIN, """wm AS (SELECT symbol, window_id, param, coalesce(avg(ret) FILTER
        "wk AS (SELECT *, row_number() OVER (PARTITION BY symbol, window_id ORDER BY round(a, 9) DESC, param) AS k FROM wm)", "wf AS (SELECT * FROM wk WHERE k = 1)")
 
 
-@query("v2_walk_forward", with_(FLAG, *_SWEEP, *_WF, recursive=True) + f"SELECT symbol, CAST(window_id AS INT) AS window_id, param, {r('a', 'train_metric')}, {r('b', 'test_metric')} FROM wf")
+@query("v2_walk_forward", with_(FLAG, *_SWEEP, *_WF, recursive=True) + f"""SELECT symbol, CAST(window_id AS INT) AS window_id, param, {r('a', 'train_metric')},
+  {r('b', 'test_metric')}, {r('avg(b) OVER (PARTITION BY symbol)', 'average_test')} FROM wf""")
 def v2(spark, sf_dir):
     return rounded(val.walk_forward(_sweep(spark, sf_dir), _windows(spark)))
 
@@ -139,8 +142,8 @@ _RR = ("r1 AS (SELECT symbol, ts, ret, row_number() OVER (" + BY + ") - 1 AS i F
 _SHARPE = "coalesce(avg(x) / nullif(stddev_samp(x), 0), 0) * sqrt(252.0)"
 
 
-def _rets(spark, sf_dir):
-    df = feat.returns(flag(spark, sf_dir)).where(F.col("ret").isNotNull())
+def _rets(spark, sf_dir, bars=None):
+    df = feat.returns(bars or flag(spark, sf_dir)).where(F.col("ret").isNotNull())
     return cut(df.select("symbol", "ts", (F.col("_i") - 1).alias("_i"), "ret"))
 
 
@@ -180,13 +183,26 @@ def v5(spark, sf_dir):
     return rounded(val.robustness(val.noise_injection(rets, n=SIMS), val.original_metric(rets, perf.sharpe), "Noise Injection"))
 
 
-@query("v6_parameter_perturbation", with_(FLAG, *_SWEEP, "og AS (SELECT symbol, score AS original FROM sc WHERE fast = 10 AND slow = 80)",
-       "mt AS (SELECT symbol, score AS metric FROM sc WHERE fast = 10)", recursive=True) + _summary("Parameter Perturbation", 5.0))
+_V6 = ("al AS (SELECT list_transform(list_concat([10.0::DOUBLE], list_transform(range(100), lambda k: 80 * (1 + (-0.1::DOUBLE + k * (0.2::DOUBLE / 99)))), [80.0::DOUBLE]), lambda s: 2.0::DOUBLE / (s + 1)) AS a)",
+       f"vn AS MATERIALIZED (SELECT *, row_number() OVER ({BY}) - 1 AS i FROM bars CROSS JOIN al)",
+       """ve AS (SELECT symbol, ts, i, close, list_transform(a, lambda x: close) AS e FROM vn WHERE i = 0 UNION ALL
+  SELECT n.symbol, n.ts, n.i, n.close, list_transform(list_zip(n.a, p.e), lambda z: z[1] * n.close + (1 - z[1]) * z[2]) FROM ve p JOIN vn n ON n.symbol = p.symbol AND n.i = p.i + 1)""",
+       f"vl AS (SELECT symbol, close / lag(close) OVER ({BY}) - 1 AS r, lag(e) OVER ({BY}) AS pe FROM ve)",
+       "vr AS (SELECT symbol, sim, CASE WHEN round(pe[1] - pe[sim + 2], 9) > 0 THEN r ELSE 0 END AS x FROM vl CROSS JOIN (SELECT unnest(range(101)) AS sim) WHERE r IS NOT NULL)",
+       f"vm AS (SELECT symbol, sim, {_SHARPE} AS metric FROM vr GROUP BY symbol, sim)")
+
+
+@query("v6_parameter_perturbation", with_(FLAG, *_V6, "og AS (SELECT symbol, metric AS original FROM vm WHERE sim = 100)", "mt AS (SELECT * FROM vm WHERE sim < 100)",
+       recursive=True) + _summary("Parameter Perturbation", 5.0))
 def v6(spark, sf_dir):
-    scores = cut(val.sweep_scores(_sweep(spark, sf_dir)))
-    original = scores.where((F.col("fast") == 10) & (F.col("slow") == 80)).select("symbol", F.col("score").alias("original"))
-    sims = scores.where(F.col("fast") == 10).select("symbol", F.col("slow").alias("sim"), F.col("score").alias("metric"))
-    return rounded(val.robustness(sims, original, "Parameter Perturbation", c=5.0))
+    return rounded(_perturbed(flag(spark, sf_dir)))
+
+
+def _perturbed(bars):
+    """100 slow spans within 10 % of 80, against 80 itself."""
+    sims = cut(val.parameter_perturbation(bars, 10, 80, n=SIMS))
+    original = sims.where(F.col("sim") == SIMS).select("symbol", F.col("metric").alias("original"))
+    return val.robustness(sims.where(F.col("sim") < SIMS), original, "Parameter Perturbation", c=5.0)
 
 
 @query("v7_start_dates", with_(FLAG, *_RR, f"sd AS (SELECT *, floor(floor(n * 0.0::DOUBLE) + (floor(n * 0.3::DOUBLE) - floor(n * 0.0::DOUBLE)) * (sim / {SIMS - 1}.0::DOUBLE)) AS st FROM sims)",
@@ -203,21 +219,63 @@ def v8(spark, sf_dir):
     return rounded(val.robustness(val.missing_data(rets, n=SIMS), val.original_metric(rets, perf.sharpe), "Missing Data", c=2.0))
 
 
-@query("v10_overall_robustness", with_(FLAG, *_RR, f"sd AS (SELECT *, floor(floor(n * 0.3::DOUBLE) * (sim / {SIMS - 1}.0::DOUBLE)) AS st FROM sims)",
-       f"mt7 AS (SELECT symbol, sim, {_SHARPE.replace('x', 'ret')} AS metric FROM sd WHERE i >= st AND n - st >= 30 GROUP BY symbol, sim)",
-       _u(45, "sims", "du", "symbol, i, sim, ret"), "ms AS (SELECT symbol, sim, CASE WHEN u < 0.05 THEN 0 ELSE ret END AS x FROM du)",
-       f"mt8 AS (SELECT symbol, sim, {_SHARPE} AS metric FROM ms GROUP BY symbol, sim)",
-       """sx AS (SELECT symbol, 'Start Dates' AS test, avg(metric) AS m, stddev_pop(metric) AS s FROM mt7 GROUP BY symbol UNION ALL
-  SELECT symbol, 'Missing Data', avg(metric), 2 * stddev_pop(metric) FROM mt8 GROUP BY symbol)""",
-       "sy AS (SELECT symbol, test, greatest(0, least(10, 10 * (1 - abs(original - m) / (abs(original) + 1)) / (1 + s))) AS sc FROM sx JOIN nn1 USING (symbol))") +
-       f"""SELECT symbol, {r('avg(sc)', 'overall_score', 2)}, {r('median(sc)', 'median_score', 2)}, {r('min(sc)', 'min_score', 2)}, {r('max(sc)', 'max_score', 2)}, min_by(test, sc) AS worst_test,
-  count(*) AS num_tests, CASE WHEN avg(sc) >= 7 THEN 'Robust' WHEN avg(sc) >= 4 THEN 'Moderate' ELSE 'Fragile' END AS interpretation FROM sy GROUP BY symbol""")
+def _score_cte(test: str, sims: str, c: float, original: str = "og1") -> str:
+    """SELECT of one test's score from its simulated metrics."""
+    return (f"SELECT symbol, '{test}' AS test, greatest(0, least(10, 10 * (1 - abs(original - m) / (abs(original) + 1)) / (1 + s * {c}))) AS sc "
+            f"FROM (SELECT symbol, avg(metric) AS m, stddev_pop(metric) AS s FROM {sims} GROUP BY symbol) JOIN {original} USING (symbol)")
+
+
+def _level_cte(test: str, commission: float) -> str:
+    """SELECT of a cost or slippage score over 0, 1, 2, 5 and 10 basis points."""
+    x = f"ret - turnover * (bps + {commission}) / 10000"
+    return (f"SELECT symbol, '{test}', greatest(0, least(10, 10 * (1 - abs(o - w) / (abs(o) + 1)))) FROM (SELECT symbol, max(k) FILTER (bps = 2) AS o, min(k) AS w FROM "
+            f"(SELECT symbol, bps, coalesce(avg({x}) / nullif(stddev_samp({x}), 0), 0) * sqrt(252.0) AS k FROM gr CROSS JOIN (SELECT unnest([0, 1, 2, 5, 10])::DOUBLE AS bps) "
+            "GROUP BY symbol, bps) GROUP BY symbol)")
+
+
+_V10 = (*_RR, "og1 AS (SELECT symbol, original FROM nn1)", _u(42, "sims", "d3", "symbol, ts, ret, i, sim"),
+        "e3 AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol, sim ORDER BY u, i) AS eq FROM d3)",
+        "w3 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, sim ORDER BY u, i) - 1 AS dd FROM e3)", "m3 AS (SELECT symbol, sim, min(dd) AS metric FROM w3 GROUP BY symbol, sim)",
+        "oe AS (SELECT symbol, ts, product(1 + ret) OVER (" + BY + ") AS eq FROM r1)", "od AS (SELECT symbol, eq / max(eq) OVER (" + BY + ") - 1 AS dd FROM oe)",
+        "og3 AS (SELECT symbol, min(dd) AS original FROM od GROUP BY symbol)",
+        _u(43, "sims", "d4", "symbol, i, sim, n"), "p4 AS (SELECT symbol, sim, CAST(floor(u * n) AS BIGINT) AS i FROM d4)",
+        f"m4 AS (SELECT symbol, sim, {_SHARPE.replace('x', 'ret')} AS metric FROM p4 JOIN r1 USING (symbol, i) GROUP BY symbol, sim)",
+        _u(44, "sims", "d5", "symbol, i, sim, ret, sd"), _u(44 + 7919, "sims", "d6", "symbol, i, sim"),
+        "n5 AS (SELECT symbol, sim, ret + sqrt(-2 * ln(1 - d5.u)) * cos(6.283185307179586 * d6.u) * sd * 0.1 AS x FROM d5 JOIN d6 USING (symbol, i, sim))",
+        f"m5 AS (SELECT symbol, sim, {_SHARPE} AS metric FROM n5 GROUP BY symbol, sim)", *_V6,
+        "og6 AS (SELECT symbol, metric AS original FROM vm WHERE sim = 100)", "m6 AS (SELECT * FROM vm WHERE sim < 100)",
+        f"s7 AS (SELECT *, floor(floor(n * 0.3::DOUBLE) * (sim / {SIMS - 1}.0::DOUBLE)) AS st FROM sims)",
+        f"m7 AS (SELECT symbol, sim, {_SHARPE.replace('x', 'ret')} AS metric FROM s7 WHERE i >= st AND n - st >= 30 GROUP BY symbol, sim)",
+        _u(45, "sims", "d8", "symbol, i, sim, ret"), "n8 AS (SELECT symbol, sim, CASE WHEN u < 0.05 THEN 0 ELSE ret END AS x FROM d8)",
+        f"m8 AS (SELECT symbol, sim, {_SHARPE} AS metric FROM n8 GROUP BY symbol, sim)", *_GROSS,
+        "sy AS (" + " UNION ALL ".join([
+            _score_cte("Monte Carlo Shuffle", "m3", 1, "og3"), _score_cte("Bootstrap", "m4", 1), _score_cte("Noise Injection", "m5", 1),
+            _score_cte("Parameter Perturbation", "m6", 5, "og6"), _score_cte("Start Dates", "m7", 1), _score_cte("Missing Data", "m8", 2),
+            _level_cte("Transaction Cost Sensitivity", 0), _level_cte("Slippage Sensitivity", 2)]) + ")")
+
+
+@query("v10_overall_robustness", with_(FLAG, *_V10, recursive=True) +
+       f"""SELECT symbol, {r('avg(sc)', 'overall_score', 2)}, {r('median(sc)', 'median_score', 2)}, {r('min(sc)', 'min_score', 2)}, {r('max(sc)', 'max_score', 2)},
+  {r('stddev_pop(sc)', 'std_score', 2)}, min_by(test, sc) AS worst_test, count(*) AS num_tests,
+  CASE WHEN avg(sc) >= 7 THEN 'Robust' WHEN avg(sc) >= 4 THEN 'Moderate' ELSE 'Fragile' END AS interpretation,
+  string_agg(test || '=' || printf('%.2f', sc), '; ' ORDER BY test) AS breakdown FROM sy GROUP BY symbol""")
 def v10(spark, sf_dir):
-    rets = _rets(spark, sf_dir)
+    """All eight tests: six on the symbol's returns or its EMA strategy, two on the costs of that strategy."""
+    bars = flag(spark, sf_dir)
+    rets = _rets(spark, sf_dir, bars)
     original = cut(val.original_metric(rets, perf.sharpe))
-    a = val.robustness(val.start_dates(rets, n=SIMS), original, "Start Dates")
-    b = val.robustness(val.missing_data(rets, n=SIMS), original, "Missing Data", c=2.0)
-    return val.overall_robustness(a.unionByName(b))
+    deepest = perf.max_drawdown(rets, ["symbol"]).select("symbol", F.col("max_dd").alias("original"))
+    gross = cut(bt.strategy_returns(bt.state_position(sig.ema_cross(bars), 0), cost=0.0).select("symbol", "ts", "ret", "turnover"))
+    tests = [
+        val.robustness(val.monte_carlo_drawdown(rets, SIMS), deepest, "Monte Carlo Shuffle"),
+        val.robustness(val.bootstrap(rets, n=SIMS), original, "Bootstrap"),
+        val.robustness(val.noise_injection(rets, n=SIMS), original, "Noise Injection"),
+        _perturbed(bars),
+        val.robustness(val.start_dates(rets, n=SIMS), original, "Start Dates"),
+        val.robustness(val.missing_data(rets, n=SIMS), original, "Missing Data", c=2.0),
+        val.cost_robustness(val.cost_curve(gross, val.LEVELS), "Transaction Cost Sensitivity"),
+        val.cost_robustness(val.cost_curve(gross, val.LEVELS, commission=2.0), "Slippage Sensitivity")]
+    return val.overall_robustness(reduce(DataFrame.unionByName, [t.select("symbol", "test", "robustness_score") for t in tests]))
 
 
 _RC = ("bn AS (SELECT ts, ret AS bench_ret FROM r1 WHERE symbol = 'AF')",

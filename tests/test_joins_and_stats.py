@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import norm_cdf, uniform
-from barloom.operators import joins, performance as perf, regimes as reg, universe as uni, validation as val
+from barloom.operators import joins, packed, performance as perf, regimes as reg, universe as uni, validation as val
 from barloom.plans import dims
 from tests.conftest import collect
 
@@ -113,10 +113,72 @@ def test_monte_carlo_drawdown_matches_brute_force(spark):
         assert got[sim] == pytest.approx((eq / np.maximum.accumulate(eq) - 1).min())
 
 
-def test_bootstrap_keeps_the_sample_size(spark):
-    pdf = pd.DataFrame({"symbol": "A", "_i": range(200), "ret": np.random.default_rng(1).normal(0, 1, 200)})
-    n = val.bootstrap(spark.createDataFrame(pdf), lambda c: F.count(c), 5).collect()
-    assert [r.metric for r in n] == [200] * 5
+def draws(spark, seed, sim, n):
+    u = spark.range(n).select(uniform(seed, F.lit(sim), F.col("id")).alias("u")).toPandas().u.to_numpy()
+    return np.floor(u * n).astype(int)
+
+
+@pytest.mark.parametrize("size", [4096, 37])
+def test_resampling_matches_brute_force_over_any_blocks(spark, size):
+    """Bootstrap, noise, gaps and start rows against plain numpy, with one block and with many."""
+    rng = np.random.default_rng(1)
+    r = {"A": rng.normal(0.001, 0.02, 200), "B": rng.normal(0, 0.01, 45), "C": np.zeros(31)}
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "_i": range(len(x)), "ret": x}) for s, x in r.items()])
+    df = spark.createDataFrame(pdf)
+
+    def sharpe(x):
+        return 0.0 if x.std(ddof=1) == 0 else x.mean() / x.std(ddof=1) * 252 ** 0.5
+
+    boot = {(x.symbol, x.sim): x.metric for x in val.bootstrap(df, n=3, size=size).collect()}
+    assert len(boot) == 9
+    for (s, sim), m in boot.items():
+        assert m == pytest.approx(sharpe(r[s][draws(spark, 43, sim, len(r[s]))]), rel=1e-6)
+    gaps = {(x.symbol, x.sim): x.metric for x in val.missing_data(df, n=3, share=0.3, size=size).collect()}
+    for (s, sim), m in gaps.items():
+        u = spark.range(len(r[s])).select(uniform(45, F.lit(sim), F.col("id")).alias("u")).toPandas().u.to_numpy()
+        assert m == pytest.approx(sharpe(np.where(u < 0.3, 0, r[s])), rel=1e-6)
+    starts = {(x.symbol, x.sim): x.metric for x in val.start_dates(df, packed.MEAN, n=4, size=size).collect()}
+    for s, x in r.items():
+        for sim in range(4):
+            first = int(np.floor(np.floor(len(x) * 0.3) * (sim / 3)))
+            want = x[first:].mean() if len(x) - first >= 30 else None
+            assert starts.get((s, sim)) == (want if want is None else pytest.approx(want))
+    path = {(x.symbol, x.sim): x.metric for x in val.monte_carlo_drawdown(df, 2, segment=50, size=size).collect()}
+    for (s, sim), m in path.items():
+        u = spark.range(len(r[s])).select(uniform(42, F.lit(sim), F.col("id")).alias("u")).toPandas().u.to_numpy()
+        eq = np.cumprod(1 + r[s][np.argsort(u, kind="stable")])
+        assert m == pytest.approx((eq / np.maximum.accumulate(eq) - 1).min(), abs=1e-12)
+    noisy = val.noise_injection(df, packed.VOLATILITY, n=2, size=size).collect()
+    assert len(noisy) == 6 and all(x.metric == 0 for x in noisy if x.symbol == "C")
+
+
+@pytest.mark.parametrize("size", [4096, 23])
+def test_parameter_perturbation_is_the_plain_recurrence(spark, size):
+    x = 100 * np.cumprod(1 + np.random.default_rng(5).normal(0, 0.02, 150))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "_i": range(150), "close": x, "_pc": [None, *x[:-1]]}))
+    got = {r.sim: r.metric for r in val.parameter_perturbation(df, 3, 10, n=5, size=size).collect()}
+    for sim, span in enumerate([9, 9.5, 10, 10.5, 11, 10]):
+        e = [pd.Series(x).ewm(alpha=2 / (s + 1), adjust=False).mean().to_numpy() for s in (3, span)]
+        ret = (x[1:] / x[:-1] - 1) * (np.round(e[0] - e[1], 9) > 0)[:-1]
+        assert got[sim] == pytest.approx(ret.mean() / ret.std(ddof=1) * 252 ** 0.5)
+    assert len(got) == 6
+
+
+def test_walk_forward_reads_windows_from_slots(spark):
+    rng = np.random.default_rng(2)
+    days = pd.date_range("2000-01-01", periods=400)
+    pdf = pd.concat([pd.DataFrame({"symbol": "A", "param": p, "ts": days.date, "ret": rng.normal(0, 0.01, 400)}) for p in range(3)])
+    windows = val.walk_forward_windows(spark, "2000-01-01", "2001-01-20", train=100, gap=3, test=40, step=30)
+    got = collect(val.walk_forward(spark.createDataFrame(pdf), windows), "window_id")
+    assert len(got) == windows.count() > 5
+    for w, g in zip(collect(windows, "window_id").itertuples(), got.itertuples()):
+        def score(p, a, b):
+            x = pdf[(pdf.param == p) & (pdf.ts >= a) & (pdf.ts <= b)].ret
+            return x.mean() / x.std() * 252 ** 0.5
+        train = {p: score(p, w.train_start, w.train_end) for p in range(3)}
+        best = max(train, key=train.get)
+        assert g.param == best and g.train_metric == pytest.approx(train[best]) and g.test_metric == pytest.approx(score(best, w.test_start, w.test_end))
+    assert got.average_test.tolist() == pytest.approx([got.test_metric.mean()] * len(got))
 
 
 def test_universe_uses_only_the_past(spark, bars):
