@@ -97,9 +97,20 @@ def p4(spark, sf_dir):
     return rounded(pf.risk_parity(_yearly_moments(spark, sf_dir), CASH, STEPS, 0.0, 1.0, by=("y",), damping=DAMPING), 5)
 
 
-@query("p7_kelly")
+_KELLY = ("mu AS (SELECT y, list(m ORDER BY symbol) AS mu FROM (SELECT y, symbol, avg(ret) * 252 AS m FROM yr GROUP BY y, symbol) GROUP BY y)",
+          """ga AS (SELECT y, 0 AS k, n, list_transform(list_zip(m, mu), lambda z: list_append(z[1], z[2])) AS m FROM cm JOIN mu USING (y) UNION ALL
+  SELECT y, k + 1, n, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+    ELSE list_transform(list_zip(r, m[k + 1]), lambda z: z[1] - r[k + 1] / m[k + 1][k + 1] * z[2]) END) FROM ga WHERE k < n)""",
+          "kx AS (SELECT y, list_transform(m, lambda r: greatest(0, r[n + 1] * 0.5)) AS w, n FROM ga WHERE k = n)",
+          f"""kw AS (SELECT y, unnest(names) AS symbol, unnest(list_transform(w, lambda x: CASE WHEN list_sum(w) = 0 THEN 0.5 / kx.n WHEN list_sum(w) > 1
+  THEN x / list_sum(w) * {1 - CASH} ELSE x END)) AS raw FROM kx JOIN cm USING (y))""",
+          "kc AS (SELECT y, symbol, greatest(0, least(1, raw)) AS c FROM kw)")
+
+
+@query("p7_kelly", with_(MARKET, RET, _YEARS, *_PARITY[:3], *_KELLY, recursive=True) +
+       f"SELECT y, symbol, {r(f'c * {1 - CASH} / sum(c) OVER (PARTITION BY y)', 'weight', 5)} FROM kc")
 def p7(spark, sf_dir):
-    return rounded(pf.kelly(_yearly_moments(spark, sf_dir), 0.5, CASH, 0.0, 1.0, by=("y",)))
+    return rounded(pf.kelly(_yearly_moments(spark, sf_dir), 0.5, CASH, 0.0, 1.0, by=("y",)), 5)
 
 
 @query("d17_covariance", with_(MARKET, RET, _YEARS) + f"""SELECT a.y, a.symbol AS a, b.symbol AS b, {r('covar_samp(a.ret, b.ret) * 252', 'cov')} FROM yr a
@@ -121,7 +132,7 @@ def _risk(spark, sf_dir):
     rets = cut(panel_returns(panel(bars)))
     n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
     w = attach(n, n.agg(F.sum("_n").alias("_t"))).select("symbol", (F.col("_n") / F.col("_t")).alias("weight"))
-    return rets, cut(w), cut(pf.risk_contributions(cut(pf.covariance(rets.select("symbol", "d", "ret"))), w))
+    return rets, cut(w), cut(pf.risk_contributions(rets, w))
 
 
 def _q_risk(key: str, sql: str, cols: list[str]):

@@ -34,12 +34,29 @@ def block(spark, cov, mu):
 def test_risk_parity_equalises_risk(spark):
     cov = np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.16]])
     w = collect(pf.risk_parity(block(spark, cov, np.zeros(3)), iterations=400), "symbol").weight.to_numpy()
-    n, ref = 3, np.full(3, 1 / 3)
-    for _ in range(400):
-        vol = np.sqrt(ref @ cov @ ref)
-        ref = ref * (vol / n) / (ref * (cov @ ref) / vol)
-        ref = ref / ref.sum()
-    np.testing.assert_allclose(w, ref, rtol=1e-10)
+    risk = w * (cov @ w)
+    np.testing.assert_allclose(risk, risk.mean(), rtol=1e-9)
+    assert w.sum() == pytest.approx(1.0)
+    flat = collect(pf.risk_parity(block(spark, np.zeros((2, 2)), np.zeros(2)), 0.1), "symbol").weight.tolist()
+    assert flat == pytest.approx([0.45, 0.45])
+    with pytest.raises(ValueError):
+        pf.risk_parity(block(spark, cov, np.zeros(3)), damping=1.0)
+
+
+def test_linear_systems_of_several_dates(spark):
+    """Definite, indefinite and singular matrices are solved side by side by products alone."""
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(9, 9))
+    q = np.linalg.qr(a)[0]
+    mats = {"p": a @ a.T + np.eye(9), "q": q @ np.diag([5, -4, 3, -2, 1, 1, 2, 0.5, -0.1]) @ q.T, "s": q @ np.diag([1.0] * 8 + [0]) @ q.T}
+    names = [f"S{i}" for i in range(9)]
+    rows = [(d, names[i], names[j], float(m[i, j])) for d, m in mats.items() for i in range(9) for j in range(i, 9)]
+    m = pf.RowMatrix(spark.createDataFrame(rows, "ts string, a string, b string, cov double"), ["ts"])
+    b = rng.normal(size=9)
+    got = pf.solve(m, {(d,): b for d in mats})
+    np.testing.assert_allclose(got["p",], np.linalg.solve(mats["p"], b), rtol=1e-7)
+    np.testing.assert_allclose(got["q",], np.linalg.solve(mats["q"], b), rtol=1e-7)
+    assert got["s",] is None
 
 
 def test_kelly_matches_numpy_and_survives_a_singular_block(spark):
@@ -53,13 +70,17 @@ def test_kelly_matches_numpy_and_survives_a_singular_block(spark):
     assert flat == [0.5, 0.5]
 
 
-def test_component_risk_sums_to_volatility(spark):
-    _, long = returns_frame(missing=0.0)
-    cov = pf.covariance(spark.createDataFrame(long))
-    w = spark.createDataFrame([(f"S{i}", 1 / 7) for i in range(7)], "symbol string, weight double")
-    got = pf.risk_contributions(cov, w).toPandas()
-    assert got.crc.sum() == pytest.approx(got.portfolio_volatility.iloc[0])
-    assert got.crc_pct.sum() == pytest.approx(1.0)
+@pytest.mark.parametrize("missing", [0.0, 0.02])
+def test_risk_of_returns_with_and_without_gaps(spark, missing):
+    """With few gaps some symbols take the way without pairs; the pairwise-complete matrix gives the same."""
+    wide, long = returns_frame(n=40, missing=missing, seed=8)
+    assert missing == 0 or 0 < wide.isna().any().sum() < 7
+    w = pd.Series(np.arange(1.0, 8) / 28, index=wide.columns)
+    sw = wide.cov().fillna(0) @ w * 252
+    got = collect(pf.risk_contributions(spark.createDataFrame(long), spark.createDataFrame(w.rename("weight").rename_axis("symbol").reset_index())), "symbol")
+    vol = np.sqrt(w @ sw)
+    np.testing.assert_allclose(got.mrc, sw / vol, rtol=1e-9)
+    assert got.crc.sum() == pytest.approx(vol) and got.crc_pct.sum() == pytest.approx(1.0)
 
 
 def test_weights_sum_to_one_minus_cash(spark):
