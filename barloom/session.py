@@ -62,5 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     root = jvm.org.apache.hadoop.fs.Path(folder)
     root.getFileSystem(conf).deleteOnExit(root)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored = True
+    out._stored, out._path = True, path
     return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` stored and nothing will read again (a table that its successor replaced)."""
+    for df in frames:
+        if path := getattr(df, "_path", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
