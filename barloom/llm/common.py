@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import string
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from barloom.llm.kernels import slices, utf8
-from barloom.session import cut
+from barloom.session import cut, discard
 
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +42,11 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 KEY = ["_nil", "_id", "_hash"]
 
 
+def own_columns(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``_own``, out of reach of result columns of the same names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+
+
 def annotate(docs: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[list[pa.Array], pa.Array | None]],
              fields: T.StructType, drop: tuple[str, ...] = (), by: str = "text", limit: int = 4 << 20) -> DataFrame:
     """Add columns computed by ``kernel(batch) -> (arrays, keep mask or None)`` in Arrow batches.
@@ -105,6 +113,23 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
             .drop("_p", "_s0"))
 
 
+def sketch(minima: np.ndarray) -> np.ndarray:
+    """Two bits of every MinHash value, as (rows, k) longs: values that differ agree in half of their bits."""
+    bits = (minima[:, :, None] >> np.arange(2, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(minima), -1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).reshape(len(minima), -1)
+
+
+def far_bits(values: int, least: float, deviations: float = 2.6) -> int:
+    """Differing sketch bits of ``values`` MinHash values that a pair of similarity ``least`` exceeds in one case of 200."""
+    other = values * (1 - least)
+    return int(other + deviations * math.sqrt(other / 2 + other * least))
+
+
+def sketch_distance(a: Column, b: Column, longs: int) -> Column:
+    return functools.reduce(Column.__add__, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(longs)])
+
+
 def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Add to (slim) rows of an ``ordered`` table the sum of each SQL expression over all rows before."""
     own = W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
@@ -133,11 +158,13 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         large = (attach(both, least, "a").filter("b > a")
                  .select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        large = tidy(large)
+        old, large = edges, tidy(large)
+        discard(both)
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (attach(large, least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))))
         edges = tidy(small)
+        discard(old, large)
         now = mark(edges)
         if now == seen:
             break

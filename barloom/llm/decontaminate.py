@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from barloom.llm.common import KEY, annotate, lower_ascii, row_key
+from barloom.llm.common import KEY, annotate, lower_ascii, own_columns, row_key
 from barloom.llm.kernels import ALNUM, each_text, word_runs
 from barloom.session import cut
 
@@ -183,8 +183,12 @@ def contaminated() -> Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that are not contaminated, with their own columns."""
-    return find_overlap(docs, benchmark, doc_id, text).filter(~contaminated()).select(*docs.columns)
+    """Documents that are not contaminated, with their own columns, whatever their names.
+
+    NULL and empty texts stay; rows that repeat are judged alike.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), own_columns(docs))
+    return find_overlap(rows, benchmark.withColumnRenamed(text, "text")).filter(~contaminated()).select("_own.*")
 
 
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

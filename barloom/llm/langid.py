@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from barloom.llm.common import annotate, fold
+from barloom.llm.common import annotate, fold, own_columns
 from barloom.llm.kernels import each_text
 
 UNKNOWN = "und"
@@ -306,9 +306,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def accepted_documents(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """Documents mostly in one learned language, with their own columns."""
+    """Documents mostly in one learned language, with their own columns, whatever their names.
+
+    NULL, empty and letterless texts go; rows that repeat are judged alike; a long text is judged whole.
+    """
     model = fit(docs.filter(~held_out()))
-    return identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    rows = docs.select("text", own_columns(docs))
+    return identify(rows, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("_own.*")
 
 
 def op2_language_id(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ values are candidates. At similarity 0.8 a pair meets in one of 12 bands of 6
 with probability 0.97, at 0.9 with 0.9999. Exact copies of a line are one node,
 so their number does not matter.
 
-Candidates are verified by exact Jaccard similarity of the shingle sets in two
-rounds. First every member of a bucket is compared with the bucket's leader,
-the least node. Members that are then still in different components are
-compared with each other, so no pair that meets in a bucket is left out, while
-buckets of true copies never expand into pairs. Components of verified links are found by distributed
-union-find; the first occurrence (doc_id, NULL last, then text hash, then line
+A node carries a sketch of two bits of each MinHash value. Candidate pairs whose
+sketches differ in more bits than one in 200 pairs at similarity 0.8 do are left
+out before any text moves; the others are verified by exact Jaccard similarity of
+the shingle sets. That is done in two rounds: first every member of a bucket is
+compared with the bucket's leader, the least node; members that are then still in
+different components are compared with each other, so buckets of true copies
+never expand into pairs. Components of verified links are found by distributed union-find; the first occurrence (doc_id, NULL last, then text hash, then line
 number) of a component stays.
 
 Lines without visible characters are never duplicates and always stay; NULL
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from barloom.llm.common import KEY, attach, components, row_key
+from barloom.llm.common import KEY, attach, components, far_bits, row_key, sketch, sketch_distance
 from barloom.llm.kernels import each_text
-from barloom.session import cut
+from barloom.session import cut, discard
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 12, 6, 0.8
-MOST_BROADCAST = 1_000_000
+LONG = 4096  # characters up to which shingle sets are kept as strings
+MOST_BROADCAST = 300_000
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -55,8 +57,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys; normalised lines, none empty."""
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) keys and the sketches; normalised lines, none empty."""
     lens = np.array([len(x) for x in lines])
     x = np.frombuffer(("".join(lines) + "\0" * SHINGLE).encode("utf-32-le"), np.uint32)
     h = np.zeros(len(x) - SHINGLE + 1, np.uint32)
@@ -91,10 +93,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     for r in range(ROWS):
         keys = (keys ^ out[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+    return keys.view(np.int64), sketch(out)
 
 
-_LINES = "line_no int, node bigint, other bigint, line string, bands array<bigint>"
+_LINES = "line_no int, node bigint, other bigint, line string, bands array<bigint>, sketch array<bigint>"
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """One list per matrix row."""
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(values.ravel(), pa.int64()))
 
 
 def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) -> DataFrame:
@@ -106,15 +114,13 @@ def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) ->
 
         def flush(b: pa.RecordBatch, rows: list[tuple], fresh: list[str]) -> pa.RecordBatch:
             row, no, node, other, place = zip(*rows, strict=True)
-            keys = signatures(fresh) if fresh else np.empty((0, BANDS), np.int64)
-            flat = pa.array(keys.ravel(), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * BANDS, pa.int32()), flat)
+            keys, short = signatures(fresh) if fresh else (np.empty((0, BANDS), np.int64), np.empty((0, 1), np.int64))
             where = pa.array(place, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [b.column(k).take(pa.array(row)) for k in KEY]
                 + [pa.array(no, pa.int32()), pa.array(node, pa.int64()), pa.array(other, pa.int64()),
-                   pa.array(fresh, pa.string()).take(where), lists.take(where)],
-                names=[*KEY, "line_no", "node", "other", "line", "bands"])
+                   pa.array(fresh, pa.string()).take(where), lists(keys).take(where), lists(short).take(where)],
+                names=schema.names)
 
         for b in batches:
             rows, fresh, chars = [], [], 0
@@ -157,53 +163,114 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lead = k[-1], leaders[-1]
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, line_a, line_b) that are similar enough; lines met again soon keep their shingle sets."""
-    kept = lru_cache(512)(shingles)
+class Shingles:
+    """The shingle set of a line: strings, or 64-bit hashes of a line of more than ``LONG`` characters and of what it is compared with."""
 
-    def sets(line: str) -> set[str]:
-        return kept(line) if len(line) <= 4096 else shingles(line)
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            own, there = sets(x), sets(y)
-            n, m = len(own), len(there)
-            both = len(own & there) if min(n, m) >= least * max(n, m) else -1  # sizes alone rule the others out
-            ok.append(both >= least * (n + m - both))
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    def __init__(self, line: str):
+        self.line = line
+        self.set = shingles(line) if len(line) <= LONG else None
 
+    def hashes(self) -> np.ndarray:
+        x = np.frombuffer(self.line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(len(x) - SHINGLE + 1, np.uint64)
+        for i in range(SHINGLE):
+            h = (h ^ x[i:len(h) + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return np.unique(h)
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float, compare: Callable) -> DataFrame:
-    """(a, b) of the candidate pairs with exact Jaccard similarity ``least`` or more."""
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    wanted = cut(ends.groupBy("node").agg(F.count("*").alias("n")))
-    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # two numbers a row
-    texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(few, "node").dropDuplicates(["node"]))
-    a = attach(pairs, texts.withColumnsRenamed({"node": "a", "line": "line_a"}), "a").drop("n")
-    both = a.join(texts.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-    return cut(both.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: compare(it, least), "a bigint, b bigint"))
 
+def similar_sets(a: Shingles, b: Shingles, least: float) -> bool:
+    if a.set is not None and b.set is not None:
+        n, m = len(a.set), len(b.set)
+        return min(n, m) >= least * max(n, m) and (both := len(a.set & b.set)) >= least * (n + m - both)
+    if min(len(a.line), len(b.line)) < SHINGLE:
+        return False
+    x, y = a.hashes(), b.hashes()
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
-def similar_lines(lines: DataFrame, least: float = LEAST, compare: Callable = _jaccard) -> DataFrame:
-    """(node, root) of all lines that have a similar other line; ``compare`` filters batches of pairs with their lines."""
-    signed = lines.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), "node")
+
+def _compare(batches: Iterator[pa.RecordBatch], least: float, make: Callable, similar: Callable) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that are similar enough; the text of ``a`` comes before those of its partners."""
+    kept = lru_cache(512)(make)
+    own, whose = None, None
+    for batch in batches:
+        a, b = [], []
+        for node, salt, other, line in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "b", "line")], strict=True):
+            this = kept(line) if len(line) <= LONG else make(line)
+            if other is None:
+                own, whose = this, (node, salt)
+            elif whose == (node, salt) and similar(own, this, least):
+                a.append(node)
+                b.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, bits: int, longs: int) -> DataFrame:
+    """Distinct pairs (a, b) whose sketches differ in at most ``bits`` bits."""
+    pairs = cut(pairs.distinct())
+    n = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    left = cut(sketches.join(n, "node").select(F.col("node").alias("a"), "n", F.col("sketch").alias("_x")))
+    both = attach(pairs, left, "a").select("a", "b", "_x").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
+    out = cut(both.filter(sketch_distance(F.col("_x"), F.col("_y"), longs) <= bits).select("a", "b"))
+    discard(pairs, left)
+    return out
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, least: float, make: Callable, similar: Callable) -> DataFrame:
+    """(a, b) of the candidate pairs with exact Jaccard similarity ``least`` or more.
+
+    Texts travel by shuffle alone: every partner's text goes to its ``a``, whose own
+    text is sent once for each 1,000 partners.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(ends)
+    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # one number a row
+    texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(few, "node").dropDuplicates(["node"]))
+    salts = F.ceil(F.count("*") / 1000).alias("salts")
+    parts = cut(pairs.groupBy("a").agg(salts, F.count("*").alias("n")))
+    dealt = attach(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
+    theirs = dealt.join(texts.hint("shuffle_merge").withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "line")
+    own = (parts.join(texts.hint("shuffle_merge").withColumnRenamed("node", "a"), "a")
+           .select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "line"))
+    met = own.unionByName(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    out = cut(met.mapInArrow(lambda it: _compare(it, least, make, similar), "a bigint, b bigint"))
+    discard(wanted, texts, parts)
+    return out
+
+
+def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shingles, similar: Callable = similar_sets,
+                  values: int = BANDS * ROWS) -> DataFrame:
+    """(node, root) of all lines that have a similar other line.
+
+    ``lines`` has node, line, bands and sketch (``values`` MinHash values), the last
+    three only where a node is first met. ``make`` turns a text into what
+    ``similar`` compares.
+    """
+    bits, longs = far_bits(values, least), -(-values * 2 // 64)
+    known = lines.filter("bands IS NOT NULL")
+    signed = known.select(F.explode("bands").alias("key"), "node")
     stars = cut(signed.repartition("key").sortWithinPartitions("key", "node")
                 .mapInArrow(_stars, "key bigint, leader bigint, node bigint"))
-    first = stars.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = _verified(first, lines, least, compare)
+    met = stars.select(F.col("leader").alias("node")).unionByName(stars.select("node")).distinct()
+    sketches = cut(known.select("node", "sketch").join(met, "node").dropDuplicates(["node"]))
+    first = _near(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, bits, longs)
+    links = _verified(first, lines, least, make, similar)
     roots = cut(components(links))
     members = (stars.select("key", "leader", "node").join(roots, "node", "left")
                .select("key", "leader", "node", F.coalesce("root", "node").alias("root")))
     mixed = (members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo <> hi").select("key"))
-    open_ = cut(members.join(mixed, "key").distinct())
+    open_ = cut(members.join(mixed, "key").select("key", "node", "root").distinct().join(sketches, "node"))
+    discard(stars, first)
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, "key").filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = cut(rest.distinct())
+    close = sketch_distance(F.col("x.sketch"), F.col("y.sketch"), longs) <= bits
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close)
+    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    discard(open_, sketches)
     if rest.isEmpty():
         return roots
-    return components(links.unionByName(_verified(rest, lines, least, compare)))
+    return components(links.unionByName(_verified(rest, lines, least, make, similar)))
 
 
 def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (decontaminate, exact_dedup, langid, licenses, line_dedup, lm_score, mixing, secrets, sharding,
                          simhash)
+from barloom.llm.common import far_bits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -186,10 +187,11 @@ def test_op7_finds_similar_lines(spark, odd_docs):
     assert line_dedup.dedup_lines(odd_docs).count() == odd_docs.count()
 
 
-def test_minhash_recall():
+def test_minhash_and_sketch_recall():
+    """Of pairs at 0.8 and above, nearly all meet in a band, and of these nearly all pass the sketch."""
     rng = np.random.default_rng(1)
-    hit, n = 0, 400
-    for _ in range(n):
+    met, passed, n, bound = 0, 0, 0, far_bits(line_dedup.BANDS * line_dedup.ROWS, line_dedup.LEAST)
+    for _ in range(900):
         a = "".join(rng.choice(list("abcdefghij klmn"), 200))
         b = list(a)
         for i in rng.choice(200, 4, replace=False):
@@ -197,11 +199,37 @@ def test_minhash_recall():
         a, b = line_dedup.normalised(a), line_dedup.normalised("".join(b))
         x, y = line_dedup.shingles(a), line_dedup.shingles(b)
         if len(x & y) < 0.8 * len(x | y):
-            n -= 1
             continue
-        s = line_dedup.signatures([a, b])
-        hit += bool((s[0] == s[1]).any())
-    assert n > 100 and hit / n >= 0.95
+        n += 1
+        (p, q), (u, v) = line_dedup.signatures([a, b])
+        if (p == q).any():
+            met += 1
+            passed += sum(int(i ^ j & (1 << 64) - 1).bit_count() for i, j in zip(u.view(np.uint64).tolist(), v.view(np.uint64).tolist())) <= bound
+    assert n > 200 and met / n >= 0.95 and passed / met >= 0.99
+
+
+def test_op7_against_brute_force(spark):
+    """Families of edited lines: the classes are the components of all pairs at 0.8, also with a split leader and long lines."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    lines = []
+    for k in range(12):
+        base = list(rng.choice(words, 40 if k else 2500))
+        for share in (0, 0, 0.01, 0.03, 0.05, 0.08, 0.2):
+            lines.append(" ".join(w if rng.random() > share else str(rng.choice(words)) for w in base))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string").repartition(3)
+    sets = [line_dedup.shingles(line_dedup.normalised(x)) for x in lines]
+    root = list(range(len(lines)))
+    links = [(a, b) for a in root for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in lines:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r for r in line_dedup.op7_line_dedup(docs).collect()}
+    classes = {}
+    for i, r in enumerate(root):
+        classes.setdefault(r, set()).add(got[i].line_class)
+    assert all(len(c) == 1 for c in classes.values()) and len({c for s in classes.values() for c in s}) == len(classes) < len(lines)
+    assert {i for i in got if got[i].kept} == set(classes)
 
 
 def brute_simhash(text):
