@@ -10,10 +10,11 @@ so their number does not matter.
 A node carries a sketch of two bits of each MinHash value. Candidate pairs whose
 sketches differ in more bits than one in 200 pairs at similarity 0.8 do are left
 out before any text moves; the others are verified by exact Jaccard similarity of
-the shingle sets. That is done in two rounds: first every member of a bucket is
-compared with the bucket's leader, the least node; members that are then still in
-different components are compared with each other, so buckets of true copies
-never expand into pairs. Components of verified links are found by distributed union-find; the first occurrence (doc_id, NULL last, then text hash, then line
+the shingle sets. First every member of a bucket is compared with the bucket's
+leader, the least node. As long as the buckets that are still in several components
+have many open pairs, their members are compared with one more leader each, which
+brings most members of a large family together. Members that are then still in
+different components are all compared with each other, so nothing is left out. Components of verified links are found by distributed union-find; the first occurrence (doc_id, NULL last, then text hash, then line
 number) of a component stays.
 
 Lines without visible characters are never duplicates and always stay; NULL
@@ -39,6 +40,7 @@ from barloom.session import cut, discard
 SHINGLE, BANDS, ROWS, LEAST = 5, 12, 6, 0.8
 LONG = 4096  # characters up to which shingle sets are kept as strings
 MOST_BROADCAST = 300_000
+MOST_TURNS = 6  # further leaders a bucket with many open pairs is compared with
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -259,18 +261,48 @@ def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shing
     roots = cut(components(links))
     members = (stars.select("key", "leader", "node").join(roots, "node", "left")
                .select("key", "leader", "node", F.coalesce("root", "node").alias("root")))
-    mixed = (members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .filter("lo <> hi").select("key"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(members.join(mixed, "key").select("key", "node", "root").distinct().join(sketches, "node"))
     discard(stars, first)
+
+    def merge(roots: DataFrame, pairs: DataFrame) -> DataFrame | None:
+        """``roots`` after the similar ones of ``pairs`` (a, b, ra, rb) are linked, None if there are none."""
+        found = _verified(pairs.select("a", "b").distinct(), lines, least, make, similar)
+        joined = cut(pairs.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        if joined.isEmpty():
+            return None
+        onto = cut(components(joined).select(F.col("node").alias("root"), F.col("root").alias("to")))
+        old = roots.join(onto, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        alone = onto.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+        return cut(old.unionByName(alone))
+
+    for turn in range(MOST_TURNS):
+        sizes = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "root", "sketch"), F.xxhash64("node", F.lit(turn))).alias("_l")))
+        total, left = sizes.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
+        if not total or left <= 8 * total:
+            break
+        x, lead = F.col("root"), F.col("_l.root")
+        tried = attach(open_, sizes, "key").filter((x != lead) & (sketch_distance(F.col("sketch"), F.col("_l.sketch"), longs) <= bits))
+        low, high = F.least("node", F.col("_l.node")), F.greatest("node", F.col("_l.node"))
+        swapped = F.col("node") > F.col("_l.node")
+        pairs = cut(tried.select(low.alias("a"), high.alias("b"), F.when(swapped, lead).otherwise(x).alias("ra"), F.when(swapped, x).otherwise(lead).alias("rb")).distinct())
+        more = merge(roots, pairs)
+        discard(sizes, pairs)
+        if more is None:
+            continue
+        roots = more
+        again = cut(open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        mixed = again.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        fewer = cut(again.join(mixed, "key"))
+        discard(open_, again)
+        open_ = fewer
     x, y = open_.alias("x"), open_.alias("y")
     close = sketch_distance(F.col("x.sketch"), F.col("y.sketch"), longs) <= bits
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close)
-    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
     discard(open_, sketches)
-    if rest.isEmpty():
-        return roots
-    return components(links.unionByName(_verified(rest, lines, least, make, similar)))
+    last = None if rest.isEmpty() else merge(roots, rest)
+    return roots if last is None else last
 
 
 def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

@@ -217,6 +217,12 @@ def test_op7_against_brute_force(spark):
         base = list(rng.choice(words, 40 if k else 2500))
         for share in (0, 0, 0.01, 0.03, 0.05, 0.08, 0.2):
             lines.append(" ".join(w if rng.random() > share else str(rng.choice(words)) for w in base))
+    base = list(rng.choice(words, 60))
+    for k in range(70):  # a large family of which the leader knows only a part
+        line = list(base)
+        for at in rng.choice(60, 2 + k % 3, replace=False):
+            line[at] = f"edit{rng.integers(1000)}"
+        lines.append(" ".join(line))
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string").repartition(3)
     sets = [line_dedup.shingles(line_dedup.normalised(x)) for x in lines]
     root = list(range(len(lines)))
