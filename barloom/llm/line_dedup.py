@@ -206,6 +206,7 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float, make: Callable, si
                 a.append(node)
                 b.append(other)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    kept.cache_clear()
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, bits: int, longs: int) -> DataFrame:
