@@ -7,12 +7,15 @@ and normalises where the strategy asks for it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.scalars import change, ratio
 from barloom.operators import features as feat
+from barloom.operators.packed import each_run
 from barloom.operators.panel import next_bar
 from barloom.operators.timeline import attach, ema_blocks, emas, index_bars, own
 from barloom.plans import dims
@@ -141,68 +144,164 @@ def volatility_rotation(p: DataFrame, window: int = 20, part: int = 5) -> DataFr
     return _equal(pick_top(scores, share=lambda n: F.floor(n / part), descending=False))
 
 
-def average_correlation(p: DataFrame, window: int = 60, min_rows: int = 20, tile: int = 32, chunk: int = 256) -> DataFrame:
+def _series(p: DataFrame, window: int, chunk: int) -> DataFrame:
+    """(chunk, symbol, x, here, gappy): returns of one symbol over a chunk of dates and the ``window`` before it, packed.
+
+    ``x`` has NaN where there is no return, ``here`` marks the symbol's rows, ``gappy`` is
+    set if any return is missing.
+    """
+    r = p.select("symbol", "d", change(F.col("close"), F.col("_pc")).alias("ret"))
+    spread = F.sequence(F.floor(F.col("d") / chunk), F.floor((F.col("d") + window) / chunk))
+    rows = r.withColumn("chunk", F.explode(spread)).groupBy("chunk", "symbol").agg(
+        F.collect_list(F.col("d").cast("bigint")).alias("_d"), F.collect_list(F.coalesce("ret", F.lit(float("nan")))).alias("_x"))  # one per date at most
+    width = chunk + window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, heres, gaps = [], [], []
+            for c, d, v in zip(b.column("chunk").to_pylist(), b.column("_d"), b.column("_x"), strict=True):
+                at = d.values.to_numpy() - (c * chunk - window)
+                x, here = np.full(width, np.nan), np.zeros(width, bool)
+                x[at] = v.values.to_numpy()
+                here[at] = True
+                xs.append(x.tobytes())
+                heres.append(here.tobytes())
+                gaps.append(bool(np.isnan(x).any()))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("symbol"), pa.array(xs, pa.binary()), pa.array(heres, pa.binary()), pa.array(gaps, pa.bool_())],
+                                             names=["chunk", "symbol", "x", "here", "gappy"])
+
+    packed = rows.mapInArrow(run, "chunk bigint, symbol string, x binary, here binary, gappy boolean")
+    return cut(packed.repartitionByRange("chunk", "symbol").sortWithinPartitions("chunk", "symbol"))
+
+
+def _windows(x: np.ndarray, size: int) -> np.ndarray:
+    """Every window of ``size`` values in units of its own spread; zeros where a value is missing or the window is flat."""
+    w = np.lib.stride_tricks.sliding_window_view(x, size)
+    away = w - w.mean(axis=1, keepdims=True)
+    squares = (away * away).sum(axis=1, keepdims=True)
+    live = squares > 1e-12 * (w * w).sum(axis=1, keepdims=True)  # False for NaN
+    return np.where(live, away / np.sqrt(np.where(live, squares, 1.0)), 0.0)
+
+
+def average_correlation(p: DataFrame, window: int = 60, min_rows: int = 20, tile: int = 32, chunk: int = 256, salt: int = 2000) -> DataFrame:
     """Mean pairwise-complete correlation of each symbol with all others per date.
 
-    Symbols are hashed into tiles and dates into chunks with ``window`` rows of
-    history; each task gets two tiles and one chunk (bounded size) and returns
-    per-symbol sums, so no pair of symbols is ever emitted.
+    Where no return of a window is missing, a symbol's correlations with all
+    others add up to its standardised returns times the sum of everybody's: one
+    pass adds up the standardised windows of a chunk of dates, a second one
+    multiplies each symbol with that sum, and no two symbols ever meet. Only
+    pairs with a symbol that has gaps in the chunk are worked on as pairs, in
+    tiles of both, and only on dates on which one of the two has a gap.
     """
-    r = cut(p.select("symbol", "d", change(F.col("close"), F.col("_pc")).alias("ret")))
-    tiles = _symbols(r).count() // tile + 1
-    row = r.withColumn("_tile", F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int"))
-    own_chunk = F.floor(F.col("d") / chunk)
-    row = row.withColumn("_chunk", F.explode(F.sequence(own_chunk, F.floor((F.col("d") + window) / chunk))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = row.select("symbol", "d", "ret", "_chunk", F.col("_tile").alias("_ta"), every.alias("_tb"), F.lit(0).alias("_side"))
-    right = row.select("symbol", "d", "ret", "_chunk", every.alias("_ta"), F.col("_tile").alias("_tb"), F.lit(1).alias("_side"))
-
-    def kernel(pdf):
-        import numpy as np
-        import pandas as pd
-        c = int(pdf["_chunk"].iloc[0])
-        first = c * chunk - window
-        width = chunk + window
-
-        def matrix(part):
-            names, pos = np.unique(part["symbol"].to_numpy(dtype=str), return_inverse=True)
-            m = np.full((len(names), width), np.nan)
-            m[pos, part["d"].to_numpy() - first] = part["ret"].to_numpy(dtype=float)
-            here = np.zeros((len(names), width), dtype=bool)
-            here[pos, part["d"].to_numpy() - first] = True
-            return names, m, here
-
-        def rolled(x):
-            s = np.concatenate([np.zeros(x.shape[:-1] + (1,)), np.cumsum(x, axis=-1)], axis=-1)
-            return s[..., window + 1:] - s[..., :-(window + 1)]
-
-        na, a, here = matrix(pdf[pdf["_side"] == 0])
-        nb, b, _ = matrix(pdf[pdf["_side"] == 1])
-        frames = []
-        for k, name in enumerate(na):
-            both = ~np.isnan(a[k])[None, :] & ~np.isnan(b)
-            x = np.where(both, a[k][None, :], 0.0)
-            y = np.where(both, b, 0.0)
-            n, sx, sy = rolled(both.astype(float)), rolled(x), rolled(y)
-            sxx, syy, sxy = rolled(x * x), rolled(y * y), rolled(x * y)
-            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-            fine = (n > 1) & (vx > 1e-12 * n * sxx) & (vy > 1e-12 * n * syy) & (nb != name)[:, None]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                corr = np.where(fine, (n * sxy - sx * sy) / np.sqrt(vx * vy), 0.0)
-            days = np.arange(c * chunk, (c + 1) * chunk)
-            live = here[k, window:]
-            frames.append(pd.DataFrame({"symbol": name, "d": days[live], "total": corr.sum(axis=0)[live],
-                                        "n": fine.sum(axis=0)[live]}))
-        if not frames:
-            return pd.DataFrame({"symbol": [], "d": [], "total": [], "n": []})
-        return pd.concat(frames)
-
-    sums = left.unionByName(right).groupBy("_ta", "_tb", "_chunk").applyInPandas(
-        kernel, "symbol string, d long, total double, n long")
+    size = window + 1
+    series = _series(p, window, chunk)
+    shape = (chunk, size)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, n = None, np.zeros(shape), np.zeros(chunk)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())],
+                                              names=["chunk", "total", "n"])
+        for b in batches:
+            for c, x in zip(b.column("chunk").to_pylist(), b.column("x").to_pylist(), strict=True):
+                if c != at and at is not None:
+                    yield done()
+                if c != at:
+                    at, total, n = c, np.zeros(shape), np.zeros(chunk)
+                z = _windows(np.frombuffer(x), size)
+                total += z
+                n += z.any(axis=1)
+        if at is not None:
+            yield done()
+
+    def joined(key: dict, rows: pa.Table) -> Iterator[dict]:
+        yield {c: sum(np.frombuffer(v) for v in rows.column(c).to_pylist()).tobytes() for c in ("total", "n")}
+
+    partial = series.select("chunk", "x").mapInArrow(add, "chunk bigint, total binary, n binary")
+    whole = each_run(partial, ["chunk"], joined, "total binary, n binary")
+    salts = series.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / salt).alias("_salts"))
+    own = whole.join(salts, "chunk").select("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)).alias("part"), F.lit(None).cast("string").alias("symbol"), "total", "n")
+    rows = series.join(salts, "chunk").select("chunk", F.pmod(F.xxhash64("symbol"), F.col("_salts")).alias("part"), "symbol", "x", "here")
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = n = None
+        for b in batches:
+            out = {"symbol": [], "d": [], "total": [], "n": []}
+            for c, symbol, t, k, x, here in zip(*[b.column(c).to_pylist() for c in ("chunk", "symbol", "total", "n", "x", "here")], strict=True):
+                if symbol is None:
+                    total, n = np.frombuffer(t).reshape(shape), np.frombuffer(k)
+                    continue
+                z = _windows(np.frombuffer(x), size)
+                live = z.any(axis=1)
+                days = np.flatnonzero(np.frombuffer(here, bool)[window:])
+                out["symbol"] += [symbol] * len(days)
+                out["d"] += (c * chunk + days).tolist()
+                out["total"] += np.where(live, (z * total).sum(axis=1) - 1.0, 0.0)[days].tolist()
+                out["n"] += np.where(live, n - 1, 0)[days].astype(int).tolist()
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("symbol", pa.string()), ("d", pa.int64()), ("total", pa.float64()), ("n", pa.int64())]))
+
+    both = own.unionByName(rows, allowMissingColumns=True).repartition("chunk", "part").sortWithinPartitions("chunk", "part", F.col("symbol").asc_nulls_first())
+    sums = both.mapInArrow(times, "symbol string, d bigint, total double, n bigint")
+    if not series.where("gappy").isEmpty():
+        sums = sums.unionByName(_gap_pairs(series, window, tile, chunk))
     return sums.where(F.col("d") >= min_rows - 1).groupBy("symbol", "d").agg(
         F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("avg_corr"))
 
 
+def _gap_pairs(series: DataFrame, window: int, tile: int, chunk: int) -> DataFrame:
+    """(symbol, d, total, n) over pairs and dates on which at least one of the two lacks a return in its window.
+
+    A symbol with gaps in the chunk meets all others in tiles of bounded size; a
+    partner without gaps gets its share from the same pair.
+    """
+    size = window + 1
+    count = series.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / tile).alias("_all"), F.ceil(F.count_if("gappy") / tile).alias("_some")).where("_some > 0")
+    rows = series.join(count, "chunk")
+
+    def tiles(c: str):
+        return F.pmod(F.xxhash64("symbol"), F.col(c)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    mine, every = tiles("_some")[0], tiles("_all")[1]
+    left = rows.where("gappy").select("chunk", mine.alias("ta"), every.alias("tb"), F.lit(0).alias("side"), "symbol", "x", "here", "gappy")
+    mine, every = tiles("_all")[0], tiles("_some")[1]
+    right = rows.select("chunk", every.alias("ta"), mine.alias("tb"), F.lit(1).alias("side"), "symbol", "x", "here", "gappy")
+
+    def rolled(v: np.ndarray) -> np.ndarray:
+        s = np.concatenate([np.zeros(v.shape[:-1] + (1,)), np.cumsum(v, axis=-1)], axis=-1)
+        return s[..., size:] - s[..., :-size]
+
+    def pairs(key: dict, t: pa.Table) -> Iterator[dict]:
+        side, names = t.column("side").to_numpy(), t.column("symbol").to_pylist()
+        x = np.array([np.frombuffer(v) for v in t.column("x").to_pylist()])
+        here = np.array([np.frombuffer(v, bool)[window:] for v in t.column("here").to_pylist()])
+        gappy = t.column("gappy").to_numpy(zero_copy_only=False)
+        seen = ~np.isnan(x)
+        full = rolled(seen.astype(float)) == size
+        b = np.flatnonzero(side == 1)
+        totals, counts = np.zeros((len(x), chunk)), np.zeros((len(x), chunk), int)
+        for k in np.flatnonzero(side == 0).tolist():
+            both = seen[k] & seen[b]
+            u, v = np.where(both, x[k], 0.0), np.where(both, x[b], 0.0)
+            n, su, sv, suu, svv, suv = rolled(both.astype(float)), rolled(u), rolled(v), rolled(u * u), rolled(v * v), rolled(u * v)
+            du, dv = n * suu - su * su, n * svv - sv * sv
+            fine = (n > 1) & (du > 1e-12 * n * suu) & (dv > 1e-12 * n * svv) & ~(full[k] & full[b])
+            fine &= np.array([names[i] != names[k] for i in b])[:, None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                corr = np.where(fine, (n * suv - su * sv) / np.sqrt(du * dv), 0.0)
+            totals[k] += corr.sum(axis=0)
+            counts[k] += fine.sum(axis=0)
+            mirror = ~gappy[b]
+            totals[b[mirror]] += corr[mirror]
+            counts[b[mirror]] += fine[mirror]
+        for i in np.flatnonzero(counts.any(axis=1)).tolist():
+            days = np.flatnonzero((counts[i] > 0) & here[i])
+            for d in days.tolist():
+                yield {"symbol": names[i], "d": key["chunk"] * chunk + d, "total": totals[i, d], "n": int(counts[i, d])}
+
+    met = left.unionByName(right)
+    return each_run(met, ["chunk", "ta", "tb"], pairs, "symbol string, d bigint, total double, n bigint").select("symbol", "d", "total", "n")
+
+
 def correlation_rotation(p: DataFrame, window: int = 60, part: int = 3) -> DataFrame:
     scores = average_correlation(p, window).select("symbol", "d", F.round("avg_corr", 9).alias("score"))
     return _equal(pick_top(scores, share=lambda n: F.floor(n / part), descending=False))
