@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.scalars import TRADING_DAYS, change, norm_cdf, norm_ppf
 from barloom.operators.timeline import scan, time_block
@@ -141,33 +141,58 @@ def max_drawdown(rets: DataFrame, keys, ret: str = "ret", order: str = "ts", blo
 
 # ----------------------------------------------------------------- percentiles
 
-def exact_percentiles(df: DataFrame, keys, value: str, points: dict[str, float], bins: int = 64) -> DataFrame:
-    """Exact interpolated percentiles per group without collecting a group.
+def _narrowed(live: DataFrame, state: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """Each wanted rank of ``state`` within a part of its range that holds a few thousandths of the rows, or one value.
 
-    Values are first reduced to (value, count), then ranked by a scan whose
-    blocks are split points of a mergeable quantile sketch, so a group holding a
-    third of the rows is sorted by many tasks. The sketch only balances the
-    work; the result is exact.
+    A quantile sketch proposes a value near the rank and two borders around it;
+    exact counts of the five parts they make say which one holds the rank. The
+    sketch only decides how fast the range shrinks, never what is found.
+    """
+    rows = live.join(state, keys).where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))
+    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    sketch = rows.groupBy(*keys, "_t").agg(F.approx_percentile("_v", grid, F.lit(10 * steps)).alias("_g"))
+    at = F.floor(F.col("_rank") / F.col("_n") * steps).cast("int")
+    near = state.join(sketch, [*keys, "_t"]).select(
+        *state.columns, F.get("_g", F.greatest(at - 1, F.lit(0))).alias("_lo"), F.get("_g", at).alias("_mid"),
+        F.get("_g", F.least(at + 2, F.lit(steps))).alias("_hi"))
+    v = F.col("_v")
+    part = (F.when(v < F.col("_lo"), 0).when(v < F.col("_mid"), 1).when(v == F.col("_mid"), 2).when(v <= F.col("_hi"), 3).otherwise(4))
+    rows = live.join(near, keys).where((v >= F.col("_a")) & (v <= F.col("_b")))
+    counts = rows.groupBy(*keys, "_t", "_rank", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = counts.withColumn("_rank", F.col("_rank") - before).where("_rank >= 0 AND _rank < _n")
+    return cut(found.select(*state.columns))
+
+
+def exact_percentiles(df: DataFrame, keys, value: str, points: dict[str, float], limit: int = 50_000, steps: int = 1000) -> DataFrame:
+    """Exact interpolated percentiles per group without sorting or collecting a group.
+
+    The ranks that are asked for are narrowed down: as long as a rank's range holds
+    more than ``limit`` rows, one pass of counts with map-side combination shrinks
+    it to a few parts in ``steps``. A group of 10^8 values needs two such passes,
+    spread over all tasks like any aggregate; only the last ``limit`` rows of each
+    rank are put in order.
     """
     keys = list(keys)
-    live = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    distinct = cut(live.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    cuts = [F.lit(i / bins) for i in range(1, bins)]
-    split = distinct.groupBy(*keys).agg(
-        F.approx_percentile("_v", F.array(*cuts), F.lit(1000)).alias("_cuts"), F.sum("_n").alias("_total"))
-    ranked = distinct.join(split, keys)
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    ranked = scan(ranked.withColumn("_bin", below).drop("_cuts"),
-                  {"_cum": ("sum", F.col("_n"))}, keys, "_v", F.col("_bin"))
-    out = []
-    for name, p in points.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at_lo = (F.col("_cum") - F.col("_n") <= lo) & (lo < F.col("_cum"))
-        at_hi = (F.col("_cum") - F.col("_n") <= hi) & (hi < F.col("_cum"))
-        a, b = F.max(F.when(at_lo, F.col("_v"))), F.max(F.when(at_hi, F.col("_v")))
-        out.append((a + (b - a) * F.max(pos - lo)).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    live = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
+    size = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    place = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in points.items()}
+    asked = F.array(*[F.struct(F.lit(f"{name}/{side}").alias("_t"), fn(pos).cast("bigint").alias("_rank"))
+                      for name, pos in place.items() for side, fn in (("lo", F.floor), ("hi", F.ceil))])
+    size = cut(size)
+    state = cut(size.select(*keys, F.inline(asked), "_n", "_a", "_b"))
+    many = (F.col("_n") > limit) & (F.col("_a") < F.col("_b"))
+    while not state.where(many).isEmpty():
+        state = cut(state.where(~many).unionByName(_narrowed(live, state.where(many), keys, steps)))
+    open_ = state.where("_a < _b")
+    rows = live.join(open_, keys).where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))
+    ranked = rows.groupBy(*keys, "_t", "_rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_t").orderBy("_v"))
+    ranked = ranked.withColumn("_upto", upto).where("_rank < _upto AND _rank >= _upto - _c").select(*keys, "_t", "_v")
+    found = ranked.unionByName(state.where("_a = _b").select(*keys, "_t", F.col("_a").alias("_v")))
+    pick = {t: F.max(F.when(F.col("_t") == t, F.col("_v"))) for name in points for t in (f"{name}/lo", f"{name}/hi")}
+    out = found.join(size.select(*keys, "_n"), keys).groupBy(*keys, "_n").agg(*[v.alias(t) for t, v in pick.items()])
+    return out.select(*keys, *[(F.col(f"`{n}/lo`") + (F.col(f"`{n}/hi`") - F.col(f"`{n}/lo`")) * (place[n] - F.floor(place[n]))).alias(n) for n in points])
 
 
 def tail_metrics(rets: DataFrame, keys=("series_id",), ret: str = "ret") -> DataFrame:

@@ -28,15 +28,16 @@ def test_asof_matches_pandas(spark, direction):
     np.testing.assert_allclose(got.v.astype(float), want.v)
 
 
+@pytest.mark.parametrize("limit, steps", [(50_000, 1000), (20, 10)])
 @pytest.mark.parametrize("ties", [False, True])
-def test_percentiles_are_exact(spark, ties):
+def test_percentiles_are_exact(spark, ties, limit, steps):
     rng = np.random.default_rng(4)
     x = rng.normal(size=3001)
     if ties:
         x = np.where(rng.random(3001) < 0.6, 1.0, np.round(x, 1))
     pdf = pd.DataFrame({"g": np.where(np.arange(3001) < 2800, "hot", "cold"), "x": x})
     points = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = perf.exact_percentiles(spark.createDataFrame(pdf), ["g"], "x", points, bins=8).toPandas().set_index("g")
+    got = perf.exact_percentiles(spark.createDataFrame(pdf), ["g"], "x", points, limit=limit, steps=steps).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         for name, p in points.items():
             assert got.loc[g, name] == pytest.approx(np.percentile(part.x, p * 100), abs=1e-12)
