@@ -21,16 +21,19 @@ def normalise(raw: DataFrame, seq: Column | None = None, keys=("symbol", "ts"))
         *keys, *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "overwrite", files_per_year: int = 8) -> None:
-    """Store bars by year, each file sorted by symbol and time.
+def write_bars(bars: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 2_000_000) -> None:
+    """Store bars by year in files of about ``rows_per_file`` rows, each a range of symbols and, within a large symbol, of time.
 
-    Year folders prune date slices; sorted files give tight symbol statistics.
-    Rows are spread by symbol and month, so a hot symbol fills many files.
+    The number of files follows the number of rows: little data makes few files,
+    a hot symbol fills many. Year folders prune date slices; as a file covers a
+    narrow range of symbols, its statistics prune symbols. Only the years in
+    ``bars`` are replaced.
     """
-    df = as_bars(bars).withColumn("year", F.year("ts"))
-    slot = F.pmod(F.xxhash64("symbol", F.month("ts")), F.lit(files_per_year))
-    (df.repartition(F.col("year"), slot).sortWithinPartitions("year", "symbol", "ts")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
+    df = cut(as_bars(bars).withColumn("year", F.year("ts")))
+    files = -(-df.count() // rows_per_file) or 1
+    order = ("year", "symbol", "ts")
+    (df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path))
 
 
 def scan_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,

@@ -1,9 +1,11 @@
 import datetime as dt
 import os
+import pathlib
 import subprocess
 import sys
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -29,6 +31,22 @@ def test_store_round_trip_prunes_and_merges(spark, bars, tmp_path):
     assert again.count() == bars.count() and again.where(F.col("close") == 1.0).count() == fresh.count()
 
 
+def test_store_files_follow_rows_and_hold_few_symbols(spark, bars, tmp_path):
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    store.write_bars(bars, few)
+    store.write_bars(bars, many, rows_per_file=100)
+    years, n = 2, bars.count()
+    files = [sorted(pathlib.Path(p).glob("year=*/*.parquet")) for p in (few, many)]
+    assert len(files[0]) == years and n / 100 <= len(files[1]) <= n / 60 + years
+    held = [pq.read_metadata(f).row_group(0) for f in files[1]]
+    stats = [{g.column(k).path_in_schema: g.column(k).statistics for k in range(g.num_columns)}["symbol"] for g in held]
+    assert sum(s.min <= "B" <= s.max for s in stats) < len(stats) / 2  # a query for one symbol opens few files
+    assert store.scan_bars(spark, many, symbols=["B"]).count() == bars.where("symbol = 'B'").count()
+    before = {f: f.stat().st_mtime_ns for f in files[1] if "year=2000" in str(f)}
+    store.update_store(spark, many, bars.where("ts >= '2001-01-01'"))
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())  # untouched years keep their files
+
+
 def test_as_bars_fills_and_casts(spark):
     df = spark.sql("SELECT 'A' AS symbol, TIMESTAMP_NTZ '2020-01-01 10:00:00' AS ts, CAST('NaN' AS DOUBLE) AS high, 5.0 AS close")
     row = as_bars(df).first()
