@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from barloom.session import cut
 
@@ -31,8 +31,8 @@ _COMBINE = {"sum", "count", "max", "min", "product", "last", "prev", "next"}
 
 def time_block(order: str = "ts", days: float = BLOCK_DAYS) -> Column:
     """Block number of a DATE or TIMESTAMP column; fractions of a day are allowed."""
-    if days < 1:
-        return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(int(86400 * days)))
+    if days != int(days):
+        return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(max(1, int(86400 * days))))
     return F.floor(F.unix_date(F.col(order).cast("date")) / F.lit(days)).cast("int")
 
 
@@ -107,15 +107,28 @@ def number(df: DataFrame, keys=("symbol",), order: str = "ts", days: int = BLOCK
     return out.withColumn("_i", F.col("_i") - 1)
 
 
+def block_days(df: DataFrame, keys=("symbol",), order: str = "ts", rows: int = BLOCK_ROWS) -> float:
+    """Width of a time block in which the densest series has about ``rows`` rows, at most BLOCK_DAYS.
+
+    Dates have at most one row a day and need no look at the data.
+    """
+    if df.schema[order].dataType == T.DateType():
+        return BLOCK_DAYS
+    day = F.unix_seconds(F.col(order).cast("timestamp")) / 86400.0
+    density = df.groupBy(*keys).agg((F.count(F.lit(1)) / (F.max(day) - F.min(day) + 1 / 24)).alias("_d")).agg(F.max("_d")).first()[0]
+    return BLOCK_DAYS if not density else float(min(BLOCK_DAYS, max(1 / 1440, rows / density)))
+
+
 def index_bars(bars: DataFrame, keys=("symbol",), order: str = "ts", price: str = "close") -> DataFrame:
     """Store a series table once with its row number ``_i`` and previous price ``_pc``.
 
     Every block operator needs row numbers and most need the previous close;
-    with both in the table they cost one pass for any number of operators.
+    with both in the table they cost one pass for any number of operators. Blocks
+    are as narrow as intraday bars need.
     """
     base = cut(bars)
-    out = scan(base, {"_i": ("count", F.lit(1)), "_pc": ("prev", F.col(price))}, keys, order)
-    return cut(out.withColumn("_i", F.col("_i") - 1))
+    out = scan(base, {"_i": ("count", F.lit(1)), "_pc": ("prev", F.col(price))}, keys, order, time_block(order, block_days(base, keys, order)))
+    return cut(out.withColumn("_i", F.col("_i") - 1).drop("_tb"))
 
 
 def pick(df: DataFrame, *columns: str, keys=("symbol",), order: str = "ts") -> DataFrame:

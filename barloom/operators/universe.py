@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import ratio
 from barloom.operators import features as feat
 from barloom.operators.joins import asof_backward
-from barloom.operators.timeline import attach, blocks, index_bars, own, window
+from barloom.operators.timeline import attach, blocks, index_bars, own, scan, window
 from barloom.plans import dims
 from barloom.session import cut
 
@@ -66,27 +67,17 @@ def business_days(start: str, end: str) -> Column:
     return F.filter(days, lambda d: F.weekday(d) < 5)
 
 
-def checks(bars: DataFrame, dates: Column | DataFrame, limits: Limits = Limits(), metadata: DataFrame | None = None) -> DataFrame:
-    """All filter values and verdicts per (symbol, as-of date).
-
-    ``dates`` is an array expression or a one-column frame ``ts`` of dates.
-    ``metadata(symbol, listing, delisting, aum, tracking_error)`` is optional;
-    missing values fall back to proxies computed as of the date, tracking error
-    is a fraction.
-    """
-    bars = bars if "_i" in bars.columns else index_bars(bars)
-    life = cut(bars.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+def _life(bars: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """First and last bar of every symbol with its metadata, NULL where there is none."""
+    life = bars.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     if metadata is not None:
-        life = life.join(metadata, "symbol", "left")
-    else:
-        life = life.withColumns({"listing": F.lit(None).cast("date"), "delisting": F.lit(None).cast("date"),
-                                 "aum": F.lit(None).cast("double"), "tracking_error": F.lit(None).cast("double")})
-    if isinstance(dates, Column):
-        asked = as_of(life.select("symbol"), dates)
-    else:
-        every = dates.agg(F.array_sort(F.collect_set("ts")).alias("_days"))
-        asked = as_of(attach(life.select("symbol"), every), F.col("_days"))
-    df = asof_backward(asked, liquidity_features(bars)).join(life, "symbol").withColumnRenamed("ts", "as_of")
+        return cut(life.join(metadata.select("symbol", "listing", "delisting", "aum", "tracking_error"), "symbol", "left"))
+    return cut(life.withColumns({"listing": F.lit(None).cast("date"), "delisting": F.lit(None).cast("date"),
+                                 "aum": F.lit(None).cast("double"), "tracking_error": F.lit(None).cast("double")}))
+
+
+def _judged(df: DataFrame, limits: Limits) -> DataFrame:
+    """Values and verdicts of rows that hold an ``as_of`` date, the liquidity features known then and the symbol's life."""
     c = F.col
     n = F.coalesce(c("bars"), F.lit(0))
     listed = F.coalesce(c("listing"), c("first_ts"))
@@ -108,7 +99,81 @@ def checks(bars: DataFrame, dates: Column | DataFrame, limits: Limits = Limits()
         (aum >= limits.min_aum).alias("ok_MinimumAUM"),
         F.coalesce(spread <= limits.max_spread, F.lit(False)).alias("ok_MaximumSpread"),
         F.coalesce(c("turnover") <= limits.max_turnover, F.lit(True)).alias("ok_MaximumTurnover"),
-        ((c("symbol") == limits.benchmark) | F.coalesce(te <= limits.max_tracking_error, F.lit(True))).alias("ok_TrackingError"))
+        ((c("symbol") == limits.benchmark) | F.coalesce(te <= limits.max_tracking_error, F.lit(True))).alias("ok_TrackingError"),
+        *[c(x) for x in ("first_ts", "last_ts", "listing", "delisting")])
+
+
+def checks(bars: DataFrame, dates: Column | DataFrame, limits: Limits = Limits(), metadata: DataFrame | None = None) -> DataFrame:
+    """All filter values and verdicts per (symbol, as-of date): the table asked for has a row for each.
+
+    ``dates`` is an array expression or a one-column frame ``ts`` of dates.
+    ``metadata(symbol, listing, delisting, aum, tracking_error)`` is optional;
+    missing values fall back to proxies computed as of the date, tracking error
+    is a fraction.
+    """
+    bars = bars if "_i" in bars.columns else index_bars(bars)
+    life = _life(bars, metadata)
+    if isinstance(dates, Column):
+        asked = as_of(life.select("symbol"), dates)
+    else:
+        every = dates.agg(F.array_sort(F.collect_set("ts")).alias("_days"))
+        asked = as_of(attach(life.select("symbol"), every), F.col("_days"))
+    df = asof_backward(asked, liquidity_features(bars)).join(life, "symbol").withColumnRenamed("ts", "as_of")
+    return _judged(df, limits)
+
+
+# ------------------------------------------------------------ inclusion spans
+
+def listed_spans(bars: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(symbol, since, until): the days between listing (first bar without one) and delisting, ``until`` NULL while listed."""
+    return _life(bars, metadata).select("symbol", F.coalesce("listing", "first_ts").alias("since"), F.col("delisting").alias("until"))
+
+
+def members_at(spans: DataFrame, dates: DataFrame, bucket_days: int = 512) -> DataFrame:
+    """(as_of, symbol) of every date of ``dates(as_of)`` inside a span: an interval join by time bucket.
+
+    A span is listed under the buckets it covers up to the newest date asked for,
+    a date under its own, and both meet in an equi-join.
+    """
+    day = F.unix_date(F.col("as_of").cast("date"))
+    newest = dates.agg(F.max(day).alias("_newest"))
+    first = F.floor(F.unix_date("since") / bucket_days)
+    last = F.floor(F.least(F.coalesce(F.unix_date("until"), F.col("_newest")), F.col("_newest")) / bucket_days)
+    listed = attach(spans, newest).where(last >= first).select("symbol", "since", "until", F.explode(F.sequence(first, last)).alias("_k"))
+    asked = dates.select("as_of", F.floor(day / bucket_days).alias("_k"))
+    hit = (F.col("as_of") >= F.col("since")) & F.coalesce(F.col("as_of") <= F.col("until"), F.lit(True))
+    return asked.join(listed, "_k").where(hit).select("as_of", "symbol")
+
+
+def inclusion_spans(bars: DataFrame, limits: Limits = Limits(), metadata: DataFrame | None = None) -> DataFrame:
+    """(symbol, since, until): the longest runs of days on which a symbol passes all filters.
+
+    A verdict changes only with a bar or where a symbol's listed life begins or
+    ends, so every bar is judged once and stands for the days up to the next one;
+    neighbouring bars of one verdict form a span. No date is paired with a symbol
+    that has no bar on it.
+    """
+    bars = bars if "_i" in bars.columns else index_bars(bars)
+    rows = liquidity_features(bars).join(_life(bars, metadata), "symbol").withColumn("as_of", F.col("ts"))
+    passed = F.lit(True)
+    for f in FILTERS[1:]:  # being listed is a matter of days, not of bars
+        passed = passed & F.col(f"ok_{f}")
+    rows = _judged(rows, limits).select("symbol", F.col("as_of").alias("ts"), passed.alias("_in"), "first_ts", "last_ts", "listing", "delisting")
+    rows = cut(scan(rows, {"_was": ("prev", F.col("_in")), "_next": ("next", F.col("ts"))}))
+    rows = scan(rows.where("_in"), {"_run": ("count", F.when(F.coalesce(~F.col("_was"), F.lit(True)), 1))})
+    last = F.coalesce(F.date_sub("_next", 1), F.date_add("last_ts", limits.grace_days))
+    runs = rows.groupBy("symbol", "_run").agg(F.min("ts").alias("_a"), F.max(last).alias("_b"), *[F.first(x).alias(x) for x in ("listing", "delisting", "last_ts")])
+    since, until = F.greatest("_a", "listing"), F.least("_b", F.date_sub("delisting", 1), F.date_add("last_ts", limits.grace_days))
+    return runs.select("symbol", since.alias("since"), until.alias("until")).where("since <= until")
+
+
+def size_over_time(spans: DataFrame, dates: DataFrame) -> DataFrame:
+    """(as_of, size) for ``dates(as_of)``: spans that begin less spans that have ended, summed up over their borders."""
+    steps = (spans.select(F.col("since").alias("ts"), F.lit(1).alias("_s"))
+             .unionByName(spans.select(F.date_add("until", 1).alias("ts"), F.lit(-1).alias("_s"))).groupBy("ts").agg(F.sum("_s").alias("_s")))
+    level = scan(cut(steps.withColumn("_g", F.lit(0))), {"size": ("sum", F.col("_s"))}, ("_g",)).select("_g", "ts", "size")
+    asked = dates.select(F.lit(0).alias("_g"), F.col("as_of").alias("ts"))
+    return asof_backward(asked, level, ("_g",)).select(F.col("ts").alias("as_of"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def snapshots(checked: DataFrame, enabled: tuple[str, ...] = FILTERS) -> DataFrame:
@@ -131,20 +196,22 @@ def _cagr(curve: DataFrame, ret: str) -> DataFrame:
     return g.select(F.when(years > 0, F.pow(growth, 1 / years) - 1).otherwise(0.0).alias(ret))
 
 
-def survivorship_bias(rets: DataFrame, snap: DataFrame) -> DataFrame:
+def survivorship_bias(rets: DataFrame, spans: DataFrame) -> DataFrame:
     """Static against point-in-time equal-weight CAGR with score and label.
 
-    ``rets(symbol, ts, ret)``; ``snap`` must hold every return date as ``as_of``.
-    The static book divides by all symbols, a missing return counts as 0.
+    ``rets(symbol, ts, ret)``; ``spans(symbol, since, until)`` of inclusion. The
+    static book divides by all symbols, a missing return counts as 0. The average
+    size is that over all dates of the return table, the first ones without a
+    return included.
     """
-    rets = cut(rets.where(F.col("ret").isNotNull()).select("symbol", "ts", "ret"))
-    snap = cut(snap)
-    n = rets.agg(F.countDistinct("symbol").alias("static_size"))
-    inside = snap.where("included").select("symbol", F.col("as_of").alias("ts"), F.lit(True).alias("_in"))
-    day = rets.join(inside, ["symbol", "ts"], "left").groupBy("ts").agg(
-        F.sum("ret").alias("_sum"), F.coalesce(F.avg(F.when(F.col("_in"), F.col("ret"))), F.lit(0.0)).alias("_dynamic"))
+    rets, spans = cut(rets.select("symbol", "ts", "ret")), cut(spans)
+    live = rets.where(F.col("ret").isNotNull())
+    n = live.agg(F.countDistinct("symbol").alias("static_size"))
+    starts = spans.select("symbol", F.col("since").alias("ts"), "until")
+    known = asof_backward(live, starts).withColumn("_in", F.coalesce(F.col("ts") <= F.col("until"), F.lit(False)))
+    day = known.groupBy("ts").agg(F.sum("ret").alias("_sum"), F.coalesce(F.avg(F.when(F.col("_in"), F.col("ret"))), F.lit(0.0)).alias("_dynamic"))
     day = cut(attach(day, n).select("ts", (F.col("_sum") / F.col("static_size")).alias("_static"), "_dynamic"))
-    size = universe_size(snap).agg(F.avg("size").alias("dynamic_avg_size"))
+    size = size_over_time(spans, rets.select(F.col("ts").alias("as_of")).distinct()).agg(F.avg("size").alias("dynamic_avg_size"))
     row = attach(attach(attach(n, size), _cagr(day, "_static")), _cagr(day, "_dynamic"))
     diff = (F.col("static_size") - F.col("dynamic_avg_size")) / F.col("static_size") * 100
     score = F.coalesce(F.try_divide(F.col("_static") - F.col("_dynamic"), F.abs("_dynamic")), F.lit(0.0)) * 100
@@ -162,26 +229,44 @@ def asset_class(symbol: Column, known: Column | None = None) -> Column:
             .otherwise(F.coalesce(known if known is not None else F.lit(None).cast("string"), F.lit("Equity"))))
 
 
+# fixed values: macro bucket, its symbols, words in the name of a sector that belongs to it; the first match counts
+MACRO_BUCKETS = (
+    ("Defensive", ("XLU", "XLP", "XLV", "BIL", "IEF"), ("utilities", "staples", "health")),
+    ("Inflation", ("XLE", "XLB", "USO"), ("energy", "materials")),
+    ("Safe Haven", ("GLD", "SLV", "TLT"), ("gold",)),
+    ("Dollar", ("UUP",), ()), ("Fear", ("VIXY",), ()),
+    ("Risk On", ("SVXY", "QQQ", "TQQQ", "XLK", "XLY", "BTC-USD", "MES=F", "SPY", "IWM"), ()),
+    ("Credit", ("HYG", "LQD"), ()), ("Alternative", ("DBMF",), ()),
+)
+# fixed values: risk bucket, least absolute beta, least volatility in percent
+RISK_BUCKETS = (("Very High", 3.0, 50.0), ("High", 1.3, 28.0), ("Medium", 0.8, 16.0))
+
+
 def macro_bucket(symbol: Column, sector: Column, cls: Column) -> Column:
     t, s = F.upper(symbol), F.lower(F.coalesce(sector, F.lit("")))
-    return (F.when(t.isin("XLU", "XLP", "XLV", "BIL", "IEF") | s.contains("utilities") | s.contains("staples") | s.contains("health"), "Defensive")
-            .when(t.isin("XLE", "XLB", "USO") | s.contains("energy") | s.contains("materials"), "Inflation")
-            .when(t.isin("GLD", "SLV", "TLT") | s.contains("gold"), "Safe Haven")
-            .when(t == "UUP", "Dollar").when(t == "VIXY", "Fear")
-            .when(t.isin("SVXY", "QQQ", "TQQQ", "XLK", "XLY", "BTC-USD", "MES=F", "SPY", "IWM"), "Risk On")
-            .when(t.isin("HYG", "LQD"), "Credit").when(t == "DBMF", "Alternative").when(cls == "Crypto", "Risk On").otherwise("Balanced"))
+    steps = [(reduce(Column.__or__, [s.contains(w) for w in words], t.isin(*symbols)), name) for name, symbols, words in MACRO_BUCKETS]
+    steps.append((cls == "Crypto", "Risk On"))
+    return F.coalesce(*[F.when(hit, name) for hit, name in steps], F.lit("Balanced"))
 
 
 def risk_bucket(beta: Column, vol_pct: Column, cls: Column) -> Column:
-    b = F.abs(beta)
-    return (F.when((cls == "Crypto") | (b >= 3) | (vol_pct >= 50), "Very High").when((b >= 1.3) | (vol_pct >= 28), "High")
-            .when((b >= 0.8) | (vol_pct >= 16), "Medium").otherwise("Low"))
+    levels = [F.when((F.abs(beta) >= b) | (vol_pct >= v), name) for name, b, v in RISK_BUCKETS]
+    return F.coalesce(F.when(cls == "Crypto", RISK_BUCKETS[0][0]), *levels, F.lit("Low"))
 
 
 def known_assets(spark) -> DataFrame:
     return dims.frame(spark, dims.ASSETS, "symbol string, asset_class string, sector string, macro_bucket string, risk_bucket string, beta double")
 
 
+def with_assets(rows: DataFrame, assets: DataFrame) -> DataFrame:
+    """Rows per symbol with all columns of the asset table, defaults for symbols it does not have, and ``known``."""
+    defaults = {"asset_class": "Equity", "sector": "Unknown", "macro_bucket": "Balanced", "risk_bucket": "Medium", "beta": 1.0}
+    df = rows.join(F.broadcast(assets), "symbol", "left")  # a table of literals
+    known = F.col("sector").isNotNull()
+    return df.select("symbol", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()],
+                     *[c for c in rows.columns if c != "symbol"], known.alias("known"))
+
+
 def select_assets(meta: DataFrame, column: str, value: str) -> DataFrame:
     """Rows whose macro_bucket, risk_bucket or asset_class equals a value, ignoring case."""
     return meta.where(F.lower(column) == value.lower())

@@ -70,14 +70,66 @@ def b14(spark, sf_dir):
     return uni.snapshots(_monthly(spark, sf_dir))
 
 
-@query("c5_point_in_time", with_(MARKET, *_checked(_MONTHS)) + "SELECT as_of, symbol FROM ck WHERE NOT before_listing")
+# metadata of some symbols, derived from their bars: late listing, delisting, assets and tracking error given
+_META = """meta AS (SELECT symbol, CASE WHEN length(symbol) = 4 THEN min(ts) + 120 END AS listing, CASE WHEN symbol LIKE 'X%' THEN min(ts) + 1900 END AS delisting,
+  CASE WHEN symbol LIKE '%L%' THEN sum(volume) * 10 END AS given_aum, CASE WHEN symbol LIKE '%Y%' THEN count(*) / 5000.0::DOUBLE END AS given_te FROM bars GROUP BY symbol)"""
+
+
+def _meta(bars):
+    g = bars.groupBy("symbol").agg(F.min("ts").alias("_t"), F.sum("volume").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    c = F.col("symbol")
+    return g.select("symbol", F.when(F.length("symbol") == 4, F.date_add("_t", 120)).alias("listing"), F.when(c.startswith("X"), F.date_add("_t", 1900)).alias("delisting"),
+                    F.when(c.contains("L"), F.col("_v") * 10).alias("aum"), F.when(c.contains("Y"), F.col("_n") / 5000).alias("tracking_error"))
+
+
+def _checked_with_metadata(dates: str) -> tuple[str, ...]:
+    """The filters with listing, delisting, assets and tracking error from metadata where given."""
+    out = []
+    for cte in _checked(dates):
+        cte = cte.replace("coalesce(an * 100, 0)", "coalesce(given_aum, an * 100, 0)")
+        cte = cte.replace("v60 * CASE WHEN h.symbol LIKE '%TQQQ%' THEN 0.5 ELSE 0.3 END", "coalesce(given_te, v60 * CASE WHEN h.symbol LIKE '%TQQQ%' THEN 0.5 ELSE 0.3 END)")
+        cte = cte.replace("as_of < t0 AS before_listing", "as_of < coalesce(listing, t0) AS before_listing, coalesce(as_of > delisting, false) AS after_delisting")
+        cte = cte.replace("t1 + 30 >= as_of AND as_of >= t0 AS ok_d", "coalesce(delisting > as_of, true) AND t1 + 30 >= as_of AND as_of >= t0 AS ok_d")
+        cte = cte.replace("FROM hit h JOIN life ON life.symbol = h.symbol", "FROM hit h JOIN life ON life.symbol = h.symbol JOIN meta ON meta.symbol = h.symbol")
+        out.append(cte.replace("WHEN NOT ok_d THEN 'Delisted'", "WHEN after_delisting THEN 'Delisted' WHEN NOT ok_d THEN 'Delisted'"))
+    return (_META, *out)
+
+
+def _monthly_with_metadata(spark, sf_dir):
+    bars = market(spark, sf_dir)
+    return uni.checks(bars, uni.monthly_dates(START, END), LIMITS, _meta(bars))
+
+
+@query("b14_filter_chain_with_metadata", with_(MARKET, *_checked_with_metadata(_MONTHS)) + f"""SELECT sn.as_of, sn.symbol, failed IS NULL AS included, failed AS failed_filter,
+  ok_d AS listed, ok_a AS enough_aum, {r('aum')}, ok_e AS tracks, {r('tracking_error')} FROM sn JOIN ck ON ck.as_of = sn.as_of AND ck.symbol = sn.symbol""")
+def b14_metadata(spark, sf_dir):
+    """Delisting, given assets and given tracking error, each with its verdict."""
+    df = cut(_monthly_with_metadata(spark, sf_dir))
+    own = df.select("as_of", "symbol", F.col("ok_Delisted").alias("listed"), F.col("ok_MinimumAUM").alias("enough_aum"), F.round("aum", 6).alias("aum"),
+                    F.col("ok_TrackingError").alias("tracks"), F.round("tracking_error", 6).alias("tracking_error"))
+    return uni.snapshots(df).join(own, ["as_of", "symbol"])
+
+
+@query("c5_point_in_time", with_(MARKET, _META, f"dts AS ({_MONTHS})", "lf AS (SELECT symbol, coalesce(listing, min(ts)) AS since, delisting FROM bars JOIN meta USING (symbol) GROUP BY symbol, listing, delisting)") +
+       "SELECT as_of, symbol FROM dts JOIN lf ON since <= as_of AND (delisting IS NULL OR as_of <= delisting)")
 def c5(spark, sf_dir):
-    return _monthly(spark, sf_dir).where(~F.col("before_listing")).select("as_of", "symbol")
+    bars = cut(bars_market(spark, sf_dir))
+    dates = spark.range(1).select(F.explode(uni.monthly_dates(START, END)).alias("as_of"))
+    return uni.members_at(uni.listed_spans(bars, _meta(bars)), dates)
+
+
+@query("c5_inclusion_spans", with_(MARKET, *_checked_with_metadata(f"SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS as_of"),
+       "fl AS (SELECT symbol, as_of, as_of - CAST(row_number() OVER (PARTITION BY symbol ORDER BY as_of) AS INT) AS island FROM sn WHERE failed IS NULL)") +
+       "SELECT symbol, min(as_of) AS since, max(as_of) AS until FROM fl GROUP BY symbol, island")
+def c5_spans(spark, sf_dir):
+    bars = market(spark, sf_dir)
+    return uni.inclusion_spans(bars, LIMITS, _meta(bars))
 
 
 @query("d30_universe_size", with_(MARKET, *_checked(_MONTHS)) + "SELECT as_of, count(*) FILTER (failed IS NULL) AS size FROM sn GROUP BY as_of")
 def d30(spark, sf_dir):
-    return uni.universe_size(uni.snapshots(_monthly(spark, sf_dir)))
+    dates = spark.range(1).select(F.explode(uni.monthly_dates(START, END)).alias("as_of"))
+    return uni.size_over_time(uni.inclusion_spans(market(spark, sf_dir), LIMITS), dates)
 
 
 _DAYS = "SELECT DISTINCT ts AS as_of FROM bars"
@@ -98,8 +150,7 @@ _DAYS = "SELECT DISTINCT ts AS as_of FROM bars"
 def d31(spark, sf_dir):
     bars = market(spark, sf_dir)
     rets = feat.returns(bars).select("symbol", "ts", "ret")
-    snap = uni.snapshots(uni.checks(bars, bars.select("ts").distinct(), LIMITS))
-    df = uni.survivorship_bias(rets, snap)
+    df = uni.survivorship_bias(rets, uni.inclusion_spans(bars, LIMITS))
     digits = {"bias_score_pct": 3}
     kinds = dict(df.dtypes)
     return df.select(*[F.round(c, digits.get(c, 4)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
@@ -192,12 +243,17 @@ def b6(spark, sf_dir):
     return bars_market(spark, sf_dir).join(F.broadcast(chosen), "symbol").groupBy("symbol", "macro_bucket").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("c4_metadata_lookup", with_(MARKET, _ASSET) + """SELECT symbol, coalesce(sector, 'Unknown') AS sector, coalesce(beta, 1.0)::DOUBLE AS beta, count(*) AS bars
-  FROM bars LEFT JOIN ast USING (symbol) GROUP BY symbol, sector, beta""")
+@query("c4_metadata_lookup", with_(MARKET, _ASSET, f"rr AS (SELECT symbol, close / lag(close) OVER ({BY}) - 1 AS ret, volume FROM bars)",
+       "vv AS (SELECT symbol, stddev_samp(ret) * sqrt(252.0) * 100 AS vol, avg(volume) AS avg_volume, count(*) AS bars FROM rr GROUP BY symbol)") +
+       f"""SELECT symbol, coalesce(asset_class, 'Equity') AS asset_class, coalesce(sector, 'Unknown') AS sector, coalesce(macro_bucket, 'Balanced') AS macro_bucket,
+  coalesce(risk_bucket, 'Medium') AS risk_bucket, coalesce(beta, 1.0)::DOUBLE AS beta, {r('vol', 'volatility_pct', 4)}, {r('avg_volume', digits=4)}, bars, sector IS NOT NULL AS known
+  FROM vv LEFT JOIN ast USING (symbol)""")
 def c4(spark, sf_dir):
-    n = bars_market(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
-    return n.join(F.broadcast(uni.known_assets(spark)), "symbol", "left").select(
-        "symbol", F.coalesce("sector", F.lit("Unknown")).alias("sector"), F.coalesce("beta", F.lit(1.0)).alias("beta"), "bars")
+    """The whole asset frame: what the table knows, defaults for the rest, and the measured columns."""
+    rets = feat.returns(cut(bars_market(spark, sf_dir)))
+    n = rets.groupBy("symbol").agg((F.stddev_samp("ret") * feat.ANNUAL * 100).alias("volatility_pct"), F.avg("volume").alias("avg_volume"), F.count(F.lit(1)).alias("bars"))
+    df = uni.with_assets(n, uni.known_assets(spark))
+    return rounded(df, 4)
 
 
 @query("c6_execution_price", with_(BRAND, "nb AS (SELECT *, row_number() OVER (" + BY + ") AS i FROM bars)",

@@ -1,9 +1,12 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import timeline as tl
+from barloom.operators import timeline as tl, universe as uni
+from barloom.session import cut
 from tests.conftest import collect
 
 
@@ -87,3 +90,33 @@ def test_ema_forgets_huge_values_exactly(spark):
     df = tl.own(tl.emas(tl.ema_blocks(tl.index_bars(spark.createDataFrame(pdf))), {"e": (F.col("close"), 222)}))
     got = collect(df, "symbol", "ts")["e"]
     np.testing.assert_allclose(got, pdf.close.ewm(span=222, adjust=False).mean(), rtol=1e-9)
+
+
+def test_intraday_bars_get_narrow_blocks(spark, bars):
+    minutes = spark.range(6000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("symbol"),
+                                       F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("close"))
+    days = tl.block_days(minutes, rows=100)
+    assert 0.05 < days < 0.15 and tl.block_days(bars) == tl.BLOCK_DAYS
+    blocks = minutes.groupBy("symbol", tl.time_block("ts", days)).count().agg(F.max("count")).first()[0]
+    assert 60 <= blocks <= 130
+    got = collect(tl.index_bars(minutes), "symbol", "ts")
+    for _, g in got.groupby("symbol"):
+        assert g._i.tolist() == list(range(len(g))) and g._pc.tolist()[1:] == g.close.tolist()[:-1]
+
+
+def test_universe_spans_are_the_daily_verdicts(spark, bars):
+    """Spans, sizes and members against one verdict per symbol and day, with and without metadata."""
+    limits = uni.Limits(min_history=30, min_avg_volume=1, min_notional=1, min_aum=2_000_000, max_spread=0.012, max_turnover=1.05, max_tracking_error=9, benchmark="A")
+    meta = spark.createDataFrame([("A", None, dt.date(2001, 3, 1), None, None), ("B", dt.date(2000, 9, 1), None, 1e9, 0.1), ("C", None, None, 1.0, None)],
+                                 "symbol string, listing date, delisting date, aum double, tracking_error double")
+    days = F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2002-02-01").cast("date"))
+    dates = spark.range(1).select(F.explode(days).alias("as_of"))
+    for metadata in (None, meta):
+        spans = cut(uni.inclusion_spans(bars, limits, metadata))
+        daily = uni.snapshots(uni.checks(bars, days, limits, metadata))
+        want = {(r.as_of, r.symbol) for r in daily.where("included").collect()}
+        rows = spans.collect()
+        assert {(r.since + dt.timedelta(k), r.symbol) for r in rows for k in range((r.until - r.since).days + 1)} == want and len(want) > 100
+        assert {(r.as_of, r.symbol) for r in uni.members_at(spans, dates, bucket_days=37).collect()} == want
+        sizes = {r.as_of: r["size"] for r in uni.size_over_time(spans, dates).collect()}
+        assert len(sizes) == dates.count() and all(sizes[d] == sum(x == d for x, _ in want) for d in list(sizes)[::17])
