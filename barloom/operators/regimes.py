@@ -178,10 +178,34 @@ CANARIES = {
 }
 
 
-def canaries(wide: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long canary table: one row per (ts, canary)."""
-    rows = F.array(*[CANARIES[n]() for n in (names or CANARIES)])
-    return wide.select("ts", F.inline(rows))
+def canaries(wide: DataFrame, names: list[str] | None = None, extra: tuple[Column, ...] = (), settings: DataFrame | None = None) -> DataFrame:
+    """Long canary table: one row per (ts, canary).
+
+    ``extra`` holds canaries of the user's own, each a ``spread_canary`` or a struct of the
+    same fields. ``settings`` is described at ``configure``.
+    """
+    rows = F.array(*[CANARIES[n]() for n in (CANARIES if names is None else names)], *extra)
+    return configure(wide.select("ts", F.inline(rows)), settings, "name")
+
+
+def spread_canary(name: str, a: str, b: str, threshold: float, up: str = "RiskOn", down: str = "RiskOff", confidence: float = 0.7,
+                  accuracy: float = 0.65, weight: float = 1.0) -> Column:
+    """A canary on the difference of two symbols' 20-bar returns."""
+    x = _spread(a, b)
+    s = _three(x, threshold, -threshold, (up, confidence, confidence), (down, confidence, confidence), ("Neutral", 0.3, 0.5))
+    return _canary(name, *s, accuracy, weight, F.coalesce(x, F.lit(0.0)))
+
+
+def configure(rows: DataFrame, settings: DataFrame | None, name: str) -> DataFrame:
+    """Rows of enabled canaries or layers with the weights of ``settings(name, enabled, weight)``.
+
+    What the table does not mention, or leaves NULL, stays as built in.
+    """
+    if settings is None:
+        return rows
+    own = settings.select(F.col("name").alias(name), F.col("enabled").alias("_on"), F.col("weight").alias("_w"))
+    df = rows.join(own, name, "left").where(F.coalesce("_on", F.lit(True)))
+    return df.withColumn("weight", F.coalesce("_w", "weight")).select(*rows.columns)
 
 
 def vote(canary: DataFrame) -> DataFrame:
@@ -375,9 +399,9 @@ LAYERS = {"MacroRegime": macro_layer, "VolatilityRegime": volatility_layer, "Tre
           "DollarRegime": dollar_layer}
 
 
-def layers(wide: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long layer table: one row per (ts, layer)."""
-    return wide.select("ts", F.inline(F.array(*[LAYERS[n]() for n in (names or LAYERS)])))
+def layers(wide: DataFrame, names: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """Long layer table: one row per (ts, layer); ``settings`` as for ``configure``."""
+    return configure(wide.select("ts", F.inline(F.array(*[LAYERS[n]() for n in (names or LAYERS)]))), settings, "layer")
 
 
 # fixed values: layer regimes counted as risk-on and risk-off

@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from barloom.functions.scalars import clip, gaussian, ratio, uniform
 from barloom.operators import performance as perf
 from barloom.operators.joins import join_windows
 from barloom.operators.packed import (SHARPE, SIZE, Additive, each_block, each_run, ema_carry, ema_run, gaussians, pack, sum_fields, sums,
                                       total, uniforms)
-from barloom.operators.timeline import ema_blocks, emas, expand, own, pick, window
+from barloom.operators.timeline import blocks, ema_blocks, emas, expand, own, pick, window
 from barloom.session import cut
 
 
@@ -31,6 +31,15 @@ def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int =
     return df.where(F.col("test_end") <= F.lit(end).cast("date"))
 
 
+def holdout(rets: DataFrame, share: float = 0.7, metric: Callable[[str], Column] = perf.sharpe, keys=("symbol",)) -> DataFrame:
+    """(keys, in_sample, out_of_sample): the metric on the first ``share`` of the rows of rets(keys, _i, ret) and on the rest."""
+    keys = list(keys)
+    size = rets.groupBy(*keys).agg((F.max("_i") + 1).alias("_n"))
+    early = F.col("_i") < F.floor(F.col("_n") * share)
+    df = rets.join(size, keys).withColumns({"_a": F.when(early, F.col("ret")), "_b": F.when(~early, F.col("ret"))})
+    return df.groupBy(*keys).agg(metric("_a").alias("in_sample"), metric("_b").alias("out_of_sample"))
+
+
 def _slot(ts: Column, bounds: list) -> Column:
     """How many of the sorted dates are at or before ``ts``, as a balanced tree of comparisons."""
     def between(lo: int, hi: int) -> Column:
@@ -107,10 +116,28 @@ def ema_cross_sweep(bars: DataFrame, params: list[dict]) -> DataFrame:
     return df.withColumn("ret", F.col("_ret") * F.coalesce(F.col("pos"), F.lit(0.0))).drop("_ret", "pos")
 
 
+def sweep(bars: DataFrame, params: list[dict], position: Callable[[WindowSpec, dict], Column], lookback: int) -> DataFrame:
+    """Next-bar returns of a strategy of the user's own for every parameter set: (symbol, ts, param, names of the set, ret).
+
+    ``position(w, params)`` gives the position at the end of a bar as a Column over the window
+    of a block with ``lookback`` earlier rows; NULL is flat. All sets are columns of one pass.
+    """
+    df = blocks(pick(bars, "close"), lookback + 1)
+    w = window()
+    df = df.withColumns({f"_q{i}": position(w, p) for i, p in enumerate(params)})
+    df = df.withColumns({f"_p{i}": F.lag(f"_q{i}").over(w) for i in range(len(params))})
+    rows = F.array(*[F.struct(F.lit(i).alias("param"), *[F.lit(v).alias(k) for k, v in p.items()], F.col(f"_p{i}").cast("double").alias("pos"))
+                     for i, p in enumerate(params)])
+    df = own(df.withColumns({"_ret": ratio(F.col("close"), F.col("_pc")) - 1, "_rows": rows}))
+    df = df.where(F.col("_ret").isNotNull()).select("symbol", "ts", "_ret", F.inline("_rows"))
+    return df.withColumn("ret", F.col("_ret") * F.coalesce(F.col("pos"), F.lit(0.0))).drop("_ret", "pos")
+
+
 def sweep_scores(rets: DataFrame, metric: Callable[[str], Column] = perf.sharpe, keys=("symbol",)) -> DataFrame:
     """Metric of every parameter set with its place, best first."""
     keys = list(keys)
-    m = rets.groupBy(*keys, "param", "fast", "slow").agg(metric("ret").alias("score"))
+    names = [c for c in rets.columns if c not in (*keys, "ts", "ret", "_i")]
+    m = rets.groupBy(*keys, *names).agg(metric("ret").alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "param")
     return m.withColumn("place", F.row_number().over(order))
 
@@ -485,16 +512,24 @@ def synthetic_stress(rets: DataFrame, shocks: list[tuple[str, float]], keys=("sy
     return perf.max_drawdown(df, by, "stressed").join(vol, by)
 
 
+# fixed values: least value and points of a Sharpe ratio, the walk-forward result (above it) and the stress result (above it)
+SHARPE_POINTS, NO_SHARPE_POINTS = ((1.2, 2.0), (0.8, 1.5), (0.5, 1.0), (0.2, 0.5)), 0.2
+WALK_POINTS, NO_WALK_POINTS = ((1.0, 2.0), (0.5, 1.5)), 0.7
+STRESS_POINTS, NO_STRESS_POINTS = ((0.8, 1.5),), 1.0
+# fixed values: points that can be had and coverage in percent, without and with a cross-asset part
+AVAILABLE, COVERAGE = (8.5, 10.0), (85.0, 100.0)
+
+
+def _points(steps: tuple, last: float, reached: Callable[[float], Column]) -> Column:
+    return F.coalesce(*[F.when(reached(at), worth) for at, worth in steps], F.lit(last))
+
+
 def validation_score(m: DataFrame) -> DataFrame:
     """Point table of (is_sharpe, oos_sharpe, walk_forward, stress, temporal, cross_asset, sensitivity)."""
-    def points(x: str) -> Column:
-        s = F.col(x)
-        return F.when(s >= 1.2, 2.0).when(s >= 0.8, 1.5).when(s >= 0.5, 1.0).when(s >= 0.2, 0.5).otherwise(0.2)
-    wf = F.when(F.col("walk_forward") > 1.0, 2.0).when(F.col("walk_forward") > 0.5, 1.5).otherwise(0.7)
-    stress = F.when(F.col("stress") > 0.8, 1.5).otherwise(1.0)
-    cross = F.coalesce(F.col("cross_asset"), F.lit(0.0))
-    raw = points("is_sharpe") + points("oos_sharpe") + wf + stress + F.col("temporal") + cross + F.col("sensitivity")
-    available = F.when(cross == 0, 8.5).otherwise(10.0)
-    return m.withColumns({"score_raw": raw, "score_available": available,
-                          "score_normalised": F.round(raw / available * 10, 2),
-                          "coverage_pct": F.when(cross == 0, 85.0).otherwise(100.0)})
+    c = F.col
+    cross = F.coalesce(c("cross_asset"), F.lit(0.0))
+    raw = (_points(SHARPE_POINTS, NO_SHARPE_POINTS, lambda at: c("is_sharpe") >= at) + _points(SHARPE_POINTS, NO_SHARPE_POINTS, lambda at: c("oos_sharpe") >= at)
+           + _points(WALK_POINTS, NO_WALK_POINTS, lambda at: c("walk_forward") > at) + _points(STRESS_POINTS, NO_STRESS_POINTS, lambda at: c("stress") > at)
+           + c("temporal") + cross + c("sensitivity"))
+    available, coverage = (F.when(cross == 0, without).otherwise(whole) for without, whole in (AVAILABLE, COVERAGE))
+    return m.withColumns({"score_raw": raw, "score_available": available, "score_normalised": F.round(raw / available * 10, 2), "coverage_pct": coverage})

@@ -140,6 +140,26 @@ def n13(spark, sf_dir):
     return rounded(reg.vote(reg.canaries(_wide(spark, sf_dir))).select("ts", "regime", "confidence"))
 
 
+# a canary switched off, two with other weights, a layer switched off and one of the user's own
+_SETTINGS = [("GoldCanary", False, None), ("VIXCanary", True, 2.0), ("XLUCanary", None, 0.5), ("DollarRegime", False, None), ("CreditRegime", True, 0.7)]
+_SETTINGS_SQL = "st(name, enabled, weight) AS (SELECT n, CAST(e AS BOOLEAN), CAST(w AS DOUBLE) FROM (" + dims.values(_SETTINGS) + ") t(n, e, w))"
+_OWN = """SELECT ts, 'SmallCapCanary' AS name, CASE WHEN r_IWM - r_SPY > 0.01 THEN 'RiskOn' WHEN r_IWM - r_SPY < -0.01 THEN 'RiskOff' ELSE 'Neutral' END AS signal,
+  CASE WHEN r_IWM - r_SPY IS NULL THEN 0.0 WHEN abs(r_IWM - r_SPY) > 0.01 THEN 0.7 ELSE 0.3 END AS confidence, 0.5 AS probability, 0.65::DOUBLE AS accuracy, 1.0::DOUBLE AS weight,
+  coalesce(r_IWM - r_SPY, 0) AS value FROM wide"""
+_CONFIGURED = (_ALL.replace("cn AS (", "ca AS (", 1)[:-1] + " UNION ALL " + _OWN + ")", _SETTINGS_SQL,
+               """cn AS (SELECT ts, ca.name, signal, confidence, probability, accuracy, coalesce(st.weight, ca.weight) AS weight, value
+  FROM ca LEFT JOIN st USING (name) WHERE coalesce(enabled, true))""")
+
+
+@query("j3_plugged_in_vote", with_(*BASE, *_CONFIGURED, _VOTE, recursive=True) + f"SELECT ts, regime, {r('CAST(confidence AS DOUBLE)', 'confidence')}, {r('risk_on')}, {r('risk_off')} FROM vt JOIN vs USING (ts)")
+def j3(spark, sf_dir):
+    """The vote with a canary of the user's own, and with flags and weights from a table."""
+    settings = dims.frame(spark, _SETTINGS, "name string, enabled boolean, weight double")
+    own = reg.spread_canary("SmallCapCanary", "IWM", "SPY", 0.01)
+    vote = reg.vote(reg.canaries(_wide(spark, sf_dir), extra=(own,), settings=settings))
+    return rounded(vote.select("ts", "regime", "confidence", "risk_on", "risk_off"))
+
+
 _RULES = ("rl(rule, regime, confidence, priority, logic) AS (" + dims.values(dims.RULES) + ")",
           "cd(rule, canary, field, op, expected) AS (" + dims.values(dims.RULE_CONDITIONS) + ")",
           """ct AS (SELECT c.ts, d.rule, d.canary, d.op, d.expected, CASE d.op WHEN '==' THEN c.signal = d.expected
@@ -227,8 +247,8 @@ _META = ("ly AS (" + " UNION ALL ".join(_layer_sql(n) for n in reg.LAYERS) + ")"
          "lw AS (SELECT *, weight * confidence * hit_rate AS w FROM ly)",
          f"""ms AS (SELECT ts, coalesce(sum(w) FILTER (regime IN ({_ON})), 0) AS risk_on, coalesce(sum(w) FILTER (regime IN ({_OFF})), 0) AS risk_off,
   coalesce(sum(w) FILTER (regime = 'HighInflation'), 0) AS inflation, 2 * coalesce(sum(w) FILTER (regime = 'BlackSwan'), 0) AS black_swan,
-  bool_or(regime = 'CreditStress') AS stress, sum(w) AS total, sum(w * expected_duration_days) AS days,
-  max(w) FILTER (layer = 'MacroRegime') AS wm FROM lw GROUP BY ts)""")
+  bool_or(regime = 'CreditStress') AS stress, sum(w) AS total, sum(w * expected_duration_days) AS days, """
+         + ", ".join(f"max(w) FILTER (layer = '{n}') AS w_{n}" for n in reg.LAYERS) + " FROM lw GROUP BY ts)")
 
 
 @query("n22_meta_regime", with_(*BASE, *_META, recursive=True) + f"""SELECT ts,
@@ -236,11 +256,25 @@ _META = ("ly AS (" + " UNION ALL ".join(_layer_sql(n) for n in reg.LAYERS) + ")"
     WHEN inflation > 0.6 THEN 'INFLATION_GROWTH' WHEN risk_on >= risk_off THEN 'RISK_ON_GROWTH' ELSE 'RANGE_BOUND_WHIPSAW' END AS final_regime,
   {r('''CAST(CASE WHEN black_swan > 0.5 THEN least(1, 0.6 + black_swan) WHEN risk_off > 1.5 AND stress THEN 0.85 WHEN risk_off > 1.5 THEN 0.7
     WHEN inflation > 0.6 THEN 0.7 WHEN risk_on >= risk_off THEN least(1, 0.5 + risk_on / 3) ELSE 0.55 END AS DOUBLE)''', 'probability', 5)},
-  CAST(coalesce(floor(round(days / nullif(total, 0), 9)), 30) AS INT) AS expected_duration_days, {r('coalesce(wm / nullif(total, 0), 0)', 'macro_share', 4)} FROM ms""")
+  {r("""CAST(CASE WHEN black_swan > 0.5 THEN least(1, 0.5 + black_swan) WHEN risk_off > 1.5 AND stress THEN 0.8 WHEN risk_off > 1.5 THEN 0.65
+    WHEN inflation > 0.6 THEN 0.65 WHEN risk_on >= risk_off THEN least(1, 0.5 + risk_on / 4) ELSE 0.5 END AS DOUBLE)""", 'confidence', 5)},
+  {', '.join(r(x, digits=5) for x in ('risk_on', 'risk_off', 'inflation', 'black_swan'))},
+  CAST(coalesce(floor(round(days / nullif(total, 0), 9)), 30) AS INT) AS expected_duration_days,
+  {', '.join(r(f'coalesce(w_{n} / nullif(total, 0), 0)', f'share_{n}', 4) for n in reg.LAYERS)} FROM ms""")
 def n22(spark, sf_dir):
+    """Regime, probability, confidence, the four scores, duration and the share of every layer."""
     df = reg.meta_regime(reg.layers(_wide(spark, sf_dir)))
-    return df.select("ts", "final_regime", F.round("probability", 5).alias("probability"), "expected_duration_days",
-                     F.element_at("contributions", "MacroRegime").alias("macro_share"))
+    return df.select("ts", "final_regime", *[F.round(c, 5).alias(c) for c in ("probability", "confidence", "risk_on", "risk_off", "inflation", "black_swan")],
+                     "expected_duration_days", *[F.element_at("contributions", n).alias(f"share_{n}") for n in reg.LAYERS])
+
+
+@query("j3_configured_layers", with_(*BASE, _SETTINGS_SQL, _META[0].replace("ly AS (", "la AS (", 1),
+       """ly AS (SELECT ts, layer, regime, confidence, hit_rate, expected_duration_days, coalesce(st.weight, la.weight) AS weight FROM la LEFT JOIN st ON st.name = la.layer WHERE coalesce(enabled, true))""",
+       *_META[1:], recursive=True) + f"SELECT ts, {', '.join(r(x, digits=5) for x in ('risk_on', 'risk_off', 'inflation', 'black_swan'))} FROM ms")
+def j3_layers(spark, sf_dir):
+    settings = dims.frame(spark, _SETTINGS, "name string, enabled boolean, weight double")
+    df = reg.meta_regime(reg.layers(_wide(spark, sf_dir), settings=settings))
+    return rounded(df.select("ts", "risk_on", "risk_off", "inflation", "black_swan"), 5)
 
 
 @query("b2_regime_filter", with_(*BASE, _MACRO, _SIX, "al(regime_id, symbol) AS (" + dims.values(dims.REGIME_ALLOWED) + ")",

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded
-from barloom.operators import features as feat, regimes as reg, rotation as rot, signals as sig, text as tx
+from barloom.operators import features as feat, portfolio as pf, regimes as reg, rotation as rot, signals as sig, text as tx
 from barloom.operators.panel import panel
 from barloom.plans import dims
 from barloom.plans.catalog import query
 from barloom.plans.inputs import brand, flag, market
+from barloom.plans.q_portfolio import CASH, HIGH, LOW, _constrain
 from barloom.plans.q_regimes import BASE, _ALL, _MACRO, _META, _SIX, _VOTE, _wide
 from barloom.plans.q_rotation import ENSEMBLE, _ENS, recursive
 from barloom.plans.q_signals import SCREEN, TREND, TRIG, temacd_sql
@@ -87,15 +88,20 @@ def a6(spark, sf_dir):
     return spark.read.csv(path, header=True)
 
 
-@query("a7_equity_csv", with_(FLAG, f"rr AS (SELECT symbol, ts, close / lag(close) OVER ({BY}) - 1 AS ret FROM bars)") +
-       f"SELECT symbol, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS period, {r('product(1 + coalesce(ret, 0)) - 1', 'ret')} FROM rr GROUP BY symbol, date_trunc('month', ts)")
+@query("a7_equity_csv", with_(FLAG, f"rr AS (SELECT symbol, ts, close / lag(close) OVER ({BY}) - 1 AS ret FROM bars)",
+       f"eq AS (SELECT symbol, ts, ret, 100000 * product(1 + coalesce(ret, 0)) OVER ({BY}) AS equity, CAST(date_trunc('month', ts) AS DATE) AS period FROM rr)",
+       "mo AS (SELECT symbol, period, product(1 + coalesce(ret, 0)) - 1 AS m FROM eq GROUP BY symbol, period)") +
+       f"SELECT symbol, ts, {r('equity', digits=4)}, {r('ret', digits=7)}, {r('m', 'month_ret')} FROM eq JOIN mo USING (symbol, period)")
 def a7(spark, sf_dir):
+    """Both files as they were written: every equity row with the return of its month."""
     from barloom.operators.backtest import equity_curve
     path = _place(spark)
     curve = cut(equity_curve(feat.returns(flag(spark, sf_dir)), ("symbol",), capital=100000.0))
     sinks.write_equity(curve, path, ("symbol",))
-    back = spark.read.csv(f"{path}/monthly", header=True)
-    return back.select("symbol", "period", F.round(F.col("ret").cast("double"), 6).alias("ret"))
+    equity = spark.read.schema("symbol string, ts date, equity double, ret double").csv(f"{path}/equity", header=True)
+    monthly = spark.read.schema("symbol string, period date, month_ret double").csv(f"{path}/monthly", header=True)
+    both = equity.withColumn("period", F.trunc("ts", "month")).join(monthly, ["symbol", "period"])
+    return both.select("symbol", "ts", F.round("equity", 4).alias("equity"), F.round("ret", 7).alias("ret"), F.round("month_ret", 6).alias("month_ret"))
 
 
 @query("a8_daily_manifest", with_(*BASE, _MACRO, _SIX, *SCREEN, "rg(regime_id, regime, eq, hedge, cash, engine) AS (" + dims.values(dims.REGIMES) + ")",
@@ -144,13 +150,30 @@ def _records(spark, sf_dir):
                     F.lit("trend persists through slow capital").alias("hypothesis"))
 
 
-@query("a9_experiment_registry", with_(_HASH) + """SELECT left(sha256('{"universe":"' || p || '"}' || data_hash || '{}' || 'ema_cross'), 12) AS experiment_id, p AS universe, data_hash FROM hs""")
+_EXPERIMENT = """ex AS (SELECT left(sha256('{"universe":"' || p || '"}' || data_hash || '{}' || 'ema_cross'), 12) AS experiment_id, p AS universe, data_hash FROM hs)"""
+
+
+@query("a9_experiment_registry", with_(_HASH, _EXPERIMENT) + """SELECT experiment_id, universe, data_hash, row_number() OVER (ORDER BY universe, experiment_id) AS place,
+  '1995-01-01 to 1998-12-31' AS train_period, '1999-01-01 to 2001-12-31' AS test_period, 'trend persists through slow capital' AS hypothesis FROM ex""")
 def a9(spark, sf_dir):
+    """The registry's list, read back from its export."""
     path = _place(spark)
     rec = cut(_records(spark, sf_dir))
     ledger.register(rec, path)
     ledger.register(rec, path)  # a second registration adds nothing
-    return spark.read.parquet(path).select("experiment_id", "universe", "data_hash")
+    listed = ledger.list_records(spark, path, "universe")
+    ledger.export_records(listed, f"{path}-list")
+    back = spark.read.schema(listed.schema).json(f"{path}-list")
+    return back.select("experiment_id", "universe", "data_hash", "place", "train_period", "test_period", "hypothesis")
+
+
+@query("a9_export_record", with_(_HASH, _EXPERIMENT) + "SELECT experiment_id, universe, data_hash FROM ex WHERE universe = (SELECT min(universe) FROM ex)")
+def a9_export(spark, sf_dir):
+    path = _place(spark)
+    rec = cut(_records(spark, sf_dir))
+    ledger.register(rec, path)
+    ledger.export_record(spark, path, rec.agg(F.min_by("experiment_id", "universe")).first()[0], f"{path}-one")
+    return spark.read.schema(rec.schema).json(f"{path}-one").select("experiment_id", "universe", "data_hash")
 
 
 @query("b17_period_guard", """SELECT o_orderkey AS experiment_id, CASE WHEN CAST(o_orderdate AS DATE) + 30 >= DATE '1998-01-01' THEN 'train overlaps test' ELSE 'hypothesis too short' END AS issue
@@ -164,16 +187,18 @@ def b17(spark, sf_dir):
     return ledger.period_issues(rec, 8).select("experiment_id", "issue")
 
 
-@query("a10_decision_log", with_(*BASE, _ALL, _VOTE, *_META, "cw AS (SELECT ts, count(*) FILTER (signal = 'RiskOn') AS a, count(*) FILTER (signal = 'RiskOff') AS b, list(name || ' ' || signal ORDER BY name) AS l FROM cn GROUP BY ts)",
+@query("a10_decision_log", with_(*BASE, _ALL, _VOTE, *_META, "vw AS (SELECT ts, symbol, sqrt(volume) / sum(sqrt(volume)) OVER (PARTITION BY ts) AS raw FROM bars)", _constrain("raw", "vw"), "cw AS (SELECT ts, count(*) FILTER (signal = 'RiskOn') AS a, count(*) FILTER (signal = 'RiskOff') AS b, list(name || ' ' || signal ORDER BY name) AS l FROM cn GROUP BY ts)",
        recursive=True) + """SELECT vt.ts, vt.regime AS final_regime, a AS risk_on_votes, b AS risk_off_votes, (SELECT string_agg(layer || '=' || regime, ';' ORDER BY layer) FROM ly WHERE ly.ts = vt.ts) AS layers,
   array_to_string(l, ';') AS canaries, (SELECT count(DISTINCT symbol) FROM bars WHERE bars.ts = vt.ts) AS held,
-  (SELECT round(sum(v), 4) FROM (SELECT max(volume) AS v FROM bars WHERE bars.ts = vt.ts GROUP BY symbol)) AS total_weight,
+  (SELECT string_agg(symbol || '=' || printf('%.7f', round(weight, 7)), ';' ORDER BY symbol) FROM w WHERE w.ts = vt.ts) AS weights,
   printf('On %s: regime %s, confidence %.4f. Votes %d on, %d off. Canaries: %s.', strftime(vt.ts, '%Y-%m-%d'), vt.regime, round(vt.confidence, 9), a, b, array_to_string(l[1:4], '; ')) AS human_readable FROM vt JOIN cw USING (ts)""")
 def a10(spark, sf_dir):
     wide = _wide(spark, sf_dir)
     cn = cut(reg.canaries(wide))
     vote = reg.vote(cn).withColumn("confidence", F.round("confidence", 9))
-    w = bars_market(spark, sf_dir).groupBy("ts", "symbol").agg(F.max("volume").alias("weight"))
+    bars = cut(bars_market(spark, sf_dir).select("ts", "symbol", F.sqrt("volume").alias("_v")))
+    w = bars.join(bars.groupBy("ts").agg(F.sum("_v").alias("_t")), "ts").select("ts", "symbol", (F.col("_v") / F.col("_t")).alias("weight"))
+    w = pf.constrain(w, LOW, HIGH, CASH)
     log = ledger.decision_log(cn, vote, reg.layers(wide), w)
     path = _place(spark)
     ledger.export_log(log, path)
@@ -181,10 +206,10 @@ def a10(spark, sf_dir):
                              "canaries array<struct<name: string, signal: string>>, portfolio_weights map<string,double>, human_readable string").json(path)
     layer = F.transform(F.array_sort(F.map_entries("regime_layers")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
     canary = F.transform("canaries", lambda x: F.concat(x["name"], F.lit(" "), x["signal"]))
-    total = F.aggregate(F.map_values("portfolio_weights"), F.lit(0.0), lambda a, x: a + x)
+    held = F.transform(F.array_sort(F.map_entries("portfolio_weights")), lambda x: F.concat(x["key"], F.lit("="), F.format_string("%.7f", F.round(x["value"], 7))))
     return back.select("ts", "final_regime", "risk_on_votes", "risk_off_votes", F.array_join(layer, ";").alias("layers"),
                        F.array_join(canary, ";").alias("canaries"), F.size("portfolio_weights").cast("bigint").alias("held"),
-                       F.round(total, 4).alias("total_weight"), "human_readable")
+                       F.array_join(held, ";").alias("weights"), "human_readable")
 
 
 # ------------------------------------------------------------------ text records

@@ -55,6 +55,27 @@ def f4(spark, sf_dir):
     return rounded(val.sweep_scores(_sweep(spark, sf_dir)).where(F.col("place") <= 3).select("symbol", "fast", "slow", "score"))
 
 
+_LOOKS = [5, 20, 60]
+
+
+def _breakout(w, p):
+    """A strategy of the user's own: long above the price ``look`` bars ago, short below it."""
+    before = F.lag("close", p["look"]).over(w)
+    return F.signum(F.round(F.col("close") - before, 9))
+
+
+@query("j2_user_strategy", with_(FLAG, "lk AS (SELECT unnest(" + str(_LOOKS) + ") AS look)",
+       "cl AS (SELECT symbol, ts, close, " + ", ".join(f"sign(round(close - lag(close, {n}) OVER ({BY}), 9)) AS s{n}" for n in _LOOKS) + " FROM bars)",
+       "pl AS (SELECT symbol, ts, close / lag(close) OVER (" + BY + ") - 1 AS r, " + ", ".join(f"lag(s{n}) OVER ({BY}) AS p{n}" for n in _LOOKS) + " FROM cl)",
+       "us AS (" + " UNION ALL ".join(f"SELECT symbol, {k} AS param, {n} AS look, r * coalesce(p{n}, 0) AS ret FROM pl WHERE r IS NOT NULL" for k, n in enumerate(_LOOKS)) + ")",
+       "ug AS (SELECT symbol, param, look, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252.0) AS score FROM us GROUP BY symbol, param, look)") +
+       f"SELECT symbol, look, {r('score')}, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, param) AS place FROM ug")
+def j2(spark, sf_dir):
+    rets = cut(val.sweep(flag(spark, sf_dir), [{"look": n} for n in _LOOKS], _breakout, max(_LOOKS)))
+    df = val.sweep_scores(rets)
+    return rounded(df.select("symbol", "look", "score", F.col("place").cast("bigint").alias("place")))
+
+
 _WIN = """ws AS (SELECT row_number() OVER (ORDER BY s) - 1 AS window_id, CAST(s AS DATE) AS train_start FROM (SELECT unnest(generate_series(DATE '1995-01-02', DATE '2001-11-04', INTERVAL 63 DAY)) AS s)),
 wn AS (SELECT window_id, train_start, train_start + 756 AS train_end, train_start + 757 AS test_start, train_start + 1009 AS test_end FROM ws WHERE train_start + 1009 <= DATE '2001-11-04')"""
 
@@ -343,34 +364,41 @@ def _points(x: str) -> str:
     return f"CASE WHEN {x} >= 1.2 THEN 2.0 WHEN {x} >= 0.8 THEN 1.5 WHEN {x} >= 0.5 THEN 1.0 WHEN {x} >= 0.2 THEN 0.5 ELSE 0.2 END"
 
 
-_H6 = ("wa AS (SELECT symbol, round(avg(a), 9) AS is_sharpe, round(avg(b), 9) AS oos_sharpe, coalesce(corr(a, b), 0) AS c, avg(a) AS i, avg(b) AS o FROM wf GROUP BY symbol)",
+_H6 = (f"ho AS (SELECT symbol, i, ret, max(i) OVER (PARTITION BY symbol) + 1 AS n FROM sw WHERE param = {GRID.index(BASE)})",
+       """hs AS (SELECT symbol, round(coalesce(avg(ret) FILTER (i < floor(n * 0.7::DOUBLE)) / nullif(stddev_samp(ret) FILTER (i < floor(n * 0.7::DOUBLE)), 0), 0) * sqrt(252.0), 9) AS is_sharpe,
+  round(coalesce(avg(ret) FILTER (i >= floor(n * 0.7::DOUBLE)) / nullif(stddev_samp(ret) FILTER (i >= floor(n * 0.7::DOUBLE)), 0), 0) * sqrt(252.0), 9) AS oos_sharpe FROM ho GROUP BY symbol)""",
+       "wa AS (SELECT symbol, is_sharpe, oos_sharpe, round(avg(b), 9) AS walk_forward, coalesce(corr(a, b), 0) AS c, avg(a) AS i, avg(b) AS o FROM wf JOIN hs USING (symbol) GROUP BY symbol, is_sharpe, oos_sharpe)",
        "nr AS (SELECT * FROM sc WHERE slow = 80 UNION ALL SELECT * FROM sc WHERE fast = 10)",
        "sv AS (SELECT symbol, 1 - least(1, stddev_pop(score) / (abs(avg(score)) + 1e-8)) AS sensitivity FROM nr GROUP BY symbol)",
        _SC.replace("sc(name, s, e)", "scen(name, s, e)"),
        """ds AS (SELECT symbol, name, close / max(close) OVER (PARTITION BY symbol, name ORDER BY ts) - 1 AS dd FROM bars
   JOIN scen ON ts BETWEEN CAST(s AS DATE) AND CAST(e AS DATE))""",
        "sd AS (SELECT symbol, round(1 + min(dd), 9) AS stress FROM ds GROUP BY symbol)",
-       """vs AS (SELECT symbol, is_sharpe, oos_sharpe, stress, sensitivity, greatest(0, least(1, (c + 1) / 2 * greatest(0, least(1, o / (i + 1e-8))))) AS temporal,
+       """vs AS (SELECT symbol, is_sharpe, oos_sharpe, walk_forward, stress, sensitivity, greatest(0, least(1, (c + 1) / 2 * greatest(0, least(1, o / (i + 1e-8))))) AS temporal,
   (SELECT count(*) FILTER (oos_sharpe > 0) / count(*)::DOUBLE FROM wa) AS cross_asset FROM wa JOIN sv USING (symbol) LEFT JOIN sd USING (symbol))""",
        f"""pt AS (SELECT *, CASE WHEN cross_asset = 0 THEN 8.5 ELSE 10.0 END::DOUBLE AS available, ({_points('is_sharpe')} + {_points('oos_sharpe')}
-  + CASE WHEN oos_sharpe > 1 THEN 2.0 WHEN oos_sharpe > 0.5 THEN 1.5 ELSE 0.7 END + CASE WHEN stress > 0.8 THEN 1.5 ELSE 1.0 END)::DOUBLE
+  + CASE WHEN walk_forward > 1 THEN 2.0 WHEN walk_forward > 0.5 THEN 1.5 ELSE 0.7 END + CASE WHEN stress > 0.8 THEN 1.5 ELSE 1.0 END)::DOUBLE
   + temporal + cross_asset + sensitivity AS raw FROM vs)""")
 
 
-@query("h6_validation_score", with_(FLAG, *_SWEEP, *_WF, *_H6, recursive=True) + f"""SELECT symbol, {r('is_sharpe')}, {r('oos_sharpe')}, {r('stress')}, {r('temporal')},
+@query("h6_validation_score", with_(FLAG, *_SWEEP, *_WF, *_H6, recursive=True) + f"""SELECT symbol, {r('is_sharpe')}, {r('oos_sharpe')}, {r('walk_forward')}, {r('stress')}, {r('temporal')},
   {r('cross_asset')}, {r('sensitivity')}, {r('raw', 'score_raw')}, available AS score_available, {r('raw / available * 10', 'score_normalised', 2)},
   CASE WHEN available = 8.5 THEN 85.0 ELSE 100.0 END::DOUBLE AS coverage_pct FROM pt""")
 def h6(spark, sf_dir):
-    """Sharpe in and out of sample and its stability from the walk-forward, worst scenario drawdown, sweep sensitivity,
-    and the share of symbols with a positive out-of-sample Sharpe as the cross-asset part."""
-    sweep = _sweep(spark, sf_dir)
+    """In and out of sample: the base set on the first 70 % of its rows and on the rest. Walk-forward: the mean test Sharpe of the
+    best set of each window. Further the stability of the windows, the worst scenario drawdown, the sweep's sensitivity, and the
+    share of symbols with a positive out-of-sample Sharpe as the cross-asset part."""
+    sweep = _indexed(spark, sf_dir)
+    base = val.holdout(sweep.where(F.col("param") == GRID.index(BASE)))
     walk = cut(val.walk_forward(sweep, _windows(spark)))
-    m = walk.groupBy("symbol").agg(F.round(F.avg("train_metric"), 9).alias("is_sharpe"), F.round(F.avg("test_metric"), 9).alias("oos_sharpe"))
+    m = walk.groupBy("symbol").agg(F.round(F.max("average_test"), 9).alias("walk_forward")).join(
+        base.select("symbol", F.round("in_sample", 9).alias("is_sharpe"), F.round("out_of_sample", 9).alias("oos_sharpe")), "symbol")
+    m = cut(m)
     share = m.agg((F.count_if(F.col("oos_sharpe") > 0) / F.count(F.lit(1))).alias("cross_asset"))
     curve = cut(flag(spark, sf_dir).select("symbol", "ts", "close"))
     stress = val.historical_stress(curve, scenarios(spark), ("symbol",), "close").groupBy("symbol").agg(F.round(1 + F.min("max_dd"), 9).alias("stress"))
     steady = val.parameter_sensitivity(val.sweep_scores(sweep), BASE).select("symbol", (1 - F.col("sensitivity")).alias("sensitivity"))
     parts = attach(m, share).join(val.walk_forward_stability(walk).withColumnRenamed("stability", "temporal"), "symbol")
-    parts = parts.join(steady, "symbol").join(stress, "symbol", "left").withColumn("walk_forward", F.col("oos_sharpe"))
-    return rounded(val.validation_score(parts).select("symbol", "is_sharpe", "oos_sharpe", "stress", "temporal", "cross_asset", "sensitivity",
+    parts = parts.join(steady, "symbol").join(stress, "symbol", "left")
+    return rounded(val.validation_score(parts).select("symbol", "is_sharpe", "oos_sharpe", "walk_forward", "stress", "temporal", "cross_asset", "sensitivity",
                                                       "score_raw", "score_available", "score_normalised", "coverage_pct"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.session import cut
 
@@ -72,6 +72,20 @@ def export_record(spark: SparkSession, path: str, experiment: str, out: str) ->
     spark.read.parquet(path).where(F.col("experiment_id") == experiment).write.mode("overwrite").json(out)
 
 
+def list_records(spark: SparkSession, path: str, *order: str) -> DataFrame:
+    """All records with their place in the given order, ties by experiment_id.
+
+    Records are experiments, few by nature, so the numbering runs in one window.
+    """
+    by = Window.orderBy(*order, "experiment_id")
+    return spark.read.parquet(path).withColumn("place", F.row_number().over(by).cast("bigint"))
+
+
+def export_records(records: DataFrame, out: str) -> None:
+    """Records as json lines."""
+    records.write.mode("overwrite").json(out)
+
+
 def unseen(items: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Items whose key is not in the ledger."""
     return items.join(seen.select(key).distinct(), key, "left_anti")
