@@ -297,11 +297,14 @@ def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shing
         fewer = cut(again.join(mixed, "key"))
         discard(open_, again)
         open_ = fewer
-    x, y = open_.alias("x"), open_.alias("y")
+    keys = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a band
+    whole = cut(open_.join(keys, "node"))
+    x, y = whole.alias("x"), whole.alias("y")
     close = sketch_distance(F.col("x.sketch"), F.col("y.sketch"), longs) <= bits
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close)
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair counts in its first bucket
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close & once)
     rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
-    discard(open_, sketches)
+    discard(open_, whole, sketches)
     last = None if rest.isEmpty() else merge(roots, rest)
     return roots if last is None else last
 
