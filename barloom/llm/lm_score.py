@@ -6,11 +6,13 @@ next shorter one. Escapes are estimated by method C (as many escape counts as
 distinct symbols), and symbols already refused in a longer context are excluded
 from the shorter one. Below order 0 the remaining byte values are equal.
 
-Counts cover every training document. A trie node is kept if it has at least
-1/NODES of all training bytes, at any corpus size, so the broadcast model has
-at most NODES nodes an order. The word counts are a distributed table: words
-with at least 1/FREQUENT of all words (so at most FREQUENT of them) are
-broadcast, all others are joined by a shuffle in which no key is frequent.
+Counts cover every training document and all of them are used. The probability
+of a byte depends on it and the ``order`` bytes before it alone, so the model is
+a distributed table with the log10 of every such run that occurs in any
+document. Runs with at least 1/NODES of all bytes (so at most NODES of them) are
+broadcast, all others are joined by a shuffle in which no key is frequent. Word
+counts are treated likewise: words with at least 1/FREQUENT of all words (so at
+most FREQUENT of them) are broadcast.
 
 A text starts after ``order`` line ends; the score is the sum of log10
 probabilities of its bytes. NULL counts as empty text with score 0 and one
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from math import log10
 
 import numpy as np
@@ -94,32 +95,36 @@ def _grams(col: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield key, starts, starts + lens
 
 
-def gram_counts(docs: DataFrame, text: str, order: int, most: int = 600_000) -> DataFrame:
-    """(gram, n): every run of order + 1 bytes of the training texts."""
+def gram_counts(docs: DataFrame, text: str, train: Column, order: int, most: int = 600_000) -> DataFrame:
+    """(gram, n, c): occurrences of every run of order + 1 bytes in all and in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
             at = np.argsort(keys)
-            keys, n = keys[at], n[at]
+            keys = keys[at]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[first], np.add.reduceat(n, first)
+            return keys[first], np.add.reduceat(n[at], first), np.add.reduceat(c[at], first)
 
         def rows() -> pa.RecordBatch:
-            keys, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            keys, n, c = merged()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(c)], names=["gram", "n", "c"])
         for b in batches:
-            for key, starts, ends in _grams(b.column(0), order):
+            at, learned = 0, np.array(b.column("own").to_pylist(), bool)
+            for key, starts, ends in _grams(b.column("text"), order):
+                owner = np.repeat(np.arange(at, at + len(starts)), ends - starts + order)
+                at += len(starts)
                 real = np.ones(len(key), bool)
                 for k in range(1, order + 1):
                     real[starts - k] = False
-                keys, n = np.unique(key[real], return_counts=True)
-                if not len(keys):
-                    continue
-                held.append((keys, n.astype(np.int64)))
-                size += len(keys)
+                for own in (True, False):
+                    keys, n = np.unique(key[real & (learned[owner] == own)], return_counts=True)
+                    if not len(keys):
+                        continue
+                    n = n.astype(np.int64)
+                    held.append((keys, n, n if own else n * 0))
+                    size += len(keys)
                 if size > most:
                     held[:] = [merged()]
                     size = len(held[0][0])
@@ -130,7 +135,8 @@ def gram_counts(docs: DataFrame, text: str, order: int, most: int = 600_000) ->
         if held:
             yield rows()
 
-    return cut(docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    parts = docs.select(F.col(text).alias("text"), train.alias("own")).mapInArrow(run, "gram bigint, n bigint, c bigint")
+    return cut(parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
 
 
 class Table:
@@ -170,74 +176,13 @@ class Table:
         return out
 
 
-@dataclass
-class Level:
-    """Nodes of one order: symbols after contexts, and what contexts of the next order exclude here."""
-    grams: Table
-    count: np.ndarray  # of each symbol node
-    context: Table
-    total: np.ndarray  # of each context, symbols plus escapes
-    escape: np.ndarray  # log10 of the escape from each context, nothing excluded
-    below_total: np.ndarray  # of each context: the same for the next shorter context, with its symbols excluded
-    below_escape: np.ndarray
-
-
-class Trie:
-    """Pretrained model from (keys, counts) of every order, keys sorted."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels: list[Level] = []
-        lower = None
-        for i, (keys, n) in enumerate(orders):
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            size, distinct = (np.add.reduceat(n, first), np.diff(np.r_[first, len(keys)])) if len(keys) else (n[:0], n[:0])
-            total = size + distinct
-            below_total = below_escape = np.zeros(len(contexts))
-            if lower is not None and len(keys):
-                grams, count, contexts_below, size_below, distinct_below = lower
-                mask = np.uint64((1 << 8 * i) - 1)
-                parent = contexts_below.find(contexts & np.uint64((1 << 8 * (i - 1)) - 1))
-                same = grams.find(keys & mask)
-                left = size_below[parent] - np.add.reduceat(count[same], first)
-                new = distinct_below[parent] - distinct
-                below_total = left + new
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    below_escape = np.where(new > 0, np.log10(new / np.maximum(below_total, 1)), 0.0)
-            tables = Table(keys), Table(contexts)
-            self.levels.append(Level(tables[0], n, tables[1], total, np.log10(distinct / np.maximum(total, 1)), below_total, below_escape))
-            lower = (tables[0], n, tables[1], size, distinct)
-        top = self.levels[-1]
-        owner = top.context.find(orders[-1][0] >> np.uint64(8))
-        self.top = np.log10(top.count / top.total[owner]) if len(owner) else np.empty(0)
-        self.rest = 256 - len(orders[0][0])
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key after the others."""
-        at = self.levels[-1].grams.find(keys)
-        out = np.where(at >= 0, self.top[at] if len(self.top) else 0.0, 0.0)
-        todo = np.flatnonzero(at < 0)
-        excluding = np.full(len(todo), -1, np.int32)  # the context of the next longer order, if known
-        for i in range(len(self.levels) - 1, -1, -1):
-            if not len(todo):
-                break
-            level, key = self.levels[i], keys[todo] & np.uint64((1 << 8 * (i + 1)) - 1)
-            node, gram = level.context.find(key >> np.uint64(8)), level.grams.find(key)
-            if i + 1 < len(self.levels):
-                above = self.levels[i + 1]
-                total = np.where(excluding >= 0, above.below_total[excluding] if len(above.below_total) else 0,
-                                 level.total[node] if len(level.total) else 0)
-                escape = np.where(excluding >= 0, above.below_escape[excluding] if len(above.below_escape) else 0,
-                                  level.escape[node] if len(level.escape) else 0)
-            else:
-                total, escape = (level.total[node], level.escape[node]) if len(level.total) else (node * 0, node * 0.0)
-            hit = gram >= 0
-            out[todo[hit]] += np.log10(level.count[gram[hit]] / total[hit])
-            known = ~hit & (node >= 0)
-            out[todo[known]] += escape[known]
-            todo, excluding = todo[~hit], node[~hit]
-        if len(todo):
-            out[todo] -= log10(self.rest if self.rest else 1)
-        return out
+def _per_text(keys: np.ndarray, owner: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Distinct keys of each text, their numbers of occurrences and the offsets of the texts."""
+    at = np.lexsort((keys, owner))
+    keys, owner = keys[at], owner[at]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.empty(0, np.int64)
+    off = np.searchsorted(owner[first], np.arange(texts + 1))
+    return (pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(keys)]).astype(np.int32)), pa.array(off, pa.int32()))
 
 
 def adaptive_score(text: bytes, order: int = ORDER) -> float:
@@ -264,20 +209,61 @@ def adaptive_score(text: bytes, order: int = ORDER) -> float:
     return score
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NODES) -> Trie | None:
-    """Count all byte runs of ``docs`` and keep the nodes with a share of 1/``nodes`` or more."""
-    counts = gram_counts(docs, text, order)
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return None
-    orders = []
+def _low(gram: Column, size: int) -> Column:
+    """The last ``size`` bytes of a run."""
+    return gram.bitwiseAND((1 << 8 * size) - 1)
+
+
+def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, score) of every run of ``gram_counts``: log10 probability of its last byte after the others.
+
+    Runs that are not in the training texts escape from order to order, each a join with
+    the nodes and contexts of that order. Tables with keys of at most two bytes (65,536
+    rows) are broadcast; of longer keys no more than 65,536 runs of order 4 share one.
+    """
+    nodes = {order: counts.filter("c > 0").select("gram", "c")}
+    for i in range(order - 1, -1, -1):
+        nodes[i] = cut(nodes[i + 1].groupBy(_low(F.col("gram"), i + 1).alias("gram")).agg(F.sum("c").alias("c")))
+    contexts: dict[int, DataFrame] = {}
     for i in range(order + 1):
-        key = F.col("gram").bitwiseAND((1 << 8 * (i + 1)) - 1)
-        kept = counts.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") * nodes >= total).toArrow()
-        keys, n = kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-        at = np.argsort(keys)
-        orders.append((keys[at], n[at].astype(np.int64)))
-    return Trie(orders)
+        rows = nodes[i].withColumn("context", F.shiftrightunsigned("gram", 8))
+        size, distinct = F.sum("c").alias("size"), F.count("*").alias("distinct")
+        if not i:
+            own = rows.groupBy("context").agg(size, distinct).withColumn("left", F.lit(0)).withColumn("new", F.lit(0))
+        else:  # what a context excludes from the next shorter one
+            short = _small(nodes[i - 1].select(F.col("gram").alias("_short"), F.col("c").alias("_c")), i)
+            rows = rows.join(short, _low(F.col("gram"), i) == F.col("_short"))
+            each = rows.groupBy("context").agg(size, distinct, F.sum("_c").alias("_gone"))
+            parent = _small(contexts[i - 1].select(F.col("context").alias("_short"), F.col("size").alias("_size"), F.col("distinct").alias("_distinct")), i - 1)
+            own = (each.join(parent, _low(F.col("context"), i - 1) == F.col("_short"))
+                   .select("context", "size", "distinct", (F.col("_size") - F.col("_gone")).alias("left"), (F.col("_distinct") - F.col("distinct")).alias("new")))
+        contexts[i] = cut(own)
+    total = F.col("size") + F.col("distinct")
+    known = counts.filter("c > 0").withColumn("context", F.shiftrightunsigned("gram", 8)).join(contexts[order], "context")
+    known = known.select("gram", "n", F.log10(F.col("c") / total).alias("score"))
+    rest = counts.filter("c = 0").select("gram", "n", F.lit(0.0).alias("score"), F.lit(False).alias("done"),
+                                         F.lit(None).cast("bigint").alias("_left"), F.lit(None).cast("bigint").alias("_new"))
+    for i in range(order, -1, -1):
+        own = _small(contexts[i].withColumnRenamed("context", "_context"), i)
+        rest = rest.join(own, F.shiftrightunsigned(_low(F.col("gram"), i + 1), 8) == F.col("_context"), "left")
+        if i < order:
+            one = _small(nodes[i].select(F.col("gram").alias("_gram"), "c"), i + 1)
+            rest = rest.join(one, _low(F.col("gram"), i + 1) == F.col("_gram"), "left")
+        else:
+            rest = rest.withColumn("c", F.lit(None).cast("bigint"))
+        fresh = F.coalesce("_new", "distinct")  # distinct bytes and counts, without those a longer context excludes
+        whole = fresh + F.coalesce("_left", "size")
+        step = F.when(F.col("done"), 0.0).when(F.col("c").isNotNull(), F.log10(F.col("c") / whole)).when(fresh > 0, F.log10(fresh / whole)).otherwise(0.0)
+        rest = rest.select("gram", "n", (F.col("score") + step).alias("score"), (F.col("done") | F.col("c").isNotNull()).alias("done"),
+                           F.col("left").alias("_left"), F.col("new").alias("_new"))
+    seen = nodes[0].count()
+    last = F.when(F.col("done"), 0.0).otherwise(log10(max(256 - seen, 1)))
+    return cut(known.unionByName(rest.select("gram", "n", (F.col("score") - last).alias("score"))))
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with one row per run of ``size`` bytes, broadcast if these are at most 65,536."""
+    return F.broadcast(df) if size <= 2 else df
 
 
 FIELDS = (T.StructType().add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long")
@@ -296,12 +282,19 @@ def lm_scores(docs: DataFrame, train: Column, text: str = "text", order: int = O
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast({
         t.encode(): (log10((c + 0.5) / rest), c > 0) for t, c in zip(often["token"].to_pylist(), often["c"].to_pylist(), strict=True)})
-    trie = spark.sparkContext.broadcast(fit(docs.filter(train), text, order, nodes))
+    grams = fit(gram_counts(docs, text, train, order), order)
+    bytes_all = grams.agg(F.sum("n")).first()[0] or 0
+    common = grams.filter(F.col("n") * nodes >= bytes_all).select("gram", "score").toArrow()  # at most `nodes` rows
+    model = spark.sparkContext.broadcast((common["gram"].to_numpy().view(np.uint64), common["score"].to_numpy()))
     fields = (T.StructType().add("n_tokens", "long").add("_known", "long").add("_base", "double").add("score", "double")
-              .add("_rare", T.ArrayType(T.StringType())).add("_times", T.ArrayType(T.IntegerType())))
+              .add("_rare", T.ArrayType(T.StringType())).add("_times", T.ArrayType(T.IntegerType()))
+              .add("_grams", T.ArrayType(T.LongType())).add("_often", T.ArrayType(T.IntegerType())))
+    tables: list[Table] = []  # of one task
 
     def kernel(b: pa.RecordBatch):
-        table, model, col = known.value, trie.value, b.column(text)
+        table, (runs, values), col = known.value, model.value, b.column(text)
+        if not tables:
+            tables.append(Table(runs))
         rows, rare, times = [], [], []
         for t in each_text(col):
             c = Counter()
@@ -321,29 +314,41 @@ def lm_scores(docs: DataFrame, train: Column, text: str = "text", order: int = O
             rows.append((n, ok, base))
             rare.append(few)
             times.append(often_)
-        scores = []
+        scores, missed, doc = [], [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
         for keys, starts, ends in _grams(col, order):
-            if model is None:
-                scores.append((starts - ends) * log10(256))
-                continue
-            sums = np.concatenate([[0.0], np.cumsum(model.log10(keys))])
+            at = tables[0].find(keys)
+            sums = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, values[at], 0.0) if len(values) else np.zeros(len(keys)))])
             scores.append(sums[ends] - sums[starts])
+            miss = np.flatnonzero(at < 0)
+            owner = np.searchsorted(starts, miss, "right") - 1
+            real = (owner >= 0) & (miss < ends[owner])  # no padding
+            missed.append((keys[miss[real]], owner[real] + doc))
+            doc += len(starts)
         score = np.concatenate(scores) if scores else np.empty(0)
+        unknown, each_, off = _per_text(*(np.concatenate(x) for x in zip(*missed, strict=True)), b.num_rows)
         n, ok, base = zip(*rows, strict=True) if rows else ([], [], [])
         return [pa.array(n, pa.int64()), pa.array(ok, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], None
+                pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(off, unknown), pa.ListArray.from_arrays(off, each_)], None
 
     scored = cut(annotate(docs, kernel, fields, (text,), text).withColumn("_at", F.monotonically_increasing_id()))
     each = scored.select("_at", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select(
         "_at", F.col("r._rare").alias("token"), F.col("r._times").alias("k"))
     value = F.log10((F.col("c") + 0.5) / F.lit(rest)) if rest else F.lit(0.0)
-    sums = (each.join(counts.filter(F.col("n") * frequent < n_all).select("token", "c"), "token")
-            .groupBy("_at").agg(F.sum(F.col("k") * value).alias("_more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_ok")))
+    words = (each.join(counts.filter(F.col("n") * frequent < n_all).select("token", "c"), "token")
+             .groupBy("_at").agg(F.sum(F.col("k") * value).alias("_more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_ok")))
+    runs = scored.select("_at", F.explode(F.arrays_zip("_grams", "_often")).alias("r")).select(
+        "_at", F.col("r._grams").alias("gram"), F.col("r._often").alias("k"))
+    bytes_ = (runs.join(grams.filter(F.col("n") * nodes < bytes_all).select("gram", F.col("score").alias("v")), "gram")
+             .groupBy("_at").agg(F.sum(F.col("k") * F.col("v")).alias("_score")))
+    sums = (words.unionByName(bytes_, allowMissingColumns=True).groupBy("_at")
+            .agg(F.sum("_more").alias("_more"), F.sum("_ok").alias("_ok"), F.sum("_score").alias("_score")))
     zero = F.lit(0)
-    return (scored.drop("_rare", "_times").join(sums, "_at", "left")
+    return (scored.drop("_rare", "_times", "_grams", "_often").join(sums, "_at", "left")
             .withColumn("n_known", F.col("_known") + F.coalesce("_ok", zero)).withColumn("train_tokens", F.lit(n_train).cast("bigint"))
             .withColumn("base_score", F.col("_base") + F.coalesce("_more", F.lit(0.0)))
-            .drop("_at", "_known", "_base", "_more", "_ok"))
+            .withColumn("score", F.col("score") + F.coalesce("_score", F.lit(0.0)))
+            .drop("_at", "_known", "_base", "_more", "_ok", "_score"))
 
 
 def op9_lm_score(docs: DataFrame) -> DataFrame:

@@ -314,6 +314,18 @@ def test_op9_against_brute_force(odd_docs):
             assert abs(got.base_score - base) < 1e-6 and abs(got.score - score) < 1e-6
 
 
+def test_op9_uses_every_count(odd_docs):
+    """Runs below the broadcast's share keep their counts: the scores do not depend on ``nodes``."""
+    def scores(**kw):
+        out = lm_score.lm_scores(odd_docs.select("doc_id", "text", (~lm_score.training()).alias("h")), ~F.col("h"), **kw)
+        return sorted((r.doc_id or -1, r.n_tokens, r.score) for r in out.collect())
+    whole = scores()
+    for nodes in (1, 40, 3000):
+        few = scores(nodes=nodes)
+        assert [x[:2] for x in few] == [x[:2] for x in whole]
+        assert [x[2] for x in few] == pytest.approx([x[2] for x in whole], abs=1e-6)
+
+
 def test_adaptive_model_learns():
     assert lm_score.adaptive_score(b"abcd" * 50) > lm_score.adaptive_score(bytes(range(200)))
 
