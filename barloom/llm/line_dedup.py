@@ -7,10 +7,10 @@ values are candidates. At similarity 0.8 a pair meets in one of 12 bands of 6
 with probability 0.97, at 0.9 with 0.9999. Exact copies of a line are one node,
 so their number does not matter.
 
-A node carries a sketch of two bits of each MinHash value. Candidate pairs whose
-sketches differ in more bits than one in 200 pairs at similarity 0.8 do are left
-out before any text moves; the others are verified by exact Jaccard similarity of
-the shingle sets. First every member of a bucket is compared with the bucket's
+A node carries a bitmap of its shingles. Candidate pairs whose bitmaps differ in more
+bits than a pair at similarity 0.8 can are left out before any text moves, which
+loses none; the others are verified by exact Jaccard similarity of the shingle
+sets. First every member of a bucket is compared with the bucket's
 leader, the least node. As long as the buckets that are still in several components
 have many open pairs, their members are compared with one more leader each, which
 brings most members of a large family together. Members that are then still in
@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from barloom.llm.common import KEY, attach, components, far_bits, row_key, sketch, sketch_distance
+from barloom.llm.common import KEY, attach, bitmaps, components, may_match, row_key, sketch
 from barloom.llm.kernels import each_text
 from barloom.session import cut, discard
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 12, 6, 0.8
+LONGS = 6  # of a line's bitmap
 LONG = 4096  # characters up to which shingle sets are kept as strings
 MOST_BROADCAST = 300_000
 MOST_TURNS = 6  # further leaders a bucket with many open pairs is compared with
@@ -59,8 +60,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) keys and the sketches; normalised lines, none empty."""
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes of all shingles and their number in each line; normalised lines, none empty."""
     lens = np.array([len(x) for x in lines])
     x = np.frombuffer(("".join(lines) + "\0" * SHINGLE).encode("utf-32-le"), np.uint32)
     h = np.zeros(len(x) - SHINGLE + 1, np.uint32)
@@ -78,11 +79,15 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(h) + 1, np.int64)
     np.add.at(inside, start, 1)
     np.add.at(inside, start + count, -1)
-    h = h[np.cumsum(inside)[:-1] > 0]
+    return h[np.cumsum(inside)[:-1] > 0], count
+
+
+def _minima(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(lines, BANDS * ROWS) MinHash values."""
     first = np.cumsum(count) - count
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    out = np.empty((len(count), BANDS * ROWS), np.uint32)
     i = 0
-    while i < len(lines):
+    while i < len(count):
         j = max(i + 1, int(np.searchsorted(first, first[i] + _BLOCK)))
         part = h[first[i]:first[j] if j < len(first) else None]
         at, room = first[i:j] - first[i], np.empty(len(part), np.uint32)
@@ -91,11 +96,21 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             np.add(room, _ADD[k], out=room)
             out[i:j, k] = np.minimum.reduceat(room, at)
         i = j
-    keys = np.zeros((len(lines), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return out
+
+
+def _keys(out: np.ndarray) -> np.ndarray:
+    keys = np.zeros((len(out), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         keys = (keys ^ out[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64), sketch(out)
+    return keys.view(np.int64)
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) keys and the sketches, which estimate a similarity but never drop a pair."""
+    out = _minima(*_hashed(lines))
+    return _keys(out), sketch(out)
 
 
 _LINES = "line_no int, node bigint, other bigint, line string, bands array<bigint>, sketch array<bigint>"
@@ -116,12 +131,15 @@ def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) ->
 
         def flush(b: pa.RecordBatch, rows: list[tuple], fresh: list[str]) -> pa.RecordBatch:
             row, no, node, other, place = zip(*rows, strict=True)
-            keys, short = signatures(fresh) if fresh else (np.empty((0, BANDS), np.int64), np.empty((0, 1), np.int64))
+            keys, bits = np.empty((0, BANDS), np.int64), np.empty((0, 1 + LONGS), np.int64)
+            if fresh:
+                h, count = _hashed(fresh)
+                keys, bits = _keys(_minima(h, count)), np.c_[count, bitmaps(h, count, LONGS)]
             where = pa.array(place, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [b.column(k).take(pa.array(row)) for k in KEY]
                 + [pa.array(no, pa.int32()), pa.array(node, pa.int64()), pa.array(other, pa.int64()),
-                   pa.array(fresh, pa.string()).take(where), lists(keys).take(where), lists(short).take(where)],
+                   pa.array(fresh, pa.string()).take(where), lists(keys).take(where), lists(bits).take(where)],
                 names=schema.names)
 
         for b in batches:
@@ -209,13 +227,13 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float, make: Callable, si
     kept.cache_clear()
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, bits: int, longs: int) -> DataFrame:
-    """Distinct pairs (a, b) whose sketches differ in at most ``bits`` bits."""
+def _near(pairs: DataFrame, sketches: DataFrame, longs: int, least: float) -> DataFrame:
+    """Distinct pairs (a, b) that their bitmaps do not rule out."""
     pairs = cut(pairs.distinct())
     n = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
     left = cut(sketches.join(n, "node").select(F.col("node").alias("a"), "n", F.col("sketch").alias("_x")))
     both = attach(pairs, left, "a").select("a", "b", "_x").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
-    out = cut(both.filter(sketch_distance(F.col("_x"), F.col("_y"), longs) <= bits).select("a", "b"))
+    out = cut(both.filter(may_match(F.col("_x"), F.col("_y"), longs, least)).select("a", "b"))
     discard(pairs, left)
     return out
 
@@ -243,21 +261,20 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float, make: Callable,
 
 
 def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shingles, similar: Callable = similar_sets,
-                  values: int = BANDS * ROWS) -> DataFrame:
+                  longs: int = LONGS) -> DataFrame:
     """(node, root) of all lines that have a similar other line.
 
-    ``lines`` has node, line, bands and sketch (``values`` MinHash values), the last
+    ``lines`` has node, line, bands and sketch (size, bitmap of ``longs`` longs), the last
     three only where a node is first met. ``make`` turns a text into what
     ``similar`` compares.
     """
-    bits, longs = far_bits(values, least), -(-values * 2 // 64)
     known = lines.filter("bands IS NOT NULL")
     signed = known.select(F.explode("bands").alias("key"), "node")
     stars = cut(signed.repartition("key").sortWithinPartitions("key", "node")
                 .mapInArrow(_stars, "key bigint, leader bigint, node bigint"))
     met = stars.select(F.col("leader").alias("node")).unionByName(stars.select("node")).distinct()
     sketches = cut(known.select("node", "sketch").join(met, "node").dropDuplicates(["node"]))
-    first = _near(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, bits, longs)
+    first = _near(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, longs, least)
     links = _verified(first, lines, least, make, similar)
     roots = cut(components(links))
     members = (stars.select("key", "leader", "node").join(roots, "node", "left")
@@ -283,7 +300,7 @@ def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shing
         if not total or left <= 8 * total:
             break
         x, lead = F.col("root"), F.col("_l.root")
-        tried = attach(open_, sizes, "key").filter((x != lead) & (sketch_distance(F.col("sketch"), F.col("_l.sketch"), longs) <= bits))
+        tried = attach(open_, sizes, "key").filter((x != lead) & may_match(F.col("sketch"), F.col("_l.sketch"), longs, least))
         low, high = F.least("node", F.col("_l.node")), F.greatest("node", F.col("_l.node"))
         swapped = F.col("node") > F.col("_l.node")
         pairs = cut(tried.select(low.alias("a"), high.alias("b"), F.when(swapped, lead).otherwise(x).alias("ra"), F.when(swapped, x).otherwise(lead).alias("rb")).distinct())
@@ -300,7 +317,7 @@ def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shing
     keys = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a band
     whole = cut(open_.join(keys, "node"))
     x, y = whole.alias("x"), whole.alias("y")
-    close = sketch_distance(F.col("x.sketch"), F.col("y.sketch"), longs) <= bits
+    close = may_match(F.col("x.sketch"), F.col("y.sketch"), longs, least)
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair counts in its first bucket
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close & once)
     rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())

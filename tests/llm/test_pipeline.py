@@ -81,6 +81,22 @@ def test_stages_on_empty_input(spark, no_docs, odd_benchmark, tmp_path, name):
     assert out.collect() == [] and out.columns[:len(docs.columns)] == docs.columns
 
 
+def test_near_dedup_loses_no_candidate_at_the_bound(spark):
+    """Pairs at a similarity of 0.8 exactly that share a band are all linked."""
+    from barloom.llm import near_dedup
+    rng, rows = random.Random(6), []
+    for k in range(2500):  # sets of 45 shingles, 40 of them common
+        base = [f"w{rng.randrange(1 << 40)}" for _ in range(49)]
+        other = base[:44] + [f"v{rng.randrange(1 << 40)}" for _ in range(5)]
+        a, b = " ".join(base), " ".join(other)
+        (x, y), _ = near_dedup.signatures([near_dedup.shingle_hashes(t.encode()) for t in (a, b)])
+        if (x == y).any():
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in cp.near_dedup(spark, docs, "").collect()}
+    assert len(rows) > 4900 and kept == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_near_dedup_stage_drops_edited_copies(spark):
     """Against brute force: linked is what has a Jaccard similarity of 0.8 over five words, not what is nearly identical."""
     rng = random.Random(4)
