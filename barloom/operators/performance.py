@@ -152,9 +152,9 @@ def _narrowed(live: DataFrame, state: DataFrame, keys: list[str], steps: int) ->
     grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
     sketch = rows.groupBy(*keys, "_t").agg(F.approx_percentile("_v", grid, F.lit(10 * steps)).alias("_g"))
     at = F.floor(F.col("_rank") / F.col("_n") * steps).cast("int")
-    near = state.join(sketch, [*keys, "_t"]).select(
+    near = cut(state.join(sketch, [*keys, "_t"]).select(
         *state.columns, F.get("_g", F.greatest(at - 1, F.lit(0))).alias("_lo"), F.get("_g", at).alias("_mid"),
-        F.get("_g", F.least(at + 2, F.lit(steps))).alias("_hi"))
+        F.get("_g", F.least(at + 2, F.lit(steps))).alias("_hi")))  # stored, so that its size is known and no group is shuffled to meet it
     v = F.col("_v")
     part = (F.when(v < F.col("_lo"), 0).when(v < F.col("_mid"), 1).when(v == F.col("_mid"), 2).when(v <= F.col("_hi"), 3).otherwise(4))
     rows = live.join(near, keys).where((v >= F.col("_a")) & (v <= F.col("_b")))

@@ -43,6 +43,25 @@ def test_percentiles_are_exact(spark, ties, limit, steps):
             assert got.loc[g, name] == pytest.approx(np.percentile(part.x, p * 100), abs=1e-12)
 
 
+def test_percentiles_shuffle_no_group(spark, monkeypatch):
+    """Rows meet the borders of their rank by broadcast: a shuffle by group would put each group into one task."""
+    plans, store = [], perf.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+    monkeypatch.setattr(perf, "cut", cut)
+    df = spark.range(200_000).selectExpr("id % 3 AS g", "CAST(hash(id) AS double) AS x")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)
+    try:
+        perf.exact_percentiles(df, ["g"], "x", {"p50": 0.5}, limit=20_000).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counted = [p for p in plans if "_part" in p]
+    assert counted and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in counted)
+
+
 def test_metrics_of_a_known_curve(spark):
     days = pd.date_range("2020-01-01", periods=400).date
     eq = pd.Series(np.cumprod(1 + np.random.default_rng(0).normal(0.001, 0.01, 400)))
