@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import string
 from collections.abc import Callable, Iterator
@@ -70,8 +69,8 @@ def annotate(docs: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[list[pa.A
     return docs.mapInArrow(run, T.StructType(kept + list(fields.fields)))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per non-NULL key, ``n`` = its number of rows), safe for hot keys.
+def attach(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", share: int = 1000, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``groups`` (one row per non-NULL key, ``n`` = its number of rows), safe for hot keys.
 
     Keys with more than 1/``share`` of all rows are fewer than ``share``, so
     that side is broadcast with this bound; all other keys are small and join
@@ -81,12 +80,12 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, n: str = "n", share: in
     total, count = groups.agg(F.sum(n), F.count("*")).first()
     total = total or 0
     if count <= SMALL:
-        return rows.join(F.broadcast(groups), key)
+        return rows.join(F.broadcast(groups), key, how)
     heavy = F.col(n) * share > total
     hot = F.broadcast(groups.filter(heavy))
     return (rows.join(hot, key)
             .unionByName(rows.join(F.broadcast(groups.filter(heavy).select(key)), key, "left_anti")
-                         .join(groups.filter(~heavy), key)))
+                         .join(groups.filter(~heavy), key, how)))
 
 
 def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -113,18 +112,6 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
             .drop("_p", "_s0"))
 
 
-def bitmaps(hashes: np.ndarray, lens: np.ndarray, longs: int) -> np.ndarray:
-    """(sets, longs): a bitmap of where the 32-bit hashes of each set fall."""
-    out, end = np.empty((len(lens), longs), np.int64), np.r_[0, np.cumsum(lens)]
-    for i in range(0, len(lens), 1024):
-        own = lens[i:i + 1024]
-        flags = np.zeros((len(own), 64 * longs), np.uint8)
-        place = hashes[end[i]:end[i + len(own)]].astype(np.uint64) * np.uint64(64 * longs) >> np.uint64(32)
-        flags[np.repeat(np.arange(len(own)), own), place.astype(np.int64)] = 1
-        out[i:i + 1024] = np.packbits(flags, axis=1).view(np.int64)
-    return out
-
-
 def sketch(minima: np.ndarray) -> np.ndarray:
     """Two bits of every MinHash value, as (rows, k) longs: values that differ agree in half of their bits."""
     bits = (minima[:, :, None] >> np.arange(2, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(minima), -1)
@@ -138,16 +125,6 @@ def far_bits(values: int, least: float, deviations: float = 2.6) -> int:
     return int(other + deviations * math.sqrt(other / 2 + other * least))
 
 
-def may_match(a: Column, b: Column, longs: int, least: float) -> Column:
-    """False only for sets that cannot have a Jaccard similarity of ``least``; arrays of a set's size and its bitmap.
-
-    A bit that differs stands for a member of one set alone, and similar sets of s
-    members together (more if a size counts repeats) have at most s * (1 - least) / (1 + least) of those.
-    """
-    differ = functools.reduce(Column.__add__, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, longs + 1)])
-    return differ * F.lit(1 + least) <= (a[0] + b[0]) * F.lit(1 - least) + F.lit(1e-6)
-
-
 def running(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Add to (slim) rows of an ``ordered`` table the sum of each SQL expression over all rows before."""
     own = W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)

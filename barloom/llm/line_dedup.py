@@ -7,15 +7,14 @@ values are candidates. At similarity 0.8 a pair meets in one of 12 bands of 6
 with probability 0.97, at 0.9 with 0.9999. Exact copies of a line are one node,
 so their number does not matter.
 
-A node carries a bitmap of its shingles. Candidate pairs whose bitmaps differ in more
-bits than a pair at similarity 0.8 can are left out before any text moves, which
-loses none; the others are verified by exact Jaccard similarity of the shingle
-sets. First every member of a bucket is compared with the bucket's
-leader, the least node. As long as the buckets that are still in several components
-have many open pairs, their members are compared with one more leader each, which
-brings most members of a large family together. Members that are then still in
-different components are all compared with each other, so nothing is left out. Components of verified links are found by distributed union-find; the first occurrence (doc_id, NULL last, then text hash, then line
-number) of a component stays.
+Buckets of the same members are one bucket. Its members' texts meet in one place, where
+all pairs that are not yet linked through others are compared by exact Jaccard similarity
+of the shingle sets (64-bit hashes); bitmaps leave out pairs that differ in more members
+than a similarity of 0.8 allows, without a loss. Only the links of a spanning forest leave
+a bucket, so what is shuffled and stored grows with the members and not with their pairs.
+A bucket of many members or long texts is dealt as pairs of blocks. Components of the
+links are found by distributed union-find; the first occurrence (doc_id, NULL last, then
+text hash, then line number) of a component stays.
 
 Lines without visible characters are never duplicates and always stay; NULL
 and empty texts have no lines to drop. Rows alike in id and text are repeats of
@@ -26,26 +25,24 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from barloom.llm.common import KEY, attach, bitmaps, components, may_match, row_key, sketch
+from barloom.llm.common import KEY, attach, components, row_key, sketch
 from barloom.llm.kernels import each_text
 from barloom.session import cut, discard
 
 SHINGLE, BANDS, ROWS, LEAST = 5, 12, 6, 0.8
-LONGS = 6  # of a line's bitmap
-LONG = 4096  # characters up to which shingle sets are kept as strings
 MOST_BROADCAST = 300_000
-MOST_TURNS = 6  # further leaders a bucket with many open pairs is compared with
+BLOCK, CHARS = 4096, 1 << 21  # members and characters of a block; a larger bucket is dealt as pairs of blocks
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_BLOCK = 1 << 16  # shingles hashed at a time, so that they stay in the cache
+_PIECE = 1 << 16  # shingles hashed at a time, so that they stay in the cache
 
 
 def normalised(line: str) -> str:
@@ -60,6 +57,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _pieces(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines of about as many characters as stay in the cache."""
+    at, size = 0, 0
+    for i, x in enumerate(lines, 1):
+        size += len(x)
+        if size >= _PIECE or i == len(lines):
+            yield lines[at:i]
+            at, size = i, 0
+
+
 def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit hashes of all shingles and their number in each line; normalised lines, none empty."""
     lens = np.array([len(x) for x in lines])
@@ -88,7 +95,7 @@ def _minima(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.empty((len(count), BANDS * ROWS), np.uint32)
     i = 0
     while i < len(count):
-        j = max(i + 1, int(np.searchsorted(first, first[i] + _BLOCK)))
+        j = max(i + 1, int(np.searchsorted(first, first[i] + _PIECE)))
         part = h[first[i]:first[j] if j < len(first) else None]
         at, room = first[i:j] - first[i], np.empty(len(part), np.uint32)
         for k in range(BANDS * ROWS):
@@ -108,12 +115,12 @@ def _keys(out: np.ndarray) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) keys and the sketches, which estimate a similarity but never drop a pair."""
+    """(lines, BANDS) keys and the sketches, which estimate a similarity and are used by no operator."""
     out = _minima(*_hashed(lines))
     return _keys(out), sketch(out)
 
 
-_LINES = "line_no int, node bigint, other bigint, line string, bands array<bigint>, sketch array<bigint>"
+_LINES = "line_no int, node bigint, other bigint, line string, size int, bands array<bigint>"
 
 
 def lists(values: np.ndarray) -> pa.ListArray:
@@ -131,15 +138,14 @@ def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) ->
 
         def flush(b: pa.RecordBatch, rows: list[tuple], fresh: list[str]) -> pa.RecordBatch:
             row, no, node, other, place = zip(*rows, strict=True)
-            keys, bits = np.empty((0, BANDS), np.int64), np.empty((0, 1 + LONGS), np.int64)
-            if fresh:
-                h, count = _hashed(fresh)
-                keys, bits = _keys(_minima(h, count)), np.c_[count, bitmaps(h, count, LONGS)]
+            parts = [_keys(_minima(*_hashed(part))) for part in _pieces(fresh)]
+            keys = np.concatenate(parts) if parts else np.empty((0, BANDS), np.int64)
+            sizes = pa.array(map(len, fresh), pa.int32())
             where = pa.array(place, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [b.column(k).take(pa.array(row)) for k in KEY]
                 + [pa.array(no, pa.int32()), pa.array(node, pa.int64()), pa.array(other, pa.int64()),
-                   pa.array(fresh, pa.string()).take(where), lists(keys).take(where), lists(bits).take(where)],
+                   pa.array(fresh, pa.string()).take(where), sizes.take(where), lists(keys).take(where)],
                 names=schema.names)
 
         for b in batches:
@@ -169,161 +175,185 @@ def read_lines(docs: DataFrame, text: str = "text", remember: int = 300_000) ->
     return docs.select(*KEY, text).mapInArrow(run, schema)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, leader, node) of every member of a bucket but its leader; buckets come in key order."""
-    key, lead = None, 0
-    for b in batches:
-        if not b.num_rows:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) of every member of a bucket of two or more; then a row of the bucket with its number of members ``n``
+    and the sum ``mark`` and the least of their nodes. Buckets come one after the other; a task holds the numbers of one."""
+    held = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in chain(batches, [None]):
+        k, node = held if b is None else (np.r_[x, b.column(i).to_numpy()] for i, x in enumerate(held))
+        if not len(k):
             continue
-        k, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-        leaders = np.r_[lead, node[new]][np.cumsum(new)]
-        other = node != leaders
-        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (k, leaders, node)], names=["key", "leader", "node"])
-        key, lead = k[-1], leaders[-1]
-
-
-class Shingles:
-    """The shingle set of a line: strings, or 64-bit hashes of a line of more than ``LONG`` characters and of what it is compared with."""
-
-    def __init__(self, line: str):
-        self.line = line
-        self.set = shingles(line) if len(line) <= LONG else None
-
-    def hashes(self) -> np.ndarray:
-        x = np.frombuffer(self.line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        new = np.r_[True, k[1:] != k[:-1]]
+        end = int(np.flatnonzero(new)[-1]) if b is not None else len(k)
+        tail = np.unique(node[end:])  # the same line of several tasks is one member
+        held = np.full(len(tail), k[-1]), tail
+        k, node, new = k[:end], node[:end], new[:end]
+        several = ~(new & np.r_[new[1:], True])
+        k, node = k[several], node[several]
+        if not len(k):
+            continue
+        by = np.lexsort((node, k))
+        k, node = k[by], node[by]
+        fresh = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]
+        k, node = k[fresh], node[fresh]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        n = np.diff(np.r_[start, len(k)])
+        mark, whole = np.add.reduceat(node, start), n > 1
+        inside, first, none = np.repeat(whole, n), start[whole], pa.nulls(int(n[whole].sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(k[inside]), pa.array(node[inside]), none, none], names=["key", "node", "n", "mark"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[first], node[first], n[whole], mark[whole])], names=["key", "node", "n", "mark"])
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    h = np.concatenate((a, b))
+    h.sort()
+    return int(np.count_nonzero(h[1:] == h[:-1]))
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each line's shingles; normalised lines, none empty."""
+    out = []
+    for part in _pieces(lines):
+        lens = np.array([len(x) for x in part])
+        x = np.frombuffer(("".join(part) + "\0" * SHINGLE).encode("utf-32-le"), np.uint32).astype(np.uint64)
         h = np.zeros(len(x) - SHINGLE + 1, np.uint64)
         for i in range(SHINGLE):
             h = (h ^ x[i:len(h) + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return np.unique(h)
-
-
-def similar_sets(a: Shingles, b: Shingles, least: float) -> bool:
-    if a.set is not None and b.set is not None:
-        n, m = len(a.set), len(b.set)
-        return min(n, m) >= least * max(n, m) and (both := len(a.set & b.set)) >= least * (n + m - both)
-    if min(len(a.line), len(b.line)) < SHINGLE:
-        return False
-    x, y = a.hashes(), b.hashes()
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= least * (len(x) + len(y) - both)
-
-
-def _compare(batches: Iterator[pa.RecordBatch], least: float, make: Callable, similar: Callable) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that are similar enough; the text of ``a`` comes before those of its partners."""
-    kept = lru_cache(512)(make)
-    own, whose = None, None
-    for batch in batches:
-        a, b = [], []
-        for node, salt, other, line in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "b", "line")], strict=True):
-            this = kept(line) if len(line) <= LONG else make(line)
-            if other is None:
-                own, whose = this, (node, salt)
-            elif whose == (node, salt) and similar(own, this, least):
-                a.append(node)
-                b.append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-    kept.cache_clear()
-
-
-def _near(pairs: DataFrame, sketches: DataFrame, longs: int, least: float) -> DataFrame:
-    """Distinct pairs (a, b) that their bitmaps do not rule out."""
-    pairs = cut(pairs.distinct())
-    n = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
-    left = cut(sketches.join(n, "node").select(F.col("node").alias("a"), "n", F.col("sketch").alias("_x")))
-    both = attach(pairs, left, "a").select("a", "b", "_x").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("_y")), "b")
-    out = cut(both.filter(may_match(F.col("_x"), F.col("_y"), longs, least)).select("a", "b"))
-    discard(pairs, left)
+        start = np.cumsum(lens) - lens
+        for i in np.flatnonzero(lens < SHINGLE).tolist():
+            h[start[i]] = xxh64_intdigest(part[i].encode())
+        out += [_distinct(h[i:i + n]) for i, n in zip(start.tolist(), np.maximum(1, lens - SHINGLE + 1).tolist(), strict=True)]
     return out
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, least: float, make: Callable, similar: Callable) -> DataFrame:
-    """(a, b) of the candidate pairs with exact Jaccard similarity ``least`` or more.
-
-    Texts travel by shuffle alone: every partner's text goes to its ``a``, whose own
-    text is sent once for each 1,000 partners.
-    """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(ends)
-    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # one number a row
-    texts = cut(lines.filter("line IS NOT NULL").select("node", "line").join(few, "node").dropDuplicates(["node"]))
-    salts = F.ceil(F.count("*") / 1000).alias("salts")
-    parts = cut(pairs.groupBy("a").agg(salts, F.count("*").alias("n")))
-    dealt = attach(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
-    theirs = dealt.join(texts.hint("shuffle_merge").withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "line")
-    own = (parts.join(texts.hint("shuffle_merge").withColumnRenamed("node", "a"), "a")
-           .select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "line"))
-    met = own.unionByName(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    out = cut(met.mapInArrow(lambda it: _compare(it, least, make, similar), "a bigint, b bigint"))
-    discard(wanted, texts, parts)
+def _bits(sets: list[np.ndarray], lens: np.ndarray) -> np.ndarray:
+    """A bitmap of each set in a row of longs, of 512 to 16,384 bits, about four for each member of the largest."""
+    power = min(14, max(9, int(4 * lens.max()).bit_length()))
+    out = np.empty((len(sets), 1 << power - 6), np.uint64)
+    for i, x in enumerate(sets):
+        flags = np.zeros(1 << power, np.uint8)
+        flags[(x >> np.uint64(64 - power)).astype(np.int64)] = 1
+        out[i] = np.packbits(flags).view(np.uint64)
     return out
 
 
-def similar_lines(lines: DataFrame, least: float = LEAST, make: Callable = Shingles, similar: Callable = similar_sets,
-                  longs: int = LONGS) -> DataFrame:
+def forest(sets: list[np.ndarray], block: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs at ``least`` or more; with ``block``, of pairs from different blocks."""
+    n = len(sets)
+    if n == 2:
+        size, both = len(sets[0]) + len(sets[1]), _common(*sets) if min(map(len, sets)) >= least * max(map(len, sets)) else 0
+        return [(0, 1)] if both >= least * (size - both) else []
+    lens = np.array([len(x) for x in sets])
+    comp, links = np.arange(n), []
+    large = n > 16
+    if large:
+        bits = _bits(sets, lens)
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(lens)[:-1])
+        flags = np.zeros(len(names), bool)
+    for i in range(n - 1):
+        if large:
+            flags[ids[i]] = True
+        rest, step = np.arange(i + 1, n), 64
+        while True:
+            rest = rest[comp[rest] != comp[i]]
+            if not len(rest):
+                break
+            j, rest = rest[:step], rest[step:]
+            step = min(4 * step, 4096)
+            if block is not None:
+                j = j[block[j] != block[i]]
+            j = j[np.minimum(lens[j], lens[i]) >= least * np.maximum(lens[j], lens[i])]
+            if not len(j):
+                continue
+            if large:
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                j = j[differ * (1 + least) <= (lens[j] + lens[i]) * (1 - least) + 1e-6]
+            at = 0
+            while at < len(j):  # few at a time: a link may settle the others
+                some = j[at:at + 16]
+                at += 16
+                some = some[comp[some] != comp[i]]
+                if not len(some):
+                    continue
+                if large:
+                    both = np.add.reduceat(flags[np.concatenate([ids[x] for x in some])], np.cumsum(lens[some]) - lens[some], dtype=np.int64)
+                else:
+                    both = np.array([_common(sets[i], sets[x]) for x in some])
+                for x in some[both >= least * (lens[i] + lens[some] - both)].tolist():
+                    if comp[x] != comp[i]:
+                        comp[comp == comp[x]] = comp[i]
+                        links.append((i, x))
+        if large:
+            flags[ids[i]] = False
+    return links
+
+
+def _links(batches: Iterator[pa.RecordBatch], least: float, sets: Callable) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the units (key, lo, hi); their rows come one after the other."""
+
+    def compare(t: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+        _, at, which = np.unique(node, return_index=True, return_inverse=True)
+        own = sets(t.column("line").take(pa.array(at)).to_pylist())
+        found = []
+        for i, j, apart in zip(start.tolist(), [*start[1:].tolist(), len(node)], (t.column("lo").to_numpy() != t.column("hi").to_numpy())[start].tolist(), strict=True):
+            found += [(i + x, i + y) for x, y in forest([own[w] for w in which[i:j].tolist()], block[i:j] if apart else None, least)]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for b in chain(batches, [None]):
+        if b is not None:
+            held += [b] if b.num_rows else []
+            if sum(x.nbytes for x in held) < CHARS:
+                continue
+        if not held:
+            continue
+        t = pa.Table.from_batches(held)
+        unit = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        start = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in unit], axis=0)])
+        end = int(start[-1]) if b is not None else t.num_rows
+        if end:
+            yield compare(t.slice(0, end), start[start < end])
+            held = t.slice(end).combine_chunks().to_batches()
+
+
+def similar_lines(lines: DataFrame, least: float = LEAST, sets: Callable = shingle_sets) -> DataFrame:
     """(node, root) of all lines that have a similar other line.
 
-    ``lines`` has node, line, bands and sketch (size, bitmap of ``longs`` longs), the last
-    three only where a node is first met. ``make`` turns a text into what
-    ``similar`` compares.
+    ``lines`` has node, line, size (characters) and bands, the last three only where a
+    node is first met. ``sets`` turns texts into the sorted hashes of what is compared.
     """
     known = lines.filter("bands IS NOT NULL")
-    signed = known.select(F.explode("bands").alias("key"), "node")
-    stars = cut(signed.repartition("key").sortWithinPartitions("key", "node")
-                .mapInArrow(_stars, "key bigint, leader bigint, node bigint"))
-    met = stars.select(F.col("leader").alias("node")).unionByName(stars.select("node")).distinct()
-    sketches = cut(known.select("node", "sketch").join(met, "node").dropDuplicates(["node"]))
-    first = _near(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sketches, longs, least)
-    links = _verified(first, lines, least, make, similar)
+    found = cut(known.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+                .mapInArrow(_buckets, "key bigint, node bigint, n bigint, mark bigint"))
+    buckets = cut(found.filter("n IS NOT NULL").groupBy("node", "n", "mark").agg(F.min("key").alias("key")).select("key", "n"))
+    members = cut(attach(found.filter("n IS NULL").select("key", "node"), buckets, "key"))
+    wanted = cut(members.select("node").distinct())
+    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # one number a row
+    sizes = known.select("node", "size").join(few, "node").groupBy("node").agg(F.max("size").alias("size"))
+    parts = cut(members.join(sizes, "node").groupBy("key").agg(F.max("n").alias("n"), F.sum("size").alias("size"))
+                .select("key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / CHARS)).alias("parts")))
+    block = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = (attach(members.select("key", "node"), parts, "key")
+             .select("key", "node", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("with"))
+             .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node"))
+    texts = known.select("node", "line").join(few, "node").dropDuplicates(["node"])
+    met = dealt.join(texts.hint("shuffle_merge"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    links = cut(met.mapInArrow(lambda it: _links(it, least, sets), "a bigint, b bigint"))
+    discard(found, buckets, members, wanted, parts)
     roots = cut(components(links))
-    members = (stars.select("key", "leader", "node").join(roots, "node", "left")
-               .select("key", "leader", "node", F.coalesce("root", "node").alias("root")))
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(members.join(mixed, "key").select("key", "node", "root").distinct().join(sketches, "node"))
-    discard(stars, first)
-
-    def merge(roots: DataFrame, pairs: DataFrame) -> DataFrame | None:
-        """``roots`` after the similar ones of ``pairs`` (a, b, ra, rb) are linked, None if there are none."""
-        found = _verified(pairs.select("a", "b").distinct(), lines, least, make, similar)
-        joined = cut(pairs.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if joined.isEmpty():
-            return None
-        onto = cut(components(joined).select(F.col("node").alias("root"), F.col("root").alias("to")))
-        old = roots.join(onto, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        alone = onto.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
-        return cut(old.unionByName(alone))
-
-    for turn in range(MOST_TURNS):
-        sizes = cut(open_.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "root", "sketch"), F.xxhash64("node", F.lit(turn))).alias("_l")))
-        total, left = sizes.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
-        if not total or left <= 8 * total:
-            break
-        x, lead = F.col("root"), F.col("_l.root")
-        tried = attach(open_, sizes, "key").filter((x != lead) & may_match(F.col("sketch"), F.col("_l.sketch"), longs, least))
-        low, high = F.least("node", F.col("_l.node")), F.greatest("node", F.col("_l.node"))
-        swapped = F.col("node") > F.col("_l.node")
-        pairs = cut(tried.select(low.alias("a"), high.alias("b"), F.when(swapped, lead).otherwise(x).alias("ra"), F.when(swapped, x).otherwise(lead).alias("rb")).distinct())
-        more = merge(roots, pairs)
-        discard(sizes, pairs)
-        if more is None:
-            continue
-        roots = more
-        again = cut(open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        mixed = again.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        fewer = cut(again.join(mixed, "key"))
-        discard(open_, again)
-        open_ = fewer
-    keys = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a band
-    whole = cut(open_.join(keys, "node"))
-    x, y = whole.alias("x"), whole.alias("y")
-    close = may_match(F.col("x.sketch"), F.col("y.sketch"), longs, least)
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair counts in its first bucket
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.node < y.node AND x.root <> y.root") & close & once)
-    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct())
-    discard(open_, whole, sketches)
-    last = None if rest.isEmpty() else merge(roots, rest)
-    return roots if last is None else last
+    discard(links)
+    return roots
 
 
 def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -341,15 +371,15 @@ def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
         lines = cut(lines.join(clash.withColumn("_x", F.lit(True)), "node", "left")
                     .withColumn("node", F.when(F.col("_x"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("_x"))
         each = grouped(lines)
-    each = each.drop("lo", "hi")
     rows = lines.select(*KEY, "line_no", "node")
-    roots = cut(similar_lines(lines, least))
-    linked = cut(each.join(roots, "node"))
+    roots = similar_lines(lines, least)
+    linked = cut(each.join(roots, "node").select("node", "n", "root", "first"))
     whole = linked.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("m"))
-    linked = attach(linked.drop("first"), whole, "root", "m").select("node", "n", "root", "first")
-    alone = each.join(roots, "node", "left_anti").select("node", "n", F.col("node").alias("root"), "first")
-    classes = cut(alone.unionByName(linked))
-    return attach(rows, classes, "node").select(*KEY, "line_no", F.col("root").alias("line_class"), (place == F.col("first")).alias("kept"))
+    repeated = each.filter("n > 1").join(roots, "node", "left_anti").select("node", "n", F.col("node").alias("root"), "first")
+    classes = cut(repeated.unionByName(attach(linked.drop("first"), whole, "root", "m").select("node", "n", "root", "first")))
+    discard(each, roots, linked)
+    return (attach(rows, classes, "node", how="left")  # a line without a class is the only one of its node
+            .select(*KEY, "line_no", F.coalesce("root", "node").alias("line_class"), F.coalesce(place == F.col("first"), F.lit(True)).alias("kept")))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

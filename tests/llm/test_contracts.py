@@ -238,6 +238,41 @@ def test_op7_against_brute_force(spark):
     assert {i for i in got if got[i].kept} == set(classes)
 
 
+def test_op7_stores_members_not_pairs(spark, monkeypatch):
+    """A family just below the bound, whose pairs nearly all meet in a band: stored rows follow its members. The same classes from small blocks."""
+    rng, stored = np.random.default_rng(8), []
+    words = [f"v{i:03}" for i in range(900)]
+    base, lines = list(rng.choice(words, 60)), []
+    for _ in range(250):
+        line = list(base)
+        for at in rng.choice(60, 3, replace=False):
+            line[at] = str(rng.choice(words))
+        lines.append(" ".join(line))
+    sets = [line_dedup.shingles(x) for x in lines]
+    root = list(range(len(lines)))
+    for a in root:
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    cut = line_dedup.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    for blocks in ({}, {"BLOCK": 40, "MOST_BROADCAST": 0}):
+        for name, value in blocks.items():
+            monkeypatch.setattr(line_dedup, name, value)
+        got = line_dedup.op7_line_dedup(docs).collect()
+        assert {r.doc_id for r in got if r.kept} == set(root)
+        classes = {(r.line_class, root[r.doc_id]) for r in got}
+        assert len(classes) == len(set(root)) == len({c for c, _ in classes})
+        assert blocks or max(stored) < 30 * len(lines)
+
+
 def brute_simhash(text):
     from xxhash import xxh64_intdigest
     w = WORD.findall(lower(text))
